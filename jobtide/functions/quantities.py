@@ -47,8 +47,15 @@ def parse_memory(text: Column) -> Column:
     )
 
 
-def is_unreadable(text: Column, parsed: Column) -> Column:
-    return text.isNotNull() & parsed.isNull()
+def cpu_unreadable(text: Column) -> Column:
+    """Where :func:`parse_cpu` gives NULL."""
+    return ~(_is_blank(text) | text.rlike(_NUMBER.replace(r"\s*$", r"\s*m?$")))
+
+
+def memory_unreadable(text: Column) -> Column:
+    """Where :func:`parse_memory` gives NULL: a known unit after something that is no number."""
+    units = "(" + "|".join(MEMORY_UNITS) + ")$"
+    return text.isNotNull() & text.rlike(units) & ~text.rlike(_NUMBER.replace("$", units))
 
 
 def first_container(containers: Column) -> Column:

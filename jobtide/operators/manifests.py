@@ -72,7 +72,7 @@ def _unreadable(containers: Column) -> Column:
     bad = F.lit(False)
     for kind in ("requests", "limits"):
         cpu, memory = q.quantity(resources, kind, "cpu"), q.quantity(resources, kind, "memory")
-        bad = bad | q.is_unreadable(cpu, q.parse_cpu(cpu)) | q.is_unreadable(memory, q.parse_memory(memory))
+        bad = bad | q.cpu_unreadable(cpu) | q.memory_unreadable(memory)
     return bad
 
 

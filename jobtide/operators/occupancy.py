@@ -77,9 +77,9 @@ def active_at_tick(placements: DataFrame, tick_us: int, by: Sequence[str] = ())
     """
     first, after = first_tick_after(F.col("start_us"), tick_us), first_tick_from(F.col("completion_us"), tick_us)
     ticks = F.when(first < after, F.sequence(first, after - 1))
-    return placements.filter(F.col("start_us").isNotNull() & F.col("completion_us").isNotNull()).select(
-        *by, "job_id", (F.explode(ticks) * tick_us).alias("tick_us")
-    )
+    ended = placements.filter(F.col("start_us").isNotNull() & F.col("completion_us").isNotNull())
+    rows = ended.select(*by, "job_id", F.explode(ticks).alias("tick"))
+    return rows.select(*by, "job_id", (F.col("tick") * tick_us).alias("tick_us"))
 
 
 def tick_changes(placements: DataFrame, tick_us: int, by: Sequence[str] = ()) -> DataFrame:
