@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions import quantities as q
 from jobtide.functions import status as st
+from jobtide.operators.skew import join_lookup
 
 DEFAULT_MINUTES = 30.0
 
@@ -34,32 +35,20 @@ def unpack_metadata(metadata: Column) -> Column:
     return F.from_json(metadata, "labels map<string, string>, annotations map<string, string>")
 
 
-def job_oom_flags(pods: DataFrame, keys: Sequence[str] = ("namespace",)) -> DataFrame:
-    """One row per job that has pods: was any of them killed for memory."""
-    return (
-        pods.select(
-            *keys,
-            F.try_element_at("labels", F.lit("job-name")).alias("job_name"),
-            st.pod_oom(F.col("container_statuses")).alias("oom"),
-        )
-        .filter(F.col("job_name").isNotNull())
-        .groupBy(*keys, "job_name")
-        .agg(F.bool_or("oom").alias("oom_killed"))
-    )
+def killed_jobs(pods: DataFrame, keys: Sequence[str] = ("namespace",)) -> DataFrame:
+    """One row per job with a pod that was killed for memory."""
+    killed = pods.filter(st.pod_oom(F.col("container_statuses")))
+    name = F.try_element_at("labels", F.lit("job-name")).alias("job_name")
+    return killed.select(*keys, name).filter(F.col("job_name").isNotNull()).distinct()
 
 
 def with_oom_flag(
     jobs: DataFrame, pods: DataFrame, keys: Sequence[str] = ("namespace",), name: str = "name"
 ) -> DataFrame:
-    """Left join with the per-job flags. The flag side has one row per job, so rows never multiply."""
-    flags = job_oom_flags(pods, keys).withColumnRenamed("job_name", "__job_name")
-    flags = flags.select(*[F.col(k).alias(f"__{k}") for k in keys], "__job_name", "oom_killed")
-    on = jobs[name] == flags["__job_name"]
-    for key in keys:
-        on = on & (jobs[key] == flags[f"__{key}"])
-    joined = jobs.drop("oom_killed").join(flags, on, "left")
-    flag = F.coalesce("oom_killed", F.lit(False))
-    return joined.withColumn("oom_killed", flag).drop("__job_name", *[f"__{k}" for k in keys])
+    """Left join with the killed jobs, which are few and unique, so rows never multiply."""
+    flags = killed_jobs(pods, keys).withColumnRenamed("job_name", name).withColumn("__killed", F.lit(True))
+    joined = join_lookup(jobs.drop("oom_killed"), flags, [*keys, name], "left")
+    return joined.withColumn("oom_killed", F.coalesce("__killed", F.lit(False))).drop("__killed")
 
 
 def _containers(spec: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobtide.operators.skew import join_lookup
 from jobtide.operators.vectors import queue_top_k
 
 
@@ -40,7 +41,7 @@ def fit_candidates(
         "jobs",
         lambda j: can_fit(F.col("cpu_available"), F.col("memory_available"), j["cpu_request"], j["memory_request"]),
     )
-    pairs = free.join(heads, list(by)).withColumn("job", F.explode(fitting))
+    pairs = join_lookup(free, heads, by).withColumn("job", F.explode(fitting))
     cpu_left = F.col("cpu_available") - F.col("job.cpu_request")
     memory_left = F.col("memory_available") - F.col("job.memory_request")
     if normalised_waste:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobtide.operators.skew import join_lookup
+
 # Metrics for which less is better, and the metrics that are charted.
 LOWER_IS_BETTER = ["avg_wait_time", "oom_rate"]
 PLOT_METRICS = ["throughput", "avg_wait_time", "cpu_utilization", "success_rate"]
@@ -21,7 +23,7 @@ def min_max_normalize(results: DataFrame, by: Sequence[str] = ("scenario", "metr
     span = F.col("__high") - F.col("__low")
     scaled = F.when(span > 0, F.try_divide(F.col("value") - F.col("__low"), span))
     score = F.when(F.col("metric").isin(LOWER_IS_BETTER), 1.0 - scaled).otherwise(scaled)
-    return results.join(limits, list(by)).withColumn("normalized", score).drop("__low", "__high")
+    return join_lookup(results, limits, by).withColumn("normalized", score).drop("__low", "__high")
 
 
 def normalized_scores(results: DataFrame) -> DataFrame:

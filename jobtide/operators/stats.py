@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from jobtide.functions.clock import MICROS_PER_MINUTE, retained, since
 from jobtide.operators.cluster import latest
+from jobtide.operators.skew import join_lookup
 
 
 def _share_of(condition: Column) -> Column:
@@ -88,7 +89,7 @@ def retention(df: DataFrame, days: int, as_of_us: Column | None = None, time_us:
 
 def orphan_events(events: DataFrame, jobs: DataFrame) -> DataFrame:
     """Scheduling events whose job is not in the job table."""
-    return events.join(jobs.select("job_id"), "job_id", "left_anti")
+    return join_lookup(events, jobs.select("job_id").distinct(), ["job_id"], "left_anti")
 
 
 def training_dataset(jobs: DataFrame, states: DataFrame, rows_per_segment: int | None = None) -> DataFrame:

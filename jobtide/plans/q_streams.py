@@ -40,7 +40,18 @@ def _run(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
 
 @query(oracle(TRANSITIONS_SQL, "job_snapshots"))
 def status_transitions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transitions.status_transitions_stream(_view(spark, sf_dir, "job_snapshots"))
+    """Last statuses in a table between batches."""
+    out, checkpoint = _place(spark, "transitions")
+    snapshots = _view(spark, sf_dir, "job_snapshots")
+    transitions.transitions_by_batch(snapshots, out, checkpoint, once=True).awaitTermination()
+    rows = spark.read.parquet(f"{out}/events").drop("batch_id")
+    return rows.withColumn("queue_wait_time", F.round("queue_wait_time", 6))
+
+
+@query(oracle(TRANSITIONS_SQL, "job_snapshots"))
+def status_transitions_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last statuses in the state store."""
+    rows = transitions.status_transitions_keyed(_view(spark, sf_dir, "job_snapshots"))
     rows = rows.withColumn("queue_wait_time", F.round("queue_wait_time", 6))
     return _run(spark, rows, "transitions")
 

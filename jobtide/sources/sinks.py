@@ -53,6 +53,14 @@ def _append(df: DataFrame, path: str, batch_id: int | None, partition: str | Non
         writer.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove one numbered batch folder which no reader needs any more."""
+    if batch_id < 0:
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def upsert_jobs(jobs: DataFrame, path: str, batch_id: int) -> None:
     """Append this batch's versions. Readers take the newest one per job; see :func:`compact_jobs`."""
     stamp = F.col("snapshot_ts") if "snapshot_ts" in jobs.columns else F.lit(None).cast("timestamp")

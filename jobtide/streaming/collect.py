@@ -15,6 +15,14 @@ from jobtide.sources.snapshots import objects
 
 def collect_batch(polls: DataFrame, batch_id: int, out: str) -> None:
     """Write one micro-batch. Every write replaces an earlier attempt of the same batch."""
+    polls.persist()
+    try:
+        _write_batch(polls, batch_id, out)
+    finally:
+        polls.unpersist()
+
+
+def _write_batch(polls: DataFrame, batch_id: int, out: str) -> None:
     jobs, workloads, nodes, pods = (objects(polls, k) for k in ("job", "workload", "node", "pod"))
     keys = ["snapshot_ts", "namespace"]
     sinks.upsert_jobs(normalize_jobs(jobs, pods, keys), f"{out}/jobs", batch_id)

@@ -42,11 +42,18 @@ def alert_stream(samples: DataFrame, by: Sequence[str], **options) -> DataFrame:
 def oom_rate_stream(
     events: DataFrame, length: str = "1 hour", slide: str = "1 minute", watermark: str = WATERMARK
 ) -> DataFrame:
-    """Share of out-of-memory events in a sliding window."""
+    """Share of out-of-memory events in a sliding window.
+
+    Events are counted once per slide first; only those counts are repeated in the windows that
+    cover them.
+    """
     timed = events.withColumn("ts", F.timestamp_micros("event_us")).withWatermark("ts", watermark)
-    rates = timed.groupBy(F.window("ts", length, slide).alias("w")).agg(
-        F.count_if(oom_event(F.col("reason"), F.col("message"))).alias("oom_events"),
-        F.count("*").alias("total_events"),
+    slides = timed.groupBy(F.window("ts", slide).alias("s")).agg(
+        F.count_if(oom_event(F.col("reason"), F.col("message"))).alias("oom"),
+        F.count("*").alias("total"),
+    )
+    rates = slides.groupBy(F.window(F.window_time("s"), length, slide).alias("w")).agg(
+        F.sum("oom").alias("oom_events"), F.sum("total").alias("total_events")
     )
     rate = F.col("oom_events") / F.greatest("total_events", F.lit(1))
     return rates.select(_window_us("w"), "oom_events", "total_events", rate.alias("oom_rate"))

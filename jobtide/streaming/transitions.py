@@ -1,7 +1,10 @@
-"""Status transitions of a snapshot stream, with the last status of each job kept as state.
+"""Status transitions of a snapshot stream, with the last status of each job kept between batches.
 
-A poll lists a job once, so a job's rows in one micro-batch are at most the polls per trigger
-(``maxFilesPerTrigger``), however many rows the job has in total.
+Two ways with the same result. ``transitions_by_batch`` keeps the last statuses in a table and
+works on whole batches with joins and windows; it is the one to use at scale and for backfills.
+``status_transitions_keyed`` keeps them in Spark's state store and calls a small function per job;
+it suits short triggers on few jobs. There a poll lists a job once, so a job's rows in one
+micro-batch are at most the polls per trigger (``maxFilesPerTrigger``).
 """
 
 from __future__ import annotations
@@ -11,9 +14,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from jobtide.dims import COLLECTION_SECONDS
+from jobtide.operators.ordered import OrderedScan
+from jobtide.operators.stats import latest_rows
 from jobtide.operators.transitions import transition_rows
+from jobtide.sources.sinks import drop_batch
 
 WATERMARK = "10 minutes"
 FINISHED = ("Succeeded", "Failed")
@@ -22,6 +30,9 @@ IDLE_TIMEOUT_MS = 7 * 24 * 60 * 60 * 1000
 
 CHANGES = "job_id string, ts_us bigint, prev_status string, status string, submission_us bigint, start_us bigint"
 LAST = "ts_us bigint, status string"
+SEEN = ["ts_us", "status", "submission_us", "start_us"]
+CHANGED = ["job_id", "ts_us", "prev_status", "status", "submission_us", "start_us"]
+INTEGERS = {"ts_us": "int64", "submission_us": "Int64", "start_us": "Int64"}
 
 
 def status_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -30,30 +41,84 @@ def status_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
         state.remove()
         return
     last_us, last_status = state.get if state.exists else (None, None)
-    rows = pd.concat(list(chunks)).sort_values(["ts_us", "status"])
-    if last_us is not None:
-        rows = rows[rows["ts_us"] > last_us]
-    if not rows.empty:
-        before = rows["status"].shift(fill_value=last_status)
-        rows = rows.assign(prev_status=before, job_id=key[0])
-        last_us, last_status = int(rows["ts_us"].iloc[-1]), rows["status"].iloc[-1]
+    rows = [row for chunk in chunks for row in zip(*(chunk[c].tolist() for c in SEEN))]
+    rows.sort(key=lambda row: row[:2])
+    changed, known_us = [], last_us
+    for ts_us, status, submission_us, start_us in rows:
+        if known_us is not None and ts_us <= known_us:
+            continue
+        if last_status is not None and status != last_status:
+            changed.append((key[0], ts_us, last_status, status, submission_us, start_us))
+        last_us, last_status = ts_us, status
+    if last_us is not None and last_us != known_us:
         state.update((last_us, last_status))
-        changed = rows[before.notna() & (before != rows["status"])]
-        if not changed.empty:
-            yield changed[["job_id", "ts_us", "prev_status", "status", "submission_us", "start_us"]].astype(
-                {"submission_us": "Int64", "start_us": "Int64"}
-            )
+    if changed:
+        yield pd.DataFrame(changed, columns=CHANGED, dtype=object).astype(INTEGERS)
     if last_us is not None:
         keep = FINISHED_GRACE_MS if last_status in FINISHED else IDLE_TIMEOUT_MS
         state.setTimeoutTimestamp(max(last_us // 1000 + keep, state.getCurrentWatermarkMs() + 1))
 
 
-def status_transitions_stream(
+def status_transitions_keyed(
     snapshots: DataFrame, scheduler_name: str = "unknown", efficiency: Column | None = None, watermark: str = WATERMARK
 ) -> DataFrame:
-    """The streaming twin of ``status_transitions``: job_id, ts_us, status, submission_us, start_us in."""
+    """Expects job_id, ts_us, status, submission_us and start_us."""
     timed = snapshots.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", watermark)
     changes = timed.groupBy("job_id").applyInPandasWithState(
         status_changes, CHANGES, LAST, "append", GroupStateTimeout.EventTimeTimeout
     )
     return transition_rows(changes, scheduler_name, efficiency)
+
+
+KNOWN = "job_id string, ts_us bigint, status string"
+
+
+def transition_batch(snapshots: DataFrame, batch_id: int, out: str, scheduler_name: str = "unknown") -> None:
+    """Write the transitions of one batch and the last statuses for the next one.
+
+    Polls list every live job, so the table of last statuses is about as large as a batch. A
+    retried batch reads the same predecessor and replaces its own output.
+    """
+    spark = snapshots.sparkSession
+    if batch_id == 0:
+        known = spark.createDataFrame([], KNOWN)
+    else:
+        known = spark.read.schema(KNOWN).parquet(f"{out}/last/batch_id={batch_id - 1}")
+    fresh = snapshots.select("job_id", *SEEN).withColumn("__fresh", F.lit(1))
+    rows = fresh.unionByName(known.withColumn("__fresh", F.lit(0)), allowMissingColumns=True)
+
+    # The known row comes first; snapshots that are not newer than it change nothing.
+    scan = OrderedScan(rows, ["job_id"], ["__fresh", "ts_us", "status"])
+    is_known = F.col("__fresh") == 0
+    scan.running_sum(__known_us=F.when(is_known, F.col("ts_us")).otherwise(F.lit(0)))
+    scan.df = scan.df.filter(is_known | (F.col("ts_us") > F.col("__known_us")))
+    changes = scan.previous(prev_status="status").result().filter(~is_known)
+    transition_rows(changes, scheduler_name).write.mode("overwrite").parquet(f"{out}/events/batch_id={batch_id}")
+
+    newest = [F.col("ts_us").desc(), F.col("__fresh").asc(), F.col("status").desc()]
+    last = latest_rows(rows.select("job_id", "ts_us", "status", "__fresh"), ["job_id"], newest)
+    keep_ms = F.when(F.col("status").isin(*FINISHED), FINISHED_GRACE_MS).otherwise(IDLE_TIMEOUT_MS)
+    now_us = rows.select(F.max("ts_us")).scalar()
+    live = last.filter(F.col("ts_us") + keep_ms * 1000 >= now_us).drop("__fresh")
+    live.write.mode("overwrite").parquet(f"{out}/last/batch_id={batch_id}")
+    drop_batch(spark, f"{out}/last", batch_id - 2)
+
+
+def transitions_by_batch(
+    snapshots: DataFrame,
+    out: str,
+    checkpoint: str,
+    scheduler_name: str = "unknown",
+    seconds: int = COLLECTION_SECONDS,
+    once: bool = False,
+) -> StreamingQuery:
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.persist()
+        try:
+            transition_batch(df, batch_id, out, scheduler_name)
+        finally:
+            df.unpersist()
+
+    writer = snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    timed = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")
+    return timed.start()
