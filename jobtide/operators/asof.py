@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from jobtide.operators.ordered import SEG, OrderedScan
 
+FEW_STATES = 50_000  # rows of a fixed number of fields: a few megabytes in every task
+
 
 def asof_nearest(
     jobs: DataFrame,
@@ -21,27 +24,88 @@ def asof_nearest(
     payload: Sequence[str],
     by: Sequence[str] = (),
     rows_per_segment: int | None = None,
+    few_states: int = FEW_STATES,
 ) -> DataFrame:
     """Each job with the state closest to it in time, the lowest ``state_id`` among equals.
 
-    Jobs and states are laid out on one time line. One scan up finds the last state before a
-    job, one scan down the first one after it; states of other segments come in through the
-    digest. Jobs without a time are dropped, and no state at all means no rows. ``by`` names
-    equality columns present on both sides.
+    Jobs without a time are dropped, and no state at all means no rows. ``by`` names equality
+    columns present on both sides. States that are counted to be few are searched in place, so the
+    jobs are not shuffled at all. Otherwise jobs and states are laid out on one time line.
+    """
+    jobs, states = jobs.filter(F.col(job_us).isNotNull()), states.filter(F.col(state_us).isNotNull())
+    if not by and states.limit(few_states + 1).count() <= few_states:
+        return _search(jobs, states, job_us, state_us, state_id, payload)
+    options = {"rows_per_segment": rows_per_segment} if rows_per_segment else {}
+    return _scan(jobs, states, job_id, job_us, state_us, state_id, payload, by, options)
+
+
+def _search(
+    jobs: DataFrame, states: DataFrame, job_us: str, state_us: str, state_id: str, payload: Sequence[str]
+) -> DataFrame:
+    """Binary search in the sorted times of all states, which every task gets as a constant.
+
+    Of states at the same instant only the one with the lowest id can be chosen, so the times rise
+    strictly and the nearest state is next to the insertion point. Its row then comes from a
+    broadcast join on the time.
+    """
+    row = F.struct(F.col(state_id).alias("id"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(payload)])
+    chosen = states.groupBy(F.col(state_us).cast("bigint").alias("__us")).agg(F.min(row).alias("__state"))
+    known = sorted(tuple(r) for r in chosen.select("__us", F.col("__state.id").cast("bigint")).collect())
+    if not known:
+        jobs = jobs.filter(F.lit(False))
+    times, ids = (F.from_json(F.lit(json.dumps(c)), "array<bigint>") for c in ([k[0] for k in known], [k[1] for k in known]))
+    jumps = F.array(*[F.lit(1 << bit) for bit in reversed(range(max(1, len(known).bit_length())))])
+    at_or_before = F.aggregate(
+        jumps,
+        F.lit(0),
+        lambda at, jump: F.when(F.get(times, at + jump - 1) <= F.col(job_us), at + jump).otherwise(at),
+    )
+
+    def candidate(index: Column) -> Column:
+        time = F.get(times, index)
+        ranked = F.struct(F.abs(time - F.col(job_us)).alias("distance"), F.get(ids, index).alias("id"), time.alias("us"))
+        return F.when(time.isNotNull(), ranked)
+
+    # Bound to a lambda variable, the position is searched once and not per use.
+    nearest = F.transform(F.array(at_or_before), lambda n: F.least(candidate(n - 1), candidate(n)))
+    found = jobs.withColumn("__best", F.get(nearest, F.lit(0)))
+    found = found.withColumn("__us", F.col("__best.us"))
+    return found.join(F.broadcast(chosen), "__us", "left").select(
+        *jobs.columns,
+        F.col("__state.id").alias("matched_state_id"),
+        F.col("__best.distance").alias("matched_distance_us"),
+        *[F.col(f"__state.s{i}").alias(c) for i, c in enumerate(payload)],
+    )
+
+
+def _scan(
+    jobs: DataFrame,
+    states: DataFrame,
+    job_id: str,
+    job_us: str,
+    state_us: str,
+    state_id: str,
+    payload: Sequence[str],
+    by: Sequence[str],
+    options: dict,
+) -> DataFrame:
+    """One scan up the time line finds the last state before a job, one scan down the first after it.
+
+    States of other segments come in through the digest.
     """
     state = F.struct(
         F.col(state_us).alias("us"),
         F.col(state_id).alias("id"),
         *[F.col(c).alias(f"s{i}") for i, c in enumerate(payload)],
     )
-    line_jobs = jobs.filter(F.col(job_us).isNotNull()).select(
+    line_jobs = jobs.select(
         *by,
         F.col(job_us).cast("bigint").alias("__us"),
         F.lit(1).alias("__kind"),
         F.xxhash64(job_id).alias("__tie"),
         F.struct(*jobs.columns).alias("__job"),
     )
-    line_states = states.filter(F.col(state_us).isNotNull()).select(
+    line_states = states.select(
         *by,
         F.col(state_us).cast("bigint").alias("__us"),
         F.lit(0).alias("__kind"),
@@ -49,7 +113,6 @@ def asof_nearest(
         state.alias("__state"),
     )
     line = line_jobs.unionByName(line_states, allowMissingColumns=True)
-    options = {"rows_per_segment": rows_per_segment} if rows_per_segment else {}
     scan = OrderedScan(line, by, ["__us", "__kind", "__tie"], **options)
 
     # States sort before jobs of the same instant and, among themselves, by falling id.
@@ -76,7 +139,7 @@ def asof_nearest(
         df = scan.attach(df, carries)
         found += ["__earlier", "__later"]
 
-    def candidate(name: str):
+    def candidate(name: str) -> Column:
         distance = F.abs(F.col(f"{name}.us") - F.col("__us")).alias("distance")
         ranked = F.struct(distance, F.col(f"{name}.id").alias("id"), F.col(name).alias("state"))
         return F.when(F.col(name).isNotNull(), ranked)

@@ -1,11 +1,12 @@
 """Ordered scans that stay parallel when one key holds most of the rows.
 
-A plain ``Window.partitionBy(key).orderBy(ts)`` puts every row of a key into one task. Here the
-global order (hash of the keys, then the order columns) is cut at sampled split points into
-segments of similar size. A window over (keys, segment) then never sees more than one segment
-of a key, and what a later segment must know about the earlier ones travels in a digest with
-one row per cut key and segment. There are at most ``max_segments`` segments and only keys hit
-by a split point enter the digest, so it has at most twice that many rows and is broadcast.
+A plain ``Window.partitionBy(key).orderBy(ts)`` puts every row of a key into one task. That is
+kept as long as a small sample shows no key larger than a segment. Otherwise the global order
+(hash of the keys, then the order columns) is cut at sampled split points into segments of similar
+size. A window over (keys, segment) then never sees more than one segment of a key, and what a
+later segment must know about the earlier ones travels in a digest with one row per cut key and
+segment. There are at most ``max_segments`` segments and only keys hit by a split point enter the
+digest, so it has at most twice that many rows and is broadcast.
 
 The segment of a row depends on the row's own columns only, so recomputed tasks agree.
 """
@@ -13,6 +14,7 @@ The segment of a row depends on the row's own columns only, so recomputed tasks
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,7 @@ ROWS_PER_SEGMENT = 1_000_000
 MIN_ROWS_PER_SEGMENT = 1_000
 MAX_SEGMENTS = 16_384
 SAMPLES_PER_SEGMENT = 16
+HOT_SAMPLES = 8  # a key of two segments is expected to be hit 32 times
 
 
 def segment_count(df: DataFrame, rows: int, rows_per_segment: int, max_segments: int) -> int:
@@ -35,15 +38,19 @@ def segment_count(df: DataFrame, rows: int, rows_per_segment: int, max_segments:
 
 
 def split_points(df: DataFrame, columns: Sequence[str], rows: int, segments: int) -> list[tuple]:
-    """At most ``segments - 1`` cut points of the order given by ``columns``, from a small sample."""
+    """At most ``segments - 1`` cut points of the order given by ``columns``, whose first is the key hash.
+
+    The sample holds about ``SAMPLES_PER_SEGMENT * segments`` rows however large the input is. No
+    points are returned when no key is large enough to be worth cutting.
+    """
     if segments <= 1:
         return []
     fraction = min(1.0, SAMPLES_PER_SEGMENT * segments / rows)
-    sample = df.select(*columns).sample(False, fraction, seed=11).orderBy(*columns).collect()
-    if not sample:
+    sample = sorted(tuple(row) for row in df.select(*columns).sample(False, fraction, seed=11).collect())
+    hits = Counter(row[0] for row in sample)
+    if max(hits.values(), default=0) < HOT_SAMPLES:
         return []
-    picks = [tuple(sample[i * len(sample) // segments]) for i in range(1, segments)]
-    return list(dict.fromkeys(picks))
+    return list(dict.fromkeys(sample[i * len(sample) // segments] for i in range(1, segments)))
 
 
 def segment_of(columns: Sequence[str], schema: str, points: list[tuple]) -> Column:

@@ -8,8 +8,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobtide.operators.ordered import OrderedScan
+from jobtide.session import durable
 
 TABLES = ("events", "supplier", "orders")
 
@@ -124,20 +126,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``steps`` text, but numbered by a scan that splits a busy episode."""
-    base = view(spark, sf_dir, "e").withColumn("episode", _col("user_id"))
-    numbered = OrderedScan(base, ["episode"], ["us", "event_id"]).row_number("step").result()
+    base = view(spark, sf_dir, "e").withColumn("episode", F.col("user_id"))
+    numbered = durable(OrderedScan(base, ["episode"], ["us", "event_id"]).row_number("step").result())
     text = VIEWS["steps"].replace(
         "row_number() over (partition by user_id order by us, event_id) as step", "step"
     )
     return spark.sql(text, e=numbered)
 
 
-def _col(name: str):
-    from pyspark.sql import functions as F
-
-    return F.col(name)
-
-
 def _closure(names: tuple[str, ...]) -> list[str]:
     ordered: list[str] = []
 

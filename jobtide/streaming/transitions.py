@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobtide.dims import COLLECTION_SECONDS
+from jobtide.functions.clock import MICROS_PER_DAY, MICROS_PER_HOUR
 from jobtide.operators.ordered import OrderedScan
 from jobtide.operators.stats import latest_rows
 from jobtide.operators.transitions import transition_rows
@@ -25,8 +26,8 @@ from jobtide.sources.sinks import drop_batch
 
 WATERMARK = "10 minutes"
 FINISHED = ("Succeeded", "Failed")
-FINISHED_GRACE_MS = 60 * 60 * 1000
-IDLE_TIMEOUT_MS = 7 * 24 * 60 * 60 * 1000
+FINISHED_GRACE_US = MICROS_PER_HOUR
+IDLE_TIMEOUT_US = 7 * MICROS_PER_DAY
 
 CHANGES = "job_id string, ts_us bigint, prev_status string, status string, submission_us bigint, start_us bigint"
 LAST = "ts_us bigint, status string"
@@ -55,8 +56,8 @@ def status_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
     if changed:
         yield pd.DataFrame(changed, columns=CHANGED, dtype=object).astype(INTEGERS)
     if last_us is not None:
-        keep = FINISHED_GRACE_MS if last_status in FINISHED else IDLE_TIMEOUT_MS
-        state.setTimeoutTimestamp(max(last_us // 1000 + keep, state.getCurrentWatermarkMs() + 1))
+        keep = FINISHED_GRACE_US if last_status in FINISHED else IDLE_TIMEOUT_US
+        state.setTimeoutTimestamp(max((last_us + keep) // 1000, state.getCurrentWatermarkMs() + 1))
 
 
 def status_transitions_keyed(
@@ -97,9 +98,9 @@ def transition_batch(snapshots: DataFrame, batch_id: int, out: str, scheduler_na
 
     newest = [F.col("ts_us").desc(), F.col("__fresh").asc(), F.col("status").desc()]
     last = latest_rows(rows.select("job_id", "ts_us", "status", "__fresh"), ["job_id"], newest)
-    keep_ms = F.when(F.col("status").isin(*FINISHED), FINISHED_GRACE_MS).otherwise(IDLE_TIMEOUT_MS)
+    keep_us = F.when(F.col("status").isin(*FINISHED), FINISHED_GRACE_US).otherwise(IDLE_TIMEOUT_US)
     now_us = rows.select(F.max("ts_us")).scalar()
-    live = last.filter(F.col("ts_us") + keep_ms * 1000 >= now_us).drop("__fresh")
+    live = last.filter(F.col("ts_us") + keep_us >= now_us).drop("__fresh")
     live.write.mode("overwrite").parquet(f"{out}/last/batch_id={batch_id}")
     drop_batch(spark, f"{out}/last", batch_id - 2)
 
