@@ -112,6 +112,7 @@ def _fill(text: str, terms: dict[str, str]) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold times without a zone
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

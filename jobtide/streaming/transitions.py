@@ -1,10 +1,10 @@
 """Status transitions of a snapshot stream, with the last status of each job kept between batches.
 
 Two ways with the same result. ``transitions_by_batch`` keeps the last statuses in a table and
-works on whole batches with joins and windows; it is the one to use at scale and for backfills.
-``status_transitions_keyed`` keeps them in Spark's state store and calls a small function per job;
-it suits short triggers on few jobs. There a poll lists a job once, so a job's rows in one
-micro-batch are at most the polls per trigger (``maxFilesPerTrigger``).
+stays on joins and windows throughout; it is the one to use at scale and for backfills.
+``status_transitions_keyed`` keeps them in Spark's state store, many jobs to a bucket, so that the
+cost of calling Python is paid per bucket and not per job. A poll lists a job once, so a bucket's
+rows in one micro-batch are bounded by its jobs times the polls per trigger.
 """
 
 from __future__ import annotations
@@ -29,44 +29,62 @@ FINISHED = ("Succeeded", "Failed")
 FINISHED_GRACE_US = MICROS_PER_HOUR
 IDLE_TIMEOUT_US = 7 * MICROS_PER_DAY
 
-CHANGES = "job_id string, ts_us bigint, prev_status string, status string, submission_us bigint, start_us bigint"
-LAST = "ts_us bigint, status string"
 SEEN = ["ts_us", "status", "submission_us", "start_us"]
+CHANGES = "job_id string, ts_us bigint, prev_status string, status string, submission_us bigint, start_us bigint"
 CHANGED = ["job_id", "ts_us", "prev_status", "status", "submission_us", "start_us"]
-INTEGERS = {"ts_us": "int64", "submission_us": "Int64", "start_us": "Int64"}
+LAST = "job_id array<string>, ts_us array<bigint>, status array<string>"
+INTEGERS = {"ts_us": "Int64", "submission_us": "Int64", "start_us": "Int64"}
 
 
-def status_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows whose status differs from the one before; snapshots older than the state are ignored."""
-    if state.hasTimedOut:
+def bucket_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of one bucket whose status differs from the job's one before.
+
+    Snapshots not newer than what is known of their job are ignored. Jobs leave the state some
+    time after they finished, or when nothing was heard of them for long.
+    """
+    stored = state.get if state.exists else ([], [], [])
+    known = pd.DataFrame(dict(zip(["job_id", "ts_us", "status"], map(list, stored))))
+    arrived = [] if state.hasTimedOut else list(chunks)
+    rows = known.assign(fresh=False)
+    if arrived:
+        fresh = pd.concat(arrived)
+        after = fresh["job_id"].map(known.set_index("job_id")["ts_us"])
+        fresh = fresh[after.isna() | (fresh["ts_us"] > after)]
+        rows = pd.concat([rows.astype({"ts_us": "int64"}), fresh.assign(fresh=True)], ignore_index=True)
+        rows = rows.sort_values(["job_id", "ts_us", "status"], kind="stable")
+        before = rows.groupby("job_id")["status"].shift()
+        changed = rows.assign(prev_status=before)[rows["fresh"] & before.notna() & (before != rows["status"])]
+        if not changed.empty:
+            yield changed[CHANGED].astype(INTEGERS)
+    last = rows.drop_duplicates("job_id", keep="last")
+    keep_us = last["status"].isin(FINISHED).map({True: FINISHED_GRACE_US, False: IDLE_TIMEOUT_US})
+    expires_ms = (last["ts_us"] + keep_us) // 1000
+    now_ms = state.getCurrentWatermarkMs()
+    live = expires_ms >= now_ms
+    last, expires_ms = last[live], expires_ms[live]
+    if last.empty:
         state.remove()
         return
-    last_us, last_status = state.get if state.exists else (None, None)
-    rows = [row for chunk in chunks for row in zip(*(chunk[c].tolist() for c in SEEN))]
-    rows.sort(key=lambda row: row[:2])
-    changed, known_us = [], last_us
-    for ts_us, status, submission_us, start_us in rows:
-        if known_us is not None and ts_us <= known_us:
-            continue
-        if last_status is not None and status != last_status:
-            changed.append((key[0], ts_us, last_status, status, submission_us, start_us))
-        last_us, last_status = ts_us, status
-    if last_us is not None and last_us != known_us:
-        state.update((last_us, last_status))
-    if changed:
-        yield pd.DataFrame(changed, columns=CHANGED, dtype=object).astype(INTEGERS)
-    if last_us is not None:
-        keep = FINISHED_GRACE_US if last_status in FINISHED else IDLE_TIMEOUT_US
-        state.setTimeoutTimestamp(max((last_us + keep) // 1000, state.getCurrentWatermarkMs() + 1))
+    state.update((last["job_id"].tolist(), [int(t) for t in last["ts_us"]], last["status"].tolist()))
+    state.setTimeoutTimestamp(max(int(expires_ms.min()), now_ms) + 1)
 
 
 def status_transitions_keyed(
-    snapshots: DataFrame, scheduler_name: str = "unknown", efficiency: Column | None = None, watermark: str = WATERMARK
+    snapshots: DataFrame,
+    scheduler_name: str = "unknown",
+    efficiency: Column | None = None,
+    watermark: str = WATERMARK,
+    buckets: int = 256,
 ) -> DataFrame:
-    """Expects job_id, ts_us, status, submission_us and start_us."""
+    """Expects job_id, ts_us, status, submission_us and start_us.
+
+    ``buckets`` must stay the same over the life of a checkpoint.
+    """
     timed = snapshots.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", watermark)
-    changes = timed.groupBy("job_id").applyInPandasWithState(
-        status_changes, CHANGES, LAST, "append", GroupStateTimeout.EventTimeTimeout
+    bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
+    rows = timed.select("ts", "job_id", *SEEN, bucket.alias("bucket"))
+    changes = rows.groupBy("bucket").applyInPandasWithState(
+        bucket_changes, CHANGES, LAST, "append", GroupStateTimeout.EventTimeTimeout
     )
     return transition_rows(changes, scheduler_name, efficiency)
 
