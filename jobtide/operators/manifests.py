@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from jobtide.functions import quantities as q
 from jobtide.functions import status as st
-from jobtide.operators.skew import join_lookup
 
 DEFAULT_MINUTES = 30.0
 
@@ -45,9 +44,13 @@ def killed_jobs(pods: DataFrame, keys: Sequence[str] = ("namespace",)) -> DataFr
 def with_oom_flag(
     jobs: DataFrame, pods: DataFrame, keys: Sequence[str] = ("namespace",), name: str = "name"
 ) -> DataFrame:
-    """Left join with the killed jobs, which are few and unique, so rows never multiply."""
+    """Left join with the killed jobs, which are few and unique, so rows never multiply.
+
+    Nothing after the join needs its partitioning, so adaptive execution may broadcast the killed
+    jobs or split a job with very many rows.
+    """
     flags = killed_jobs(pods, keys).withColumnRenamed("job_name", name).withColumn("__killed", F.lit(True))
-    joined = join_lookup(jobs.drop("oom_killed"), flags, [*keys, name], "left")
+    joined = jobs.drop("oom_killed").join(flags, [*keys, name], "left")
     return joined.withColumn("oom_killed", F.coalesce("__killed", F.lit(False))).drop("__killed")
 
 

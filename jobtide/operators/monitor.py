@@ -70,8 +70,13 @@ def metric_averages(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return samples.groupBy(*by, "metric").agg(F.avg("value").alias("average"))
 
 
+def newest(value: str | Column, order: Sequence[str]) -> Column:
+    """The value at the highest order. One numeric order column keeps the aggregation hash-based."""
+    return F.max_by(value, F.col(order[0]) if len(order) == 1 else F.struct(*order))
+
+
 def metric_latest(samples: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    return samples.groupBy(*by, "metric").agg(F.max_by("value", F.struct(*order)).alias("latest"))
+    return samples.groupBy(*by, "metric").agg(newest("value", order).alias("latest"))
 
 
 def metric_summary(samples: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -79,7 +84,7 @@ def metric_summary(samples: DataFrame, order: Sequence[str], by: Sequence[str] =
     return samples.groupBy(*by, "metric").agg(
         F.count("*").alias("samples"),
         F.avg("value").alias("average"),
-        F.max_by("value", F.struct(*order)).alias("latest"),
+        newest("value", order).alias("latest"),
     )
 
 
@@ -103,12 +108,11 @@ def scheduler_comparison(
     samples: DataFrame, submissions: DataFrame, order: Sequence[str], key: str = "scheduler", time_us: str = "ts_us"
 ) -> DataFrame:
     """Seven figures per scheduler from its wide samples and its accepted submissions."""
-    last = F.struct(*order)
     figures = samples.groupBy(key).agg(
         ((F.max(time_us) - F.min(time_us)) / 1e6).alias("duration_s"),
-        F.max_by("jobs_succeeded", last).alias("succeeded"),
-        F.max_by("jobs_failed", last).alias("failed"),
-        F.max_by("oom_incidents", last).alias("oom_incidents"),
+        newest("jobs_succeeded", order).alias("succeeded"),
+        newest("jobs_failed", order).alias("failed"),
+        newest("oom_incidents", order).alias("oom_incidents"),
         F.avg("jobs_pending").alias("avg_queue_length"),
         F.avg("cpu_utilization").alias("cpu_utilization"),
         F.avg("memory_utilization").alias("memory_utilization"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from jobtide.operators.monitor import newest
 from jobtide.operators.ordered import OrderedScan, trailing
 
 
@@ -83,15 +84,15 @@ def scenario_evaluation(
     """Rewards and the last reported figures of each episode, averaged over episodes."""
     episodes = steps.groupBy(*by, *episode).agg(
         F.sum("reward").alias("reward"),
-        F.max_by(F.struct(*LAST_INFO), F.struct(*order)).alias("info"),
+        *[newest(name, order).alias(name) for name in LAST_INFO],
     )
     return episodes.groupBy(*by).agg(
         F.avg("reward").alias("avg_reward"),
         F.stddev_pop("reward").alias("std_reward"),
-        F.avg("info.completed_jobs").alias("mean_completed"),
-        F.avg(F.coalesce("info.avg_wait_time", F.lit(0.0))).alias("avg_wait_time"),
-        F.avg("info.cpu_utilization").alias("cpu_utilization"),
-        F.avg("info.memory_utilization").alias("memory_utilization"),
+        F.avg("completed_jobs").alias("mean_completed"),
+        F.avg(F.coalesce("avg_wait_time", F.lit(0.0))).alias("avg_wait_time"),
+        F.avg("cpu_utilization").alias("cpu_utilization"),
+        F.avg("memory_utilization").alias("memory_utilization"),
     )
 
 

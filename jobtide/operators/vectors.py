@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,23 +49,27 @@ def pad_queue(queue: DataFrame, slots: Sequence[str], k: int, by: Sequence[str]
 
 
 def assemble(
-    clusters: DataFrame, ranked: DataFrame, cluster_vector: Column, job_vector: Column, by: Sequence[str], slots: int | None
+    clusters: DataFrame,
+    ranked: DataFrame,
+    cluster_vector: Column,
+    job_vector: Callable[[Column], Column],
+    by: Sequence[str],
+    slots: int | None,
 ) -> DataFrame:
     """Cluster slots followed by the vectors of the ranked jobs, padded when ``slots`` is given.
 
-    ``ranked`` must hold a bounded number of jobs per snapshot, and ``clusters`` one row.
+    ``ranked`` must hold a bounded number of jobs per snapshot, and ``clusters`` one row. The jobs of
+    a snapshot are gathered where their ranking left them; one join brings in the cluster, and the
+    job vectors are computed on the joined row.
     """
-    jobs = (
-        ranked.join(clusters, list(by))
-        .select(*by, F.struct("queue_rank", job_vector.alias("vector")).alias("item"))
-        .groupBy(*by)
-        .agg(F.flatten(F.transform(F.sort_array(F.collect_list("item")), lambda i: i["vector"])).alias("queue"))
-    )
-    rows = clusters.select(*by, cluster_vector.alias("cluster")).join(jobs, list(by), "left")
-    vector = F.concat("cluster", F.coalesce("queue", F.array().cast("array<double>")))
+    attributes = [c for c in ranked.columns if c not in (*by, "queue_rank")]
+    job = F.struct("queue_rank", *attributes)
+    queues = ranked.groupBy(*by).agg(F.sort_array(F.collect_list(job)).alias("__queue"))
+    queue = F.coalesce(F.flatten(F.transform("__queue", job_vector)), F.array().cast("array<double>"))
+    vector = F.concat(cluster_vector, queue)
     if slots is not None:
         vector = pad(vector, CLUSTER_WIDTH + JOB_WIDTH * slots)
-    return rows.select(*by, _float_vector(vector).alias("state"))
+    return clusters.join(queues, list(by), "left").select(*by, _float_vector(vector).alias("state"))
 
 
 def _live_cluster_vector() -> Column:
@@ -75,26 +79,31 @@ def _live_cluster_vector() -> Column:
     )
 
 
-def _live_job_vector(as_of_us: Column) -> Column:
-    wait = (as_of_us - F.col("arrival_us")) / 6e7
+def _live_job_vector(job: Column) -> Column:
     return job_features(
-        F.col("cpu_request"), F.col("memory_request"), F.col("priority"), wait,
-        F.col("estimated_duration"), F.col("job_type"), F.col("cpu_total"), F.col("memory_total"),
+        job["cpu_request"], job["memory_request"], job["priority"], job["wait_min"], job["estimated_duration"],
+        job["job_type"], F.col("cpu_total"), F.col("memory_total"),
     )
 
 
+def _live_queue(queue: DataFrame, as_of_us: Column, k: int, by: Sequence[str]) -> DataFrame:
+    wait = ((as_of_us - F.col("arrival_us")) / 6e7).alias("wait_min")
+    attributes = ["cpu_request", "memory_request", "priority", "estimated_duration", "job_type"]
+    return queue_top_k(queue, k, by).select(*by, "queue_rank", *attributes, wait)
+
+
 def state_vector(
     queue: DataFrame, clusters: DataFrame, as_of_us: Column, k: int = 10, by: Sequence[str] = ("snapshot_id",)
 ) -> DataFrame:
     """7 + 6k floats per snapshot; unused slots are 0."""
-    return assemble(clusters, queue_top_k(queue, k, by), _live_cluster_vector(), _live_job_vector(as_of_us), by, k)
+    return assemble(clusters, _live_queue(queue, as_of_us, k, by), _live_cluster_vector(), _live_job_vector, by, k)
 
 
 def state_vector_ragged(
     queue: DataFrame, clusters: DataFrame, as_of_us: Column, k: int = 50, by: Sequence[str] = ("snapshot_id",)
 ) -> DataFrame:
     """As many job slots as there are jobs, at most ``k``."""
-    return assemble(clusters, queue_top_k(queue, k, by), _live_cluster_vector(), _live_job_vector(as_of_us), by, None)
+    return assemble(clusters, _live_queue(queue, as_of_us, k, by), _live_cluster_vector(), _live_job_vector, by, None)
 
 
 def state_vector_padded(

@@ -64,7 +64,7 @@ def _positions(states: DataFrame) -> DataFrame:
 def _vector(spark: SparkSession, sf_dir: str, build, k: int) -> DataFrame:
     queue = view(spark, sf_dir, "pending_queue")
     now = queue.select(F.max("arrival_us")).scalar()
-    return _positions(build(queue.drop("name"), _clusters(spark, sf_dir), now, k))
+    return _positions(build(queue, _clusters(spark, sf_dir), now, k))
 
 
 @query(oracle(_vector_sql(10, True), "nodes", "pending_queue"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobtide.dims import MONITOR_SECONDS
 from jobtide.functions.status import oom_event
-from jobtide.operators.monitor import threshold_alerts
+from jobtide.operators.monitor import newest, threshold_alerts
 
 WATERMARK = "10 minutes"
 
@@ -28,9 +28,9 @@ def monitor_stream(
 ) -> DataFrame:
     """The last sample of each window. Batches give the same rows as streams."""
     timed = samples.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", watermark)
-    last = F.max_by(F.struct(*gauges), F.struct(*order)).alias("last")
-    grouped = timed.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), *by).agg(last)
-    return grouped.select(_window_us("w"), *by, "last.*")
+    last = [newest(gauge, order).alias(gauge) for gauge in gauges]
+    grouped = timed.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), *by).agg(*last)
+    return grouped.select(_window_us("w"), *by, *gauges)
 
 
 def alert_stream(samples: DataFrame, by: Sequence[str], **options) -> DataFrame:
