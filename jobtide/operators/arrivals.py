@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobtide.functions.clock import MICROS_PER_DAY, MICROS_PER_SECOND, whole_hour
 from jobtide.operators.ordered import OrderedScan
@@ -62,11 +63,13 @@ def arrival_profile(jobs: DataFrame, patterns: DataFrame, time_us: str = "submis
     """Observed against configured share of each job type per time pattern."""
     keys = ["pattern_order", "job_type"]
     counts = match_time_pattern(jobs, patterns, time_us).groupBy(*keys).agg(F.count("*").alias("arrivals"))
-    totals = counts.groupBy("pattern_order").agg(F.sum("arrivals").alias("pattern_arrivals"))
+    # Over the counts, which are as few as there are job types.
+    total = F.sum("arrivals").over(Window.partitionBy("pattern_order"))
     configured = patterns.select("pattern_order", "job_type", F.col("share").alias("configured_share"))
-    profile = counts.join(totals, "pattern_order").join(F.broadcast(configured), keys, "left")
-    share = F.col("arrivals") / F.col("pattern_arrivals")
-    return profile.select(*keys, "arrivals", share.alias("observed_share"), "configured_share")
+    profile = counts.withColumn("observed_share", F.col("arrivals") / total)
+    return profile.join(F.broadcast(configured), keys, "left").select(
+        *keys, "arrivals", "observed_share", "configured_share"
+    )
 
 
 def band_rates(jobs: DataFrame, bands: DataFrame, time_us: str = "submission_us") -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from jobtide.session import durable
+
 SEG = "__segment"
 KEY = "__key_hash"
 
@@ -86,8 +88,6 @@ class OrderedScan:
         materialize: bool = False,
     ):
         if materialize:
-            from jobtide.session import durable
-
             df = durable(df)
         self.keys, self.order = list(keys), list(order)
         hashed = df.withColumn(KEY, F.xxhash64(*self.keys) if self.keys else F.lit(0).cast("bigint"))
@@ -172,19 +172,18 @@ class OrderedScan:
         """Inclusive cumulative sums within the key."""
         window = self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         exprs = {out: c if isinstance(c, Column) else F.col(c) for out, c in columns.items()}
-        df = self.df
-        for out, expr in exprs.items():
-            df = df.withColumn(out, F.sum(expr).over(window))
+        df = self.df.withColumns({out: F.sum(expr).over(window) for out, expr in exprs.items()})
         if self.is_split:
             digest = self.digest(*[F.sum(expr).alias(f"__t_{out}") for out, expr in exprs.items()])
-            for out in exprs:
-                before = F.sum(f"__t_{out}").over(self.between_segments())
-                digest = digest.withColumn(f"__c_{out}", before)
+            digest = digest.withColumns(
+                {f"__c_{out}": F.sum(f"__t_{out}").over(self.between_segments()) for out in exprs}
+            )
             df = self.attach(df, digest.drop(*[f"__t_{out}" for out in exprs]))
+            totals = {}
             for out in exprs:
                 carry = F.col(f"__c_{out}")
-                both = F.coalesce(F.col(out) + carry, F.col(out), carry)
-                df = df.withColumn(out, both).drop(f"__c_{out}")
+                totals[out] = F.coalesce(F.col(out) + carry, F.col(out), carry)
+            df = df.withColumns(totals).drop(*[f"__c_{out}" for out in exprs])
         self.df = df
         return self
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobtide.session import durable
+
 # Metrics for which less is better, and the metrics that are charted.
 LOWER_IS_BETTER = ["avg_wait_time", "oom_rate"]
 PLOT_METRICS = ["throughput", "avg_wait_time", "cpu_utilization", "success_rate"]
@@ -24,8 +26,12 @@ def min_max_normalize(results: DataFrame, by: Sequence[str] = ("scenario", "metr
     return results.join(limits, list(by)).withColumn("normalized", score).drop("__low", "__high")
 
 
-def normalized_scores(results: DataFrame) -> DataFrame:
-    """Mean normalised value per scenario and algorithm; 0 when no metric tells them apart."""
+def normalized_scores(results: DataFrame, materialize: bool = False) -> DataFrame:
+    """Mean normalised value per scenario and algorithm; 0 when no metric tells them apart.
+
+    The results are read twice: ``materialize`` writes them once when they come from a shuffle.
+    """
+    results = durable(results) if materialize else results
     scored = min_max_normalize(results.filter(F.col("value").isNotNull()))
     return scored.groupBy("scenario", "algorithm").agg(
         F.coalesce(F.avg("normalized"), F.lit(0.0)).alias("score")

@@ -6,14 +6,13 @@ query over them starts from files like the ones a collector leaves behind.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.plans.views import view
-from jobtide.session import shared_dir
+from jobtide.session import scratch
 from jobtide.sources import snapshots
 
 DAY_US = 86_400_000_000
@@ -25,7 +24,7 @@ def _day(us: str) -> Column:
 
 def _files(df: DataFrame, read: Callable[[SparkSession, str], DataFrame], **fields: Column) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/objects-{uuid.uuid4().hex}"
+    path = scratch(spark, "objects")
     lines = df.select(*[c.alias(name) for name, c in fields.items()])
     lines.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
     return read(spark, path)

@@ -164,7 +164,7 @@ scores as (select scenario, algorithm, coalesce(avg(case when hi > lo then case
 
 @query(oracle(f"with {_SCENARIOS}{_LONG}{_SCORES} select scenario, algorithm, round(score, 6) as score from scores", "steps"))
 def normalized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.normalized_scores(_results(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return scoring.normalized_scores(_results(spark, sf_dir), materialize=True).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -176,7 +176,7 @@ def normalized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scoring.score_matrix(scoring.normalized_scores(_results(spark, sf_dir)), _ALGORITHMS)
+    rows = scoring.score_matrix(scoring.normalized_scores(_results(spark, sf_dir), materialize=True), _ALGORITHMS)
     return rows.withColumns({a: F.round(a, 6) for a in _ALGORITHMS})
 
 

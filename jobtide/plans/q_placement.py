@@ -21,13 +21,13 @@ _BEST = "{'w': waste, 'j': job_idx, 'n': node_id}"
 _FIRST = "{'j': job_idx, 'n': node_id}"
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement.fit_candidates(view(spark, sf_dir, "pending_queue"), view(spark, sf_dir, "nodes"))
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return view(spark, sf_dir, "pending_queue"), view(spark, sf_dir, "nodes")
 
 
 @query(oracle(f"with {_PAIRS} select * from pairs", "pending_queue", "nodes"))
 def fit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir)
+    return placement.fit_candidates(*_inputs(spark, sf_dir))
 
 
 def _best_sql(condition: str) -> str:
@@ -44,22 +44,22 @@ def _first_sql(condition: str) -> str:
 
 @query(_best_sql(""))
 def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement.best_fit(_pairs(spark, sf_dir))
+    return placement.best_fit(*_inputs(spark, sf_dir))
 
 
 @query(_best_sql("where job_idx = 0"))
 def best_fit_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement.best_fit(_pairs(spark, sf_dir), head_only=True)
+    return placement.best_fit(*_inputs(spark, sf_dir), k=1)
 
 
 @query(_first_sql(""))
 def first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement.first_fit(_pairs(spark, sf_dir))
+    return placement.first_fit(*_inputs(spark, sf_dir))
 
 
 @query(_first_sql("where job_idx = 0"))
 def first_fit_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement.first_fit(_pairs(spark, sf_dir), head_only=True)
+    return placement.first_fit(*_inputs(spark, sf_dir), k=1)
 
 
 @query(oracle("select snapshot_id, job_id, priority, arrival_us from pending_queue", "pending_queue"))

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.plans.q_stats import TRANSITIONS_SQL
 from jobtide.plans.registry import query
-from jobtide.plans.views import SPARK_TERMS, VIEWS, oracle, table
-from jobtide.session import shared_dir
+from jobtide.plans.views import SPARK_TERMS, SPARK_VIEWS, VIEWS, oracle, table
+from jobtide.session import scratch
 from jobtide.streaming import collect, monitor, transitions
 
 
@@ -20,7 +19,7 @@ def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "events":
         schema = table(spark, sf_dir, "events").schema
         return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    text = VIEWS[name]
+    text = SPARK_VIEWS.get(name, VIEWS[name])
     for mark, term in SPARK_TERMS.items():
         text = text.replace(mark, term)
     inputs = {dep: _view(spark, sf_dir, dep) for dep in re.findall(r"\{(\w+)\}", text)}
@@ -28,7 +27,7 @@ def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _place(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = scratch(spark, name)
     return f"{base}/out", f"{base}/checkpoint"
 
 

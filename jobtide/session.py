@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +12,6 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -43,7 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of this application below the shared one."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once, so that passes over it do not redo its shuffles."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once and read it back, so that passes over it do not redo its shuffles.
+
+    A table rather than a checkpoint: each pass reads only its columns, and counts need none.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -204,8 +204,11 @@ def test_fits_and_ties(spark):
     assert sorted((r["job_id"], r["node_id"], r["waste"]) for r in pairs.collect()) == [
         ("a", 8, 0.0), ("a", 9, 0.0), ("b", 7, 3.0), ("b", 8, 2.0), ("b", 9, 2.0),
     ]
-    assert tuple(placement.best_fit(pairs).first()) == (1, 0, "a", 8, 0.0)
-    assert tuple(placement.first_fit(pairs).first()) == (1, 0, "a", 8)
+    assert tuple(placement.best_fit(queue, nodes).first()) == (1, 0, "a", 8, 0.0)
+    assert tuple(placement.first_fit(queue, nodes).first()) == (1, 0, "a", 8)
+    assert tuple(placement.best_fit(queue, nodes.filter("node_id < 9"), k=1).first()) == (1, 0, "a", 8, 0.0)
+    assert tuple(placement.first_fit(queue, nodes.filter("node_id = 7")).first()) == (1, 1, "b", 7)
+    assert placement.first_fit(queue, nodes.filter("node_id = 7"), k=1).count() == 0
     assert placement.fit_candidates(queue, nodes, normalised_waste=True).agg(F.max("waste")).first()[0] == 0.75
 
 
