@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from jobtide.plans.views import view
 from jobtide.session import scratch
 from jobtide.sources import snapshots
+from jobtide.sources.sinks import TEXT
 
 DAY_US = 86_400_000_000
 
@@ -26,7 +27,7 @@ def _files(df: DataFrame, read: Callable[[SparkSession, str], DataFrame], **fiel
     spark = df.sparkSession
     path = scratch(spark, "objects")
     lines = df.select(*[c.alias(name) for name, c in fields.items()])
-    lines.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    lines.write.options(**TEXT).json(path)
     return read(spark, path)
 
 

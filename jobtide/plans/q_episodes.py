@@ -198,7 +198,7 @@ def results_for_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("value", F.round("value", 6))
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logged_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged steps with a short state vector each."""
     k, queue = F.col("k"), F.col("queue_length")
     state = F.array(*[x.cast("float") for x in (k / 128.0, queue / 12.0, F.col("reward"), (k % 7) / 7.0, (k % 3) / 3.0)])
@@ -212,17 +212,17 @@ def _stored(rows: DataFrame) -> DataFrame:
 @query()
 def augment_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws come from Spark's row hash, which the oracle database does not have."""
-    return _stored(augment.augment_noise(_states(spark, sf_dir), ["event_id"]))
+    return _stored(augment.augment_noise(logged_states(spark, sf_dir), ["event_id"]))
 
 
 @query()
 def augment_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(augment.augment_anomaly(_states(spark, sf_dir), ["event_id"], rate=0.1))
+    return _stored(augment.augment_anomaly(logged_states(spark, sf_dir), ["event_id"], rate=0.1))
 
 
 @query()
 def augment_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = augment.augment_union(_states(spark, sf_dir), ["event_id"])
+    rows = augment.augment_union(logged_states(spark, sf_dir), ["event_id"])
     return rows.select("event_id", "augmented", "anomaly")
 
 

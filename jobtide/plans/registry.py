@@ -35,4 +35,5 @@ def load_all() -> None:
         q_placement,
         q_stats,
         q_streams,
+        q_tables,
     )

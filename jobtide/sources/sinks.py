@@ -25,6 +25,9 @@ STATE_DEFAULTS = {
 EVENT_DEFAULTS = {"scheduler_name": "unknown"}
 METRIC_DEFAULTS = {"metric_type": "gauge"}
 
+MICROS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"  # text formats would drop the microseconds
+TEXT = {"timestampFormat": MICROS_FORMAT, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def conform(df: DataFrame, schema: str, defaults: Mapping[str, object], extra: Sequence[str] = ()) -> DataFrame:
     """The columns of ``schema`` in order; missing columns and NULLs take their default."""
@@ -96,7 +99,7 @@ def write_training_csv(jobs: DataFrame, states: DataFrame, path: str) -> str | N
     """Training rows as CSV with a header; nothing is written when either input is empty."""
     if jobs.isEmpty() or states.isEmpty():
         return None
-    training_dataset(jobs, states).write.option("header", True).csv(path)
+    training_dataset(jobs, states).write.options(header=True, **TEXT).csv(path)
     return path
 
 
@@ -107,8 +110,8 @@ def write_metrics_summary_csv(jobs: DataFrame, states: DataFrame, path: str) ->
 
 def write_evaluation_results(flat: DataFrame, path: str) -> None:
     """One row per scenario and algorithm, as JSON and as CSV."""
-    flat.write.json(f"{path}/json")
-    flat.write.option("header", True).csv(f"{path}/csv")
+    flat.write.options(**TEXT).json(f"{path}/json")
+    flat.write.options(header=True, **TEXT).csv(f"{path}/csv")
 
 
 def write_benchmark_json(comparison: DataFrame, path: str) -> None:
@@ -128,7 +131,7 @@ def write_trajectories(steps: DataFrame, path: str, csv: bool = False) -> None:
         return
     nested = (T.ArrayType, T.StructType, T.MapType)
     columns = [
-        F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name)
+        F.to_json(f.name, TEXT).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name)
         for f in steps.schema.fields
     ]
-    steps.select(*columns).write.option("header", True).csv(path)
+    steps.select(*columns).write.options(header=True, **TEXT).csv(path)
