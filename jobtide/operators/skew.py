@@ -16,10 +16,9 @@ MAX_SLICES = 1_024
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> dict[int, float]:
     """Hash and share of the keys that hold at least ``HOT_SHARE`` of the rows of a small sample."""
     sample = df.select(F.xxhash64(*keys).alias("h")).sample(False, min(1.0, SAMPLE_ROWS / rows), seed=5)
-    counts = sample.groupBy("h").count()
-    total = sample.count()
-    found = counts.filter(F.col("count") >= max(HOT_SHARE * total, 2)).collect()
-    return {row["h"]: row["count"] / total for row in found}
+    counts = {row["h"]: row["count"] for row in sample.groupBy("h").count().collect()}
+    total = sum(counts.values())
+    return {h: n / total for h, n in counts.items() if n >= max(HOT_SHARE * total, 2)}
 
 
 def join_lookup(

@@ -134,15 +134,17 @@ def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """select algorithm, round(avg(reward), 6) as recent_reward from (
-          select algorithm, reward, row_number() over (partition by algorithm order by us desc, event_id desc) as r from steps) t
-        where r <= 100 group by algorithm""",
+        f"""with {_TOTALS} select algorithm, round(avg(total_reward), 6) as recent_reward from (
+          select *, row_number() over (partition by algorithm order by episode desc) as r from totals) t
+        where r <= 20 group by algorithm""",
         "steps",
     )
 )
 def last_n_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = [F.col("us").desc(), F.col("event_id").desc()]
-    rows = trajectories.last_n_mean(view(spark, sf_dir, "steps"), ["algorithm"], newest, "reward", "recent_reward")
+    """Mean total reward of the twenty newest episodes of each algorithm."""
+    episodes = trajectories.episode_totals(view(spark, sf_dir, "steps"))
+    newest = [F.col("episode").desc()]
+    rows = trajectories.last_n_mean(episodes, ["algorithm"], newest, "total_reward", "recent_reward", n=20)
     return rows.withColumn("recent_reward", F.round("recent_reward", 6))
 
 

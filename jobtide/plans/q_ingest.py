@@ -173,7 +173,7 @@ def recent_oom_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("oom_rate", F.round("oom_rate", 6))
 
 
-_PENDING_WORKLOAD = "job_type in ('ml', 'spark') and (event_id % 5 = 0 or event_id % 7 = 0 or event_id % 2 <> 0)"
+_PENDING_WORKLOAD = "(event_id % 5 = 0 or event_id % 7 = 0 or event_id % 2 <> 0)"
 _DAY = "submission_us - submission_us % 86400000000"
 
 

@@ -48,6 +48,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's scratch tables. DataFrames that read them stop working."""
+    remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so that passes over it do not redo its shuffles.
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from jobtide import schemas
 from jobtide.operators.stats import latest_rows, metrics_summary, training_dataset
+from jobtide.session import remove
 
 # What a missing field becomes on insert.
 JOB_DEFAULTS = {
@@ -58,10 +59,8 @@ def _append(df: DataFrame, path: str, batch_id: int | None, partition: str | Non
 
 def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
     """Remove one numbered batch folder which no reader needs any more."""
-    if batch_id < 0:
-        return
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if batch_id >= 0:
+        remove(spark, f"{path}/batch_id={batch_id}")
 
 
 def upsert_jobs(jobs: DataFrame, path: str, batch_id: int) -> None:

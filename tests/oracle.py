@@ -52,7 +52,7 @@ def compare(spark, db, name, query, sql, sf_dir):
 
 def main() -> int:
     from __spark_entry__ import oracle_sql, queries
-    from jobtide.session import build_session
+    from jobtide.session import build_session, clear_scratch
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = build_session(
@@ -75,6 +75,7 @@ def main() -> int:
         failed += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.2f}s {problem or ''}", flush=True)
     print("failed:", failed)
+    clear_scratch(spark)
     return 1 if failed else 0
 
 
