@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobtide.operators.ordered import SEG, OrderedScan
+from jobtide.operators.ordered import SEG, OrderedScan, constant_array
 
 FEW_STATES = 50_000  # rows of a fixed number of fields: a few megabytes in every task
 
@@ -53,17 +52,18 @@ def _search(
     known = sorted(tuple(r) for r in chosen.select("__us", F.col("__state.id").cast("bigint")).collect())
     if not known:
         jobs = jobs.filter(F.lit(False))
-    times, ids = (F.from_json(F.lit(json.dumps(c)), "array<bigint>") for c in ([k[0] for k in known], [k[1] for k in known]))
+    times, ids = (constant_array([k[i] for k in known], "bigint") for i in (0, 1))
+    at_us = F.col(job_us).cast("bigint")
     jumps = F.array(*[F.lit(1 << bit) for bit in reversed(range(max(1, len(known).bit_length())))])
     at_or_before = F.aggregate(
         jumps,
         F.lit(0),
-        lambda at, jump: F.when(F.get(times, at + jump - 1) <= F.col(job_us), at + jump).otherwise(at),
+        lambda at, jump: F.when(F.get(times, at + jump - 1) <= at_us, at + jump).otherwise(at),
     )
 
     def candidate(index: Column) -> Column:
         time = F.get(times, index)
-        ranked = F.struct(F.abs(time - F.col(job_us)).alias("distance"), F.get(ids, index).alias("id"), time.alias("us"))
+        ranked = F.struct(F.abs(time - at_us).alias("distance"), F.get(ids, index).alias("id"), time.alias("us"))
         return F.when(time.isNotNull(), ranked)
 
     # Bound to a lambda variable, the position is searched once and not per use.

@@ -30,6 +30,7 @@ ROWS_PER_SEGMENT = 1_000_000
 MIN_ROWS_PER_SEGMENT = 1_000
 MAX_SEGMENTS = 16_384
 SAMPLES_PER_SEGMENT = 16
+UNROLLED_POINTS = 256
 HOT_SAMPLES = 8  # a key of two segments is expected to be hit 32 times
 
 
@@ -55,19 +56,40 @@ def split_points(df: DataFrame, columns: Sequence[str], rows: int, segments: int
     return list(dict.fromkeys(sample[i * len(sample) // segments] for i in range(1, segments)))
 
 
-def segment_of(columns: Sequence[str], schema: str, points: list[tuple]) -> Column:
-    """How many split points are at or below the row: a binary search in a constant array."""
-    names = [f"c{i}" for i in range(len(columns))]
-    constant = F.from_json(
-        F.lit(json.dumps([dict(zip(names, point)) for point in points])), f"array<{schema}>"
-    )
-    row = F.struct(*[F.col(c).alias(n) for c, n in zip(columns, names)])
-    jumps = F.array(*[F.lit(1 << bit) for bit in reversed(range(len(points).bit_length()))])
-    return F.aggregate(
-        jumps,
-        F.lit(0),
-        lambda at, jump: F.when(F.get(constant, at + jump - 1) <= row, at + jump).otherwise(at),
-    )
+def constant_array(values: Sequence, element_type: str) -> Column:
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{element_type}>")
+
+
+def count_at_or_below(df: DataFrame, columns: Sequence[str], points: Sequence[tuple], out: str) -> DataFrame:
+    """Adds how many of the sorted ``points`` are at or below the row: a binary search.
+
+    Among few points each step is its own projection that reads the position of the step before, so
+    the search stays in generated code. Many points are searched in one expression instead, since
+    every step of the first form repeats the constants in the plan.
+    """
+    arrays = [
+        constant_array([point[i] for point in points], df.schema[c].dataType.simpleString())
+        for i, c in enumerate(columns)
+    ]
+
+    def reached(index: Column) -> Column:
+        *front, (last, column) = list(zip(arrays, columns))
+        found = F.get(last, index) <= F.col(column)
+        for array, column in reversed(front):
+            value = F.get(array, index)
+            found = (value < F.col(column)) | ((value == F.col(column)) & found)
+        return found
+
+    def step(at: Column, jump: Column) -> Column:
+        return F.when(reached(at + jump - 1), at + jump).otherwise(at)
+
+    jumps = [F.lit(1 << bit) for bit in reversed(range(len(points).bit_length()))]
+    if len(points) > UNROLLED_POINTS:
+        return df.withColumn(out, F.aggregate(F.array(*jumps), F.lit(0), step))
+    df = df.withColumn(out, F.lit(0))
+    for jump in jumps:
+        df = df.withColumn(out, step(F.col(out), jump))
+    return df
 
 
 class OrderedScan:
@@ -99,10 +121,8 @@ class OrderedScan:
         self.cut_hashes = sorted({point[0] for point in points})
         self.is_split = bool(points)
         if self.is_split:
-            fields = ", ".join(
-                f"c{i}: {hashed.schema[c].dataType.simpleString()}" for i, c in enumerate(columns)
-            )
-            self.df = hashed.withColumn(SEG, segment_of(columns, f"struct<{fields}>", points))
+            skip = 0 if self.keys else 1  # without keys their hash is constant
+            self.df = count_at_or_below(hashed, columns[skip:], [point[skip:] for point in points], SEG)
         else:
             self.df = hashed.withColumn(SEG, F.lit(0))
 

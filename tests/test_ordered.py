@@ -153,3 +153,12 @@ def test_lookup_join_spreads_a_hot_key(spark, table, how):
     spread = skew.join_lookup(table, lookup, ["key"], how, rows_per_slice=100)
     assert "__slice" in spread._jdf.queryExecution().analyzed().toString()
     assert sorted(map(str, spread.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("unrolled", [0, 1000])
+def test_search_among_points(spark, table, rows, monkeypatch, unrolled):
+    monkeypatch.setattr(ordered, "UNROLLED_POINTS", unrolled)
+    points = sorted({(r[0], r[1]) for r in rows[:300]})
+    found = ordered.count_at_or_below(table, ["key", "ts"], points, "n").collect()
+    assert all(r["n"] == sum(p <= (r["key"], r["ts"]) for p in points) for r in found)
+    assert ordered.count_at_or_below(table, ["ts"], [], "n").agg(F.max("n")).first()[0] == 0
