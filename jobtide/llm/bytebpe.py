@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobtide.llm.arrays import pieces, utf8
-from jobtide.llm.pretokens import Pretokens, regex_classes
+from jobtide.llm.pretokens import Pretokens, tiktoken_classes
 
 #: Pre-tokens whose encoding a worker keeps. A full store is emptied; it holds
 #: results that are computed anew where they are missing.
@@ -44,7 +44,7 @@ class BytePairs:
             self.tokens[rank] = token
             self.matches.add_word(token.decode("latin-1"), (len(token) - 1, rank))
         self.matches.make_automaton()
-        self.classes = regex_classes()
+        self.classes = tiktoken_classes()
         self._known: dict[bytes, list[int]] = {}
         self._pairs: dict[int, bool] = {}
         self._prefixes: dict[int, int] = {}

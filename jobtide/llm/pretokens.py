@@ -34,11 +34,19 @@ class Classes:
         return found
 
 
-def regex_classes() -> Classes:
-    import regex
+def tiktoken_classes() -> Classes:
+    """Classes by the pattern engine of tiktoken, whose character tables are its own.
 
-    kinds = [(regex.compile(r"\s"), SPACE), (regex.compile(r"\p{L}"), LETTER), (regex.compile(r"\p{N}"), DIGIT)]
-    return Classes(lambda c: next((kind for p, kind in kinds if p.match(c)), SIGN))
+    An encoding over single bytes gives ids for what its pattern matches and nothing for the rest.
+    """
+    import tiktoken
+
+    single = {bytes([b]): b for b in range(256)}
+    kinds = [
+        (tiktoken.Encoding(f"class{kind}", pat_str=pattern, mergeable_ranks=single, special_tokens={}), kind)
+        for pattern, kind in ((r"\s", SPACE), (r"\p{L}", LETTER), (r"\p{N}", DIGIT))
+    ]
+    return Classes(lambda c: next((kind for engine, kind in kinds if engine.encode_ordinary(c)), SIGN))
 
 
 def library_classes(split: Callable[[str], int]) -> Classes:
