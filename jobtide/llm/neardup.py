@@ -57,7 +57,7 @@ class Signature:
 def _shifts(bits: int, size: int) -> np.ndarray:
     """Row x holds the second permutation at x, x + 1, ... (around the end), as a view."""
     order = np.random.default_rng(5).permutation(1 << bits).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[:size]]), size)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: size - 1]]), size)
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Training:
     """How the classifier is fitted; ``max_rows`` and ``max_bytes`` bound the sample of labelled rows.
 
-    Texts longer than ``max_text`` bytes are left out of the sample (never out of scoring).
+    ``epochs`` passes over the sample are made, or as many more as give ``steps`` mini-batches. Texts longer than ``max_text`` bytes are left out of the sample (never out of scoring).
     """
 
     max_rows: int = 12_000
@@ -35,7 +35,8 @@ class Training:
     subwords: int = 4096
     dim: int = 6
     prior: float = 800.0
-    epochs: int = 40
+    epochs: int = 25
+    steps: int = 800
     batch: int = 256
     rate: float = 0.05
     decay: float = 4e-6
@@ -166,7 +167,7 @@ def fit(texts: list[str], labels: np.ndarray, how: Training | None = None) -> Mo
     softmax, bias = (rng.random((how.dim, 2)) - 0.5) * 0.1, np.log(np.array([1 - share, share]))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (embedding, softmax, bias)]
     step = 0
-    for _ in range(how.epochs):
+    for _ in range(max(how.epochs, -(-how.steps * how.batch // len(kept)))):
         order = rng.permutation(len(kept))
         for lo in range(0, len(order), how.batch):
             some = order[lo : lo + how.batch]
