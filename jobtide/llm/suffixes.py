@@ -28,6 +28,7 @@ from jobtide.llm.arrays import (
     ids,
     mix,
     pack_longs,
+    pieces,
     shard_of,
     unpack_longs,
     utf8,
@@ -136,7 +137,9 @@ def _tied(new: np.ndarray) -> np.ndarray:
 def _stretches(data: np.ndarray, bounds: np.ndarray, lo: int, hi: int, width: int, gram: int):
     """Runs of passages starting in [lo, hi) that share a minimizer: starts, lengths, minimizers, two hashes."""
     part = data[lo : hi + width - 1]
-    n = len(part) - width + 1
+    n = max(0, len(part) - width + 1)
+    if not n:
+        return [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 3
     grams = FIRST.windows(part, gram)
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     span, reach = width - gram + 1, 1
@@ -159,14 +162,24 @@ def _stretches(data: np.ndarray, bounds: np.ndarray, lo: int, hi: int, width: in
     return starts + lo, lengths, mix(grams[place[heads]]), hashes[0], hashes[1]
 
 
+def _ranges(bounds: np.ndarray):
+    """Byte ranges of whole documents; a long document is cut at places counted from its start.
+
+    So the stretches of a document do not depend on what stands around it, in whatever order a block's
+    rows arrive.
+    """
+    for lo, hi in pieces(bounds):
+        begin, end = int(bounds[lo]), int(bounds[hi])
+        yield from ((at, min(at + PIECE, end)) for at in range(begin, end, PIECE)) if hi == lo + 1 else ((begin, end),)
+
+
 class _Block:
     """All stretches of a block."""
 
     def __init__(self, table: pa.Table, width: int, gram: int):
         self.data, self.bounds = utf8(table["text"])
         self.doc_ids = ids(table["doc_id"])
-        n = len(self.data) - width + 1
-        parts = [_stretches(self.data, self.bounds, lo, min(lo + PIECE, n), width, gram) for lo in range(0, max(0, n), PIECE)]
+        parts = [_stretches(self.data, self.bounds, lo, hi, width, gram) for lo, hi in _ranges(self.bounds)]
         empty = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 3
         self.starts, self.lengths, self.anchors, self.first, self.second = (np.concatenate(x) for x in zip(empty, *parts))
         self.ids = self.doc_ids[np.searchsorted(self.bounds, self.starts, "right") - 1]
