@@ -80,7 +80,10 @@ class Sketch:
         by_shard, bases = dict(zip(shards, heavy)), self._bases()
         found = np.ones(len(hashes[0]), bool)
         for row, values in enumerate(hashes):
-            own = np.unique(self._own(values))
+            own = np.sort(self.cells(values))
+            new = np.ones(len(own), bool)
+            new[1:] = own[1:] != own[:-1]
+            own = own[new]
             cuts, many = np.searchsorted(own, bases), np.zeros(len(own), bool)
             for s in np.flatnonzero(np.diff(cuts)):
                 bits = by_shard[row * self.shards + int(s)]

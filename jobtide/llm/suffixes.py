@@ -115,16 +115,23 @@ def sort_suffixes(text: np.ndarray, starts: np.ndarray, depth: int, shallow: int
         new[tied] = apart
         tied = _tied(new)
     if len(tied) and depth > shallow:
-        heads = np.flatnonzero(new[tied])
-        for lo, hi in zip(heads, np.append(heads[1:], len(tied))):
-            trie, members = BlindTrie(), order[tied[lo:hi]]
-            for member, start in zip(members.tolist(), starts[members].tolist()):
-                trie.add(text[start + shallow : start + depth].tobytes(), member)
-            at = int(tied[lo])
+        heads = np.flatnonzero(new[tied]).tolist()
+        members, size = order[tied].tolist(), depth - shallow
+        rest = np.lib.stride_tricks.sliding_window_view(text, size)[starts[order[tied]] + shallow].tobytes()
+        sorted_, first = [], []
+        for lo, hi in zip(heads, [*heads[1:], len(members)]):
+            if hi == lo + 2:  # a trie of two leaves
+                a, b = rest[lo * size : hi * size - size], rest[hi * size - size : hi * size]
+                sorted_ += members[lo:hi] if a <= b else (members[hi - 1], members[lo])
+                first += (True, a != b)
+                continue
+            trie = BlindTrie()
+            for i in range(lo, hi):
+                trie.add(rest[i * size : (i + 1) * size], members[i])
             for same in trie.classes():
-                order[at : at + len(same)] = same
-                new[at] = True
-                at += len(same)
+                sorted_ += same
+                first += [True] + [False] * (len(same) - 1)
+        order[tied], new[tied] = sorted_, first
     return order, np.cumsum(new) - 1
 
 
