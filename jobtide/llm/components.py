@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from jobtide.llm.scratch import Scratch
 
 
+#: Up to so many edges (counted each round) a round is one task and shuffles nothing.
+FEW_EDGES = 200_000
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component (its smallest node) for every node of ``edges`` (a long, b long; any order).
 
@@ -19,7 +23,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     before = None
     while (mark := _mark(now)) != before:
         before, old = mark, now
-        now = scratch.keep(_small_star(_large_star(now)))
+        now = scratch.keep(_small_star(_large_star(now.coalesce(1) if mark[0] <= FEW_EDGES else now)))
         scratch.drop(old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
@@ -37,7 +41,8 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is tied to the smallest of the node and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = edges.select(ways.alias("e")).select("e.a", "e.b")
     least = both.groupBy("a").agg(F.min("b").alias("least"))
     out = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("least", "a").alias("b"))
     return _distinct(out)
@@ -46,5 +51,5 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them. Edges lead from a to smaller b."""
     least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    ties = edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return _distinct(ties.unionByName(least.select("a", F.col("least").alias("b"))))
+    ties = edges.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
+    return _distinct(ties)

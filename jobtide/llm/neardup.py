@@ -17,7 +17,7 @@ from jobtide.llm.scratch import Scratch
 #: Shingles whose signature rows are gathered at a time.
 _TOGETHER = 1 << 13
 #: Documents of a bucket that are compared with all its others in the first round; doubles each round.
-LEADERS = 8
+LEADERS = 32
 
 
 @dataclass(frozen=True)
@@ -158,8 +158,13 @@ def near_duplicates(
     linkable = signed.filter("doc_id is not null and n_shingles > 0")
     classes = scratch.keep(linkable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")))
     members = linkable.join(classes.select("set_a", "set_b", "first"), ["set_a", "set_b"]).select("doc_id", "first")
-    by_id = members.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).filter("a <> b")
-    same_id = members.join(by_id.select("doc_id", "a"), "doc_id").select("a", F.col("first").alias("b")).distinct()
+    one_set = F.xxhash64("set_a", "set_b")
+    twice = linkable.groupBy("doc_id").agg(F.min(one_set).alias("low"), F.max(one_set).alias("high")).filter("low <> high")
+    twice = scratch.keep(twice.select("doc_id"))
+    same_id = None
+    if not twice.isEmpty():  # rows that share an id tie their classes together
+        own = members.join(twice, "doc_id")
+        same_id = own.join(own.groupBy("doc_id").agg(F.min("first").alias("a")), "doc_id").select("a", F.col("first").alias("b"))
 
     entries = classes.select(F.explode("keys").alias("key"), F.col("first").alias("doc"))
     buckets = entries.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).filter("a < last")
@@ -168,7 +173,8 @@ def near_duplicates(
 
     pairs = bucketed.filter("a < doc").groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a"))
     compared = scratch.keep(_verified(pairs, texts, width, percent))
-    edges, leaders = scratch.keep(compared.filter("linked").select("a", "b").unionByName(same_id)), LEADERS
+    edges, leaders = compared.filter("linked").select("a", "b"), LEADERS
+    edges = edges if same_id is None else scratch.keep(edges.unionByName(same_id))
     waiting = bucketed.select("key", "doc")
     while True:
         found = scratch.keep(connected_components(edges, scratch))
@@ -211,4 +217,4 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(compare, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return both.mapInArrow(compare, "a long, b long, linked boolean")
