@@ -61,6 +61,7 @@ def job_features_unclamped(
     wait_s: Column,
     duration_s: Column,
     job_type: Column,
+    job_types: list[str] | None = None,
 ) -> Column:
     return F.array(
         cpu_millicores / 1000.0,
@@ -68,7 +69,7 @@ def job_features_unclamped(
         priority / 10.0,
         wait_s / 3600.0,
         duration_s / 3600.0,
-        encode_job_type_ordinal(job_type),
+        encode_job_type_ordinal(job_type, job_types),
     )
 
 

@@ -56,7 +56,9 @@ def known_templates(weights: DataFrame, templates: DataFrame, name: str = "templ
 
 
 def arrivals_sorted(jobs: DataFrame, time_us: str = "submission_us") -> DataFrame:
-    return jobs.orderBy(time_us, "job_id")
+    """Jobs with their ``position`` in the order of arrival; rows without a time are left out."""
+    arrived = jobs.filter(F.col(time_us).isNotNull())
+    return OrderedScan(arrived, [], [time_us, "job_id"]).row_number("position").result()
 
 
 def arrival_profile(jobs: DataFrame, patterns: DataFrame, time_us: str = "submission_us") -> DataFrame:

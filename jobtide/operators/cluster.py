@@ -11,6 +11,7 @@ from jobtide.functions import quantities as q
 from jobtide.functions import status as st
 from jobtide.functions.clock import since
 from jobtide.functions.encoding import at_least_one
+from jobtide.operators.manifests import all_pending
 
 
 def latest(df: DataFrame, time_us: str) -> Column:
@@ -74,15 +75,13 @@ def cluster_state_rows(
     workloads: DataFrame,
     oom_rates: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per snapshot. Every input is reduced to its snapshots before they are joined."""
+    """One row per snapshot of nodes; pending counts the readable records of the queue.
+
+    Every input is reduced to its snapshots before they are joined.
+    """
     key = "snapshot_ts"
-    pending = (
-        manifests.filter(st.is_suspended(F.col("spec")))
-        .select(key)
-        .unionByName(workloads.filter(st.workload_pending(F.col("spec"), F.col("status"))).select(key))
-        .groupBy(key)
-        .agg(F.count("*").cast("int").alias("pending_jobs_count"))
-    )
+    pending = all_pending(manifests, workloads, keep=[key]).groupBy(key)
+    pending = pending.agg(F.count("*").cast("int").alias("pending_jobs_count"))
     rows = cluster_resources(nodes).join(running_jobs(manifests), key, "left").join(pending, key, "left")
     rate: Column = F.lit(0.0)
     if oom_rates is not None:
@@ -146,3 +145,12 @@ def node_balance(nodes: DataFrame, by: Sequence[str] = ("snapshot_id",)) -> Data
             "memory_available_ratio": F.try_divide(F.col("memory_total") - F.col("memory_used"), "memory_total"),
         }
     )
+
+
+def cluster_balance(nodes: DataFrame, running: DataFrame, pending: DataFrame, by: Sequence[str] = ("snapshot_id",)) -> DataFrame:
+    """Node totals of a snapshot with its running and pending jobs (one row each in the two inputs)."""
+    rows = node_balance(nodes, by)
+    for jobs, name in ((running, "running_jobs"), (pending, "pending_jobs")):
+        counts = jobs.groupBy(*by).agg(F.count("*").alias(name))
+        rows = rows.join(counts, list(by), "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return rows

@@ -120,8 +120,11 @@ def _empty_map(labels: Column) -> Column:
     return F.coalesce(labels, F.create_map().cast("map<string, string>"))
 
 
-def job_info(manifests: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Queue record of a job; a missing creation time becomes ``as_of`` (default: the snapshot)."""
+def job_info(manifests: DataFrame, as_of: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Queue record of a job; a missing creation time becomes ``as_of`` (default: the snapshot).
+
+    Columns of ``keep`` stay beside the record.
+    """
     meta, spec = F.col("metadata"), F.col("spec")
     resources = q.container_resources(_containers(spec))
     now = as_of if as_of is not None else F.col("snapshot_ts")
@@ -138,13 +141,14 @@ def job_info(manifests: DataFrame, as_of: Column | None = None) -> DataFrame:
         annotation(meta["annotations"], "job-type", "generic").alias("job_type"),
         _empty_map(meta["labels"]).alias("labels"),
         _empty_map(meta["annotations"]).alias("annotations"),
+        *keep,
         _unreadable(_containers(spec)).alias("bad"),
     )
     readable = ~F.col("bad") & F.col("priority").isNotNull() & F.col("estimated_duration").isNotNull()
     return rows.filter(readable).drop("bad")
 
 
-def workload_job_info(workloads: DataFrame, as_of: Column | None = None) -> DataFrame:
+def workload_job_info(workloads: DataFrame, as_of: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Queue record of a workload, from the first container of its first pod set."""
     meta, spec = F.col("metadata"), F.col("spec")
     pod_set = F.try_element_at(spec["podSets"], F.lit(1))
@@ -163,11 +167,18 @@ def workload_job_info(workloads: DataFrame, as_of: Column | None = None) -> Data
         F.lit("workload").alias("job_type"),
         _empty_map(meta["labels"]).alias("labels"),
         _empty_map(meta["annotations"]).alias("annotations"),
+        *keep,
     )
     return rows.filter(F.col("cpu_request").isNotNull() & F.col("memory_request").isNotNull())
 
 
-def all_pending(manifests: DataFrame, workloads: DataFrame, distinct_jobs: bool = False) -> DataFrame:
-    """Pending jobs and pending workloads of all namespaces, duplicates kept unless asked otherwise."""
-    both = job_info(pending_jobs(manifests)).unionByName(workload_job_info(pending_workloads(workloads)))
+def all_pending(
+    manifests: DataFrame, workloads: DataFrame, distinct_jobs: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Pending jobs and pending workloads of all namespaces, duplicates kept unless asked otherwise.
+
+    Records that cannot be read are not in the queue.
+    """
+    jobs, others = pending_jobs(manifests), pending_workloads(workloads)
+    both = job_info(jobs, keep=keep).unionByName(workload_job_info(others, keep=keep))
     return both.dropDuplicates(["namespace", "name"]) if distinct_jobs else both

@@ -66,32 +66,46 @@ def threshold_alerts(samples: DataFrame, ids: Sequence[str]) -> DataFrame:
     return samples.select(*ids, found.alias("alert")).select(*ids, "alert.*")
 
 
-def metric_averages(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return samples.groupBy(*by, "metric").agg(F.avg("value").alias("average"))
+def newest(value: str | Column, order: Sequence[str]) -> Column:
+    """The value at the highest order, which is one number or two whole numbers.
 
+    Two are packed into one decimal: a number as order keeps the aggregation hash-based.
+    """
+    first, *rest = [F.col(c) for c in order]
+    for other in rest:
+        first = first.cast("decimal(38, 0)") * F.lit("1" + "0" * 19).cast("decimal(20, 0)") + other.cast("decimal(20, 0)")
+    return F.max_by(value, first.cast("decimal(38, 0)") if rest else first)
 
-def newest(value: str | Column, order: Sequence[str]) -> Column:
-    """The value at the highest order. One numeric order column keeps the aggregation hash-based."""
-    return F.max_by(value, F.col(order[0]) if len(order) == 1 else F.struct(*order))
 
+def metric_summary(wide: DataFrame, metrics: Sequence[str], order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Samples, average and latest value per metric. Wide rows are aggregated once, only the result is unpivoted."""
+    figures = {"samples": lambda m: F.count(m), "average": lambda m: F.avg(m), "latest": lambda m: newest(m, order)}
+    columns = [figure(F.col(m).cast("double")).alias(f"{name}_{m}") for m in metrics for name, figure in figures.items()]
+    rows = (wide.groupBy(*by) if by else wide).agg(*columns)
+    items = [F.struct(F.lit(m).alias("metric"), *[F.col(f"{name}_{m}").alias(name) for name in figures]) for m in metrics]
+    long = rows.select(*by, F.explode(F.array(*items)).alias("item")).select(*by, "item.*")
+    return long.filter(F.col("samples") > 0)
 
-def metric_latest(samples: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    return samples.groupBy(*by, "metric").agg(newest("value", order).alias("latest"))
 
+def metric_averages(wide: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    rows = (wide.groupBy(*by) if by else wide).agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics])
+    return metrics_to_long(rows, by, metrics).withColumnRenamed("value", "average")
 
-def metric_summary(samples: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Average and latest value per metric in one aggregation."""
-    return samples.groupBy(*by, "metric").agg(
-        F.count("*").alias("samples"),
-        F.avg("value").alias("average"),
-        newest("value", order).alias("latest"),
-    )
 
+def metric_latest(wide: DataFrame, metrics: Sequence[str], order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    rows = (wide.groupBy(*by) if by else wide).agg(*[newest(F.col(m).cast("double"), order).alias(m) for m in metrics])
+    return metrics_to_long(rows, by, metrics).withColumnRenamed("value", "latest")
 
-def monitor_summary(samples: DataFrame, alerts: DataFrame, by: Sequence[str], time_us: str = "ts_us") -> DataFrame:
-    """Duration in seconds, collected samples and raised alerts per run."""
-    totals = samples.groupBy(*by).agg(
-        ((F.max(time_us) - F.min(time_us)) / 1e6).alias("duration_s"), F.count("*").alias("total_samples")
+
+def monitor_summary(
+    wide: DataFrame, alerts: DataFrame, metrics: Sequence[str], by: Sequence[str], order: Sequence[str], time_us: str = "ts_us"
+) -> DataFrame:
+    """Duration in seconds, collected values, raised alerts, and average and latest value of each metric per run."""
+    totals = wide.groupBy(*by).agg(
+        ((F.max(time_us) - F.min(time_us)) / 1e6).alias("duration_s"),
+        sum((F.count(m) for m in metrics), F.lit(0)).alias("total_samples"),
+        *[F.avg(m).alias(f"average_{m}") for m in metrics],
+        *[newest(m, order).alias(f"latest_{m}") for m in metrics],
     )
     raised = alerts.groupBy(*by).agg(F.count("*").alias("events_detected"))
     joined = totals.join(raised, list(by), "left")

@@ -70,15 +70,26 @@ def first_tick_from(time: Column, tick: int) -> Column:
     return F.ceil(time / tick).cast("bigint")
 
 
-def active_at_tick(placements: DataFrame, tick_us: int, by: Sequence[str] = ()) -> DataFrame:
-    """(job, tick) rows of a regular clock with start < tick < end; unfinished jobs have no rows.
+def last_event(placements: DataFrame) -> Column:
+    """The newest time of a log, as a scalar subquery."""
+    times = [F.max(c) for c in ("submission_us", "start_us", "completion_us") if c in placements.columns]
+    return placements.select(F.greatest(*times)).scalar()
 
-    The ticks of a job are enumerated from its own times, so no join is needed.
+
+def active_at_tick(
+    placements: DataFrame, tick_us: int, by: Sequence[str] = (), until_us: Column | None = None
+) -> DataFrame:
+    """(job, tick) rows of a regular clock with start < tick < end.
+
+    A started job without an end is active at every tick up to ``until_us`` (default: the last event
+    of the log). The ticks of a job are enumerated from its own times, so no join is needed.
     """
-    first, after = first_tick_after(F.col("start_us"), tick_us), first_tick_from(F.col("completion_us"), tick_us)
+    until_us = until_us if until_us is not None else last_event(placements)
+    started = placements.filter(F.col("start_us").isNotNull()).withColumn("__until", until_us)
+    first = first_tick_after(F.col("start_us"), tick_us)
+    after = F.coalesce(first_tick_from(F.col("completion_us"), tick_us), first_tick_after(F.col("__until"), tick_us))
     ticks = F.when(first < after, F.sequence(first, after - 1))
-    ended = placements.filter(F.col("start_us").isNotNull() & F.col("completion_us").isNotNull())
-    rows = ended.select(*by, "job_id", F.explode(ticks).alias("tick"))
+    rows = started.select(*by, "job_id", F.explode(ticks).alias("tick"))
     return rows.select(*by, "job_id", (F.col("tick") * tick_us).alias("tick_us"))
 
 

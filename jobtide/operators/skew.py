@@ -11,6 +11,7 @@ SAMPLE_ROWS = 20_000
 HOT_SHARE = 0.01  # at most 100 keys can reach this share
 ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 1_024
+KINDS = ("inner", "left", "leftouter", "left_outer", "semi", "leftsemi", "left_semi", "anti", "leftanti", "left_anti")
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> dict[int, float]:
@@ -32,8 +33,11 @@ def join_lookup(
 
     A hot key's rows are dealt out to slices by their content and its lookup row is repeated per
     slice. Without a hot key this is a plain join. Adaptive execution is free to do better, but
-    unlike its skew handling this also holds when an aggregation on the same keys follows.
+    unlike its skew handling this also holds when an aggregation on the same keys follows. Joins that
+    return lookup rows without a match are refused, since a repeated row would come out repeatedly.
     """
+    if how not in KINDS:
+        raise ValueError(f"join kind {how!r}; known are {', '.join(KINDS)}")
     rows = left.count()
     if rows <= rows_per_slice:
         return left.join(lookup, list(keys), how)

@@ -81,15 +81,20 @@ def scenario_evaluation(
     by: Sequence[str] = ("scenario", "algorithm"),
     episode: Sequence[str] = ("episode",),
 ) -> DataFrame:
-    """Rewards and the last reported figures of each episode, averaged over episodes."""
+    """Rewards, the last reported figures and the share of successful admits of each episode, averaged.
+
+    Throughput is the mean number of completed jobs. An episode without an admit has no success rate.
+    """
     episodes = steps.groupBy(*by, *episode).agg(
         F.sum("reward").alias("reward"),
+        F.try_divide(F.count_if(F.col("is_admit") & F.col("admit_ok")), F.count_if("is_admit")).alias("success_rate"),
         *[newest(name, order).alias(name) for name in LAST_INFO],
     )
     return episodes.groupBy(*by).agg(
         F.avg("reward").alias("avg_reward"),
         F.stddev_pop("reward").alias("std_reward"),
-        F.avg("completed_jobs").alias("mean_completed"),
+        F.avg("completed_jobs").alias("throughput"),
+        F.avg("success_rate").alias("success_rate"),
         F.avg(F.coalesce("avg_wait_time", F.lit(0.0))).alias("avg_wait_time"),
         F.avg("cpu_utilization").alias("cpu_utilization"),
         F.avg("memory_utilization").alias("memory_utilization"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobtide.functions.encoding import cluster_features, job_features
+from jobtide.functions.encoding import cluster_features, cluster_features_history, job_features, job_features_unclamped
 
 JOB_WIDTH = 6
 CLUSTER_WIDTH = 7
@@ -34,11 +34,20 @@ def pad(values: Column, width: int) -> Column:
     return F.concat(values, F.array_repeat(F.lit(0.0), F.greatest(F.lit(width) - F.size(values), F.lit(0))))
 
 
-def pad_queue(queue: DataFrame, slots: Sequence[str], k: int, by: Sequence[str] = ("snapshot_id",)) -> DataFrame:
-    """Exactly ``k`` rows per snapshot: ranked jobs first, empty slots with zeros after them."""
+def pad_queue(
+    queue: DataFrame, slots: Sequence[str], k: int, by: Sequence[str] = ("snapshot_id",), snapshots: DataFrame | None = None
+) -> DataFrame:
+    """Exactly ``k`` rows per snapshot: ranked jobs first, empty slots with zeros after them.
+
+    ``snapshots`` lists the snapshots, so that one with an empty queue gets its slots too; without it
+    the queue's own are taken.
+    """
     ranked = queue_top_k(queue, k, by)
     item = F.struct(F.col("queue_rank").alias("slot"), *[F.col(c).cast("double").alias(c) for c in slots])
     rows = ranked.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("slots"))
+    if snapshots is not None:
+        none = F.array().cast(rows.schema["slots"].dataType)
+        rows = snapshots.select(*by).distinct().join(rows, list(by), "left").withColumn("slots", F.coalesce("slots", none))
 
     def empty(slot: Column) -> Column:
         return F.struct(slot.cast("int").alias("slot"), *[F.lit(0.0).alias(c) for c in slots])
@@ -99,18 +108,42 @@ def state_vector(
     return assemble(clusters, _live_queue(queue, as_of_us, k, by), _live_cluster_vector(), _live_job_vector, by, k)
 
 
+def _logged_cluster_vector() -> Column:
+    return cluster_features_history(
+        F.try_divide("cpu_available", "cpu_total"), F.try_divide("memory_available", "memory_total"),
+        F.col("avg_cpu_utilization"), F.col("avg_memory_utilization"), F.col("running_jobs"), F.col("recent_cpu"), F.col("oom_events"),
+    )
+
+
+def _logged_job_vector(job_types: list[str] | None) -> Callable[[Column], Column]:
+    """Cores, GiB, tenths of priority, hours waited, hours expected and the place of the job type."""
+
+    def vector(job: Column) -> Column:
+        return job_features_unclamped(
+            job["cpu_request"] * 1000, job["memory_request"] * 1024, job["priority"], job["wait_min"] * 60,
+            job["estimated_duration"] * 60, job["job_type"], job_types,
+        )
+
+    return vector
+
+
 def state_vector_ragged(
-    queue: DataFrame, clusters: DataFrame, as_of_us: Column, k: int = 50, by: Sequence[str] = ("snapshot_id",)
+    queue: DataFrame, clusters: DataFrame, as_of_us: Column, k: int = 50, by: Sequence[str] = ("snapshot_id",),
+    job_types: list[str] | None = None,
 ) -> DataFrame:
-    """As many job slots as there are jobs, at most ``k``."""
-    return assemble(clusters, _live_queue(queue, as_of_us, k, by), _live_cluster_vector(), _live_job_vector, by, None)
+    """The logged state: unclamped features, as many job slots as there are jobs, at most ``k``.
+
+    ``clusters`` also holds recent_cpu (mean of the last samples) and oom_events.
+    """
+    return assemble(clusters, _live_queue(queue, as_of_us, k, by), _logged_cluster_vector(), _logged_job_vector(job_types), by, None)
 
 
 def state_vector_padded(
-    queue: DataFrame, clusters: DataFrame, as_of_us: Column, k: int = 50, by: Sequence[str] = ("snapshot_id",)
+    queue: DataFrame, clusters: DataFrame, as_of_us: Column, k: int = 50, by: Sequence[str] = ("snapshot_id",),
+    job_types: list[str] | None = None,
 ) -> DataFrame:
     """The ragged vector padded to the longest possible queue."""
-    return state_vector(queue, clusters, as_of_us, k, by)
+    return assemble(clusters, _live_queue(queue, as_of_us, k, by), _logged_cluster_vector(), _logged_job_vector(job_types), by, k)
 
 
 def mean_queue_wait(queue: DataFrame, as_of_us: Column, by: Sequence[str] = ("snapshot_id",)) -> DataFrame:

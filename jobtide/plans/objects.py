@@ -164,3 +164,44 @@ def node_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         taints=F.when(F.col("no_schedule"), F.array(taint)),
         conditions=F.array(F.struct(F.lit("Ready").alias("type"), ready.alias("status"))),
     )
+
+
+FIRST_DAY_US = 1_704_067_200_000_000
+
+
+def daily_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node in the poll of one of thirty days."""
+    number = F.substring("name", 6, 20).cast("bigint")
+    day = F.timestamp_micros(F.lit(FIRST_DAY_US) + number % 30 * DAY_US)
+    return node_manifests(spark, sf_dir).withColumn("snapshot_ts", day)
+
+
+def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster events as seen by the poll at the start of their day: what is newer than an hour before it counts."""
+    events = view(spark, sf_dir, "cluster_events")
+    day = F.col("event_us") - F.pmod(F.col("event_us"), F.lit(DAY_US))
+    # A poll looks back one hour; the first hour of a day is put before the poll of that day.
+    seen = F.timestamp_micros(2 * day - F.col("event_us"))
+    return events.select(_day("event_us").alias("snapshot_ts"), "namespace", "reason", "message", seen.alias("first_timestamp"), F.lit(None).cast("timestamp").alias("event_time"))
+
+
+def job_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for every snapshot of the status view."""
+    rows = view(spark, sf_dir, "job_snapshots")
+    status = F.col("status")
+    container = F.struct(F.lit("main").alias("name"), F.struct(_resources(F.lit("1"), F.lit("1Gi")).alias("requests")).alias("resources"))
+    return rows.select(
+        F.timestamp_micros("ts_us").alias("snapshot_ts"),
+        F.struct(
+            F.col("job_id").alias("uid"), F.col("job_id").alias("name"), F.lit("ns").alias("namespace"),
+            F.timestamp_micros("submission_us").alias("creationTimestamp"),
+        ).alias("metadata"),
+        F.struct(
+            (status == "Suspended").alias("suspend"),
+            F.struct(F.struct(F.array(container).alias("containers")).alias("spec")).alias("template"),
+        ).alias("spec"),
+        F.struct(
+            F.when(status == "Running", 1).alias("active"), F.when(status == "Succeeded", 1).alias("succeeded"),
+            F.when(status == "Failed", 1).alias("failed"), F.timestamp_micros("start_us").alias("startTime"),
+        ).alias("status"),
+    )

@@ -114,6 +114,7 @@ def known_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("job_id", "template")
 
 
-@query(oracle("select job_id, submission_us from jobs order by submission_us, job_id", "jobs"))
+@query(oracle("select job_id, submission_us, row_number() over (order by submission_us, job_id) as position from jobs", "jobs"))
 def arrivals_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All jobs in order of arrival, each row with its position."""
     return arrivals.arrivals_sorted(view(spark, sf_dir, "jobs").select("job_id", "submission_us"))

@@ -92,12 +92,12 @@ def policy_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SCENARIOS = """ev as (
   select scenario, algorithm, episode, sum(reward) as reward, arg_max(k, step) as k, arg_max(queue_length, step) as q,
-    max(step) as n from steps group by scenario, algorithm, episode),
+    max(step) as n, count(*) filter (where is_admit and admit_ok) / nullif(count(*) filter (where is_admit), 0) as ok from steps group by scenario, algorithm, episode),
 sc as (
-  select scenario, algorithm, avg(reward) as avg_reward, stddev_pop(reward) as std_reward, avg(n) as mean_completed,
+  select scenario, algorithm, avg(reward) as avg_reward, stddev_pop(reward) as std_reward, avg(n) as throughput, avg(ok) as success_rate,
     avg(coalesce(case when k % 3 <> 0 then q end, 0)) as avg_wait_time, avg(cast(k as double) / 128) as cpu_utilization,
     avg((k % 64) / 64) as memory_utilization from ev group by scenario, algorithm)"""
-_FIGURES = ["avg_reward", "std_reward", "mean_completed", "avg_wait_time", "cpu_utilization", "memory_utilization"]
+_FIGURES = ["avg_reward", "std_reward", "throughput", "success_rate", "avg_wait_time", "cpu_utilization", "memory_utilization"]
 
 
 def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,26 +14,40 @@ _CLUSTERS = """clusters as (
   select snapshot_id, sum(cpu_total) as cpu_total, sum(cpu_total) - sum(cpu_used) as cpu_available,
     sum(memory_total) as memory_total, sum(memory_total) - sum(memory_used) as memory_available,
     sum(cpu_used) / sum(cpu_total) as cpu_u, sum(memory_used) / sum(memory_total) as mem_u,
-    count(*) as running_jobs, snapshot_id / 32.0 as oom_rate from nodes group by snapshot_id)"""
+    (select count(*) from jobs where status = 'Running' and user_id % 5 = snapshot_id) as running_jobs,
+    (select count(*) from jobs where oom_killed and user_id % 5 = snapshot_id) as oom_events,
+    (select avg(cast(k as double) / 128) from (select user_id % 5 as s, k, row_number() over (partition by user_id % 5 order by us desc, event_id desc) as n from e) last
+      where s = snapshot_id and n <= 10) as recent_cpu,
+    snapshot_id / 32.0 as oom_rate from nodes group by snapshot_id)"""
+_TYPES = "case job_type when 'spark' then 0 when 'ml' then 1 when 'batch' then 2 when 'etl' then 3 when 'realtime' then 4 else 0 end / 5"
 _CODE = "case job_type when 'spark' then .8 when 'ml' then .6 when 'batch' then .4 when 'etl' then .5 when 'realtime' then .7 else .2 end"
 _RANKED = """ranked as (
   select *, row_number() over (partition by snapshot_id order by priority desc, arrival_us, job_id) as r
   from pending_queue)"""
 
 
-def _vector_sql(k: int, padded: bool) -> str:
+_LIVE_JOB = """[least(r.cpu_request / c.cpu_total, 1), least(r.memory_request / c.memory_total, 1),
+        least(r.priority / 10, 1), least((now.t - r.arrival_us) / 6e7 / 60, 1), least(r.estimated_duration / 120, 1),
+        cast({code} as double)]"""
+_LIVE_CLUSTER = """[cpu_available / greatest(cpu_total, 1), memory_available / greatest(memory_total, 1),
+          cpu_u, mem_u, least(running_jobs / 100, 1), cpu_u, cast(oom_rate as double)]"""
+_LOGGED_JOB = """[cast(r.cpu_request as double), cast(r.memory_request as double), r.priority / 10, (now.t - r.arrival_us) / 3.6e9,
+        r.estimated_duration / 60, cast({types} as double)]"""
+_LOGGED_CLUSTER = """[cpu_available / cpu_total, memory_available / memory_total, cpu_u, mem_u, running_jobs / 100, recent_cpu, oom_events / 100]"""
+
+
+def _vector_sql(k: int, padded: bool, logged: bool = False) -> str:
+    job = _LOGGED_JOB.format(types=_TYPES) if logged else _LIVE_JOB.format(code=_CODE)
+    cluster_slots = _LOGGED_CLUSTER if logged else _LIVE_CLUSTER
     width = f"{7 + 6 * k}" if padded else "7 + 6 * coalesce(q.n, 0)"
     return f"""with {_CLUSTERS}, {_RANKED},
     now as (select max(arrival_us) as t from pending_queue),
-    job as (select r.snapshot_id, r.r, [least(r.cpu_request / c.cpu_total, 1), least(r.memory_request / c.memory_total, 1),
-        least(r.priority / 10, 1), least((now.t - r.arrival_us) / 6e7 / 60, 1), least(r.estimated_duration / 120, 1),
-        cast({_CODE} as double)] as v
+    job as (select r.snapshot_id, r.r, {job} as v
       from ranked r join clusters c on c.snapshot_id = r.snapshot_id, now where r.r <= {k}),
     q as (select snapshot_id, count(*) as n from job group by snapshot_id),
     item as (
       select snapshot_id, generate_subscripts(v, 1) - 1 as pos, unnest(v) as x from (
-        select snapshot_id, [cpu_available / greatest(cpu_total, 1), memory_available / greatest(memory_total, 1),
-          cpu_u, mem_u, least(running_jobs / 100, 1), cpu_u, cast(oom_rate as double)] as v from clusters) t
+        select snapshot_id, {cluster_slots} as v from clusters) t
       union all
       select snapshot_id, 7 + 6 * (r - 1) + generate_subscripts(v, 1) - 1, unnest(v) from job),
     place as (select c.snapshot_id, unnest(range(0, {width})) as pos from clusters c left join q on q.snapshot_id = c.snapshot_id)
@@ -42,7 +56,12 @@ def _vector_sql(k: int, padded: bool) -> str:
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cluster.node_balance(view(spark, sf_dir, "nodes"))
+    jobs = view(spark, sf_dir, "jobs").withColumn("snapshot_id", (F.col("user_id") % 5).cast("bigint"))
+    rows = cluster.cluster_balance(view(spark, sf_dir, "nodes"), jobs.filter("status = 'Running'"), view(spark, sf_dir, "pending_queue"))
+    samples = view(spark, sf_dir, "e").select((F.col("user_id") % 5).cast("bigint").alias("snapshot_id"), "us", "event_id", (F.col("k") / 128.0).alias("cpu"))
+    recent = trajectories.last_n_mean(samples, ["snapshot_id"], [F.col("us").desc(), F.col("event_id").desc()], "cpu", "recent_cpu", n=10)
+    killed = jobs.filter("oom_killed").groupBy("snapshot_id").agg(F.count("*").alias("oom_events"))
+    rows = rows.join(recent, "snapshot_id", "left").join(killed, "snapshot_id", "left")
     return rows.select(
         "snapshot_id",
         "cpu_total",
@@ -51,7 +70,9 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("memory_total") - F.col("memory_used")).alias("memory_available"),
         F.col("cpu_utilization").alias("avg_cpu_utilization"),
         F.col("memory_utilization").alias("avg_memory_utilization"),
-        F.col("nodes").alias("running_jobs"),
+        "running_jobs",
+        "recent_cpu",
+        F.coalesce("oom_events", F.lit(0)).alias("oom_events"),
         (F.col("snapshot_id") / 32.0).alias("oom_rate"),
     )
 
@@ -61,25 +82,28 @@ def _positions(states: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
-def _vector(spark: SparkSession, sf_dir: str, build, k: int) -> DataFrame:
+_KNOWN_TYPES = ["spark", "ml", "batch", "etl", "realtime"]
+
+
+def _vector(spark: SparkSession, sf_dir: str, build, k: int, **options) -> DataFrame:
     queue = view(spark, sf_dir, "pending_queue")
     now = queue.select(F.max("arrival_us")).scalar()
-    return _positions(build(queue, _clusters(spark, sf_dir), now, k))
+    return _positions(build(queue, _clusters(spark, sf_dir), now, k, **options))
 
 
-@query(oracle(_vector_sql(10, True), "nodes", "pending_queue"))
+@query(oracle(_vector_sql(10, True), "nodes", "pending_queue", "jobs", "e"))
 def state_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector(spark, sf_dir, vectors.state_vector, 10)
 
 
-@query(oracle(_vector_sql(50, False), "nodes", "pending_queue"))
+@query(oracle(_vector_sql(50, False, logged=True), "nodes", "pending_queue", "jobs", "e"))
 def state_vector_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vector(spark, sf_dir, vectors.state_vector_ragged, 50)
+    return _vector(spark, sf_dir, vectors.state_vector_ragged, 50, job_types=_KNOWN_TYPES)
 
 
-@query(oracle(_vector_sql(50, True), "nodes", "pending_queue"))
+@query(oracle(_vector_sql(50, True, logged=True), "nodes", "pending_queue", "jobs", "e"))
 def state_vector_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vector(spark, sf_dir, vectors.state_vector_padded, 50)
+    return _vector(spark, sf_dir, vectors.state_vector_padded, 50, job_types=_KNOWN_TYPES)
 
 
 @query(
@@ -95,15 +119,21 @@ def queue_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        f"""with {_RANKED}, slots as (select distinct snapshot_id, unnest(range(1, 51)) as slot from pending_queue)
+        f"""with {_RANKED}, known as (select snapshot_id from nodes union select snapshot_id + 5 from nodes),
+        slots as (select snapshot_id, unnest(range(1, 51)) as slot from known)
         select s.snapshot_id, cast(s.slot as int) as slot, coalesce(r.cpu_request, 0) as cpu_request,
           coalesce(r.memory_request, 0) as memory_request, cast(coalesce(r.priority, 0) as double) as priority
         from slots s left join ranked r on r.snapshot_id = s.snapshot_id and r.r = s.slot""",
         "pending_queue",
+        "nodes",
     )
 )
 def pad_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.pad_queue(view(spark, sf_dir, "pending_queue"), ["cpu_request", "memory_request", "priority"], 50)
+    """Snapshots from 5 on have no jobs waiting."""
+    known = view(spark, sf_dir, "nodes").select("snapshot_id")
+    known = known.unionByName(known.select((F.col("snapshot_id") + 5).alias("snapshot_id")))
+    queue = view(spark, sf_dir, "pending_queue")
+    return vectors.pad_queue(queue, ["cpu_request", "memory_request", "priority"], 50, snapshots=known)
 
 
 @query(
@@ -127,7 +157,9 @@ def mean_queue_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
           round(least(cpu_request / 64, 1), 6) as f0, round(least(memory_request / 100, 1), 6) as f1,
           round(least(priority / 10, 1), 6) as f2, round(least(coalesce((start_us - submission_us) / 6e7, 0) / 60, 1), 6) as f3,
           round(least((event_id % 200) / 120, 1), 6) as f4,
-          round(cpu_request, 6) as u0, round(memory_request, 6) as u1, round(event_id % 200 / 60, 6) as u4
+          round(cpu_request, 6) as u0, round(memory_request, 6) as u1, round(priority / 10, 6) as u2,
+          round(coalesce((start_us - submission_us) / 6e7, 0) / 60, 6) as u3, round(event_id % 200 / 60, 6) as u4,
+          round(case when event_id % 6 = 5 then 0 else (event_id % 6) / 5 end, 6) as u5
         from jobs""",
         "jobs",
     )
@@ -142,16 +174,16 @@ def job_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(64.0), F.lit(None).cast("double"),
     )
     raw = encoding.job_features_unclamped(
-        F.col("cpu_request") * 1000, F.col("memory_request") * 1024, F.col("priority"), wait * 60, minutes * 60, F.col("job_type")
+        F.col("cpu_request") * 1000, F.col("memory_request") * 1024, F.col("priority"), wait * 60, minutes * 60, F.col("job_type"), _KNOWN_TYPES
     )
-    ordinal = encoding.encode_job_type_ordinal(F.col("job_type"), ["spark", "ml", "batch", "etl", "realtime"])
+    ordinal = encoding.encode_job_type_ordinal(F.col("job_type"), _KNOWN_TYPES)
     rows = jobs.select("event_id", "job_type", live.alias("f"), raw.alias("u"))
     return rows.select(
         "event_id",
         F.round(F.col("f")[5], 6).alias("type_code"),
         F.round(ordinal, 6).alias("type_ordinal"),
         *[F.round(F.col("f")[i], 6).alias(f"f{i}") for i in range(5)],
-        *[F.round(F.col("u")[i], 6).alias(f"u{i}") for i in (0, 1, 4)],
+        *[F.round(F.col("u")[i], 6).alias(f"u{i}") for i in range(6)],
     )
 
 
@@ -160,7 +192,7 @@ def job_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         """with h as (select event_id, us, user_id, cast(k as double) / 128 as cpu, user_id % 64 / 64.0 as mem, k,
             avg(cast(k as double) / 128) over (partition by user_id order by us, event_id rows 9 preceding) as recent,
             row_number() over (partition by user_id order by us, event_id) as jobs from e)
-        select event_id, round(1 - cpu, 9) as c0, round(cpu, 9) as c2, round(k / 100, 9) as c4, round(recent, 9) as c5,
+        select event_id, round(1 - cpu, 9) as c0, round(1 - mem, 9) as c1, round(cpu, 9) as c2, round(mem, 9) as c3, round(k / 100, 9) as c4, round(recent, 9) as c5,
           round(k / 100, 6) as oom_scaled, round(k / jobs, 6) as oom_share from h""",
         "e",
     )
@@ -183,7 +215,7 @@ def cluster_features_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return rows.select(
         "event_id",
-        *[F.round(F.col("a")[i], 9).alias(f"c{i}") for i in (0, 2, 4, 5)],
+        *[F.round(F.col("a")[i], 9).alias(f"c{i}") for i in range(6)],
         F.round(F.col("a")[6], 6).alias("oom_scaled"),
         F.round(F.col("b")[6], 6).alias("oom_share"),
     )
@@ -196,6 +228,8 @@ def cluster_features_history(spark: SparkSession, sf_dir: str) -> DataFrame:
           round(least(running_jobs / 100, 1), 6) as c4, round(cpu_u, 6) as c5, round(cast(oom_rate as double), 6) as c6,
           round((cpu_u + mem_u) / 2, 6) as utilization from clusters""",
         "nodes",
+        "jobs",
+        "e",
     )
 )
 def cluster_features(spark: SparkSession, sf_dir: str) -> DataFrame:

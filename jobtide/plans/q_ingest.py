@@ -198,35 +198,32 @@ def all_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.drop("arrival_time", "labels", "annotations")
 
 
-@query(
-    oracle(
-        f"""with days as (
-          select {_DAY} as day_us, cast(sum(case when status = 'Running' and event_id % 13 <> 0 then user_id % 3 + 1 else 0 end) as int) as running,
-            cast(count(*) filter (where status = 'Pending' and event_id % 2 = 0)
-               + count(*) filter (where {_PENDING_WORKLOAD}) as int) as pending
-          from jobs group by 1)
-        select day_us, pending as pending_jobs_count, running as running_jobs_count, pending as queue_length,
-          1 as node_count, cast(16 as double) as total_cpu_capacity, cast(12 as double) as available_cpu,
-          cast(0.25 as double) as avg_cpu_utilization
-        from days""",
-        "jobs",
-    )
-)
+STATE_COLUMNS = [
+    "pending_jobs_count", "running_jobs_count", "queue_length", "node_count", "total_cpu_capacity", "available_cpu",
+    "total_memory_capacity", "available_memory", "avg_cpu_utilization", "avg_memory_utilization",
+]
+STATES_SQL = f"""
+  with days as (
+    select {_DAY} as day_us, cast(sum(case when status = 'Running' and event_id % 13 <> 0 then user_id % 3 + 1 else 0 end) as int) as running,
+      cast(count(*) filter (where status = 'Pending' and event_id % 2 = 0 and event_id % 17 <> 0)
+         + count(*) filter (where {_PENDING_WORKLOAD}) as int) as pending
+    from jobs group by 1), {_NODES},
+  dn as (select 1704067200000000 + node_id % 30 * 86400000000 as day_us, {_NODE_SUMS}, cast(count(*) filter (where ready) as int) as node_count from n group by 1)
+  select cast(dn.day_us as bigint) as day_us, coalesce(pending, 0) as pending_jobs_count, coalesce(running, 0) as running_jobs_count,
+    coalesce(pending, 0) as queue_length, node_count, cast(cpu_total as double) as total_cpu_capacity, cast(cpu_available as double) as available_cpu,
+    cast(memory_total as double) as total_memory_capacity, cast(memory_available as double) as available_memory,
+    round(cast(greatest(cpu_total - cpu_available, 0) as double) / greatest(cpu_total, 1), 9) as avg_cpu_utilization,
+    round(cast(greatest(memory_total - memory_available, 0) as double) / greatest(memory_total, 1), 9) as avg_memory_utilization
+  from dn left join days on days.day_us = dn.day_us"""
+
+
+@query(oracle(STATES_SQL, "jobs"))
 def cluster_state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One node of fixed size in each day's snapshot, with that day's jobs and workloads."""
+    """The nodes polled on each day, with that day's jobs and workloads."""
     jobs, workloads = objects.job_manifests(spark, sf_dir), objects.workload_manifests(spark, sf_dir)
-    node = F.struct(
-        F.create_map(F.lit("cpu"), F.lit("16"), F.lit("memory"), F.lit("64Gi")).alias("capacity"),
-        F.create_map(F.lit("cpu"), F.lit("12000m"), F.lit("memory"), F.lit("48Gi")).alias("allocatable"),
-        F.lit(None).cast("array<struct<key: string, effect: string>>").alias("taints"),
-        F.array(F.struct(F.lit("Ready").alias("type"), F.lit("True").alias("status"))).alias("conditions"),
-    )
-    nodes = jobs.select("snapshot_ts").distinct().select("snapshot_ts", node.alias("n")).select("snapshot_ts", "n.*")
-    rows = cluster.cluster_state_rows(nodes, jobs, workloads)
-    return rows.select(
-        F.unix_micros("timestamp").alias("day_us"), "pending_jobs_count", "running_jobs_count", "queue_length",
-        "node_count", "total_cpu_capacity", "available_cpu", "avg_cpu_utilization",
-    )
+    rows = cluster.cluster_state_rows(objects.daily_nodes(spark, sf_dir), jobs, workloads)
+    rows = rows.withColumns({c: F.round(c, 9) for c in ("avg_cpu_utilization", "avg_memory_utilization")})
+    return rows.select(F.unix_micros("timestamp").alias("day_us"), *STATE_COLUMNS)
 
 
 @query(

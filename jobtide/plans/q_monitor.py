@@ -91,19 +91,19 @@ def monitor_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = monitor.metric_summary(_long(spark, sf_dir), ["ts_us", "event_id"], ["scheduler"])
+    rows = monitor.metric_summary(_samples(spark, sf_dir), _GAUGES, ["ts_us", "event_id"], ["scheduler"])
     return rows.withColumn("average", F.round("average", 6))
 
 
 @query(oracle(f"with {_LONG} select metric, round(avg(value), 6) as average from long group by metric", "metric_samples"))
 def metric_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = monitor.metric_averages(_long(spark, sf_dir))
+    rows = monitor.metric_averages(_samples(spark, sf_dir), _GAUGES)
     return rows.withColumn("average", F.round("average", 6))
 
 
 @query(oracle(f"with {_LONG} select metric, arg_max(value, {_LAST}) as latest from long group by metric", "metric_samples"))
 def metric_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.metric_latest(_long(spark, sf_dir), ["ts_us", "event_id"])
+    return monitor.metric_latest(_samples(spark, sf_dir), _GAUGES, ["ts_us", "event_id"])
 
 
 _ALERTS = """alerts as (
@@ -123,15 +123,18 @@ def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     oracle(
         f"""with {_ALERTS}, {_LONG},
         t as (select scheduler, (max(ts_us) - min(ts_us)) / 1e6 as duration_s, count(*) as total_samples from long group by scheduler),
+        f as (select scheduler, {", ".join(f"round(avg({g}), 6) as average_{g}, arg_max({g}, {_LAST}) as latest_{g}" for g in _GAUGES)}
+          from metric_samples group by scheduler),
         a as (select scheduler, count(*) as n from alerts group by scheduler)
-        select t.scheduler, duration_s, total_samples, coalesce(n, 0) as events_detected
-        from t left join a on a.scheduler = t.scheduler""",
+        select f.*, duration_s, total_samples, coalesce(n, 0) as events_detected
+        from t join f on f.scheduler = t.scheduler left join a on a.scheduler = t.scheduler""",
         "metric_samples",
     )
 )
 def monitor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = monitor.threshold_alerts(_samples(spark, sf_dir), ["scheduler"])
-    return monitor.monitor_summary(_long(spark, sf_dir), alerts, ["scheduler"])
+    rows = monitor.monitor_summary(_samples(spark, sf_dir), alerts, _GAUGES, ["scheduler"], ["ts_us", "event_id"])
+    return rows.withColumns({f"average_{g}": F.round(f"average_{g}", 6) for g in _GAUGES})
 
 
 _COMPARISON = f"""with {_SUBMISSIONS},

@@ -89,8 +89,10 @@ def outcome_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        f"""select job_id, unnest(range(start_us // {TICK_US} + 1, (completion_us + {TICK_US} - 1) // {TICK_US})) * {TICK_US} as tick_us
-        from placements where start_us is not null and completion_us is not null""",
+        f"""with log as (select max(greatest(submission_us, start_us, completion_us)) as until from placements)
+        select job_id, unnest(range(start_us // {TICK_US} + 1,
+          coalesce((completion_us + {TICK_US} - 1) // {TICK_US}, until // {TICK_US} + 1))) * {TICK_US} as tick_us
+        from placements, log where start_us is not null""",
         "placements",
     )
 )
@@ -100,19 +102,25 @@ def active_at_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """select snapshot_id, count(*) as nodes, sum(cpu_total) as cpu_total, sum(cpu_used) as cpu_used,
+        """with r as (select user_id % 5 as snapshot_id, count(*) as n from jobs where status = 'Running' group by 1),
+        p as (select snapshot_id, count(*) as n from pending_queue group by 1)
+        select nodes.snapshot_id, coalesce(any_value(r.n), 0) as running_jobs, coalesce(any_value(p.n), 0) as pending_jobs,
+          count(*) as nodes, sum(cpu_total) as cpu_total, sum(cpu_used) as cpu_used,
           sum(memory_total) as memory_total, sum(memory_used) as memory_used,
           round(stddev_pop(cpu_used / cpu_total), 6) as cpu_utilization_std,
           round(sum(cpu_used) / sum(cpu_total), 6) as cpu_utilization, round(sum(memory_used) / sum(memory_total), 6) as memory_utilization,
           round((sum(cpu_total) - sum(cpu_used)) / sum(cpu_total), 6) as cpu_available_ratio,
           round((sum(memory_total) - sum(memory_used)) / sum(memory_total), 6) as memory_available_ratio
-        from nodes group by snapshot_id""",
+        from nodes left join r on r.snapshot_id = nodes.snapshot_id left join p on p.snapshot_id = nodes.snapshot_id
+        group by nodes.snapshot_id""",
         "nodes",
-        "node_snapshots",
+        "jobs",
+        "pending_queue",
     )
 )
 def cluster_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cluster.node_balance(view(spark, sf_dir, "nodes"))
+    running = view(spark, sf_dir, "jobs").filter("status = 'Running'").withColumn("snapshot_id", (F.col("user_id") % 5).cast("bigint"))
+    rows = cluster.cluster_balance(view(spark, sf_dir, "nodes"), running, view(spark, sf_dir, "pending_queue"))
     shares = [c for c in rows.columns if c.endswith(("_std", "_ratio", "_utilization"))]
     return rows.withColumns({c: F.round(c, 6) for c in shares})
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobtide.operators import placement
-from jobtide.operators.vectors import priority_order as by_priority
+from jobtide.operators.ordered import OrderedScan
 from jobtide.plans.registry import query
 from jobtide.plans.views import oracle, view
 
@@ -62,7 +63,15 @@ def first_fit_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.first_fit(*_inputs(spark, sf_dir), k=1)
 
 
-@query(oracle("select snapshot_id, job_id, priority, arrival_us from pending_queue", "pending_queue"))
+@query(
+    oracle(
+        """select snapshot_id, job_id, priority, arrival_us,
+          row_number() over (order by priority desc, arrival_us, job_id) as position from pending_queue""",
+        "pending_queue",
+    )
+)
 def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = view(spark, sf_dir, "pending_queue").select("snapshot_id", "job_id", "priority", "arrival_us")
-    return queue.orderBy(*by_priority())
+    """The whole queue in order, each row with its position."""
+    ordered = queue.withColumn("__low", -F.col("priority"))
+    return OrderedScan(ordered, [], ["__low", "arrival_us", "job_id"]).row_number("position").result().drop("__low")

@@ -8,17 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.plans.q_stats import TRANSITIONS_SQL
-from jobtide.plans.registry import query
+from jobtide.plans.registry import ORACLES, query
 from jobtide.plans.views import SPARK_TERMS, SPARK_VIEWS, VIEWS, oracle, table
 from jobtide.session import scratch
 from jobtide.streaming import collect, monitor, transitions
 
 
+#: Files of one trigger; None: all there are. Results do not depend on it.
+MAX_FILES: int | None = None
+
+
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A telemetry view over the events as a stream."""
+    """A telemetry view over the events as a stream. The table may be one file or a folder of any number."""
     if name == "events":
-        schema = table(spark, sf_dir, "events").schema
-        return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+        reader = reader.option("maxFilesPerTrigger", MAX_FILES) if MAX_FILES else reader
+        return reader.parquet(f"{sf_dir}/events.parque[t]")  # a pattern, since a stream's path may not be a file
     text = SPARK_VIEWS.get(name, VIEWS[name])
     for mark, term in SPARK_TERMS.items():
         text = text.replace(mark, term)
@@ -90,40 +95,53 @@ _WINDOWS = """w as (
     )
 )
 def oom_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sliding rate as a batch; the same function takes a stream."""
+    """The sliding rate as a batch."""
     from jobtide.plans.views import view
 
-    rows = monitor.oom_rate_stream(view(spark, sf_dir, "cluster_events"))
+    rows = monitor.oom_rates(monitor.oom_slides(view(spark, sf_dir, "cluster_events")))
     return rows.withColumn("oom_rate", F.round("oom_rate", 6))
 
 
-_CLOSED = "window_start_us + 30000000 <= (select max(ts_us) from metric_samples) // 1000 * 1000 - 600000000"
+def _updated(spark: SparkSession, rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    out, checkpoint = _place(spark, name)
+    collect.update_stream(rows, out, checkpoint, once=True).awaitTermination()
+    return collect.updated(spark, out, _ddl(rows), keys)
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+
+@query(ORACLES["oom_rate_windows"])
+def oom_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sliding rate, with the slides counted as a stream."""
+    slides = _updated(spark, monitor.oom_slides(_view(spark, sf_dir, "cluster_events")), "slides", ["slide_us"])
+    return monitor.oom_rates(slides).withColumn("oom_rate", F.round("oom_rate", 6))
+
+
 _WINDOW_ROWS = """w as (
   select ts_us // 30000000 * 30000000 as window_start_us, scheduler,
     arg_max(oom_incidents, {'t': ts_us, 'e': event_id}) as oom_incidents, arg_max(jobs_pending, {'t': ts_us, 'e': event_id}) as jobs_pending
   from metric_samples group by 1, 2)"""
 
 
-@query(oracle(f"with {_WINDOW_ROWS} select * from w where {_CLOSED}", "metric_samples"))
+@query(oracle(f"with {_WINDOW_ROWS} select * from w", "metric_samples"))
 def monitor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows which the watermark has closed."""
+    """All windows, as the last batch that changed them left them."""
     samples = _view(spark, sf_dir, "metric_samples")
-    rows = monitor.monitor_stream(
-        samples, ["scheduler"], ["oom_incidents", "jobs_pending"], order=["ts_us", "event_id"]
-    )
-    return _run(spark, rows, "monitor")
+    rows = monitor.monitor_stream(samples, ["scheduler"], monitor.ALERT_GAUGES, order=["ts_us", "event_id"])
+    return _updated(spark, rows, "monitor", ["window_start_us", "scheduler"])
 
 
 @query(
     oracle(
         f"""with {_WINDOW_ROWS}
         select window_start_us, scheduler, 'high_oom_rate' as type, 'warning' as severity,
-          concat('High OOM rate detected: ', oom_incidents, ' incidents') as message from w where oom_incidents > 5 and {_CLOSED}
+          concat('High OOM rate detected: ', oom_incidents, ' incidents') as message from w where oom_incidents > 5
         union all select window_start_us, scheduler, 'queue_congestion', 'warning',
-          concat('Queue congestion: ', jobs_pending, ' pending jobs') from w where jobs_pending > 50 and {_CLOSED}""",
+          concat('Queue congestion: ', jobs_pending, ' pending jobs') from w where jobs_pending > 50""",
         "metric_samples",
     )
 )
 def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = _view(spark, sf_dir, "metric_samples")
-    return _run(spark, monitor.alert_stream(samples, ["scheduler"], order=["ts_us", "event_id"]), "alerts")
+    return monitor.window_alerts(monitor_stream(spark, sf_dir), ["scheduler"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.functions.clock import hour_of_day as hours
-from jobtide.operators import cluster, stats
+from jobtide.operators import cluster, monitor, stats
 from jobtide.operators.transitions import status_transitions
 from jobtide.plans import objects, q_episodes, q_ingest, q_monitor, q_stats  # noqa: F401 (their oracles are used)
 from jobtide.plans.registry import ORACLES, query
@@ -69,17 +69,19 @@ def compact_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """select id, ts_us, available_cpu, queue_length, node_count from cluster_states
-        where ts_us > (select max(ts_us) from cluster_states) - 24 * 3600000000""",
+        """select id, ts_us, available_cpu, queue_length, node_count,
+          ts_us > (select max(ts_us) from cluster_states) - 24 * 3600000000 as last_day from cluster_states""",
         "cluster_states",
     )
 )
 def append_cluster_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written by date, then the last day scanned."""
+    """Written by date and read back, with a mark on what a scan of the last day returns."""
     path = scratch(spark, "states")
     sinks.append_cluster_states(_state_table(spark, sf_dir), path)
-    states = tables.scan_cluster_states(spark, path, hours=24)
-    return states.select("id", "ts_us", "available_cpu", "queue_length", "node_count")
+    day = tables.scan_cluster_states(spark, path, hours=24).select("id", F.lit(True).alias("last_day"))
+    states = tables.scan_cluster_states(spark, path).join(day, "id", "left")
+    columns = ["id", "ts_us", "available_cpu", "queue_length", "node_count"]
+    return states.select(*columns, F.coalesce("last_day", F.lit(False)).alias("last_day"))
 
 
 @query(
@@ -103,13 +105,13 @@ def append_scheduling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         """select ts_us, 'cluster_cpu_utilization' as metric_name, avg_cpu_utilization as metric_value, 'gauge' as metric_type from cluster_states
         union all select ts_us, 'cluster_memory_utilization', avg_memory_utilization, 'gauge' from cluster_states
         union all select ts_us, 'cluster_running_jobs', running_jobs_count, 'gauge' from cluster_states
-        union all select ts_us, 'cluster_oom_rate', 0, 'gauge' from cluster_states""",
+        union all select ts_us, 'cluster_oom_rate', queue_length / 32.0, 'gauge' from cluster_states""",
         "cluster_states",
     )
 )
 def append_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "metrics")
-    states = _state_table(spark, sf_dir).withColumn("oom_rate", F.lit(0.0))
+    states = _state_table(spark, sf_dir).withColumn("oom_rate", F.col("queue_length") / 32.0)
     sinks.append_metrics(cluster.gauges_long(states).drop("metric_type"), path)
     return spark.read.parquet(path).select(
         F.unix_micros("timestamp").alias("ts_us"), "metric_name", "metric_value", "metric_type"
@@ -140,11 +142,14 @@ def write_metrics_summary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("value", F.round("value", 6))
 
 
-@query(ORACLES["results_flat"])
+@query(f"select t.*, f.format from ({ORACLES['results_flat']}) t, (values ('json'), ('csv')) f(format)")
 def write_evaluation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat, path = q_episodes.results_flat(spark, sf_dir), scratch(spark, "evaluation")
     sinks.write_evaluation_results(flat, path)
-    return spark.read.schema(flat.schema).json(f"{path}/json")
+    columns = flat.columns
+    as_json = spark.read.schema(flat.schema).json(f"{path}/json").select(*columns, F.lit("json").alias("format"))
+    as_csv = spark.read.schema(flat.schema).option("header", True).csv(f"{path}/csv")
+    return as_json.unionByName(as_csv.select(*columns, F.lit("csv").alias("format")))
 
 
 @query(ORACLES["scheduler_comparison"])
@@ -154,23 +159,31 @@ def write_benchmark_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(comparison.schema).json(path)
 
 
+_STATE = ["k / 128", "queue_length / 12", "reward", "(k % 7) / 7", "(k % 3) / 3"]
+
+
 @query(
     oracle(
-        "select event_id, round(cast(k as double) / 128, 5) as s0, round(cast(cast(queue_length / 12 as float) as double), 5) as s1 from steps",
+        "select event_id, f.format, "
+        + ", ".join(f"round(cast(cast({x} as float) as double), 4) as s{i}" for i, x in enumerate(_STATE))
+        + " from steps, (values ('parquet'), ('csv')) f(format)",
         "steps",
     )
 )
 def write_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "trajectories")
+    """All elements of the states, from the Parquet files and from the CSV files."""
+    path, csv = scratch(spark, "trajectories"), scratch(spark, "trajectories")
     steps = q_episodes.logged_states(spark, sf_dir).select("event_id", "state")
     sinks.write_trajectories(steps, path)
-    states = spark.read.schema(steps.schema).parquet(path)
-    return states.select(
-        "event_id", *[F.round(F.col("state")[i].cast("double"), 5).alias(f"s{i}") for i in (0, 1)]
-    )
+    sinks.write_trajectories(steps, csv, csv=True)
+    rows = spark.read.schema("event_id bigint, state string").option("header", True).csv(csv)
+    rows = rows.withColumn("state", F.from_json("state", "array<float>")).withColumn("format", F.lit("csv"))
+    rows = rows.unionByName(spark.read.schema(steps.schema).parquet(path).withColumn("format", F.lit("parquet")))
+    elements = [F.round(F.col("state")[i].cast("double"), 4).alias(f"s{i}") for i in range(len(_STATE))]
+    return rows.select("event_id", "format", *elements)
 
 
-@query(ORACLES["recent_oom_rate"])
+@query(oracle("select namespace, reason, message, event_us from cluster_events", "cluster_events"))
 def read_cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events from JSON files; those without a first time carry an event time."""
     path, events = scratch(spark, "events"), view(spark, sf_dir, "cluster_events")
@@ -180,8 +193,7 @@ def read_cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(early, when).alias("first_timestamp"), F.when(~early, when).alias("event_time"),
     )
     lines.write.options(**sinks.TEXT).json(path)
-    rates = cluster.recent_oom_rate(snapshots.read_cluster_events(spark, path), hours=24, by=["namespace"])
-    return rates.withColumn("oom_rate", F.round("oom_rate", 6))
+    return snapshots.read_cluster_events(spark, path).select("namespace", "reason", "message", "event_us")
 
 
 @query(oracle("select event_id, round((us % 86400000000) / 3.6e9, 6) as hour from e", "e"))
@@ -192,19 +204,109 @@ def hour_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COLUMNS = ["job_id", "name", "namespace", "cpu_request", "memory_request", "priority", "status", "job_type", "oom_killed"]
 
 
-@query(f"select {', '.join(_COLUMNS)} from ({ORACLES['normalize_jobs']}) t")
-def collect_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The collector over polls of jobs, workloads and pods; the job table it leaves behind."""
-    kinds = {
-        "job": objects.job_manifests(spark, sf_dir),
-        "workload": objects.workload_manifests(spark, sf_dir),
-        "pod": objects.pod_snapshots(spark, sf_dir),
-    }
+def _collected(spark: SparkSession, kinds: dict[str, DataFrame]) -> str:
+    """Run the collector over polls of these objects, each kind in files of its own; where it wrote."""
     path, out, checkpoint = (scratch(spark, name) for name in ("polls", "collected", "checkpoint"))
     for kind, rows in kinds.items():
         fields = F.struct(*[c for c in rows.columns if c != "snapshot_ts"])
         lines = rows.select(F.lit(kind).alias("kind"), "snapshot_ts", fields.alias(kind))
         lines.write.mode("append").options(**sinks.TEXT).json(path)
-    collect.collect_stream(snapshots.read_polls(spark, path), out, checkpoint, once=True).awaitTermination()
+    polls = snapshots.read_polls(spark, path, max_files=MAX_FILES)
+    collect.collect_stream(polls, out, checkpoint, once=True).awaitTermination()
+    return out
+
+
+#: Files of one trigger; None: all there are. Results do not depend on it.
+MAX_FILES: int | None = None
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A poll a day: its jobs, workloads, pods and nodes, and the events of its last hours."""
+    return {
+        "job": objects.job_manifests(spark, sf_dir),
+        "workload": objects.workload_manifests(spark, sf_dir),
+        "pod": objects.pod_snapshots(spark, sf_dir),
+        "node": objects.daily_nodes(spark, sf_dir),
+        "event": objects.daily_events(spark, sf_dir),
+    }
+
+
+@query(f"select {', '.join(_COLUMNS)} from ({ORACLES['normalize_jobs']}) t")
+def collect_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job table that the collector leaves behind."""
+    out = _collected(spark, _daily(spark, sf_dir))
     return tables.scan_current_jobs(spark, f"{out}/jobs").select(*_COLUMNS)
 
+
+_RATES = """rates as (
+  select event_us - event_us % 86400000000 as day_us, count(*) as total_events,
+    count(*) filter (where reason like '%OOM%' or message like '%OutOfMemory%') as oom_events
+  from cluster_events where event_us % 86400000000 < 3600000000 group by 1)"""
+_COLLECTED_STATES = f"""collected as (
+  select s.*, coalesce(oom_events, 0) / greatest(coalesce(total_events, 0), 1) as oom_rate
+  from ({q_ingest.STATES_SQL}) s left join rates r on r.day_us = s.day_us)"""
+
+
+@query(oracle(f"with {_RATES}, {_COLLECTED_STATES} select * replace (round(oom_rate, 6) as oom_rate) from collected", "jobs", "cluster_events"))
+def collect_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster states that the collector leaves behind, with the rates of their events."""
+    out = _collected(spark, _daily(spark, sf_dir))
+    rows = collect.collected_states(spark, out)
+    rate = F.round(F.get_json_object("metadata", "$.oom_rate").cast("double"), 6).alias("oom_rate")
+    rows = rows.withColumns({c: F.round(c, 9) for c in ("avg_cpu_utilization", "avg_memory_utilization")})
+    return rows.select(F.unix_micros("timestamp").alias("day_us"), *q_ingest.STATE_COLUMNS, rate)
+
+
+_GAUGE_SQL = {
+    "cluster_cpu_utilization": "avg_cpu_utilization",
+    "cluster_memory_utilization": "avg_memory_utilization",
+    "cluster_running_jobs": "running_jobs_count",
+    "cluster_oom_rate": "oom_rate",
+}
+
+
+@query(
+    oracle(
+        f"with {_RATES}, {_COLLECTED_STATES} "
+        + " union all ".join(
+            f"select day_us, '{name}' as metric_name, round(cast({c} as double), 6) as metric_value from collected"
+            for name, c in _GAUGE_SQL.items()
+        ),
+        "jobs",
+        "cluster_events",
+    )
+)
+def collect_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = collect.collected_metrics(spark, _collected(spark, _daily(spark, sf_dir)))
+    return rows.select(F.unix_micros("timestamp").alias("day_us"), "metric_name", F.round("metric_value", 6).alias("metric_value"))
+
+
+@query(oracle("select job_id, 'quantity' as defect from jobs where event_id % 17 = 0", "jobs"))
+def collect_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collect.collected_quarantine(spark, _collected(spark, _daily(spark, sf_dir))).select("job_id", "defect")
+
+
+@query(
+    oracle(
+        """select count(*) filter (where event_id % 17 <> 0) as jobs_collected,
+          (select count(distinct s_suppkey % 30) from supplier) as states_collected,
+          count(*) filter (where event_id % 17 = 0) as errors,
+          greatest(max(submission_us - submission_us % 86400000000),
+            (select max(event_us - event_us % 86400000000) from cluster_events),
+            (select max(1704067200000000 + s_suppkey % 30 * 86400000000) from supplier)) as last_collection_us
+        from jobs""",
+        "jobs",
+        "cluster_events",
+    )
+)
+def collect_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over the audit that the collector leaves behind."""
+    audit = collect.collected_audit(spark, _collected(spark, _daily(spark, sf_dir)))
+    return monitor.collection_audit(audit)
+
+
+@query(oracle(f"select timestamp_us, job_id, event_type from ({q_stats.TRANSITIONS_SQL}) t", "job_snapshots"))
+def collect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scheduling events that the collector leaves behind, from polls of every change of a job."""
+    rows = collect.collected_events(spark, _collected(spark, {"job": objects.job_versions(spark, sf_dir)}))
+    return rows.select(F.unix_micros("timestamp").alias("timestamp_us"), "job_id", "event_type")

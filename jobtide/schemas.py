@@ -69,30 +69,3 @@ CLUSTER_EVENT = """
     namespace string, reason string, message string,
     first_timestamp timestamp, event_time timestamp
 """
-
-JOB_INFO = """
-    job_id string, name string, namespace string, cpu_request double, memory_request double,
-    priority int, arrival_time timestamp, estimated_duration double, job_type string,
-    labels map<string, string>, annotations map<string, string>
-"""
-
-SUBMISSIONS = "scheduler string, job_id string, submitted_at timestamp, accepted boolean"
-
-METRIC_SAMPLES = "run_id string, scheduler string, ts timestamp, metric string, value double"
-
-PLACEMENTS = """
-    run_id string, job_id string, job_type string, node_id int,
-    cpu_request double, memory_request double, priority int,
-    submit_time double, start_time double, end_time double, status string
-"""
-
-NODES = "node_id int, cpu_total double, memory_total double, cpu_used double, memory_used double"
-
-STEPS = """
-    scenario string, algorithm string, episode bigint, step int, state array<float>,
-    action struct<job_idx: int, node_idx: int>, reward double, next_state array<float>,
-    done boolean, info struct<time: double, queue_length: int, running_jobs: int>,
-    augmented boolean, anomaly boolean
-"""
-
-EVALUATION_RESULTS = "scenario string, algorithm string, metric string, value double"

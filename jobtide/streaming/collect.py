@@ -1,53 +1,127 @@
-"""The collector as a file stream: job versions, cluster states, gauges and an audit row per batch."""
+"""The collector as a file stream: job versions, cluster states, gauges, scheduling events, bad rows, audit.
+
+A poll belongs together by its ``snapshot_ts``, however its files are spread over triggers. Every batch
+keeps its raw objects by day; the polls it touches are computed anew from all their objects so far and
+written under the batch's number, and readers take the newest batch of each poll.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from jobtide import schemas
 from jobtide.dims import COLLECTION_SECONDS
-from jobtide.operators.cluster import cluster_state_rows, gauges_long
+from jobtide.operators.cluster import cluster_state_rows, gauges_long, recent_oom_rate
 from jobtide.operators.manifests import normalize_jobs, quarantined_jobs
-from jobtide.sources import sinks
-from jobtide.sources.snapshots import objects
-
-
-def collect_batch(polls: DataFrame, batch_id: int, out: str) -> None:
-    """Write one micro-batch. Every write replaces an earlier attempt of the same batch."""
-    polls.persist()
+from jobtide.operators.stats import latest_rows
+from jobtide.operators.transitions import status_transitions
+from jobtide.sources import sinks, tables
+from jobtide.sources.snapshots import objects, poll_schema, with_event_time
+
+AUDIT = "snapshot_ts timestamp, jobs_collected bigint, states_collected bigint, errors bigint, collected_us bigint"
+
+
+def collect_batch(polls: DataFrame, batch_id: int, out: str, history_us: int | None = None) -> None:
+    """Write one micro-batch. Every write replaces an earlier attempt of the same batch.
+
+    ``history_us`` bounds how far back the versions of the touched jobs are read for their status
+    transitions; without it all are read, so that no late poll is lost.
+    """
+    spark = polls.sparkSession
+    day = F.to_date("snapshot_ts")
+    polls.withColumn("day", day).write.partitionBy("day").mode("overwrite").parquet(f"{out}/raw/batch_id={batch_id}")
+    raw = spark.read.schema(f"{poll_schema()}, batch_id bigint, day date").parquet(f"{out}/raw")
+    own = raw.filter(F.col("batch_id") == batch_id)
+    days = [row["day"] for row in own.select("day").distinct().collect()]
+    touched = own.select("snapshot_ts").distinct()
+    whole = raw.filter(F.col("day").isin(days) & (F.col("batch_id") <= batch_id)) if days else own
+    whole = whole.join(touched, "snapshot_ts", "left_semi").select("kind", "snapshot_ts", *_KINDS).persist()
     try:
-        _write_batch(polls, batch_id, out)
+        _write_batch(whole, batch_id, out)
+        _write_transitions(spark, batch_id, out, history_us)
     finally:
-        polls.unpersist()
+        whole.unpersist()
+
+
+_KINDS = ["job", "workload", "node", "pod", "event"]
 
 
 def _write_batch(polls: DataFrame, batch_id: int, out: str) -> None:
-    jobs, workloads, nodes, pods = (objects(polls, k) for k in ("job", "workload", "node", "pod"))
-    keys = ["snapshot_ts", "namespace"]
-    sinks.upsert_jobs(normalize_jobs(jobs, pods, keys), f"{out}/jobs", batch_id)
-    states = cluster_state_rows(nodes, jobs, workloads)
+    jobs, workloads, nodes, pods, events = (objects(polls, k) for k in _KINDS)
+    sinks.upsert_jobs(normalize_jobs(jobs, pods, ["snapshot_ts", "namespace"]), f"{out}/jobs", batch_id)
+    rates = recent_oom_rate(with_event_time(events), F.unix_micros("snapshot_ts"), by=["snapshot_ts"])
+    states = cluster_state_rows(nodes, jobs, workloads, rates)
     sinks.append_cluster_states(states, f"{out}/cluster_states", batch_id)
     sinks.append_metrics(gauges_long(states), f"{out}/metrics", batch_id)
     bad = quarantined_jobs(jobs)
     bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={batch_id}")
-    audit = polls.agg(
+    seen = polls.groupBy("snapshot_ts").agg(
         F.count_if(F.col("kind") == "job").alias("jobs_seen"),
-        F.count_distinct(F.when(F.col("kind") == "node", F.col("snapshot_ts"))).alias("states_collected"),
-        F.max(F.unix_micros("snapshot_ts")).alias("collected_us"),
-    ).withColumn("errors", bad.agg(F.count("*")).scalar())
+        F.max((F.col("kind") == "node").cast("bigint")).alias("states_collected"),
+    )
+    errors = bad.groupBy("snapshot_ts").agg(F.count("*").alias("errors"))
+    audit = seen.join(errors, "snapshot_ts", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
     audit = audit.withColumn("jobs_collected", F.col("jobs_seen") - F.col("errors")).drop("jobs_seen")
+    audit = audit.withColumn("collected_us", F.unix_micros("snapshot_ts"))
     audit.write.mode("overwrite").parquet(f"{out}/audit/batch_id={batch_id}")
 
 
+def _write_transitions(spark: SparkSession, batch_id: int, out: str, history_us: int | None) -> None:
+    """All transitions of the jobs in this batch, over their versions so far."""
+    versions = tables.scan_job_versions(spark, f"{out}/jobs").filter(F.col("batch_id") <= batch_id)
+    fresh = versions.filter(F.col("batch_id") == batch_id)
+    known = versions.join(fresh.select("job_id").distinct(), "job_id", "left_semi")
+    if history_us is not None:
+        known = known.filter(F.unix_micros("snapshot_ts") >= fresh.select(F.min(F.unix_micros("snapshot_ts"))).scalar() - history_us)
+    known = latest_rows(known, ["job_id", "snapshot_ts"], [F.col("batch_id").desc()])
+    times = [F.unix_micros(c).alias(n) for c, n in (("snapshot_ts", "ts_us"), ("submission_time", "submission_us"), ("start_time", "start_us"))]
+    events = status_transitions(known.select("job_id", "status", *times))
+    events = events.withColumn("timestamp", F.timestamp_micros("timestamp_us"))
+    sinks.append_scheduling_events(events, f"{out}/scheduling_events", batch_id)
+
+
+def _newest(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """Of rows written by several batches, those of the newest batch of each key."""
+    rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, [*keys, "batch_id"], "left_semi").drop("batch_id")
+
+
+def collected_states(spark: SparkSession, out: str) -> DataFrame:
+    return _newest(spark, f"{out}/cluster_states", schemas.CLUSTER_STATES, ["timestamp"])
+
+
+def collected_metrics(spark: SparkSession, out: str) -> DataFrame:
+    return _newest(spark, f"{out}/metrics", schemas.METRICS, ["timestamp"])
+
+
+def collected_audit(spark: SparkSession, out: str) -> DataFrame:
+    return _newest(spark, f"{out}/audit", AUDIT, ["snapshot_ts"])
+
+
+def collected_quarantine(spark: SparkSession, out: str) -> DataFrame:
+    schema = "snapshot_ts timestamp, job_id string, name string, namespace string, defect string"
+    return _newest(spark, f"{out}/quarantine", schema, ["snapshot_ts"])
+
+
+def collected_events(spark: SparkSession, out: str) -> DataFrame:
+    """Scheduling events of each job as its newest batch saw them."""
+    events = spark.read.schema(f"{schemas.SCHEDULING_EVENTS}, batch_id bigint").parquet(f"{out}/scheduling_events")
+    newest = tables.scan_job_versions(spark, f"{out}/jobs").groupBy("job_id").agg(F.max("batch_id").alias("batch_id"))
+    return events.join(newest, ["job_id", "batch_id"], "left_semi").drop("batch_id")
+
+
 def _trigger(writer, seconds: int, once: bool):
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")
 
 
 def collect_stream(
-    polls: DataFrame, out: str, checkpoint: str, seconds: int = COLLECTION_SECONDS, once: bool = False
+    polls: DataFrame, out: str, checkpoint: str, seconds: int = COLLECTION_SECONDS, once: bool = False,
+    history_us: int | None = None,
 ) -> StreamingQuery:
-    writer = polls.writeStream.foreachBatch(lambda df, batch: collect_batch(df, batch, out))
+    writer = polls.writeStream.foreachBatch(lambda df, batch: collect_batch(df, batch, out, history_us))
     return _trigger(writer.option("checkpointLocation", checkpoint), seconds, once).start()
 
 
@@ -59,6 +133,22 @@ def append_stream(
     return _trigger(writer.option("checkpointLocation", checkpoint), seconds, once).start()
 
 
+def update_stream(
+    rows: DataFrame, out: str, checkpoint: str, seconds: int = COLLECTION_SECONDS, once: bool = False
+) -> StreamingQuery:
+    """Keep each batch's changed aggregates in a folder of its own; :func:`updated` reads the newest of each key."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    writer = rows.writeStream.outputMode("update").foreachBatch(write)
+    return _trigger(writer.option("checkpointLocation", checkpoint), seconds, once).start()
+
+
+def updated(spark: SparkSession, out: str, schema: str, keys: list[str]) -> DataFrame:
+    return _newest(spark, out, schema, keys)
+
+
 def status_totals(jobs: DataFrame) -> DataFrame:
     """Running totals per status, refreshed as a whole on every trigger."""
     return jobs.groupBy("status").agg(F.count("*").alias("jobs"))

@@ -11,7 +11,14 @@ from jobtide.dims import MONITOR_SECONDS
 from jobtide.functions.status import oom_event
 from jobtide.operators.monitor import newest, threshold_alerts
 
-WATERMARK = "10 minutes"
+
+def _timed(rows: DataFrame, time_us: str, watermark: str | None) -> DataFrame:
+    """Without a watermark no row is late and no window leaves the state.
+
+    An endless stream needs one: it bounds the state, and rows older than it are dropped.
+    """
+    timed = rows.withColumn("ts", F.timestamp_micros(time_us))
+    return timed.withWatermark("ts", watermark) if watermark else timed
 
 
 def _window_us(window: str):
@@ -24,35 +31,34 @@ def monitor_stream(
     gauges: Sequence[str],
     order: Sequence[str] = ("ts_us",),
     seconds: int = MONITOR_SECONDS,
-    watermark: str = WATERMARK,
+    watermark: str | None = None,
 ) -> DataFrame:
-    """The last sample of each window. Batches give the same rows as streams."""
-    timed = samples.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", watermark)
+    """The last sample of each window. Batches give the same rows as streams in update mode."""
+    timed = _timed(samples, "ts_us", watermark)
     last = [newest(gauge, order).alias(gauge) for gauge in gauges]
     grouped = timed.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), *by).agg(*last)
     return grouped.select(_window_us("w"), *by, *gauges)
 
 
-def alert_stream(samples: DataFrame, by: Sequence[str], **options) -> DataFrame:
-    """Alerts on the last sample of each window."""
-    gauges = ["oom_incidents", "jobs_pending"]
-    return threshold_alerts(monitor_stream(samples, by, gauges, **options), ["window_start_us", *by])
+ALERT_GAUGES = ["oom_incidents", "jobs_pending"]
 
 
-def oom_rate_stream(
-    events: DataFrame, length: str = "1 hour", slide: str = "1 minute", watermark: str = WATERMARK
-) -> DataFrame:
-    """Share of out-of-memory events in a sliding window.
+def window_alerts(windows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Alerts on the last sample of each window, from the newest state of the windows."""
+    return threshold_alerts(windows, ["window_start_us", *by])
 
-    Events are counted once per slide first; only those counts are repeated in the windows that
-    cover them.
-    """
-    timed = events.withColumn("ts", F.timestamp_micros("event_us")).withWatermark("ts", watermark)
-    slides = timed.groupBy(F.window("ts", slide).alias("s")).agg(
-        F.count_if(oom_event(F.col("reason"), F.col("message"))).alias("oom"),
-        F.count("*").alias("total"),
-    )
-    rates = slides.groupBy(F.window(F.window_time("s"), length, slide).alias("w")).agg(
+
+def oom_slides(events: DataFrame, slide: str = "1 minute", watermark: str | None = None) -> DataFrame:
+    """Events and out-of-memory events per slide; each event counts once."""
+    slides = _timed(events, "event_us", watermark).groupBy(F.window("ts", slide).alias("s"))
+    counted = slides.agg(F.count_if(oom_event(F.col("reason"), F.col("message"))).alias("oom"), F.count("*").alias("total"))
+    return counted.select(F.unix_micros(F.col("s.start")).alias("slide_us"), "oom", "total")
+
+
+def oom_rates(slides: DataFrame, length: str = "1 hour", slide: str = "1 minute") -> DataFrame:
+    """Share of out-of-memory events in a sliding window, from the counts of its slides."""
+    timed = slides.withColumn("ts", F.timestamp_micros("slide_us"))
+    rates = timed.groupBy(F.window("ts", length, slide).alias("w")).agg(
         F.sum("oom").alias("oom_events"), F.sum("total").alias("total_events")
     )
     rate = F.col("oom_events") / F.greatest("total_events", F.lit(1))

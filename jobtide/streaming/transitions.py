@@ -5,6 +5,10 @@ stays on joins and windows throughout; it is the one to use at scale and for bac
 ``status_transitions_keyed`` keeps them in Spark's state store, many jobs to a bucket, so that the
 cost of calling Python is paid per bucket and not per job. A poll lists a job once, so a bucket's
 rows in one micro-batch are bounded by its jobs times the polls per trigger.
+
+Both keep every job for good unless told how long after its last snapshot a finished or a silent job
+may be forgotten: with these limits the state stays bounded, and a later change of a forgotten job counts
+as its first snapshot. Snapshots that arrive after a newer one of their job change nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +22,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobtide.dims import COLLECTION_SECONDS
-from jobtide.functions.clock import MICROS_PER_DAY, MICROS_PER_HOUR
 from jobtide.operators.ordered import OrderedScan
 from jobtide.operators.stats import latest_rows
 from jobtide.operators.transitions import transition_rows
@@ -26,9 +29,8 @@ from jobtide.sources.sinks import drop_batch
 
 WATERMARK = "10 minutes"
 FINISHED = ("Succeeded", "Failed")
-FINISHED_GRACE_US = MICROS_PER_HOUR
-IDLE_TIMEOUT_US = 7 * MICROS_PER_DAY
 
+EVER_US = 1 << 60
 SEEN = ["ts_us", "status", "submission_us", "start_us"]
 CHANGES = "job_id string, ts_us bigint, prev_status string, status string, submission_us bigint, start_us bigint"
 CHANGED = ["job_id", "ts_us", "prev_status", "status", "submission_us", "start_us"]
@@ -36,11 +38,12 @@ LAST = "job_id array<string>, ts_us array<bigint>, status array<string>"
 INTEGERS = {"ts_us": "Int64", "submission_us": "Int64", "start_us": "Int64"}
 
 
-def bucket_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def bucket_changes(
+    key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState, finished_us: int | None = None, idle_us: int | None = None
+) -> Iterator[pd.DataFrame]:
     """Rows of one bucket whose status differs from the job's one before.
 
-    Snapshots not newer than what is known of their job are ignored. Jobs leave the state some
-    time after they finished, or when nothing was heard of them for long.
+    Snapshots not newer than what is known of their job are ignored.
     """
     stored = state.get if state.exists else ([], [], [])
     known = pd.DataFrame(dict(zip(["job_id", "ts_us", "status"], map(list, stored))))
@@ -57,7 +60,7 @@ def bucket_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
         if not changed.empty:
             yield changed[CHANGED].astype(INTEGERS)
     last = rows.drop_duplicates("job_id", keep="last")
-    keep_us = last["status"].isin(FINISHED).map({True: FINISHED_GRACE_US, False: IDLE_TIMEOUT_US})
+    keep_us = last["status"].isin(FINISHED).map({True: _or_ever(finished_us), False: _or_ever(idle_us)})
     expires_ms = (last["ts_us"] + keep_us) // 1000
     now_ms = state.getCurrentWatermarkMs()
     live = expires_ms >= now_ms
@@ -66,7 +69,12 @@ def bucket_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
         state.remove()
         return
     state.update((last["job_id"].tolist(), [int(t) for t in last["ts_us"]], last["status"].tolist()))
-    state.setTimeoutTimestamp(max(int(expires_ms.min()), now_ms) + 1)
+    if finished_us is not None or idle_us is not None:
+        state.setTimeoutTimestamp(max(int(expires_ms.min()), now_ms) + 1)
+
+
+def _or_ever(limit_us: int | None) -> int:
+    return EVER_US if limit_us is None else limit_us
 
 
 def status_transitions_keyed(
@@ -75,6 +83,8 @@ def status_transitions_keyed(
     efficiency: Column | None = None,
     watermark: str = WATERMARK,
     buckets: int = 256,
+    finished_us: int | None = None,
+    idle_us: int | None = None,
 ) -> DataFrame:
     """Expects job_id, ts_us, status, submission_us and start_us.
 
@@ -83,8 +93,12 @@ def status_transitions_keyed(
     timed = snapshots.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", watermark)
     bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
     rows = timed.select("ts", "job_id", *SEEN, bucket.alias("bucket"))
+
+    def changed(key, chunks, state):
+        return bucket_changes(key, chunks, state, finished_us, idle_us)
+
     changes = rows.groupBy("bucket").applyInPandasWithState(
-        bucket_changes, CHANGES, LAST, "append", GroupStateTimeout.EventTimeTimeout
+        changed, CHANGES, LAST, "append", GroupStateTimeout.EventTimeTimeout
     )
     return transition_rows(changes, scheduler_name, efficiency)
 
@@ -92,7 +106,10 @@ def status_transitions_keyed(
 KNOWN = "job_id string, ts_us bigint, status string"
 
 
-def transition_batch(snapshots: DataFrame, batch_id: int, out: str, scheduler_name: str = "unknown") -> None:
+def transition_batch(
+    snapshots: DataFrame, batch_id: int, out: str, scheduler_name: str = "unknown",
+    finished_us: int | None = None, idle_us: int | None = None,
+) -> None:
     """Write the transitions of one batch and the last statuses for the next one.
 
     Polls list every live job, so the table of last statuses is about as large as a batch. A
@@ -116,7 +133,7 @@ def transition_batch(snapshots: DataFrame, batch_id: int, out: str, scheduler_na
 
     newest = [F.col("ts_us").desc(), F.col("__fresh").asc(), F.col("status").desc()]
     last = latest_rows(rows.select("job_id", "ts_us", "status", "__fresh"), ["job_id"], newest)
-    keep_us = F.when(F.col("status").isin(*FINISHED), FINISHED_GRACE_US).otherwise(IDLE_TIMEOUT_US)
+    keep_us = F.when(F.col("status").isin(*FINISHED), _or_ever(finished_us)).otherwise(_or_ever(idle_us))
     now_us = rows.select(F.max("ts_us")).scalar()
     live = last.filter(F.col("ts_us") + keep_us >= now_us).drop("__fresh")
     live.write.mode("overwrite").parquet(f"{out}/last/batch_id={batch_id}")
@@ -130,11 +147,13 @@ def transitions_by_batch(
     scheduler_name: str = "unknown",
     seconds: int = COLLECTION_SECONDS,
     once: bool = False,
+    finished_us: int | None = None,
+    idle_us: int | None = None,
 ) -> StreamingQuery:
     def write(df: DataFrame, batch_id: int) -> None:
         df.persist()
         try:
-            transition_batch(df, batch_id, out, scheduler_name)
+            transition_batch(df, batch_id, out, scheduler_name, finished_us, idle_us)
         finally:
             df.unpersist()
 

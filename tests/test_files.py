@@ -72,6 +72,9 @@ def test_collector_end_to_end(spark, tmp_path):
     assert tables.scan_current_jobs(spark, f"{out}/jobs2").count() == 2
     assert tables.scan_job_versions(spark, f"{out}/jobs2").count() == 2
 
+    events = collect.collected_events(spark, out).orderBy("job_id").collect()
+    assert [(r["job_id"], r["event_type"]) for r in events] == [("b", "completed")]
+
     # a repeated batch replaces itself
     again = snapshots.read_polls(spark, str(source / "2.json"), stream=False)
     collect.collect_batch(again, 1, out)
@@ -82,6 +85,36 @@ def test_collector_end_to_end(spark, tmp_path):
     assert {r["job_id"]: r["status"] for r in jobs} == {"a": "Running", "b": "Succeeded"}
 
 
+def test_collector_does_not_depend_on_triggers(spark, tmp_path):
+    """The same polls, a line a file: one file a trigger, or all files in one."""
+    source = tmp_path / "polls"
+    source.mkdir()
+    polls = [poll(0, [("a", True, 0, 0), ("b", False, 1, 0)], oom=["b"]), poll(10, [("a", False, 1, 0), ("b", False, 0, 1)], oom=["b"])]
+    event = {"kind": "event", "snapshot_ts": "2024-01-01T00:10:00Z", "event": {"reason": "OOMKilling", "event_time": "2024-01-01T00:09:00Z"}}
+    lines = [line for text in polls for line in text.split("\n")] + [json.dumps(event)]
+    for i, line in enumerate(reversed(lines)):  # pods and later polls first
+        (source / f"{i}.json").write_text(line)
+    found = []
+    for files in (1, 1000):
+        out = str(tmp_path / f"out{files}")
+        stream = snapshots.read_polls(spark, str(source), max_files=files)
+        collect.collect_stream(stream, out, str(tmp_path / f"cp{files}"), once=True).awaitTermination()
+        jobs = tables.scan_current_jobs(spark, f"{out}/jobs").select("job_id", "status", "oom_killed").orderBy("job_id").collect()
+        states = collect.collected_states(spark, out).select("timestamp", "pending_jobs_count", "running_jobs_count", "metadata")
+        rows = [
+            jobs,
+            states.orderBy("timestamp").collect(),
+            collect.collected_events(spark, out).select("job_id", "event_type", "timestamp").orderBy("job_id").collect(),
+            collect.collected_metrics(spark, out).select("timestamp", "metric_name", "metric_value").orderBy("timestamp", "metric_name").collect(),
+            collect.collected_audit(spark, out).select("snapshot_ts", "jobs_collected", "states_collected").orderBy("snapshot_ts").collect(),
+        ]
+        found.append([list(map(tuple, r)) for r in rows])
+    assert found[0] == found[1]
+    assert found[0][0] == [("a", "Running", False), ("b", "Succeeded", True)]
+    assert [json.loads(r[3])["oom_rate"] for r in found[0][1]] == [0.0, 1.0]
+    assert [r[:2] for r in found[0][2]] == [("b", "completed")]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "e.json").write_text(
         "\n".join(
@@ -142,7 +175,7 @@ def test_finished_jobs_leave_the_table(spark, tmp_path):
     end = [("slow", 9 * day, "Succeeded")]
     for batch, rows in enumerate([first, later, end]):
         df = spark.createDataFrame([(j, t * 1_000_000, s, 0, None) for j, t, s in rows], SNAPSHOTS)
-        transitions.transition_batch(df, batch, out)
+        transitions.transition_batch(df, batch, out, finished_us=3600 * 1_000_000, idle_us=7 * day * 1_000_000)
     known = {r["job_id"] for r in spark.read.parquet(f"{out}/last/batch_id=1").collect()}
     assert known == {"slow", "gone", "new"}
     assert {r["job_id"] for r in spark.read.parquet(f"{out}/last/batch_id=2").collect()} == {"slow", "new"}
@@ -150,20 +183,20 @@ def test_finished_jobs_leave_the_table(spark, tmp_path):
 
 
 def test_window_streams_equal_batch(spark, tmp_path):
+    """No window stays open and no row is late, however the rows are spread over triggers."""
     second = 1_000_000
     events = [(i * 7 * second, "OOMKilling" if i % 5 == 0 else "x", "") for i in range(2000)]
     path = str(tmp_path / "events")
     frame = spark.createDataFrame(events, "event_us bigint, reason string, message string")
-    frame.coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema(frame.schema).parquet(path)
-    out = str(tmp_path / "out")
-    collect.append_stream(monitor.oom_rate_stream(stream), out, str(tmp_path / "cp"), once=True).awaitTermination()
-    batch = {r["window_start_us"]: tuple(r) for r in monitor.oom_rate_stream(frame).collect()}
-    found = {r["window_start_us"]: tuple(r) for r in spark.read.parquet(out).collect()}
-    assert found and all(batch[k] == v for k, v in found.items())
-    closed = 1999 * 7 * second - 600 * second
-    assert set(found) == {k for k in batch if k + 3600 * second <= closed}
-    some = batch[3600 * second]
+    frame.repartition(4).write.parquet(path)
+    batch = sorted(map(tuple, monitor.oom_rates(monitor.oom_slides(frame)).collect()))
+    for files in (1, 1000):
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files).parquet(path)
+        out, checkpoint = str(tmp_path / f"out{files}"), str(tmp_path / f"cp{files}")
+        collect.update_stream(monitor.oom_slides(stream), out, checkpoint, once=True).awaitTermination()
+        slides = collect.updated(spark, out, "slide_us bigint, oom bigint, total bigint", ["slide_us"])
+        assert sorted(map(tuple, monitor.oom_rates(slides).collect())) == batch
+    some = next(r for r in batch if r[0] == 3600 * second)
     inside = [e for e in events if 3600 * second <= e[0] < 7200 * second]
     assert some[1:3] == (sum(e[1] == "OOMKilling" for e in inside), len(inside))
 

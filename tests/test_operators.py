@@ -132,7 +132,9 @@ def test_ticks_exclude_both_ends(spark):
     rows = [("a", 10, 30), ("b", 9, 31), ("c", 11, 19), ("d", None, 20), ("e", 10, None)]
     df = spark.createDataFrame(rows, "job_id string, start_us bigint, completion_us bigint")
     found = sorted(tuple(r) for r in occupancy.active_at_tick(df, 10).collect())
-    assert found == [("a", 20), ("b", 10), ("b", 20), ("b", 30)]
+    assert found == [("a", 20), ("b", 10), ("b", 20), ("b", 30), ("e", 20), ("e", 30)]  # e runs to the end of the log
+    later = occupancy.active_at_tick(df.filter("job_id = 'e'"), 10, until_us=F.lit(50)).collect()
+    assert sorted(r["tick_us"] for r in later) == [20, 30, 40, 50]
 
 
 def test_tick_changes_give_the_same_counts(spark):
@@ -147,20 +149,23 @@ def test_tick_changes_give_the_same_counts(spark):
 
 
 QUEUE = "snapshot_id bigint, job_id string, arrival_us bigint, cpu_request double, memory_request double, priority int, job_type string, estimated_duration double"
-CLUSTER = "snapshot_id bigint, cpu_total double, cpu_available double, memory_total double, memory_available double, avg_cpu_utilization double, avg_memory_utilization double, running_jobs int, oom_rate double"
+CLUSTER = "snapshot_id bigint, cpu_total double, cpu_available double, memory_total double, memory_available double, avg_cpu_utilization double, avg_memory_utilization double, running_jobs int, oom_rate double, recent_cpu double, oom_events int"
 
 
 @pytest.mark.parametrize("jobs", [0, 3, 10, 12])
 def test_vector_width(spark, jobs):
     queue = spark.createDataFrame([(1, f"j{i:02}", 0, 1.0, 2.0, i % 3, "ml", 60.0) for i in range(jobs)], QUEUE)
-    cluster = spark.createDataFrame([(1, 10.0, 4.0, 20.0, 5.0, 0.6, 0.75, 50, 0.1)], CLUSTER)
+    cluster = spark.createDataFrame([(1, 10.0, 4.0, 20.0, 5.0, 0.6, 0.75, 50, 0.1, 0.3, 20)], CLUSTER)
     now = F.lit(30 * 60_000_000)
     state = vectors.state_vector(queue, cluster, now).first()["state"]
     assert len(state) == 67 and state[:7] == pytest.approx([0.4, 0.25, 0.6, 0.75, 0.5, 0.6, 0.1])
     assert all(x == 0 for x in state[7 + 6 * min(jobs, 10) :])
     if jobs:
         assert state[7:13] == pytest.approx([0.1, 0.1, 0.2 if jobs > 2 else 0.0, 0.5, 0.5, 0.6])
-    assert len(vectors.state_vector_ragged(queue, cluster, now).first()["state"]) == 7 + 6 * jobs
+    ragged = vectors.state_vector_ragged(queue, cluster, now, job_types=["x", "ml"]).first()["state"]
+    assert len(ragged) == 7 + 6 * jobs and ragged[:7] == pytest.approx([0.4, 0.25, 0.6, 0.75, 0.5, 0.3, 0.2])
+    if jobs:  # not clamped: cores, GiB, priority, hours, hours, type
+        assert ragged[7:13] == pytest.approx([1.0, 2.0, 0.2 if jobs > 2 else 0.0, 0.5, 1.0, 0.5])
     assert len(vectors.state_vector_padded(queue, cluster, now, 50).first()["state"]) == 307
 
 
@@ -173,6 +178,9 @@ def test_padded_queue(spark):
     queue = spark.createDataFrame([(1, "a", 0, 1.0, 2.0, 1, "ml", 60.0), (1, "b", 0, 3.0, 2.0, 5, "ml", 60.0)], QUEUE)
     rows = vectors.pad_queue(queue, ["cpu_request"], 4).orderBy("slot").collect()
     assert [tuple(r) for r in rows] == [(1, 1, 3.0), (1, 2, 1.0), (1, 3, 0.0), (1, 4, 0.0)]
+    known = spark.createDataFrame([(1,), (7,)], "snapshot_id bigint")
+    rows = vectors.pad_queue(queue, ["cpu_request"], 2, snapshots=known).orderBy("snapshot_id", "slot").collect()
+    assert [tuple(r) for r in rows] == [(1, 1, 3.0), (1, 2, 1.0), (7, 1, 0.0), (7, 2, 0.0)]
 
 
 def test_scores(spark):

@@ -155,6 +155,12 @@ def test_lookup_join_spreads_a_hot_key(spark, table, how):
     assert sorted(map(str, spread.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
 
 
+@pytest.mark.parametrize("how", ["right", "full", "outer", "cross"])
+def test_lookup_join_refuses_kinds_that_return_lookup_rows(spark, table, how):
+    with pytest.raises(ValueError):
+        skew.join_lookup(table, spark.createDataFrame([("hot", 1)], "key string, y int"), ["key"], how)
+
+
 @pytest.mark.parametrize("unrolled", [0, 1000])
 def test_search_among_points(spark, table, rows, monkeypatch, unrolled):
     monkeypatch.setattr(ordered, "UNROLLED_POINTS", unrolled)

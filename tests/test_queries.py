@@ -5,6 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from jobtide.plans import q_streams, q_tables
 from tests.oracle import compare, database
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -25,6 +26,31 @@ def test_query(spark, db, name):
         assert compare(spark, db, name, queries()[name], sql, SF_DIR) is None
 
 
+STREAMS = [
+    "append_states_stream", "status_refresh", "status_transitions_stream", "status_transitions_keyed", "monitor_stream",
+    "alert_stream", "oom_rate_stream", "collect_stream", "collect_states", "collect_events",
+]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """The smallest tables with the events as a folder of parts."""
+    path = tmp_path_factory.mktemp("folder")
+    for name in os.listdir(SF_DIR):
+        if name != "events.parquet":
+            os.symlink(f"{SF_DIR}/{name}", path / name)
+    spark.read.parquet(f"{SF_DIR}/events.parquet").repartitionByRange(5, "ts").write.parquet(str(path / "events.parquet"))
+    return str(path)
+
+
+@pytest.mark.parametrize("files", [1, 1000])
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_do_not_depend_on_files_or_triggers(spark, db, folder, monkeypatch, name, files):
+    monkeypatch.setattr(q_streams, "MAX_FILES", files)
+    monkeypatch.setattr(q_tables, "MAX_FILES", files)
+    assert compare(spark, db, name, queries()[name], oracle_sql()[name], folder) is None
+
+
 def test_entry(spark):
     rows = entry(spark)
     assert len(rows.columns) == 18 and rows.count() > 0
