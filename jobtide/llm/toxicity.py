@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from jobtide.llm.samples import labelled_sample
 
+#: Words whose subwords are remembered while bags are made.
+_WORDS = 50_000
 #: Words: runs of letters, lower-cased.
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -26,8 +28,8 @@ class Training:
     ``epochs`` passes over the sample are made, or as many more as give ``steps`` mini-batches. Texts longer than ``max_text`` bytes are left out of the sample (never out of scoring).
     """
 
-    max_rows: int = 12_000
-    max_bytes: int = 64 << 20
+    max_rows: int = 8_000
+    max_bytes: int = 32 << 20
     max_text: int = 1 << 20
     bits: int = 18
     sizes: tuple[int, ...] = (3, 4, 5, 6)
@@ -113,21 +115,26 @@ def _bag(text: str, how: Training, known: dict[str, np.ndarray]) -> tuple[np.nda
     """Distinct buckets of a text and their share of its subwords."""
     counts = Counter(_WORD.findall(text.lower()))
     if not counts:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     grams = []
     for word in counts:
-        if word not in known:
-            known[word] = np.array(subwords(word, how.sizes, how.bits))
-        grams.append(known[word])
+        own = known.get(word)
+        if own is None:
+            own = np.array(subwords(word, how.sizes, how.bits), np.int32)
+            if len(known) < _WORDS:
+                known[word] = own
+        grams.append(own)
     weights = np.repeat(np.array(list(counts.values()), float), [len(g) for g in grams])
     buckets, place = np.unique(np.concatenate(grams), return_inverse=True)
     shares = np.bincount(place, weights=weights)
-    return buckets, shares / (shares.sum() + how.prior)
+    return buckets, (shares / (shares.sum() + how.prior)).astype(np.float32)
 
 
 def _telling(bags: list, labels: np.ndarray, how: Training) -> np.ndarray:
     """The buckets whose presence in a text says most about its label (likelihood ratio)."""
-    present = [np.bincount(np.concatenate([b for (b, _), y in zip(bags, labels) if y == k]).astype(np.int64), minlength=1 << how.bits) for k in (0, 1)]
+    present = np.zeros((2, 1 << how.bits), np.int64)
+    for (buckets, _), label in zip(bags, labels.tolist()):
+        present[label, buckets] += 1
     ones, total = present[1], present[0] + present[1]
     n, n_ones = len(labels), labels.sum()
     ratio = np.zeros(len(total))
@@ -159,9 +166,10 @@ def fit(texts: list[str], labels: np.ndarray, how: Training | None = None) -> Mo
     number = np.full(size, -1)
     number[used] = np.arange(len(used))
     kept = []
-    for buckets, shares in bags:
+    for i, (buckets, shares) in enumerate(bags):
         own = number[buckets]
-        kept.append((own[own >= 0], shares[own >= 0]))
+        kept.append((own[own >= 0].astype(np.int32), shares[own >= 0]))
+        bags[i] = None
     rng = np.random.default_rng(how.seed)
     embedding = (rng.random((len(used), how.dim)) - 0.5) * 0.1
     softmax, bias = (rng.random((how.dim, 2)) - 0.5) * 0.1, np.log(np.array([1 - share, share]))
