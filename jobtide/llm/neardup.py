@@ -17,7 +17,7 @@ from jobtide.llm.scratch import Scratch
 #: Shingles whose signature rows are gathered at a time.
 _TOGETHER = 1 << 13
 #: Documents of a bucket that are compared with all its others in the first round; doubles each round.
-LEADERS = 32
+LEADERS = 4
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,8 @@ def near_duplicates(
     columns are not read.
 
     Equal sets are one class, represented by its smallest id. Classes meet in the buckets of their
-    bands. In each round a few leaders of a bucket are compared with its documents of other components;
+    bands. A document weighs as much as its buckets hold, which is most for the text that copies were
+    made of; each is first compared with the weightiest one it meets. In each round a few leaders of a bucket are compared with its documents of other components;
     a bucket is done when all documents that have not led share one component. So no bucket is
     collected and no group emits all its pairs, yet every two documents of a bucket that end in
     different components were compared.
@@ -167,30 +168,36 @@ def near_duplicates(
         same_id = own.join(own.groupBy("doc_id").agg(F.min("first").alias("a")), "doc_id").select("a", F.col("first").alias("b"))
 
     entries = classes.select(F.explode("keys").alias("key"), F.col("first").alias("doc"))
-    buckets = entries.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).filter("a < last")
-    bucketed = scratch.keep(entries.join(buckets.select("key", "a"), "key"))
+    buckets = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = scratch.keep(entries.join(buckets, "key"))
+    weights = shared.groupBy("doc").agg(F.sum("size").alias("weight"))
+    bucketed = scratch.keep(shared.select("key", "doc").join(weights, "doc"))
     texts = scratch.keep(rows.join(bucketed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
 
-    pairs = bucketed.filter("a < doc").groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a"))
+    best = F.max(F.struct("weight", (-F.col("doc")).alias("minus")))
+    heads = bucketed.groupBy("key").agg(best.alias("head"))
+    found = bucketed.join(heads, "key").filter("doc <> -head.minus").groupBy("doc").agg(F.max("head").alias("head"))
+    head = -F.col("head.minus")
+    pairs = found.select(F.least("doc", head).alias("a"), F.greatest("doc", head).alias("b")).distinct()
     compared = scratch.keep(_verified(pairs, texts, width, percent))
     edges, leaders = compared.filter("linked").select("a", "b"), LEADERS
     edges = edges if same_id is None else scratch.keep(edges.unionByName(same_id))
-    waiting = bucketed.select("key", "doc")
+    waiting = bucketed
     while True:
         found = scratch.keep(connected_components(edges, scratch))
         open_ = scratch.keep(_unresolved(waiting, found))
         if open_.isEmpty():
             break
-        ranked = open_.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("doc")))
+        ranked = open_.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "doc")))
         leading = ranked.filter(F.col("turn") <= leaders).select("key", F.col("doc").alias("leader"), F.col("component").alias("own"))
         pairs = open_.join(leading, "key").filter("own <> component")
         pairs = pairs.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
         new = scratch.keep(_verified(pairs.join(compared, ["a", "b"], "left_anti"), texts, width, percent))
-        waiting = open_.join(leading.select("key", F.col("leader").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc")
+        waiting = open_.join(leading.select("key", F.col("leader").alias("doc")), ["key", "doc"], "left_anti").drop("component")
         compared = scratch.keep(compared.unionByName(new))
         edges = scratch.keep(edges.unionByName(new.filter("linked").select("a", "b")))
         leaders *= 2
-    scratch.drop(texts, bucketed)
+    scratch.drop(texts, shared, bucketed)
 
     to = members.distinct().join(found, F.col("first") == F.col("node"), "left")
     to = to.groupBy("doc_id").agg(F.min(F.coalesce("component", "first")).alias("found"))
@@ -202,7 +209,7 @@ def near_duplicates(
 def _unresolved(waiting: DataFrame, found: DataFrame) -> DataFrame:
     """Entries of buckets that hold two components or more."""
     placed = waiting.join(found, F.col("doc") == F.col("node"), "left")
-    placed = placed.select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    placed = placed.select("key", "doc", "weight", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     return placed.join(mixed.select("key"), "key", "left_semi")
 
