@@ -28,7 +28,7 @@ def test_query(spark, db, name):
 
 STREAMS = [
     "append_states_stream", "status_refresh", "status_transitions_stream", "status_transitions_keyed", "monitor_stream",
-    "alert_stream", "oom_rate_stream", "collect_stream", "collect_states", "collect_events",
+    "oom_rate_stream", "collect_states",
 ]
 
 
