@@ -16,7 +16,7 @@ from jobtide.llm.scratch import Scratch
 
 #: Shingles whose signature rows are gathered at a time.
 _TOGETHER = 1 << 13
-#: Documents of a bucket that are compared with all its others in the first round; doubles each round.
+#: Documents of a bucket that are compared with all its others in the first round; four times as many in each later one.
 LEADERS = 4
 
 
@@ -196,7 +196,7 @@ def near_duplicates(
         waiting = open_.join(leading.select("key", F.col("leader").alias("doc")), ["key", "doc"], "left_anti").drop("component")
         compared = scratch.keep(compared.unionByName(new))
         edges = scratch.keep(edges.unionByName(new.filter("linked").select("a", "b")))
-        leaders *= 2
+        leaders *= 4
     scratch.drop(texts, shared, bucketed)
 
     to = members.distinct().join(found, F.col("first") == F.col("node"), "left")
