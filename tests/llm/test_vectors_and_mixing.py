@@ -100,6 +100,40 @@ def test_many_cells_take_the_other_way(corpus, monkeypatch):
     assert sorted((r.document.doc_id or -1, round(r.ratio, 9)) for r in mixing.calibrate(corpus).collect()) == few
 
 
+def drawn_shares(rows, side, weigh):
+    got = defaultdict(float)
+    for r in rows:
+        got[r[side]] += weigh(r)
+    return {v: x / sum(got.values()) for v, x in got.items()}
+
+
+def test_drawn_rows_meet_targets_above_the_bound(spark):
+    """Small values that targets want up: no cell is cut, its surplus goes to the cells of its value with room."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        source = "small" if i % 10 == 0 else rng.choice(["a", "b"])
+        lang = rng.choice(["en", "en", "en", "de"]) if source != "small" else rng.choice(["en"] * 9 + ["de"])
+        rows.append((i, " ".join(["word"] * 100), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"small": 0.18, "a": 0.41, "b": 0.41}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"listing": 0.0, "article": 1.0}}
+    out = mixing.calibrate(docs, targets, bounded=True).collect()
+    assert max(r.ratio for r in mixing.calibrate(docs, targets).collect()) > 2.2
+    drawn = mixing.sample(docs, targets=targets).collect()
+    for side in ("source", "lang"):
+        expected = drawn_shares(out, side, lambda r: r.n_tokens * r.probability)
+        given_ = drawn_shares(drawn, side, lambda r: 100)
+        for value, share in targets[side].items():
+            assert expected[value] == pytest.approx(share, abs=1e-4) and given_[value] == pytest.approx(share, abs=0.03)
+    assert sum(r.probability for r in out) == pytest.approx(3000, rel=1e-4) and max(r.probability for r in out) <= 1
+    assert all(r.reached for r in mixing.shares(docs, targets).collect())
+    beyond = {**targets, "source": {"small": 0.5, "a": 0.3, "b": 0.2}}  # twice what all of its documents give
+    told = {(r.side, r.value): r for r in mixing.shares(docs, beyond).collect()}
+    assert [told["source", v].reached for v in ("small", "a", "b")] == [False] * 3 and told["lang", "de"].reached
+    assert told["source", "small"].expected == pytest.approx(0.2, abs=1e-4)
+    assert told["source", "a"].expected == pytest.approx(0.8 * 0.6, abs=1e-4)
+
+
 def test_main_path_is_native(corpus):
     plan = mixing.calibrate(corpus)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
