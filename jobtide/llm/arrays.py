@@ -68,6 +68,13 @@ class SpanHash:
         sums = self.sums(values)
         return mix((sums[width:] - sums[:n]) * self._powers.upto(len(sums))[1][:n])
 
+    def at(self, values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        """The hash of the ``width`` bytes from each start on, equal to that of ``windows``."""
+        powers, out = self._powers.upto(width)[0], np.zeros(len(starts), np.uint64)
+        for i in range(width):
+            out += self._bytes[values[starts + i]] * powers[i]
+        return mix(out)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread a hash over all 64 bits (in place)."""

@@ -38,7 +38,7 @@ class Sketch:
     def cells(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - self.bits)
 
-    def _bases(self) -> np.ndarray:
+    def bases(self) -> np.ndarray:
         return np.array([-((-s << self.bits) // self.shards) for s in range(self.shards + 1)], np.uint64)
 
     def _own(self, hashes: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ class Sketch:
     def requests(self, block: int, hashes: list[np.ndarray]) -> pa.RecordBatch:
         """``hashes``: an independent hash of every key for each row."""
         shard, packed = [], []
-        bases = self._bases()
+        bases = self.bases()
         for row, own in enumerate(map(self._own, hashes)):
             cuts = np.searchsorted(own, bases)
             for s in np.flatnonzero(np.diff(cuts)):
@@ -77,7 +77,7 @@ class Sketch:
 
     def repeated(self, hashes: list[np.ndarray], shards: list[int], heavy: list[bytes]) -> np.ndarray:
         """Which of the keys may be repeated, from all answers to this block."""
-        by_shard, bases = dict(zip(shards, heavy)), self._bases()
+        by_shard, bases = dict(zip(shards, heavy)), self.bases()
         found = np.ones(len(hashes[0]), bool)
         for row, values in enumerate(hashes):
             own = np.sort(self.cells(values))

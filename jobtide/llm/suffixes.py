@@ -3,8 +3,10 @@
 Passages meet through their minimizer: the smallest hash among the grams of a passage depends on its
 bytes alone, so equal passages pick the same gram at the same offset. Neighbouring passages that share
 one minimizer travel as one stretch of text. Stretches whose minimizer occurs once are left out (one
-row of a count-min sketch, which only overestimates). The shard that owns a minimizer sorts the
-suffixes of all its stretches: multikey quicksort over 8-byte characters down to a shallow depth,
+row of a count-min sketch, which only overestimates). A line in very many documents gives a stretch for
+each of its neighbourhoods, all with one minimizer; blocks report with their sketch how many stretches a
+cell holds, and the stretches of crowded cells are split: each passage goes to the shard that owns the
+hash of its own bytes. The shard that owns a minimizer sorts the suffixes of all its stretches: multikey quicksort over 8-byte characters down to a shallow depth,
 then a blind trie for every group that still shares its prefix. Passages are equal where the order puts
 them side by side with a common prefix of full width.
 """
@@ -33,12 +35,16 @@ from jobtide.llm.arrays import (
     unpack_longs,
     utf8,
 )
-from jobtide.llm.blocks import into_blocks
+from jobtide.llm.blocks import Blocks, into_blocks
 
 #: Bytes compared by the multikey quicksort; groups that agree on them go to blind tries.
 SHALLOW = 24
 #: Bytes of a gram that anchors passages. Passages of 50 bytes hold 31 of them, few enough for 32 bits.
 GRAM = 20
+#: A cell of the sketch is crowded from so many distinct stretches on, and from so many for each block.
+CROWD, CROWD_BLOCK = 2_048, 4
+REQUEST = sketch.REQUEST + ", many binary"
+REPLY = "block int, shard int, payload binary, crowded binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -191,11 +197,38 @@ class _Block:
         self.starts, self.lengths, self.anchors, self.first, self.second = (np.concatenate(x) for x in zip(empty, *parts))
         self.ids = self.doc_ids[np.searchsorted(self.bounds, self.starts, "right") - 1]
 
-    def flagged(self, grid: sketch.Sketch, shards: int, replies: pa.Table) -> None:
-        """Keep the stretches whose minimizer may be repeated, and number the distinct ones by shard."""
+    def requests(self, key: int, grid: sketch.Sketch) -> pa.Table:
+        """The sketch of the block's minimizers and, by shard, its cells with several distinct stretches and how many."""
+        table = pa.Table.from_batches([grid.requests(key, [self.anchors])])
+        cells = grid.cells(self.anchors)
+        order = np.argsort(cells)
+        ordered = cells[order]
+        same = ordered[1:] == ordered[:-1]
+        tied = np.append(same, False) | np.insert(same, 0, False) if len(order) else np.zeros(0, bool)
+        order = order[tied]
+        order = order[np.lexsort((self.first[order], cells[order]))]
+        cells, first = cells[order], self.first[order]
+        new = np.ones(len(cells), bool)
+        new[1:] = (cells[1:] != cells[:-1]) | (first[1:] != first[:-1])
+        cells, many = np.unique(cells[new], return_counts=True)
+        cells, many = cells[many > 1], many[many > 1]
+        bases = grid.bases()
+        cuts = np.searchsorted(cells, bases)
+        packed = [
+            pack_longs(np.concatenate([(cells[cuts[s] : cuts[s + 1]] - bases[s]).astype(np.int64), many[cuts[s] : cuts[s + 1]]]))
+            for s in table["shard"].to_pylist()
+        ]
+        return table.append_column("many", pa.array(packed, pa.binary()))
+
+    def flagged(self, grid: sketch.Sketch, shards: int, replies: pa.Table, width: int) -> None:
+        """Keep the stretches whose minimizer may be repeated, split the crowded ones, and number the distinct ones by shard."""
         found = grid.repeated([self.anchors], replies["shard"].to_pylist(), replies["payload"].to_pylist())
         for name in ("starts", "lengths", "anchors", "first", "second", "ids"):
             setattr(self, name, getattr(self, name)[found])
+        bases = grid.bases().astype(np.int64)
+        crowded = [unpack_longs(c) + bases[s] for s, c in zip(replies["shard"].to_pylist(), replies["crowded"].to_pylist()) if c]
+        if crowded:
+            self._split(np.isin(grid.cells(self.anchors), np.concatenate(crowded).astype(np.uint64)), width)
         shard = shard_of(self.anchors, shards)
         self.order = np.lexsort((self.ids, self.second, self.first, shard))
         first, second = self.first[self.order], self.second[self.order]
@@ -206,6 +239,17 @@ class _Block:
         self.cuts = np.searchsorted(shard[self.heads], np.arange(shards + 1))
         self.used = np.flatnonzero(np.diff(self.cuts))
 
+    def _split(self, crowded: np.ndarray, width: int) -> None:
+        """Make each passage of these stretches a stretch by itself, owned by the hash of its bytes."""
+        some = np.flatnonzero(crowded)
+        lengths = self.lengths[some]
+        owner = np.repeat(some, lengths)
+        starts = self.starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        first, second = (h.at(self.data, starts, width) for h in (FIRST, SECOND))
+        single = {"starts": starts, "lengths": np.ones(len(owner), np.int64), "anchors": mix(first + second), "first": first, "second": second}
+        for name, values in (single | {"ids": self.ids[owner]}).items():
+            setattr(self, name, np.concatenate([getattr(self, name)[~crowded], values]))
+
     def texts(self, some: np.ndarray, width: int) -> bytes:
         """The bytes of these stretches, one after the other."""
         sizes = self.lengths[some] + width - 1
@@ -213,6 +257,14 @@ class _Block:
         return self.data[skip + np.arange(len(skip))].tobytes()
 
 
+def _crowded(requests: pa.Table, limit: int) -> bytes:
+    """The cells of a shard of the sketch that hold more than ``limit`` stretches, cells with one in each block aside."""
+    reports = [unpack_longs(many.as_py()).reshape(2, -1) for many in requests["many"]]
+    cells, count = np.concatenate(reports, axis=1)
+    cells, place = np.unique(cells, return_inverse=True)
+    return pack_longs(cells[np.bincount(place, count, len(cells)) > limit])
+
+
 def _answers(requests: pa.Table, width: int) -> list[bytes]:
     """For each block and stretch, a bit for each passage that also starts in a smaller id."""
     known: dict[bytes, int] = {}
@@ -237,37 +289,26 @@ def _answers(requests: pa.Table, width: int) -> list[bytes]:
     return [((smallest[n] < d[:, None]) * bits).sum(axis=1, dtype=np.uint32).astype("<u4").tobytes() for n, d in zip(asked, least)]
 
 
-def remove_repeated_passages(
-    docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, carry: Sequence[str] = ()
-) -> DataFrame:
-    """Remove each byte covered by ``width`` bytes (32 to 80) that also start in a smaller-id document.
+def _gram(width: int) -> int:
+    return max(GRAM, width - 31)
 
-    Texts are UTF-8 bytes; passages lie in one document, may overlap and are judged on the input.
-    Returns doc_id, n_bytes, n_removed, spans (the maximal removed runs) and kept (the remaining
-    bytes), a row for each input row; with ``carry`` also kept_text (without the characters that lost some
-    of their bytes) and a struct ``rest`` of those columns of the row. A null text is empty; a null id comes after every other id and
-    is not smaller than another null; rows that share an id are not earlier than each other; an empty
-    table gives an empty result; other columns are not read.
 
-    Stretches of a block are told apart by two independent 64-bit hashes; what a shard sorts and
-    compares are the bytes themselves.
-    """
-    if not 32 <= width <= 80:
-        raise ValueError("width must be 32 to 80 bytes")
-    gram = max(GRAM, width - 31)
-    blocks = into_blocks(docs, id_col, text_col, block_bytes, carry)
-    shards = blocks.n
+def _passages(blocks: Blocks, width: int) -> tuple[DataFrame, DataFrame, sketch.Sketch]:
+    """The answers of the sketch, the stretches that go to each shard, and the sketch."""
+    gram, shards = _gram(width), blocks.n
     grid = sketch.Sketch.sized(2 * blocks.text_bytes // (width - gram + 2), 1, shards, cells_per_key=8)
+    limit = max(CROWD, CROWD_BLOCK * blocks.n)
 
     def ask(key, table):
-        return pa.Table.from_batches([grid.requests(key[0].as_py(), [_Block(table, width, gram).anchors])])
+        return _Block(table, width, gram).requests(key[0].as_py(), grid)
 
     def add(key, requests):
-        return grid.answers(key[0].as_py(), requests).rename_columns(["block", "shard", "payload"])
+        out = grid.answers(key[0].as_py(), requests).rename_columns(["block", "shard", "payload"])
+        return out.append_column("crowded", pa.array([_crowded(requests, limit)] * len(out), pa.binary()))
 
     def ask_exactly(key, table, replies):
         block = _Block(table, width, gram)
-        block.flagged(grid, shards, replies)
+        block.flagged(grid, shards, replies, width)
         ranges = [block.heads[block.cuts[s] : block.cuts[s + 1]] for s in block.used]
         return pa.table({
             "shard": pa.array(block.used, pa.int32()),
@@ -277,6 +318,33 @@ def remove_repeated_passages(
             "least": pa.array([pack_longs(block.ids[r]) for r in ranges], pa.binary()),
         })
 
+    asked = blocks.grouped.applyInArrow(ask, REQUEST)
+    counted = asked.groupBy("shard").applyInArrow(add, REPLY).repartition("block")
+    request = "shard int, block int, sizes binary, texts binary, least binary"
+    return counted, blocks.grouped.cogroup(counted.groupBy("block")).applyInArrow(ask_exactly, request), grid
+
+
+def remove_repeated_passages(
+    docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Remove each byte covered by ``width`` bytes (32 to 80) that also start in a smaller-id document.
+
+    Texts are UTF-8 bytes; passages lie in one document, may overlap and are judged on the input.
+    Returns doc_id, n_bytes, n_removed, spans (the maximal removed runs) and kept (the remaining
+    bytes), a row for each input row; with ``carry`` also kept_text (without the characters that lost some
+    of their bytes) and a struct ``rest`` of those columns of the row. A null text is empty; a null id comes after every other id and
+    is not smaller than another null; rows that share an id are not earlier than each other; an empty
+    table gives an empty result; other columns are not read.
+
+    Stretches of a block are told apart by two independent 64-bit hashes; what a shard sorts and
+    compares are the bytes themselves.
+    """
+    if not 32 <= width <= 80:
+        raise ValueError("width must be 32 to 80 bytes")
+    blocks = into_blocks(docs, id_col, text_col, block_bytes, carry)
+    counted, again, grid = _passages(blocks, width)
+    gram, shards = _gram(width), blocks.n
+
     def sort(key, requests):
         shard = pa.array([key[0].as_py()] * len(requests), pa.int32())
         return pa.table([requests["block"], shard, pa.array(_answers(requests, width), pa.binary())], names=["block", "shard", "payload"])
@@ -284,7 +352,7 @@ def remove_repeated_passages(
     def remove(key, table, replies):
         block = _Block(table, width, gram)
         exact = replies["exact"].to_numpy(zero_copy_only=False).astype(bool)
-        block.flagged(grid, shards, replies.filter(pa.array(~exact)))
+        block.flagged(grid, shards, replies.filter(pa.array(~exact)), width)
         answers = replies.filter(pa.array(exact))
         masks = dict(zip(answers["shard"].to_pylist(), answers["payload"].to_pylist()))
         bits = np.frombuffer(b"".join(masks[int(s)] for s in block.used), "<u4")
@@ -297,13 +365,9 @@ def remove_repeated_passages(
         out = _kept(block, (block.starts[block.order][owner] + inside)[gone], width)
         return out.append_column("kept_text", _whole(block, out)).append_column("rest", table["rest"]) if carry else out
 
-    reply = "block int, shard int, payload binary"
     result = RESULT + (f", kept_text string, rest {blocks.rows.schema['rest'].dataType.simpleString()}" if carry else "")
-    asked = blocks.grouped.applyInArrow(ask, sketch.REQUEST)
-    counted = asked.groupBy("shard").applyInArrow(add, reply).repartition("block")
-    request = "shard int, block int, sizes binary, texts binary, least binary"
-    again = blocks.grouped.cogroup(counted.groupBy("block")).applyInArrow(ask_exactly, request)
-    sorted_ = again.groupBy("shard").applyInArrow(sort, reply).repartition("block")
+    sorted_ = again.groupBy("shard").applyInArrow(sort, "block int, shard int, payload binary").repartition("block")
+    sorted_ = sorted_.withColumn("crowded", F.lit(None).cast("binary"))
     replies = counted.withColumn("exact", F.lit(False)).unionByName(sorted_.withColumn("exact", F.lit(True)))
     return blocks.grouped.cogroup(replies.groupBy("block")).applyInArrow(remove, result)
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from jobtide.llm.arrays import NO_ID, pack_longs, pack_sorted, unpack_longs, unpack_sorted
 from jobtide.llm.sketch import Sketch
@@ -67,6 +68,28 @@ def test_passages(spark, make, texts, block_bytes):
     assert sum(r[2] for r in want) > 5000
 
 
+def test_one_line_in_many_documents_is_spread_over_shards(spark, make):
+    """A line with other neighbours in every document: its stretches do not meet in one shard."""
+    from jobtide.llm import suffixes
+    from jobtide.llm.blocks import into_blocks
+
+    rng = random.Random(6)
+    line = "this line of seventy bytes or so stands in every document, word by word"
+
+    def prose(n):
+        return "".join(rng.choices("abcdefghiklmnorstuw ", k=n))
+
+    rows = [(i, prose(120) + line + prose(120)) for i in range(3000)]
+    _, sent, _ = suffixes._passages(into_blocks(make(rows), block_bytes=60_000), 50)
+    sizes = sent.groupBy("shard").agg(F.sum(F.aggregate(F.split(F.hex("sizes"), "(?<=\\G..)"), F.lit(0), lambda s, x: s + F.coalesce(F.conv(x, 16, 10).cast("int"), F.lit(0)))).alias("n"))
+    sizes = sorted(r.n for r in sizes.collect())
+    assert sizes[-1] < 5 * sizes[len(sizes) // 2]
+    least = least_starts([(i, t.encode()) for i, t in rows], 50)
+    want = {i: sum(cover(i, t.encode(), 50, least)) for i, t in rows}
+    got = remove_repeated_passages(make(rows), block_bytes=60_000).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want and sum(want.values()) >= 2999 * len(line)
+
+
 def test_carried_columns_and_whole_characters(spark, make):
     rows = [(1, "a" * 55 + "é" * 30), (2, "b" + "a" * 55 + "é" * 30 + "ü" * 5), (3, None)]
     out = {r.doc_id: r for r in remove_repeated_passages(make(rows), carry=["shard", "rest", "doc_id"]).collect()}
