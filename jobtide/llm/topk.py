@@ -67,7 +67,7 @@ def _gather(k: int):
             for row in batch.to_pylist():
                 candidates, queries, scores = _local(row)
                 low = scores.min(axis=1)
-                masked = np.where(candidates[None, :] == queries[:, None], np.iinfo(np.int64).min, scores)
+                masked = np.where(candidates[None, :] == queries[:, None], np.iinfo(np.int64).min + 1, scores)  # can be negated
                 size = min(k, len(candidates))
                 best = np.argpartition(-masked, size - 1, axis=1)[:, :size]
                 query, at = np.repeat(np.arange(len(queries)), size), best.ravel()

@@ -41,6 +41,18 @@ def test_top_k(spark, monkeypatch, blocks):
     assert topk.exact_top_k(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("block", [8192, 12])
+def test_the_own_row_takes_no_place(spark, monkeypatch, block):
+    """With k = 1 the own row, often its own best, must leave the place to another row of its block."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(16)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (1, 2):
+        got = topk.exact_top_k(frame, k=k, every=5).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute(rows, k, 5)
+
+
 def test_cutoff_leaves_most_entries(spark):
     """Phase two sends less than all rows, or the lists would be pointless."""
     rng = random.Random(2)
