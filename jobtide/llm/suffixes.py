@@ -6,8 +6,9 @@ one minimizer travel as one stretch of text. Stretches whose minimizer occurs on
 row of a count-min sketch, which only overestimates). A line in very many documents gives a stretch for
 each of its neighbourhoods, all with one minimizer; blocks report with their sketch how many stretches a
 cell holds, and the stretches of crowded cells are split: each passage goes to the shard that owns the
-hash of its own bytes. The shard that owns a minimizer sorts the suffixes of all its stretches: multikey quicksort over 8-byte characters down to a shallow depth,
-then a blind trie for every group that still shares its prefix. Passages are equal where the order puts
+hash of its own bytes. The shard that owns a minimizer sorts the suffixes of all its stretches: level by level over 8-byte characters with numpy's sorts down to a shallow
+depth (a radix-like refinement, no three-way partition), then a blind trie for every group of three or
+more that still shares its prefix; two are compared directly. Passages are equal where the order puts
 them side by side with a common prefix of full width.
 """
 
@@ -37,7 +38,7 @@ from jobtide.llm.arrays import (
 )
 from jobtide.llm.blocks import Blocks, into_blocks
 
-#: Bytes compared by the multikey quicksort; groups that agree on them go to blind tries.
+#: Bytes compared by the refinement with library sorts; groups that agree on them go to blind tries.
 SHALLOW = 24
 #: Bytes of a gram that anchors passages. Passages of 50 bytes hold 31 of them, few enough for 32 bits.
 GRAM = 20
