@@ -19,6 +19,7 @@ PART_ROUNDS, PARTS, SETTLED = 2, 40, 1e-6
 #: Up to so many cells (counted) fitting runs in one task and the join is a broadcast; beyond, both shuffle.
 FEW_CELLS = 100_000
 _BITS = 48
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 
 
 def word_count(text: str = "text") -> Column:
@@ -26,6 +27,11 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def token_weight(text: str = "text") -> Column:
+    """Words, and the characters of scripts that put no spaces between words: a weight that any language has."""
+    return word_count(text) + F.coalesce(F.regexp_count(text, F.lit(_UNSPACED)), F.lit(0))
+
+
 def form(text: str = "text", words: Column | None = None) -> Column:
     """A topic for tables without one, by the form of a text: note, listing, markup or article."""
     words = word_count(text) if words is None else words
@@ -209,7 +215,7 @@ def shares(
 
     ``reached`` is false where the expected share is off the wished one by more than a hundredth of it.
     """
-    fitted, _ = _fitted(docs, targets, keep_share, text_col, topic, word_count(text_col) if tokens is None else tokens, True)
+    fitted, _ = _fitted(docs, targets, keep_share, text_col, topic, token_weight(text_col) if tokens is None else tokens, True)
     out = None
     for side in SIDES:
         rows = fitted.groupBy(F.lit(side).alias("side"), F.col(side).alias("value")).agg(
@@ -224,5 +230,6 @@ def shares(
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the bounded draw, with the columns they came with."""
-    return calibrate(docs, **{"bounded": True, **how}).filter("sampled").select("document.*")
+    """The documents of the bounded draw, with the columns they came with; tokens are weighed by ``token_weight``."""
+    how = {"bounded": True, "tokens": token_weight(how.get("text_col", "text")), **how}
+    return calibrate(docs, **how).filter("sampled").select("document.*")

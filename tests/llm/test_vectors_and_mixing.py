@@ -146,6 +146,16 @@ def test_drawn_rows_meet_targets_above_the_bound(spark):
     assert told["source", "a"].expected == pytest.approx(0.8 * 0.6, abs=1e-4)
 
 
+def test_scripts_without_spaces_have_weight(spark):
+    rows = [(1, "漢字かな" * 100, "ja", "s"), (2, "ไทย" * 40, "th", "s"), (3, "two words", "en", "s"), (4, None, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weight = mixing.token_weight()
+    got = {r.doc_id: (r.n, r.form) for r in docs.select("doc_id", weight.alias("n"), mixing.form("text", weight).alias("form")).collect()}
+    assert got == {1: (401, "article"), 2: (121, "article"), 3: (2, "note"), 4: (0, "note")}
+    share = {r.value: r.share for r in mixing.shares(docs).collect() if r.side == "lang"}
+    assert share["ja"] == pytest.approx(401 / 524) and share["en"] == pytest.approx(2 / 524)
+
+
 def test_main_path_is_native(corpus):
     plan = mixing.calibrate(corpus)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
