@@ -14,7 +14,7 @@ from jobtide.session import scratch
 from jobtide.streaming import collect, monitor, transitions
 
 
-#: Files of one trigger; None: all there are. Results do not depend on it.
+#: Files of one trigger; None: all there are. Only the transition streams depend on it, where files are out of time order.
 MAX_FILES: int | None = None
 
 

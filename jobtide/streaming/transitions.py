@@ -62,14 +62,15 @@ def bucket_changes(
     last = rows.drop_duplicates("job_id", keep="last")
     keep_us = last["status"].isin(FINISHED).map({True: _or_ever(finished_us), False: _or_ever(idle_us)})
     expires_ms = (last["ts_us"] + keep_us) // 1000
-    now_ms = state.getCurrentWatermarkMs()
+    limited = finished_us is not None or idle_us is not None
+    now_ms = state.getCurrentWatermarkMs() if limited else 0
     live = expires_ms >= now_ms
     last, expires_ms = last[live], expires_ms[live]
     if last.empty:
         state.remove()
         return
     state.update((last["job_id"].tolist(), [int(t) for t in last["ts_us"]], last["status"].tolist()))
-    if finished_us is not None or idle_us is not None:
+    if limited:
         state.setTimeoutTimestamp(max(int(expires_ms.min()), now_ms) + 1)
 
 
@@ -81,25 +82,28 @@ def status_transitions_keyed(
     snapshots: DataFrame,
     scheduler_name: str = "unknown",
     efficiency: Column | None = None,
-    watermark: str = WATERMARK,
+    watermark: str | None = None,
     buckets: int = 256,
     finished_us: int | None = None,
     idle_us: int | None = None,
 ) -> DataFrame:
     """Expects job_id, ts_us, status, submission_us and start_us.
 
-    ``buckets`` must stay the same over the life of a checkpoint.
+    Rows behind ``watermark`` are dropped; without one no row is, however late. Limits on the state need
+    one and take WATERMARK if none is given. ``buckets`` must stay the same over the life of a checkpoint.
     """
-    timed = snapshots.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", watermark)
+    if finished_us is not None or idle_us is not None:
+        watermark = watermark or WATERMARK
+    timed = snapshots.withColumn("ts", F.timestamp_micros("ts_us"))
+    timed = timed.withWatermark("ts", watermark) if watermark else timed
     bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
     rows = timed.select("ts", "job_id", *SEEN, bucket.alias("bucket"))
 
     def changed(key, chunks, state):
         return bucket_changes(key, chunks, state, finished_us, idle_us)
 
-    changes = rows.groupBy("bucket").applyInPandasWithState(
-        changed, CHANGES, LAST, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
+    changes = rows.groupBy("bucket").applyInPandasWithState(changed, CHANGES, LAST, "append", timeout)
     return transition_rows(changes, scheduler_name, efficiency)
 
 

@@ -167,6 +167,18 @@ def test_stream_transitions_equal_batch(spark, tmp_path, keyed):
     ]
 
 
+def test_late_jobs_of_their_own_are_not_dropped(spark, tmp_path):
+    """Hours behind the newest row of other jobs, and no newer snapshot of the job itself."""
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "cp"))
+    hour = 3600
+    parts = [[("a", 9 * hour, "Pending")], [("a", 9 * hour + 60, "Running")], [("late", hour, "Pending"), ("late", 2 * hour, "Running")]]
+    for part in parts:
+        write_polls(spark, source, part)
+        stream = spark.readStream.schema(SNAPSHOTS).parquet(source)
+        collect.append_stream(transitions.status_transitions_keyed(stream, buckets=4), out, checkpoint, once=True).awaitTermination()
+    assert sorted(r["job_id"] for r in spark.read.parquet(out).collect()) == ["a", "late"]
+
+
 def test_finished_jobs_leave_the_table(spark, tmp_path):
     out = str(tmp_path)
     day = 24 * 3600
