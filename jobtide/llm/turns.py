@@ -65,7 +65,7 @@ class _Table:
         ends = [0, _FAR, _FAR, 0] if after is None else after
         n = len(codes)
         bounds = [0, 2 * INSERT, INSERT, 0] if after is None else after
-        short = sum(1 for c in codes if c & _SHORT)
+        short = sum(1 for c in codes if c & _SHORT and not c & _GONE)
         gone = sum(1 for c in codes if c & _GONE)
         least = short * TRUNCATED + gone * DELETE + min(bounds)
         spare = max(_first_guess(codes, bounds, state) for state in range(4)) - least
