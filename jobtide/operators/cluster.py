@@ -19,15 +19,15 @@ def latest(df: DataFrame, time_us: str) -> Column:
     return df.select(F.max(time_us)).scalar()
 
 
-def cluster_resources(nodes: DataFrame, by: Sequence[str] = ("snapshot_ts",)) -> DataFrame:
-    """Capacity, allocatable and utilisation over the schedulable nodes of a snapshot."""
+def resource_sums(nodes: DataFrame, by: Sequence[str] = ("snapshot_ts",)) -> DataFrame:
+    """Capacity and allocatable over the schedulable nodes of a snapshot. The sums of parts add up to the whole."""
 
     def total(column: str, name: str, parse) -> Column:
         text = F.coalesce(F.try_element_at(F.col(column), F.lit(name)), F.lit("0"))
         usable = st.node_schedulable(F.col("taints"), F.col("conditions"))
         return F.coalesce(F.sum(F.when(usable, parse(text))), F.lit(0.0))
 
-    sums = nodes.groupBy(*by).agg(
+    return nodes.groupBy(*by).agg(
         total("capacity", "cpu", q.parse_cpu).alias("cpu_total"),
         total("allocatable", "cpu", q.parse_cpu).alias("cpu_available"),
         total("capacity", "memory", q.parse_memory).alias("memory_total"),
@@ -36,6 +36,8 @@ def cluster_resources(nodes: DataFrame, by: Sequence[str] = ("snapshot_ts",)) ->
         F.count("*").alias("node_count"),
     )
 
+
+def with_utilization(sums: DataFrame) -> DataFrame:
     def used_share(total_name: str, free_name: str) -> Column:
         used = F.greatest(F.col(total_name) - F.col(free_name), F.lit(0.0))
         return used / at_least_one(F.col(total_name))
@@ -48,12 +50,28 @@ def cluster_resources(nodes: DataFrame, by: Sequence[str] = ("snapshot_ts",)) ->
     )
 
 
+def cluster_resources(nodes: DataFrame, by: Sequence[str] = ("snapshot_ts",)) -> DataFrame:
+    """Capacity, allocatable and utilisation over the schedulable nodes of a snapshot."""
+    return with_utilization(resource_sums(nodes, by))
+
+
 def running_jobs(manifests: DataFrame, by: Sequence[str] = ("snapshot_ts",)) -> DataFrame:
     """Active pods of all jobs."""
     active = F.coalesce(F.col("status")["active"], F.lit(0))
     return manifests.groupBy(*by).agg(F.sum(active).alias("running_jobs"))
 
 
+def oom_counts(events: DataFrame, as_of_us: Column, hours: int = 1, by: Sequence[str] = (), time_us: str = "event_us") -> DataFrame:
+    """Out-of-memory events and all events after ``as_of - hours``."""
+    recent = events.filter(since(F.col(time_us), as_of_us, hours))
+    is_oom = st.oom_event(F.col("reason"), F.col("message"))
+    return recent.groupBy(*by).agg(F.count_if(is_oom).alias("oom_events"), F.count("*").alias("total_events"))
+
+
+def oom_share() -> Column:
+    return F.col("oom_events") / F.greatest("total_events", F.lit(1))
+
+
 def recent_oom_rate(
     events: DataFrame,
     as_of_us: Column | None = None,
@@ -63,10 +81,7 @@ def recent_oom_rate(
 ) -> DataFrame:
     """Share of out-of-memory events among those after ``as_of - hours``."""
     as_of_us = as_of_us if as_of_us is not None else latest(events, time_us)
-    recent = events.filter(since(F.col(time_us), as_of_us, hours))
-    is_oom = st.oom_event(F.col("reason"), F.col("message"))
-    counted = recent.groupBy(*by).agg(F.count_if(is_oom).alias("oom_events"), F.count("*").alias("total_events"))
-    return counted.withColumn("oom_rate", F.col("oom_events") / F.greatest("total_events", F.lit(1)))
+    return oom_counts(events, as_of_us, hours, by, time_us).withColumn("oom_rate", oom_share())
 
 
 def cluster_state_rows(
@@ -87,6 +102,10 @@ def cluster_state_rows(
     if oom_rates is not None:
         rows = rows.join(oom_rates.select(key, "oom_rate"), key, "left")
         rate = F.coalesce("oom_rate", F.lit(0.0))
+    return _states(rows, rate)
+
+
+def _states(rows: DataFrame, rate: Column, key: str = "snapshot_ts") -> DataFrame:
     queued = F.coalesce("pending_jobs_count", F.lit(0))
     return rows.select(
         F.col(key).alias("timestamp"),
@@ -106,6 +125,43 @@ def cluster_state_rows(
     )
 
 
+POLL_SUMS = (
+    "snapshot_ts timestamp, cpu_total double, cpu_available double, memory_total double, memory_available double, ready_nodes bigint, "
+    "node_count bigint, running_jobs bigint, pending_jobs_count bigint, oom_events bigint, total_events bigint, jobs_seen bigint, errors bigint"
+)
+_SUMMED = [field.split()[0] for field in POLL_SUMS.split(", ")][1:]
+
+
+def poll_sums(nodes: DataFrame, manifests: DataFrame, workloads: DataFrame, events: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """What a part of the objects of some polls adds to their states: counts and sums that add up over parts.
+
+    ``events`` carry ``event_us``; those of the hour before a poll count for it.
+    """
+    key = "snapshot_ts"
+    pending = all_pending(manifests, workloads, keep=[key]).groupBy(key).agg(F.count("*").alias("pending_jobs_count"))
+    parts = [
+        resource_sums(nodes), running_jobs(manifests), pending, oom_counts(events, F.unix_micros(key), by=[key]),
+        manifests.groupBy(key).agg(F.count("*").alias("jobs_seen")), unreadable.groupBy(key).agg(F.count("*").alias("errors")),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return merged_sums(rows)
+
+
+def merged_sums(parts: DataFrame) -> DataFrame:
+    """One row per poll from any number of parts."""
+    kinds = dict(field.split() for field in POLL_SUMS.split(", "))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast(kinds[c]).alias(c) for c in _SUMMED]
+    return parts.groupBy("snapshot_ts").agg(*sums)
+
+
+def states_of_sums(sums: DataFrame) -> DataFrame:
+    """Cluster states of the polls that hold nodes."""
+    rows = with_utilization(sums.filter("node_count > 0"))
+    return _states(rows, F.when(F.col("total_events") > 0, oom_share()).otherwise(0.0))
+
+
 # Gauge names of the cluster snapshot.
 GAUGES = {
     "avg_cpu_utilization": "cluster_cpu_utilization",

@@ -14,7 +14,7 @@ from jobtide.session import scratch
 from jobtide.streaming import collect, monitor, transitions
 
 
-#: Files of one trigger; None: all there are. Only the transition streams depend on it, where files are out of time order.
+#: Files of one trigger; None: all there are. Results do not depend on it, nor on the order of the files.
 MAX_FILES: int | None = None
 
 
@@ -48,16 +48,17 @@ def status_transitions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, checkpoint = _place(spark, "transitions")
     snapshots = _view(spark, sf_dir, "job_snapshots")
     transitions.transitions_by_batch(snapshots, out, checkpoint, once=True).awaitTermination()
-    rows = spark.read.parquet(f"{out}/events").drop("batch_id")
+    rows = transitions.batch_transitions(spark, out)
     return rows.withColumn("queue_wait_time", F.round("queue_wait_time", 6))
 
 
 @query(oracle(TRANSITIONS_SQL, "job_snapshots"))
 def status_transitions_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last statuses in the state store."""
-    rows = transitions.status_transitions_keyed(_view(spark, sf_dir, "job_snapshots"))
-    rows = rows.withColumn("queue_wait_time", F.round("queue_wait_time", 6))
-    return _run(spark, rows, "transitions")
+    """Versions of each job in the state store."""
+    with transitions.rocksdb(spark):
+        changes = _run(spark, transitions.status_changes_keyed(_view(spark, sf_dir, "job_snapshots")), "transitions")
+    rows = transitions.keyed_transitions(changes)
+    return rows.withColumn("queue_wait_time", F.round("queue_wait_time", 6))
 
 
 @query(

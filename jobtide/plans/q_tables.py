@@ -235,7 +235,7 @@ def _daily(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def collect_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job table that the collector leaves behind."""
     out = _collected(spark, _daily(spark, sf_dir))
-    return tables.scan_current_jobs(spark, f"{out}/jobs").select(*_COLUMNS)
+    return collect.collected_jobs(spark, out).select(*_COLUMNS)
 
 
 _RATES = """rates as (

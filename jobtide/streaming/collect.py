@@ -1,8 +1,10 @@
 """The collector as a file stream: job versions, cluster states, gauges, scheduling events, bad rows, audit.
 
-A poll belongs together by its ``snapshot_ts``, however its files are spread over triggers. Every batch
-keeps its raw objects by day; the polls it touches are computed anew from all their objects so far and
-written under the batch's number, and readers take the newest batch of each poll.
+A poll belongs together by its ``snapshot_ts``, however its files are spread over triggers. A batch reads
+its own objects only: of each poll it writes what they add to it (sums and counts that add up over
+batches), the job versions, and which jobs lost a pod for memory. Readers merge these parts, which are a
+row per poll and batch, and look the pods of a job's newest version up; so the cost of a batch does not
+grow with the age of the day or of a job, and results do not depend on files, triggers or their order.
 """
 
 from __future__ import annotations
@@ -13,104 +15,92 @@ from pyspark.sql.streaming import StreamingQuery
 
 from jobtide import schemas
 from jobtide.dims import COLLECTION_SECONDS
-from jobtide.operators.cluster import cluster_state_rows, gauges_long, recent_oom_rate
-from jobtide.operators.manifests import normalize_jobs, quarantined_jobs
-from jobtide.operators.stats import latest_rows
-from jobtide.operators.transitions import status_transitions
+from jobtide.operators.cluster import POLL_SUMS, gauges_long, merged_sums, poll_sums, states_of_sums
+from jobtide.operators.manifests import killed_jobs, normalize_jobs, quarantined_jobs
 from jobtide.sources import sinks, tables
-from jobtide.sources.snapshots import objects, poll_schema, with_event_time
+from jobtide.sources.snapshots import objects, with_event_time
+from jobtide.streaming.transitions import batch_transitions, transition_batch
 
-AUDIT = "snapshot_ts timestamp, jobs_collected bigint, states_collected bigint, errors bigint, collected_us bigint"
+KILLS = "snapshot_ts timestamp, namespace string, job_name string"
+QUARANTINE = "snapshot_ts timestamp, job_id string, name string, namespace string, defect string"
+_KINDS = ["job", "workload", "node", "pod", "event"]
 
 
-def collect_batch(polls: DataFrame, batch_id: int, out: str, history_us: int | None = None) -> None:
+def collect_batch(polls: DataFrame, batch_id: int, out: str) -> None:
     """Write one micro-batch. Every write replaces an earlier attempt of the same batch.
 
-    ``history_us`` bounds how far back the versions of the touched jobs are read for their status
-    transitions; without it all are read, so that no late poll is lost.
+    Beside its own objects a batch reads the last status of each job, and the versions of jobs that it
+    has late versions of (see :func:`transition_batch`).
     """
     spark = polls.sparkSession
-    day = F.to_date("snapshot_ts")
-    polls.withColumn("day", day).write.partitionBy("day").mode("overwrite").parquet(f"{out}/raw/batch_id={batch_id}")
-    raw = spark.read.schema(f"{poll_schema()}, batch_id bigint, day date").parquet(f"{out}/raw")
-    own = raw.filter(F.col("batch_id") == batch_id)
-    days = [row["day"] for row in own.select("day").distinct().collect()]
-    touched = own.select("snapshot_ts").distinct()
-    whole = raw.filter(F.col("day").isin(days) & (F.col("batch_id") <= batch_id)) if days else own
-    whole = whole.join(touched, "snapshot_ts", "left_semi").select("kind", "snapshot_ts", *_KINDS).persist()
+    polls.persist()
     try:
-        _write_batch(whole, batch_id, out)
-        _write_transitions(spark, batch_id, out, history_us)
+        jobs, workloads, nodes, pods, events = (objects(polls, k) for k in _KINDS)
+        bad = quarantined_jobs(jobs)
+        parts = {
+            "partials": poll_sums(nodes, jobs, workloads, with_event_time(events), bad),
+            "kills": killed_jobs(pods, ["snapshot_ts", "namespace"]),
+            "quarantine": bad,
+        }
+        for name, rows in parts.items():
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        sinks.upsert_jobs(normalize_jobs(jobs), f"{out}/jobs", batch_id)
     finally:
-        whole.unpersist()
-
-
-_KINDS = ["job", "workload", "node", "pod", "event"]
+        polls.unpersist()
+    versions = spark.read.schema(f"snapshot_ts timestamp, {schemas.JOBS}").parquet(f"{out}/jobs/batch_id={batch_id}")
+    times = [F.unix_micros(c).alias(n) for c, n in (("snapshot_ts", "ts_us"), ("submission_time", "submission_us"), ("start_time", "start_us"))]
+    transition_batch(versions.select("job_id", "status", *times), batch_id, f"{out}/transitions")
 
 
-def _write_batch(polls: DataFrame, batch_id: int, out: str) -> None:
-    jobs, workloads, nodes, pods, events = (objects(polls, k) for k in _KINDS)
-    sinks.upsert_jobs(normalize_jobs(jobs, pods, ["snapshot_ts", "namespace"]), f"{out}/jobs", batch_id)
-    rates = recent_oom_rate(with_event_time(events), F.unix_micros("snapshot_ts"), by=["snapshot_ts"])
-    states = cluster_state_rows(nodes, jobs, workloads, rates)
-    sinks.append_cluster_states(states, f"{out}/cluster_states", batch_id)
-    sinks.append_metrics(gauges_long(states), f"{out}/metrics", batch_id)
-    bad = quarantined_jobs(jobs)
-    bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={batch_id}")
-    seen = polls.groupBy("snapshot_ts").agg(
-        F.count_if(F.col("kind") == "job").alias("jobs_seen"),
-        F.max((F.col("kind") == "node").cast("bigint")).alias("states_collected"),
-    )
-    errors = bad.groupBy("snapshot_ts").agg(F.count("*").alias("errors"))
-    audit = seen.join(errors, "snapshot_ts", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
-    audit = audit.withColumn("jobs_collected", F.col("jobs_seen") - F.col("errors")).drop("jobs_seen")
-    audit = audit.withColumn("collected_us", F.unix_micros("snapshot_ts"))
-    audit.write.mode("overwrite").parquet(f"{out}/audit/batch_id={batch_id}")
-
-
-def _write_transitions(spark: SparkSession, batch_id: int, out: str, history_us: int | None) -> None:
-    """All transitions of the jobs in this batch, over their versions so far."""
-    versions = tables.scan_job_versions(spark, f"{out}/jobs").filter(F.col("batch_id") <= batch_id)
-    fresh = versions.filter(F.col("batch_id") == batch_id)
-    known = versions.join(fresh.select("job_id").distinct(), "job_id", "left_semi")
-    if history_us is not None:
-        known = known.filter(F.unix_micros("snapshot_ts") >= fresh.select(F.min(F.unix_micros("snapshot_ts"))).scalar() - history_us)
-    known = latest_rows(known, ["job_id", "snapshot_ts"], [F.col("batch_id").desc()])
-    times = [F.unix_micros(c).alias(n) for c, n in (("snapshot_ts", "ts_us"), ("submission_time", "submission_us"), ("start_time", "start_us"))]
-    events = status_transitions(known.select("job_id", "status", *times))
-    events = events.withColumn("timestamp", F.timestamp_micros("timestamp_us"))
-    sinks.append_scheduling_events(events, f"{out}/scheduling_events", batch_id)
+def collected_jobs(spark: SparkSession, out: str) -> DataFrame:
+    """The newest version of each job; a job is killed if a pod of its poll was killed for memory."""
+    kills = spark.read.schema(KILLS).parquet(f"{out}/kills").distinct()
+    kills = kills.select("snapshot_ts", "namespace", F.col("job_name").alias("name"), F.lit(True).alias("__killed"))
+    jobs = tables.scan_current_jobs(spark, f"{out}/jobs").join(kills, ["snapshot_ts", "namespace", "name"], "left")
+    return jobs.withColumn("oom_killed", F.coalesce("__killed", "oom_killed")).drop("__killed")
 
 
-def _newest(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
-    """Of rows written by several batches, those of the newest batch of each key."""
-    rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
-    newest = rows.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(newest, [*keys, "batch_id"], "left_semi").drop("batch_id")
+def _merged(spark: SparkSession, out: str) -> DataFrame:
+    return merged_sums(spark.read.schema(POLL_SUMS).parquet(f"{out}/partials"))
 
 
 def collected_states(spark: SparkSession, out: str) -> DataFrame:
-    return _newest(spark, f"{out}/cluster_states", schemas.CLUSTER_STATES, ["timestamp"])
+    states = states_of_sums(_merged(spark, out)).withColumn("id", F.unix_micros("timestamp"))
+    return sinks.conform(states, schemas.CLUSTER_STATES, sinks.STATE_DEFAULTS)
 
 
 def collected_metrics(spark: SparkSession, out: str) -> DataFrame:
-    return _newest(spark, f"{out}/metrics", schemas.METRICS, ["timestamp"])
+    """Four gauges for each collected state."""
+    gauges = gauges_long(collected_states(spark, out)).withColumn("id", F.xxhash64("metric_name", "timestamp"))
+    return sinks.conform(gauges, schemas.METRICS, sinks.METRIC_DEFAULTS)
 
 
 def collected_audit(spark: SparkSession, out: str) -> DataFrame:
-    return _newest(spark, f"{out}/audit", AUDIT, ["snapshot_ts"])
+    return _merged(spark, out).select(
+        "snapshot_ts",
+        (F.col("jobs_seen") - F.col("errors")).alias("jobs_collected"),
+        (F.col("node_count") > 0).cast("bigint").alias("states_collected"),
+        "errors",
+        F.unix_micros("snapshot_ts").alias("collected_us"),
+    )
 
 
 def collected_quarantine(spark: SparkSession, out: str) -> DataFrame:
-    schema = "snapshot_ts timestamp, job_id string, name string, namespace string, defect string"
-    return _newest(spark, f"{out}/quarantine", schema, ["snapshot_ts"])
+    return spark.read.schema(QUARANTINE).parquet(f"{out}/quarantine")
 
 
 def collected_events(spark: SparkSession, out: str) -> DataFrame:
-    """Scheduling events of each job as its newest batch saw them."""
-    events = spark.read.schema(f"{schemas.SCHEDULING_EVENTS}, batch_id bigint").parquet(f"{out}/scheduling_events")
-    newest = tables.scan_job_versions(spark, f"{out}/jobs").groupBy("job_id").agg(F.max("batch_id").alias("batch_id"))
-    return events.join(newest, ["job_id", "batch_id"], "left_semi").drop("batch_id")
+    """Scheduling events as the last batch that had to say something about their job left them."""
+    events = batch_transitions(spark, f"{out}/transitions").withColumn("timestamp", F.timestamp_micros("timestamp_us"))
+    events = events.withColumn("id", F.xxhash64("job_id", "timestamp", "event_type"))
+    return sinks.conform(events, schemas.SCHEDULING_EVENTS, sinks.EVENT_DEFAULTS)
+
+
+def _newest(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """Of rows written by several batches, those of the newest batch of each key."""
+    rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, [*keys, "batch_id"], "left_semi").drop("batch_id")
 
 
 def _trigger(writer, seconds: int, once: bool):
@@ -118,10 +108,9 @@ def _trigger(writer, seconds: int, once: bool):
 
 
 def collect_stream(
-    polls: DataFrame, out: str, checkpoint: str, seconds: int = COLLECTION_SECONDS, once: bool = False,
-    history_us: int | None = None,
+    polls: DataFrame, out: str, checkpoint: str, seconds: int = COLLECTION_SECONDS, once: bool = False
 ) -> StreamingQuery:
-    writer = polls.writeStream.foreachBatch(lambda df, batch: collect_batch(df, batch, out, history_us))
+    writer = polls.writeStream.foreachBatch(lambda df, batch: collect_batch(df, batch, out))
     return _trigger(writer.option("checkpointLocation", checkpoint), seconds, once).start()
 
 

@@ -1,113 +1,194 @@
-"""Status transitions of a snapshot stream, with the last status of each job kept between batches.
+"""Status transitions of a snapshot stream that do not depend on the order in which snapshots arrive.
 
-Two ways with the same result. ``transitions_by_batch`` keeps the last statuses in a table and
-stays on joins and windows throughout; it is the one to use at scale and for backfills.
-``status_transitions_keyed`` keeps them in Spark's state store, many jobs to a bucket, so that the
-cost of calling Python is paid per bucket and not per job. A poll lists a job once, so a bucket's
-rows in one micro-batch are bounded by its jobs times the polls per trigger.
-
-Both keep every job for good unless told how long after its last snapshot a finished or a silent job
-may be forgotten: with these limits the state stays bounded, and a later change of a forgotten job counts
-as its first snapshot. Snapshots that arrive after a newer one of their job change nothing.
+Two ways with the same result. ``status_changes_keyed`` keeps the versions of each job in the state
+store (``transformWithState`` on RocksDB): a version that arrives late is put between its neighbours, and
+the one after it is answered again under the next revision. ``transitions_by_batch`` stays on joins and
+windows: it keeps the last status of each job in a table, and only for jobs with late rows does it read
+their versions again and rewrite their events. The second suits backfills, the first many small triggers.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from jobtide.dims import COLLECTION_SECONDS
 from jobtide.operators.ordered import OrderedScan
 from jobtide.operators.stats import latest_rows
 from jobtide.operators.transitions import transition_rows
+from jobtide.session import remove, scratch
 from jobtide.sources.sinks import drop_batch
 
-WATERMARK = "10 minutes"
+LATE = "10 minutes"
 FINISHED = ("Succeeded", "Failed")
 
 EVER_US = 1 << 60
 SEEN = ["ts_us", "status", "submission_us", "start_us"]
-CHANGES = "job_id string, ts_us bigint, prev_status string, status string, submission_us bigint, start_us bigint"
-CHANGED = ["job_id", "ts_us", "prev_status", "status", "submission_us", "start_us"]
-LAST = "job_id array<string>, ts_us array<bigint>, status array<string>"
-INTEGERS = {"ts_us": "Int64", "submission_us": "Int64", "start_us": "Int64"}
+CHANGES = "job_id string, ts_us bigint, prev_status string, status string, submission_us bigint, start_us bigint, revision int"
+#: Rows of a job that are sorted at once. More rows of one trigger are taken in turns; late ones among them are corrected.
+ROWS_AT_ONCE = 10_000
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def bucket_changes(
-    key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState, finished_us: int | None = None, idle_us: int | None = None
-) -> Iterator[pd.DataFrame]:
-    """Rows of one bucket whose status differs from the job's one before.
 
-    Snapshots not newer than what is known of their job are ignored.
-    """
-    stored = state.get if state.exists else ([], [], [])
-    known = pd.DataFrame(dict(zip(["job_id", "ts_us", "status"], map(list, stored))))
-    arrived = [] if state.hasTimedOut else list(chunks)
-    rows = known.assign(fresh=False)
-    if arrived:
-        fresh = pd.concat(arrived)
-        after = fresh["job_id"].map(known.set_index("job_id")["ts_us"])
-        fresh = fresh[after.isna() | (fresh["ts_us"] > after)]
-        rows = pd.concat([rows.astype({"ts_us": "int64"}), fresh.assign(fresh=True)], ignore_index=True)
-        rows = rows.sort_values(["job_id", "ts_us", "status"], kind="stable")
-        before = rows.groupby("job_id")["status"].shift()
-        changed = rows.assign(prev_status=before)[rows["fresh"] & before.notna() & (before != rows["status"])]
-        if not changed.empty:
-            yield changed[CHANGED].astype(INTEGERS)
-    last = rows.drop_duplicates("job_id", keep="last")
-    keep_us = last["status"].isin(FINISHED).map({True: _or_ever(finished_us), False: _or_ever(idle_us)})
-    expires_ms = (last["ts_us"] + keep_us) // 1000
-    limited = finished_us is not None or idle_us is not None
-    now_ms = state.getCurrentWatermarkMs() if limited else 0
-    live = expires_ms >= now_ms
-    last, expires_ms = last[live], expires_ms[live]
-    if last.empty:
-        state.remove()
-        return
-    state.update((last["job_id"].tolist(), [int(t) for t in last["ts_us"]], last["status"].tolist()))
-    if limited:
-        state.setTimeoutTimestamp(max(int(expires_ms.min()), now_ms) + 1)
+# -- one state per job --------------------------------------------------------------------------------
 
 
-def _or_ever(limit_us: int | None) -> int:
-    return EVER_US if limit_us is None else limit_us
+class JobVersions(StatefulProcessor):
+    """Versions of one job by (time, status), each with the status before it and how often it was answered."""
 
+    def __init__(self, timed: bool, finished_us: int | None, idle_us: int | None):
+        self._timed, self._finished_us, self._idle_us = timed, finished_us, idle_us
 
-def status_transitions_keyed(
-    snapshots: DataFrame,
-    scheduler_name: str = "unknown",
-    efficiency: Column | None = None,
-    watermark: str | None = None,
-    buckets: int = 256,
-    finished_us: int | None = None,
-    idle_us: int | None = None,
+    def init(self, handle) -> None:
+        self._handle = handle
+        value = "submission_us bigint, start_us bigint, prev_status string, revision int"
+        self._versions = handle.getMapState("versions", "ts_us bigint, status string", value)
+        self._newest = handle.getValueState("newest", "ts_us bigint, status string, timer_ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = iter(rows)
+        while some := list(islice(rows, ROWS_AT_ONCE)):
+            yield from self._take(key[0], some)
+        if self._timed and self._newest.exists():
+            ts_us, status, timer_ms = self._newest.get()
+            if timer_ms is None:
+                self._set_timer(ts_us, status, ts_us // 1000 + 1)
+
+    def _take(self, job_id: str, rows: list) -> Iterator[Row]:
+        fresh = {}
+        for r in sorted(((r.ts_us, r.status), r.submission_us, r.start_us) for r in map(_numbers, rows)):
+            fresh.setdefault(r[0], r[1:])
+        last = self._newest.get() if self._newest.exists() else None
+        known, timer_ms = ({}, last[2]) if last else ({}, None)
+        order = []
+        if last and min(fresh) <= (last[0], last[1]):
+            known = {(k[0], k[1]): v for k, v in self._versions.iterator()}
+            fresh = {k: v for k, v in fresh.items() if k not in known}
+            order = sorted([*known, *fresh])
+        elif last:
+            order = [(last[0], last[1]), *fresh]
+        else:
+            order = list(fresh)
+        for at in fresh:
+            i = bisect_left(order, at)
+            before = order[i - 1][1] if i else None
+            yield from self._answer(job_id, at, fresh[at], before, None, 0)
+            after = order[i + 1] if i + 1 < len(order) else None
+            if after in known:
+                *times, was, revision = known[after]
+                if was != at[1]:
+                    yield from self._answer(job_id, after, times, at[1], was, revision + 1)
+        if order and (last is None or order[-1] > (last[0], last[1])):
+            self._newest.update((*order[-1], timer_ms))
+
+    def _answer(self, job_id, at, times, before, was, revision) -> Iterator[Row]:
+        """Store a version; a change, and one that is no longer one, is told."""
+        self._versions.updateValue(at, (*times, before, revision))
+        changes, changed = before is not None and before != at[1], was is not None and was != at[1]
+        if changes or changed:
+            yield Row(job_id=job_id, ts_us=at[0], prev_status=before, status=at[1], submission_us=times[0], start_us=times[1], revision=revision)
+
+    def _set_timer(self, ts_us: int, status: str, at_ms: int | None) -> None:
+        if at_ms is not None:
+            self._handle.registerTimer(at_ms)
+        self._newest.update((ts_us, status, at_ms))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """No row behind the watermark comes any more: of older versions only the last can still be a neighbour."""
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        order = sorted((k[0], k[1]) for k in self._versions.keys())
+        old = [at for at in order if at[0] // 1000 < now_ms]
+        for at in old[:-1]:
+            self._versions.removeKey(at)
+        ts_us, status = order[-1]
+        keep_us = self._finished_us if status in FINISHED else self._idle_us
+        if len(old) < len(order):
+            self._set_timer(ts_us, status, max(ts_us // 1000, now_ms) + 1)
+        elif keep_us is None:
+            self._set_timer(ts_us, status, None)
+        elif (ts_us + keep_us) // 1000 < now_ms:
+            self._versions.clear()
+            self._newest.clear()
+        else:
+            self._set_timer(ts_us, status, max((ts_us + keep_us) // 1000, now_ms) + 1)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _numbers(row) -> Row:
+    """Times as integers; a missing time is NULL, however the rows were transferred."""
+    whole = lambda x: None if x is None or x != x else int(x)
+    return Row(ts_us=int(row.ts_us), status=row.status, submission_us=whole(row.submission_us), start_us=whole(row.start_us))
+
+
+def status_changes_keyed(
+    snapshots: DataFrame, late: str | None = None, finished_us: int | None = None, idle_us: int | None = None
 ) -> DataFrame:
-    """Expects job_id, ts_us, status, submission_us and start_us.
+    """Changes of status with the revision of each; :func:`newest_changes` keeps the newest of them.
+
+    Expects job_id, ts_us, status, submission_us and start_us. A snapshot may arrive in any order: it is
+    compared with the versions before and after it, and if the one after it told something else before,
+    that one is told again under a higher revision (also if it is no change any more). A snapshot that is
+    repeated with its time and status tells nothing; snapshots of one time are ordered by status.
 
-    Rows behind ``watermark`` are dropped; without one no row is, however late. Limits on the state need
-    one and take WATERMARK if none is given. ``buckets`` must stay the same over the life of a checkpoint.
+    ``late`` bounds the state: rows further behind the newest event are dropped, and versions that no
+    row can get between any more are removed. Without it no row is late and all versions stay. How long a
+    finished or silent job is remembered needs it, and takes LATE if none is given; a later change of a
+    forgotten job counts as its first snapshot. The query must be started within :func:`rocksdb`.
     """
-    if finished_us is not None or idle_us is not None:
-        watermark = watermark or WATERMARK
-    timed = snapshots.withColumn("ts", F.timestamp_micros("ts_us"))
-    timed = timed.withWatermark("ts", watermark) if watermark else timed
-    bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
-    rows = timed.select("ts", "job_id", *SEEN, bucket.alias("bucket"))
+    late = late or (LATE if finished_us is not None or idle_us is not None else None)
+    rows = snapshots.select("job_id", *SEEN)
+    if late:
+        rows = rows.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", late)
+    processor = JobVersions(late is not None, finished_us, idle_us)
+    return rows.groupBy("job_id").transformWithState(processor, CHANGES, "append", "EventTime" if late else "None")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Streams that are started inside keep their state in RocksDB, which versions per key need."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def newest_changes(changes: DataFrame) -> DataFrame:
+    """The last word on each version; what turned out to be no change is left out."""
+    last = F.max_by(F.struct("prev_status", "submission_us", "start_us"), "revision").alias("last")
+    rows = changes.groupBy("job_id", "ts_us", "status").agg(last).select("job_id", "ts_us", "status", "last.*")
+    return rows.filter(F.col("prev_status").isNotNull() & (F.col("prev_status") != F.col("status")))
+
+
+def keyed_transitions(changes: DataFrame, scheduler_name: str = "unknown", efficiency: Column | None = None) -> DataFrame:
+    """Transitions named by the stored changes of :func:`status_changes_keyed`."""
+    return transition_rows(newest_changes(changes), scheduler_name, efficiency)
 
-    def changed(key, chunks, state):
-        return bucket_changes(key, chunks, state, finished_us, idle_us)
 
-    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    changes = rows.groupBy("bucket").applyInPandasWithState(changed, CHANGES, LAST, "append", timeout)
-    return transition_rows(changes, scheduler_name, efficiency)
+# -- joins and windows, batch by batch ----------------------------------------------------------------
+
+
+def _or_ever(limit_us: int | None) -> int:
+    return EVER_US if limit_us is None else limit_us
 
 
 KNOWN = "job_id string, ts_us bigint, status string"
+VERSIONS = f"{KNOWN}, submission_us bigint, start_us bigint"
 
 
 def transition_batch(
@@ -116,34 +197,60 @@ def transition_batch(
 ) -> None:
     """Write the transitions of one batch and the last statuses for the next one.
 
-    Polls list every live job, so the table of last statuses is about as large as a batch. A
-    retried batch reads the same predecessor and replaces its own output.
+    Polls list every live job, so the table of last statuses is about as large as a batch. Where a
+    row is older than what is known of its job, the job's versions are read from all batches and its
+    events written anew; :func:`batch_transitions` takes a job's events from there on. Other jobs are
+    compared with their last status only, so a batch in order reads no history. A retried batch reads
+    the same predecessor and replaces its own output.
     """
     spark = snapshots.sparkSession
     if batch_id == 0:
         known = spark.createDataFrame([], KNOWN)
     else:
         known = spark.read.schema(KNOWN).parquet(f"{out}/last/batch_id={batch_id - 1}")
-    fresh = snapshots.select("job_id", *SEEN).withColumn("__fresh", F.lit(1))
-    rows = fresh.unionByName(known.withColumn("__fresh", F.lit(0)), allowMissingColumns=True)
-
-    # The known row comes first; snapshots that are not newer than it change nothing.
-    scan = OrderedScan(rows, ["job_id"], ["__fresh", "ts_us", "status"])
-    is_known = F.col("__fresh") == 0
-    scan.running_sum(__known_us=F.when(is_known, F.col("ts_us")).otherwise(F.lit(0)))
-    scan.df = scan.df.filter(is_known | (F.col("ts_us") > F.col("__known_us")))
-    changes = scan.previous(prev_status="status").result().filter(~is_known)
-    transition_rows(changes, scheduler_name).write.mode("overwrite").parquet(f"{out}/events/batch_id={batch_id}")
-
-    newest = [F.col("ts_us").desc(), F.col("__fresh").asc(), F.col("status").desc()]
-    last = latest_rows(rows.select("job_id", "ts_us", "status", "__fresh"), ["job_id"], newest)
-    keep_us = F.when(F.col("status").isin(*FINISHED), _or_ever(finished_us)).otherwise(_or_ever(idle_us))
-    now_us = rows.select(F.max("ts_us")).scalar()
-    live = last.filter(F.col("ts_us") + keep_us >= now_us).drop("__fresh")
-    live.write.mode("overwrite").parquet(f"{out}/last/batch_id={batch_id}")
+    at, last = F.struct("ts_us", "status"), F.struct(F.col("last_us").alias("ts_us"), F.col("last_status").alias("status"))
+    met = known.select("job_id", F.col("ts_us").alias("last_us"), F.col("status").alias("last_status"))
+    fresh = snapshots.select("job_id", *SEEN).join(met, "job_id", "left")
+    fresh = fresh.select("job_id", *SEEN, F.coalesce(at < last, F.lit(False)).alias("__late"), F.coalesce(at == last, F.lit(False)).alias("__again"))
+    fresh = fresh.filter(~F.col("__again")).drop("__again")
+    held = scratch(spark, "batch")
+    try:
+        fresh.write.parquet(f"{held}/fresh")
+        fresh = spark.read.schema(fresh.schema).parquet(f"{held}/fresh")
+        fresh.drop("__late").write.mode("overwrite").parquet(f"{out}/versions/batch_id={batch_id}")
+        fresh.filter("__late").select("job_id").distinct().write.mode("overwrite").parquet(f"{out}/rewritten/batch_id={batch_id}")
+        late = spark.read.schema("job_id string").parquet(f"{out}/rewritten/batch_id={batch_id}")
+        rows, before = fresh.drop("__late"), known
+        if not late.isEmpty():
+            before = known.join(late, "job_id", "left_anti")
+            versions = spark.read.schema(f"{VERSIONS}, batch_id bigint").parquet(f"{out}/versions").filter(F.col("batch_id") < batch_id)
+            rows.unionByName(versions.drop("batch_id").join(late, "job_id", "left_semi")).write.parquet(f"{held}/rows")
+            rows = spark.read.schema(rows.schema).parquet(f"{held}/rows")
+        rows = rows.withColumn("__fresh", F.lit(1)).unionByName(before.withColumn("__fresh", F.lit(0)), allowMissingColumns=True)
+
+        # Equal statuses at one time tell nothing, and a known row tells nothing again.
+        changes = OrderedScan(rows, ["job_id"], ["ts_us", "status", "__fresh"]).previous(prev_status="status").result()
+        events = transition_rows(changes.filter("__fresh = 1"), scheduler_name)
+        events.write.mode("overwrite").parquet(f"{out}/events/batch_id={batch_id}")
+
+        seen = fresh.select("job_id", "ts_us", "status").unionByName(known)
+        newest = latest_rows(seen, ["job_id"], [F.col("ts_us").desc(), F.col("status").desc()])
+        keep_us = F.when(F.col("status").isin(*FINISHED), _or_ever(finished_us)).otherwise(_or_ever(idle_us))
+        now_us = seen.select(F.max("ts_us")).scalar()
+        newest.filter(F.col("ts_us") + keep_us >= now_us).write.mode("overwrite").parquet(f"{out}/last/batch_id={batch_id}")
+    finally:
+        remove(spark, held)
     drop_batch(spark, f"{out}/last", batch_id - 2)
 
 
+def batch_transitions(spark: SparkSession, out: str) -> DataFrame:
+    """The events that :func:`transition_batch` left, for each job from its last rewriting batch on."""
+    events = spark.read.parquet(f"{out}/events")
+    rewritten = spark.read.schema("job_id string, batch_id bigint").parquet(f"{out}/rewritten")
+    rewritten = rewritten.groupBy("job_id").agg(F.max("batch_id").alias("__from"))
+    return events.join(rewritten, "job_id", "left").filter(F.col("batch_id") >= F.coalesce("__from", F.lit(0))).drop("batch_id", "__from")
+
+
 def transitions_by_batch(
     snapshots: DataFrame,
     out: str,
@@ -155,11 +262,7 @@ def transitions_by_batch(
     idle_us: int | None = None,
 ) -> StreamingQuery:
     def write(df: DataFrame, batch_id: int) -> None:
-        df.persist()
-        try:
-            transition_batch(df, batch_id, out, scheduler_name, finished_us, idle_us)
-        finally:
-            df.unpersist()
+        transition_batch(df, batch_id, out, scheduler_name, finished_us, idle_us)
 
     writer = snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     timed = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")

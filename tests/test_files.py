@@ -1,6 +1,9 @@
 """Readers, writers and streams on files."""
 
 import json
+import os
+import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -55,18 +58,22 @@ def test_collector_end_to_end(spark, tmp_path):
     (source / "2.json").write_text(poll(10, [("a", False, 2, 0), ("b", False, 0, 1)], oom=["b"]))
     run()
 
-    jobs = {r["job_id"]: r for r in tables.scan_current_jobs(spark, f"{out}/jobs").collect()}
+    jobs = {r["job_id"]: r for r in collect.collected_jobs(spark, out).collect()}
     assert {k: (r["status"], r["oom_killed"], r["cpu_request"]) for k, r in jobs.items()} == {
         "a": ("Running", False, 0.5),
         "b": ("Succeeded", True, 0.5),
     }
-    states = tables.scan_cluster_states(spark, f"{out}/cluster_states").orderBy("timestamp").collect()
-    assert [(r["pending_jobs_count"], r["running_jobs_count"], r["avg_cpu_utilization"]) for r in states] == [(1, 1, 0.25), (0, 2, 0.25)]
-    assert [r["id"] for r in states] == [r["ts_us"] for r in states]
-    gauges = spark.read.parquet(f"{out}/metrics")
+
+    def states():
+        rows = collect.collected_states(spark, out).orderBy("timestamp").collect()
+        return [(r["timestamp"], r["pending_jobs_count"], r["running_jobs_count"], r["avg_cpu_utilization"]) for r in rows]
+
+    assert [r[1:] for r in states()] == [(1, 1, 0.25), (0, 2, 0.25)]
+    gauges = collect.collected_metrics(spark, out)
     assert gauges.count() == 8 and gauges.select("metric_name").distinct().count() == 4
-    audit = spark.read.parquet(f"{out}/audit").agg(F.sum("jobs_collected"), F.sum("states_collected"), F.sum("errors")).first()
-    assert tuple(audit) == (4, 2, 1)
+    audit = collect.collected_audit(spark, out)
+    assert tuple(audit.agg(F.sum("jobs_collected"), F.sum("states_collected"), F.sum("errors")).first()) == (4, 2, 1)
+    assert [r["job_id"] for r in collect.collected_quarantine(spark, out).collect()] == ["bad"]
 
     sinks.compact_jobs(spark, f"{out}/jobs", f"{out}/jobs2")
     assert tables.scan_current_jobs(spark, f"{out}/jobs2").count() == 2
@@ -76,13 +83,28 @@ def test_collector_end_to_end(spark, tmp_path):
     assert [(r["job_id"], r["event_type"]) for r in events] == [("b", "completed")]
 
     # a repeated batch replaces itself
-    again = snapshots.read_polls(spark, str(source / "2.json"), stream=False)
+    again, before = snapshots.read_polls(spark, str(source / "2.json"), stream=False), states()
     collect.collect_batch(again, 1, out)
-    assert spark.read.parquet(f"{out}/metrics").count() == 8
-    # an old snapshot in a later batch does not win
-    collect.collect_batch(snapshots.read_polls(spark, str(source / "1.json"), stream=False), 2, out)
-    jobs = tables.scan_current_jobs(spark, f"{out}/jobs").collect()
-    assert {r["job_id"]: r["status"] for r in jobs} == {"a": "Running", "b": "Succeeded"}
+    assert states() == before
+    assert [(r["job_id"], r["event_type"]) for r in collect.collected_events(spark, out).collect()] == [("b", "completed")]
+    # an older poll in a later batch does not win, but is put in its place
+    (source / "0.json").write_text(poll(-5, [("a", True, 0, 0), ("b", True, 0, 0)]))
+    run()
+    assert {r["job_id"]: r["status"] for r in collect.collected_jobs(spark, out).collect()} == {"a": "Running", "b": "Succeeded"}
+    assert [r[1:3] for r in states()] == [(2, 0), (1, 1), (0, 2)]
+
+
+def test_a_batch_reads_no_earlier_objects(spark, tmp_path):
+    """Everything but the last statuses may be gone, and a batch in order of time is written all the same."""
+    source, out = tmp_path / "polls", str(tmp_path / "out")
+    source.mkdir()
+    for minute, status in enumerate([(True, 0, 0), (False, 1, 0), (False, 0, 1)]):
+        (source / f"{minute}.json").write_text(poll(minute, [("a", *status)]))
+        collect.collect_stream(snapshots.read_polls(spark, str(source)), out, str(tmp_path / "cp"), once=True).awaitTermination()
+        for name in ("partials", "kills", "quarantine", "jobs", "transitions/versions"):
+            assert sorted(os.listdir(f"{out}/{name}")) == [f"batch_id={minute}"]
+            shutil.rmtree(f"{out}/{name}")
+    assert [r["event_type"] for r in collect.collected_events(spark, out).orderBy("timestamp").collect()] == ["completed"]
 
 
 def test_collector_does_not_depend_on_triggers(spark, tmp_path):
@@ -99,7 +121,7 @@ def test_collector_does_not_depend_on_triggers(spark, tmp_path):
         out = str(tmp_path / f"out{files}")
         stream = snapshots.read_polls(spark, str(source), max_files=files)
         collect.collect_stream(stream, out, str(tmp_path / f"cp{files}"), once=True).awaitTermination()
-        jobs = tables.scan_current_jobs(spark, f"{out}/jobs").select("job_id", "status", "oom_killed").orderBy("job_id").collect()
+        jobs = collect.collected_jobs(spark, out).select("job_id", "status", "oom_killed").orderBy("job_id").collect()
         states = collect.collected_states(spark, out).select("timestamp", "pending_jobs_count", "running_jobs_count", "metadata")
         rows = [
             jobs,
@@ -146,7 +168,8 @@ def test_stream_transitions_equal_batch(spark, tmp_path, keyed):
     def run():
         stream = spark.readStream.schema(SNAPSHOTS).parquet(source)
         if keyed:
-            collect.append_stream(transitions.status_transitions_keyed(stream), out, checkpoint, once=True).awaitTermination()
+            with transitions.rocksdb(spark):
+                collect.append_stream(transitions.status_changes_keyed(stream), out, checkpoint, once=True).awaitTermination()
         else:
             transitions.transitions_by_batch(stream, out, checkpoint, once=True).awaitTermination()
 
@@ -154,29 +177,77 @@ def test_stream_transitions_equal_batch(spark, tmp_path, keyed):
     run()
     write_polls(spark, source, [r for r in LIFE if r[1] > 28])
     run()
-    write_polls(spark, source, [("a", 15, "Failed"), ("b", 25, "Failed")])  # older than what is known
+    write_polls(spark, source, [("b", 25, "Failed"), ("a", 10, "Suspended")])  # known already
     run()
-    rows = spark.read.parquet(out if keyed else f"{out}/events").drop("batch_id")
-    whole = spark.createDataFrame(
-        [(j, t * 1_000_000, s, 0, t * 1_000_000 if s == "Running" else None) for j, t, s in LIFE], SNAPSHOTS
-    )
-    wanted = status_transitions(whole)
+    rows = transitions.keyed_transitions(spark.read.parquet(out)) if keyed else transitions.batch_transitions(spark, out)
+    wanted = whole(spark, LIFE)
     assert sorted(map(str, rows.select(wanted.columns).collect())) == sorted(map(str, wanted.collect()))
     assert sorted((r["job_id"], r["event_type"]) for r in wanted.collect()) == [
         ("a", "admitted"), ("a", "completed"), ("a", "scheduled"), ("b", "rejected"), ("c", "admitted"),
     ]
 
 
-def test_late_jobs_of_their_own_are_not_dropped(spark, tmp_path):
-    """Hours behind the newest row of other jobs, and no newer snapshot of the job itself."""
+def whole(spark, life):
+    rows = [(j, t * 1_000_000, s, 0, t * 1_000_000 if s == "Running" else None) for j, t, s in life]
+    return status_transitions(spark.createDataFrame(rows, SNAPSHOTS))
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_order_of_snapshots_does_not_matter(spark, tmp_path, keyed, monkeypatch):
+    """One row per file and trigger, dealt at random: late versions change what their neighbours told."""
+    monkeypatch.setattr(transitions, "ROWS_AT_ONCE", 2)
+    rng = random.Random(12)
+    statuses = ["Suspended", "Pending", "Running", "Succeeded", "Failed"]
+    life = [(j, t, rng.choice(statuses)) for j in "abc" for t in rng.sample(range(100), 7)] + [("a", 200, "Pending"), ("a", 200, "Running"), ("late", 3, "Pending"), ("late", 4, "Running")]
+    parts = [[life[i] for i in range(k, len(life), 5)] for k in range(5)]
+    parts[-1] += [life[0], life[1]]  # told twice
+    out, checkpoint, source = (str(tmp_path / name) for name in ("out", "cp", "in"))
+    for batch, part in enumerate(parts):
+        write_polls(spark, source, rng.sample(part, len(part)))
+        if keyed:
+            stream = spark.readStream.schema(SNAPSHOTS).parquet(source)
+            with transitions.rocksdb(spark):
+                collect.append_stream(transitions.status_changes_keyed(stream), out, checkpoint, once=True).awaitTermination()
+        else:
+            rows = [(j, t * 1_000_000, s, 0, t * 1_000_000 if s == "Running" else None) for j, t, s in part]
+            for _ in range(2 if batch == 3 else 1):  # a retry changes nothing
+                transitions.transition_batch(spark.createDataFrame(rows, SNAPSHOTS), batch, out)
+    if keyed:
+        told = spark.read.parquet(out)
+        assert told.agg(F.max("revision")).first()[0] > 0
+        rows = transitions.keyed_transitions(told)
+    else:
+        rows = transitions.batch_transitions(spark, out)
+    wanted = whole(spark, life)
+    assert sorted(map(str, rows.select(wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_a_batch_in_order_reads_no_history(spark, tmp_path):
+    out = str(tmp_path)
+    for batch, (ts, status) in enumerate([(10, "Pending"), (20, "Running"), (30, "Succeeded")]):
+        rows = [(j, ts * 1_000_000, status, 0, None) for j in "ab"]
+        transitions.transition_batch(spark.createDataFrame(rows, SNAPSHOTS), batch, out)
+        shutil.rmtree(f"{out}/versions/batch_id={batch}")
+        shutil.rmtree(f"{out}/events/batch_id={batch - 1}", ignore_errors=True)
+    assert sorted((r["job_id"], r["event_type"]) for r in transitions.batch_transitions(spark, out).collect()) == [("a", "completed"), ("b", "completed")]
+
+
+def test_state_of_old_versions_leaves(spark, tmp_path):
+    """With a bound on lateness, versions nothing can get between leave, and finished jobs are forgotten."""
     source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "cp"))
     hour = 3600
-    parts = [[("a", 9 * hour, "Pending")], [("a", 9 * hour + 60, "Running")], [("late", hour, "Pending"), ("late", 2 * hour, "Running")]]
+    parts = [
+        [("a", 1, "Pending"), ("a", 5, "Running"), ("done", 2, "Running"), ("done", 3, "Succeeded")], [("b", 2 * hour, "Pending")], [("b", 3 * hour, "Pending")],
+        [("a", 3 * hour, "Succeeded"), ("done", 3 * hour, "Running")], [("b", 4 * hour, "Running"), ("a", 2, "Suspended")], [("b", 5 * hour, "Running")],
+    ]
     for part in parts:
         write_polls(spark, source, part)
         stream = spark.readStream.schema(SNAPSHOTS).parquet(source)
-        collect.append_stream(transitions.status_transitions_keyed(stream, buckets=4), out, checkpoint, once=True).awaitTermination()
-    assert sorted(r["job_id"] for r in spark.read.parquet(out).collect()) == ["a", "late"]
+        changes = transitions.status_changes_keyed(stream, late="30 minutes", finished_us=hour * 1_000_000)
+        with transitions.rocksdb(spark):
+            collect.append_stream(changes, out, checkpoint, once=True).awaitTermination()
+    rows = transitions.keyed_transitions(spark.read.parquet(out)).collect()
+    assert sorted((r["job_id"], r["event_type"]) for r in rows) == [("a", "completed"), ("a", "scheduled"), ("b", "scheduled"), ("done", "completed")]
 
 
 def test_finished_jobs_leave_the_table(spark, tmp_path):

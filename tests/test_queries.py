@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from jobtide.plans import q_streams, q_tables
@@ -28,7 +29,7 @@ def test_query(spark, db, name):
 
 STREAMS = [
     "append_states_stream", "status_refresh", "status_transitions_stream", "status_transitions_keyed", "monitor_stream",
-    "oom_rate_stream", "collect_states",
+    "oom_rate_stream", "collect_stream", "collect_states", "collect_gauges", "collect_quarantine", "collect_audit", "collect_events",
 ]
 
 
@@ -39,7 +40,8 @@ def folder(spark, tmp_path_factory):
     for name in os.listdir(SF_DIR):
         if name != "events.parquet":
             os.symlink(f"{SF_DIR}/{name}", path / name)
-    spark.read.parquet(f"{SF_DIR}/events.parquet").repartitionByRange(5, "ts").write.parquet(str(path / "events.parquet"))
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    events.repartition(5, F.xxhash64("ts")).write.parquet(str(path / "events.parquet"))  # every part reaches over the whole time
     return str(path)
 
 
