@@ -94,22 +94,38 @@ def interarrival(
     return rows.withColumn("gap_s", gap).drop("__before")
 
 
+#: Arrivals are cut into parts of so many gaps, and at least CUT_SECONDS.
+CUT_GAPS, CUT_SECONDS = 1_000, 86_400
+
+
 def burst_sessions(
-    jobs: DataFrame,
-    gap_s: float = 5.0,
-    at_least: int = 1,
-    by: Sequence[str] = (),
-    time_us: str = "submission_us",
-    job_id: str = "job_id",
-    **options,
+    jobs: DataFrame, gap_s: float = 5.0, at_least: int = 1, by: Sequence[str] = (), time_us: str = "submission_us", cut_s: float | None = None
 ) -> DataFrame:
-    """Runs of arrivals spaced at most ``gap_s`` apart, with at least that many arrivals each."""
-    scan = OrderedScan(jobs.filter(F.col(time_us).isNotNull()), by, [time_us, job_id], **options)
-    scan.previous(__before=time_us)
-    apart = F.coalesce(F.col(time_us) - F.col("__before") > int(gap_s * MICROS_PER_SECOND), F.lit(True))
-    scan.df = scan.df.withColumn("__opens", apart.cast("bigint"))
-    sessions = scan.running_sum(__session="__opens").result()
-    bursts = sessions.groupBy(*by, "__session").agg(
-        F.min(time_us).alias("first_us"), F.max(time_us).alias("last_us"), F.count("*").alias("arrivals")
-    )
-    return bursts.filter(F.col("arrivals") >= at_least).drop("__session")
+    """Runs of arrivals spaced at most ``gap_s`` apart, with at least that many arrivals each.
+
+    Session windows run within cuts of the time line, so that a busy key, or no key at all, is spread
+    over its cuts. A run can reach over a cut only if it comes within a gap of its edge: of the runs of a
+    cut these are the first and the last at most, and only they are joined afterwards.
+    """
+    gap_us = int(gap_s * MICROS_PER_SECOND)
+    cut_us = int((cut_s or max(CUT_SECONDS, CUT_GAPS * gap_s)) * MICROS_PER_SECOND)
+    if cut_us <= 2 * gap_us:
+        raise ValueError("a cut must be longer than two gaps")
+    us = F.col(time_us).cast("bigint")
+    rows = jobs.filter(us.isNotNull()).select(*by, us.alias("__us"), F.timestamp_micros(us).alias("__ts"), F.floor(us / F.lit(cut_us)).cast("bigint").alias("__cut"))
+    window = F.session_window("__ts", f"{gap_us} microseconds").alias("__session")
+    parts = rows.groupBy(*by, "__cut", window).agg(F.min("__us").alias("first_us"), F.max("__us").alias("last_us"), F.count("*").alias("arrivals"))
+    open_ = (F.col("first_us") - F.col("__cut") * cut_us <= gap_us) | ((F.col("__cut") + 1) * cut_us - F.col("last_us") <= gap_us)
+    parts = parts.select(*by, "__cut", "first_us", "last_us", "arrivals", open_.alias("__open"))
+    edges = _joined(parts.filter("__open"), by, gap_us)
+    whole = parts.filter(~F.col("__open")).select(*by, "first_us", "last_us", "arrivals").unionByName(edges)
+    return whole.filter(F.col("arrivals") >= at_least)
+
+
+def _joined(runs: DataFrame, by: Sequence[str], gap_us: int) -> DataFrame:
+    """Runs that touch become one; at most two of a key and cut come in."""
+    order = Window.partitionBy(*by).orderBy("first_us")
+    apart = F.coalesce(F.col("first_us") - F.lag("last_us").over(order) > gap_us, F.lit(True))
+    numbered = runs.withColumn("__opens", apart.cast("bigint")).withColumn("__run", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = [F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("arrivals").alias("arrivals")]
+    return numbered.groupBy(*by, "__run").agg(*sums).drop("__run")

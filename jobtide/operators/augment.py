@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.dims import ANOMALY_RATE, NOISE_SIGMA
-from jobtide.functions.hashing import normal, uniform
+from jobtide.functions.hashing import draw, normal, uniform
 
 
 def _keys(keys: Sequence[str]) -> list[Column]:
@@ -32,7 +32,7 @@ def augment_anomaly(
     count = (F.floor(uniform(seed + 1, *_keys(keys)) * most) + 1).cast("int")
     places = F.transform(
         "state",
-        lambda x, i: F.struct(F.xxhash64(F.lit(seed + 2), *_keys(keys), i).alias("draw"), i.alias("at")),
+        lambda x, i: F.struct(draw(seed + 2, *_keys(keys), i).alias("draw"), i.alias("at")),
     )
     rows = chosen.withColumn(
         "__hit", F.transform(F.slice(F.array_sort(places), F.lit(1), count), lambda p: p["at"])

@@ -76,20 +76,40 @@ def last_event(placements: DataFrame) -> Column:
     return placements.select(F.greatest(*times)).scalar()
 
 
-def active_at_tick(
-    placements: DataFrame, tick_us: int, by: Sequence[str] = (), until_us: Column | None = None
-) -> DataFrame:
-    """(job, tick) rows of a regular clock with start < tick < end.
+#: Ticks of a block by which ranges and asked ticks meet.
+BLOCK_TICKS = 8_640
+
+
+def active_ranges(placements: DataFrame, tick_us: int, by: Sequence[str] = (), until_us: Column | None = None) -> DataFrame:
+    """The ticks of a regular clock at which each job is active (start < tick < end), as one range of tick numbers.
 
     A started job without an end is active at every tick up to ``until_us`` (default: the last event
-    of the log). The ticks of a job are enumerated from its own times, so no join is needed.
+    of the log). Jobs that are active at no tick are left out. The range follows from a job's own times.
     """
     until_us = until_us if until_us is not None else last_event(placements)
     started = placements.filter(F.col("start_us").isNotNull()).withColumn("__until", until_us)
     first = first_tick_after(F.col("start_us"), tick_us)
     after = F.coalesce(first_tick_from(F.col("completion_us"), tick_us), first_tick_after(F.col("__until"), tick_us))
-    ticks = F.when(first < after, F.sequence(first, after - 1))
-    rows = started.select(*by, "job_id", F.explode(ticks).alias("tick"))
+    ranges = started.select(*by, "job_id", first.alias("first_tick"), (after - 1).alias("last_tick"))
+    return ranges.filter(F.col("first_tick") <= F.col("last_tick"))
+
+
+def active_at(ranges: DataFrame, asked: DataFrame, by: Sequence[str] = (), block_ticks: int = BLOCK_TICKS) -> DataFrame:
+    """(job, tick) rows for the tick numbers in ``asked`` (column ``tick``): who is active then.
+
+    A range is listed under each block of ticks that it touches, and an asked tick looks its block up.
+    """
+    block = lambda tick: F.floor(F.col(tick) / F.lit(block_ticks)).cast("bigint")
+    listed = ranges.withColumn("__block", F.explode(F.sequence(block("first_tick"), block("last_tick"))))
+    looked = asked.select("tick").distinct().withColumn("__block", block("tick"))
+    met = listed.join(looked, "__block").filter(F.col("tick").between(F.col("first_tick"), F.col("last_tick")))
+    return met.select(*by, "job_id", "tick")
+
+
+def active_at_tick(placements: DataFrame, tick_us: int, by: Sequence[str] = (), until_us: Column | None = None) -> DataFrame:
+    """(job, tick) rows of all ticks: :func:`active_ranges` written out, which is as long as jobs run."""
+    ranges = active_ranges(placements, tick_us, by, until_us)
+    rows = ranges.select(*by, "job_id", F.explode(F.sequence("first_tick", "last_tick")).alias("tick"))
     return rows.select(*by, "job_id", (F.col("tick") * tick_us).alias("tick_us"))
 
 

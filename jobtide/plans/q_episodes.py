@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtide.dims import ANOMALY_RATE, NOISE_SIGMA
 from jobtide.operators import augment, scoring, trajectories
 from jobtide.plans.registry import query
 from jobtide.plans.views import oracle, view
@@ -211,24 +212,68 @@ def _stored(rows: DataFrame) -> DataFrame:
     return rows.select("event_id", F.transform("state", lambda x: F.round(x.cast("double"), 5)).alias("state"))
 
 
-@query()
+def _uniform_sql(seed: int, *parts: str) -> str:
+    """The draws of ``functions.hashing`` in the words of the oracle database."""
+    key = " || '-' || ".join([f"'{seed}'", *[f"({p})::varchar" for p in parts]])
+    return f"((('0x' || substr(md5({key}), 1, 10))::bigint + 0.5) / {16**10}.0::double)"
+
+
+def _normal_sql(seed: int, *parts: str) -> str:
+    return f"(sqrt(-2.0::double * ln({_uniform_sql(seed, *parts)})) * cos(2.0::double * pi() * {_uniform_sql(seed + 1, *parts)}))"
+
+
+_LOGGED = """logged as (select event_id, [cast(x as float) for x in [k / 128::double, queue_length / 12::double, reward::double, (k % 7) / 7::double, (k % 3) / 3::double]] as state from steps)"""
+_NOISY = f"""noisy as (select event_id, list_transform(state, lambda x, i: cast(x + {NOISE_SIGMA} * {_normal_sql(2, "event_id", "i - 1")} as float)) as state
+  from logged where {_uniform_sql(1, "event_id")} < 0.5)"""
+
+
+def _odd_sql(rate: float) -> str:
+    place = "('0x' || substr(md5('103-' || event_id::varchar || '-' || (i - 1)::varchar), 1, 10))::bigint"
+    return f"""odd as (select event_id, list_transform(state, lambda x, i: case when list_contains(hit, i) then
+      case when {_uniform_sql(104, "event_id", "i - 1")} < 0.5 then 0.0 else 1.0 end else x end) as state
+    from (select event_id, state, list_transform(list_sort(list_transform(state, lambda x, i: {{'draw': {place}, 'at': i}}))
+      [1:floor({_uniform_sql(102, "event_id")} * 4)::int + 1], lambda p: p['at']) as hit from logged where {_uniform_sql(101, "event_id")} < {rate}))"""
+
+
+_SHOWN = "select event_id, list_transform(state, lambda x: round(x::double, 5)) as state from"
+
+
+@query(oracle(f"with {_LOGGED}, {_NOISY} {_SHOWN} noisy", "steps"))
 def augment_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The draws come from Spark's row hash, which the oracle database does not have."""
     return _stored(augment.augment_noise(logged_states(spark, sf_dir), ["event_id"]))
 
 
-@query()
+@query(oracle(f"with {_LOGGED}, {_odd_sql(0.1)} {_SHOWN} odd", "steps"))
 def augment_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(augment.augment_anomaly(logged_states(spark, sf_dir), ["event_id"], rate=0.1))
 
 
-@query()
+@query(
+    oracle(
+        f"""with {_LOGGED}, {_NOISY}, {_odd_sql(ANOMALY_RATE)} select event_id, null::boolean as augmented, null::boolean as anomaly from logged
+        union all select event_id, true, null from noisy union all select event_id, null, true from odd""",
+        "steps",
+    )
+)
 def augment_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = augment.augment_union(logged_states(spark, sf_dir), ["event_id"])
     return rows.select("event_id", "augmented", "anomaly")
 
 
-@query()
+_VARIED = ", ".join(
+    f"greatest(trunc({name} * (1.0::double + {NOISE_SIGMA} * {_normal_sql(201 + 2 * i, 'event_id')}))::bigint, {least}) as {name}"
+    for i, (name, least) in enumerate(augment.FLOORS.items())
+)
+
+
+@query(
+    oracle(
+        f"""with asked as (select event_id, (cpu_request * 1000)::bigint as cpu_request, (memory_request * 1024)::bigint as memory_request,
+          (user_id % 60 + 1) * 60 as duration from jobs)
+        select event_id, {_VARIED} from asked""",
+        "jobs",
+    )
+)
 def noisy_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = view(spark, sf_dir, "jobs").select(
         "event_id",

@@ -189,23 +189,3 @@ def comparison_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def submission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.submission_audit(_submissions(spark, sf_dir), ["scheduler"])
-
-
-@query(
-    oracle(
-        """select count(*) filter (where event_type not in ('error', 'signup')) as jobs_collected,
-          count(*) filter (where event_type = 'error') as states_collected,
-          count(*) filter (where event_type = 'signup') as errors, max(us) as last_collection_us from e""",
-        "e",
-    )
-)
-def collection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly audit rows summed to the totals of the whole collection."""
-    kind = F.col("event_type")
-    batches = view(spark, sf_dir, "e").groupBy(F.floor(F.col("us") / 3_600_000_000).alias("batch")).agg(
-        F.count_if(~kind.isin("error", "signup")).alias("jobs_collected"),
-        F.count_if(kind == "error").alias("states_collected"),
-        F.count_if(kind == "signup").alias("errors"),
-        F.max("us").alias("collected_us"),
-    )
-    return monitor.collection_audit(batches)

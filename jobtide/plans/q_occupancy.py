@@ -87,17 +87,41 @@ def outcome_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 4) for c in ("total_wait_s", "total_execution_s")})
 
 
+_ACTIVE = f"""with log as (select max(greatest(submission_us, start_us, completion_us)) as until from placements),
+  active as (select job_id, unnest(range(start_us // {TICK_US} + 1,
+    coalesce((completion_us + {TICK_US} - 1) // {TICK_US}, until // {TICK_US} + 1))) as tick
+    from placements, log where start_us is not null)"""
+
+
 @query(
     oracle(
-        f"""with log as (select max(greatest(submission_us, start_us, completion_us)) as until from placements)
-        select job_id, unnest(range(start_us // {TICK_US} + 1,
-          coalesce((completion_us + {TICK_US} - 1) // {TICK_US}, until // {TICK_US} + 1))) * {TICK_US} as tick_us
-        from placements, log where start_us is not null""",
+        f"""{_ACTIVE} select job_id, min(tick) as first_tick, max(tick) as last_tick, count(*) as ticks from active group by job_id""",
         "placements",
     )
 )
 def active_at_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occupancy.active_at_tick(view(spark, sf_dir, "placements"), TICK_US)
+    """All (job, tick) rows, run-length encoded; the oracle writes every tick out and counts."""
+    rows = occupancy.active_ranges(view(spark, sf_dir, "placements"), TICK_US)
+    return rows.withColumn("ticks", F.col("last_tick") - F.col("first_tick") + 1)
+
+
+_ASKED_SECONDS = 6 * 3600
+
+
+@query(
+    oracle(
+        f"""{_ACTIVE} select job_id, tick * {TICK_US} as tick_us from active where tick * {TICK_US} % {_ASKED_SECONDS * 1_000_000} = 0""",
+        "placements",
+    )
+)
+def active_at_asked_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is active at the ticks of every sixth hour."""
+    placements, asked_us = view(spark, sf_dir, "placements"), _ASKED_SECONDS * 1_000_000
+    step = asked_us // TICK_US
+    ranges = occupancy.active_ranges(placements, TICK_US)
+    ends = ranges.agg(F.ceil(F.min("first_tick") / step).alias("a"), F.floor(F.max("last_tick") / step).alias("b")).filter("a <= b")
+    asked = ends.select(F.explode(F.sequence("a", "b")).alias("number")).select((F.col("number") * step).alias("tick"))
+    return occupancy.active_at(ranges, asked).select("job_id", (F.col("tick") * TICK_US).alias("tick_us"))
 
 
 @query(

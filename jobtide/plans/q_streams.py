@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtide.plans import q_arrivals  # noqa: F401 (its oracles are used)
 from jobtide.plans.q_stats import TRANSITIONS_SQL
 from jobtide.plans.registry import ORACLES, query
 from jobtide.plans.views import SPARK_TERMS, SPARK_VIEWS, VIEWS, oracle, table
@@ -76,9 +77,7 @@ def status_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest refresh of the totals."""
     out, checkpoint = _place(spark, "status")
     collect.status_refresh(_view(spark, sf_dir, "jobs"), out, checkpoint, once=True).awaitTermination()
-    refreshes = spark.read.parquet(out)
-    newest = refreshes.select(F.max("batch_id")).scalar()
-    return refreshes.filter(F.col("batch_id") == newest).drop("batch_id")
+    return collect.refreshed(spark, out)
 
 
 _WINDOWS = """w as (
@@ -113,11 +112,42 @@ def _ddl(rows: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
 
 
+TICKS = "event_us bigint, reason string, message string"
+
+
 @query(ORACLES["oom_rate_windows"])
 def oom_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sliding rate, with the slides counted as a stream."""
-    slides = _updated(spark, monitor.oom_slides(_view(spark, sf_dir, "cluster_events")), "slides", ["slide_us"])
-    return monitor.oom_rates(slides).withColumn("oom_rate", F.round("oom_rate", 6))
+    """The sliding rate as it comes out of the stream; a poll after the last event closes the last windows.
+
+    The files of the table may come in any order of time, so the delay is as long as the table.
+    """
+    delay_days = 400
+    out, checkpoint = _place(spark, "rates")
+    ticks = scratch(spark, "ticks")
+    spark.createDataFrame([], TICKS).write.parquet(ticks)
+
+    def run() -> None:
+        events = _view(spark, sf_dir, "cluster_events").select("event_us", "reason", "message")
+        polls = spark.readStream.schema(TICKS).parquet(ticks)
+        rates = monitor.oom_rate_stream(events.unionByName(polls), f"{delay_days} days")
+        collect.append_stream(rates, out, checkpoint, once=True).awaitTermination()
+
+    run()
+    last = table(spark, sf_dir, "events").agg(F.unix_micros(F.max("ts").cast("timestamp"))).first()[0] or 0
+    closing = last + (delay_days * 24 + 2) * 3_600_000_000
+    spark.createDataFrame([(closing, None, None)], TICKS).write.mode("append").parquet(ticks)
+    run()
+    rows = spark.read.schema("window_start_us bigint, oom_events bigint, total_events bigint, oom_rate double").parquet(out)
+    return rows.withColumn("oom_rate", F.round("oom_rate", 6))
+
+
+@query(ORACLES["burst_sessions"])
+def burst_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions merged in the state store, as the last trigger left them."""
+    out, checkpoint = _place(spark, "bursts")
+    rows = monitor.burst_stream(_view(spark, sf_dir, "jobs").select("job_id", "submission_us"), "60 seconds")
+    collect.refresh_stream(rows, out, checkpoint, once=True).awaitTermination()
+    return collect.refreshed(spark, out, rows.schema).filter("arrivals >= 2")
 
 
 _WINDOW_ROWS = """w as (

@@ -305,6 +305,20 @@ def collect_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.collection_audit(audit)
 
 
+@query(
+    oracle(
+        """select count(*) filter (where event_id % 17 <> 0) as jobs_collected, count(*) filter (where event_id % 17 = 0) as errors,
+          max(submission_us - submission_us % 86400000000) filter (where event_id % 17 <> 0) as last_collection_us from jobs""",
+        "jobs",
+    )
+)
+def collection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a collection of jobs, from what its writes counted on the way."""
+    totals = collect.collected_totals(spark, _collected(spark, {"job": objects.job_manifests(spark, sf_dir)}))
+    sums = [F.sum("jobs_collected").alias("jobs_collected"), F.sum("errors").alias("errors"), F.max("collected_us").alias("last_collection_us")]
+    return totals.agg(*sums)
+
+
 @query(oracle(f"select timestamp_us, job_id, event_type from ({q_stats.TRANSITIONS_SQL}) t", "job_snapshots"))
 def collect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scheduling events that the collector leaves behind, from polls of every change of a job."""

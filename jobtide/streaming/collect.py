@@ -9,7 +9,7 @@ grow with the age of the day or of a job, and results do not depend on files, tr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,6 +23,7 @@ from jobtide.streaming.transitions import batch_transitions, transition_batch
 
 KILLS = "snapshot_ts timestamp, namespace string, job_name string"
 QUARANTINE = "snapshot_ts timestamp, job_id string, name string, namespace string, defect string"
+TOTALS = "jobs_collected bigint, errors bigint, collected_us bigint"
 _KINDS = ["job", "workload", "node", "pod", "event"]
 
 
@@ -42,9 +43,14 @@ def collect_batch(polls: DataFrame, batch_id: int, out: str) -> None:
             "kills": killed_jobs(pods, ["snapshot_ts", "namespace"]),
             "quarantine": bad,
         }
+        seen, failed = Observation(f"jobs {batch_id}"), Observation(f"errors {batch_id}")
+        parts["quarantine"] = bad.observe(failed, F.count(F.lit(1)).alias("errors"))
         for name, rows in parts.items():
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
-        sinks.upsert_jobs(normalize_jobs(jobs), f"{out}/jobs", batch_id)
+        told = [F.count(F.lit(1)).alias("jobs_collected"), F.max(F.unix_micros("snapshot_ts")).alias("collected_us")]
+        sinks.upsert_jobs(normalize_jobs(jobs).observe(seen, *told), f"{out}/jobs", batch_id)
+        totals = [(seen.get["jobs_collected"], failed.get["errors"], seen.get["collected_us"])]
+        spark.createDataFrame(totals, TOTALS).coalesce(1).write.mode("overwrite").parquet(f"{out}/totals/batch_id={batch_id}")
     finally:
         polls.unpersist()
     versions = spark.read.schema(f"snapshot_ts timestamp, {schemas.JOBS}").parquet(f"{out}/jobs/batch_id={batch_id}")
@@ -85,6 +91,11 @@ def collected_audit(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
+def collected_totals(spark: SparkSession, out: str) -> DataFrame:
+    """Jobs and errors of each batch as its own writes counted them; no pass over the objects is made for them."""
+    return spark.read.schema(TOTALS).parquet(f"{out}/totals")
+
+
 def collected_quarantine(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(QUARANTINE).parquet(f"{out}/quarantine")
 
@@ -143,13 +154,26 @@ def status_totals(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("status").agg(F.count("*").alias("jobs"))
 
 
+def refresh_stream(rows: DataFrame, out: str, checkpoint: str, seconds: int = 60, once: bool = False) -> StreamingQuery:
+    """Keep the newest whole result of an aggregation in a folder per refresh; :func:`refreshed` reads it."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return _trigger(rows.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint), seconds, once).start()
+
+
+def refreshed(spark: SparkSession, out: str, schema=None) -> DataFrame:
+    if schema is None:
+        refreshes = spark.read.parquet(out)
+    else:
+        refreshes = spark.read.schema(schema.add("batch_id", "long")).parquet(out)
+    newest = refreshes.select(F.max("batch_id")).scalar()
+    return refreshes.filter(F.col("batch_id") == newest).drop("batch_id")
+
+
 def status_refresh(
     jobs: DataFrame, out: str, checkpoint: str, seconds: int = 60, once: bool = False
 ) -> StreamingQuery:
     """Keep the newest totals in a folder per refresh."""
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    writer = status_totals(jobs).writeStream.outputMode("complete").foreachBatch(write)
-    return _trigger(writer.option("checkpointLocation", checkpoint), seconds, once).start()
+    return refresh_stream(status_totals(jobs).coalesce(1), out, checkpoint, seconds, once)

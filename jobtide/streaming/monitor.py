@@ -63,3 +63,35 @@ def oom_rates(slides: DataFrame, length: str = "1 hour", slide: str = "1 minute"
     )
     rate = F.col("oom_events") / F.greatest("total_events", F.lit(1))
     return rates.select(_window_us("w"), "oom_events", "total_events", rate.alias("oom_rate"))
+
+
+def oom_rate_stream(events: DataFrame, delay: str, length: str = "1 hour", slide: str = "1 minute") -> DataFrame:
+    """The rate of :func:`oom_rates` as one stream of two aggregations under one watermark.
+
+    Each slide is counted once; when the watermark closes it, its time feeds the windows that hold it, and a
+    window comes out, for good, when it is closed itself. Events further than ``delay`` behind the newest are
+    dropped. Rows without a reason move the clock and count nowhere, so that polls close windows in quiet times.
+    """
+    timed = _timed(events, "event_us", delay)
+    real = F.col("reason").isNotNull()
+    slides = timed.groupBy(F.window("ts", slide).alias("s")).agg(
+        F.count_if(real & oom_event(F.col("reason"), F.col("message"))).alias("oom"), F.count_if(real).alias("total")
+    )
+    rates = slides.filter("total > 0").groupBy(F.window(F.window_time("s"), length, slide).alias("w")).agg(
+        F.sum("oom").alias("oom_events"), F.sum("total").alias("total_events")
+    )
+    rate = F.col("oom_events") / F.col("total_events")
+    return rates.select(_window_us("w"), "oom_events", "total_events", rate.alias("oom_rate"))
+
+
+def burst_stream(arrivals: DataFrame, gap: str, by: Sequence[str] = (), time_us: str = "submission_us", watermark: str | None = None) -> DataFrame:
+    """Sessions of arrivals as a stream; late arrivals join the sessions they touch.
+
+    With a watermark closed sessions come out in append mode and leave the state; without one the whole
+    table of sessions is kept, for complete mode.
+    """
+    timed = _timed(arrivals.filter(F.col(time_us).isNotNull()), time_us, watermark)
+    window = F.session_window("ts", gap).alias("w")
+    keys = list(by) or [F.pmod(F.col(time_us), F.lit(1)).alias("all")]  # streams of sessions need a key
+    rows = timed.groupBy(window, *keys).agg(F.min(time_us).alias("first_us"), F.max(time_us).alias("last_us"), F.count("*").alias("arrivals"))
+    return rows.select(*by, "first_us", "last_us", "arrivals")

@@ -284,6 +284,44 @@ def test_window_streams_equal_batch(spark, tmp_path):
     assert some[1:3] == (sum(e[1] == "OOMKilling" for e in inside), len(inside))
 
 
+def test_rate_comes_out_of_the_stream(spark, tmp_path):
+    """Late rows within the delay count, later ones do not, and a window comes out once, when it is closed."""
+    minute, schema = 60_000_000, "event_us bigint, reason string, message string"
+    path, out, checkpoint = (str(tmp_path / name) for name in ("events", "out", "cp"))
+    parts = [
+        [(m * minute, "OOMKilling" if m % 5 == 0 else "x", "") for m in range(0, 100, 2)],
+        [(m * minute, "y", "OutOfMemory") for m in range(61, 100, 4)],  # late, in time
+        [(400 * minute, None, None)],  # a poll without events
+        [(5 * minute, "OOMKilling", "")],  # too late
+        [(2000 * minute, None, None)],
+    ]
+    seen = 0
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        collect.append_stream(monitor.oom_rate_stream(stream, "1 hour"), out, checkpoint, once=True).awaitTermination()
+        rows = spark.read.parquet(out).collect() if os.path.isdir(out) else []
+        assert len(rows) >= seen and len({r["window_start_us"] for r in rows}) == len(rows)
+        seen = len(rows)
+    frame = spark.createDataFrame(parts[0] + parts[1], schema)
+    wanted = monitor.oom_rates(monitor.oom_slides(frame))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, wanted.collect()))
+
+
+def test_sessions_of_a_stream_merge(spark, tmp_path):
+    """An arrival that comes late joins two sessions; with a watermark closed sessions are appended."""
+    schema, second = "job_id string, user string, submission_us bigint", 1_000_000
+    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "cp"))
+    parts = [[("a", "u", 0), ("b", "u", 8 * second), ("c", "v", 3 * second)], [("d", "u", 4 * second)], [("e", "u", 900 * second)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        rows = monitor.burst_stream(stream, "5 seconds", ["user"], watermark="1 minute")
+        collect.append_stream(rows, out, checkpoint, once=True).awaitTermination()
+    found = [tuple(r) for r in spark.read.parquet(out).orderBy("user").collect()]
+    assert found == [("u", 0, 8 * second, 3), ("v", 3 * second, 3 * second, 1)]
+
+
 def test_status_refresh(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for rows in ([("a", "Running")], [("b", "Running"), ("c", "Failed")]):

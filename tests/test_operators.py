@@ -137,6 +137,17 @@ def test_ticks_exclude_both_ends(spark):
     assert sorted(r["tick_us"] for r in later) == [20, 30, 40, 50]
 
 
+def test_who_is_active_at_asked_ticks(spark):
+    rng = random.Random(6)
+    rows = [(f"j{i}", s := rng.randrange(5000), s + rng.choice([1, 5, 80, 3000]) if i % 7 else None) for i in range(300)] + [("none", None, 10)]
+    df = spark.createDataFrame(rows, "job_id string, start_us bigint, completion_us bigint")
+    asked = spark.createDataFrame([(t,) for t in (0, 3, 3, 41, 400, 499, 700)], "tick bigint")
+    every = {(r["job_id"], r["tick_us"] // 10) for r in occupancy.active_at_tick(df, 10).collect()}
+    for block in (1, 64, 8640):
+        found = occupancy.active_at(occupancy.active_ranges(df, 10), asked, block_ticks=block).collect()
+        assert sorted(map(tuple, found)) == sorted((j, t) for j, t in every if t in (0, 3, 41, 400, 499, 700))
+
+
 def test_tick_changes_give_the_same_counts(spark):
     rng = random.Random(5)
     rows = [(f"j{i}", s := rng.randrange(500), s + rng.randrange(1, 80), 1.0, 1.0) for i in range(300)]
@@ -250,6 +261,26 @@ def test_burst_gap_is_inclusive(spark):
     assert [(r["first_us"] // second, r["last_us"] // second, r["arrivals"]) for r in rows] == [(0, 10, 3), (100, 104, 2)]
 
 
+@pytest.mark.parametrize("by", [[], ["user"]])
+def test_sessions_reach_over_cuts(spark, by):
+    """Against a plain pass, with cuts so short that runs reach over several of them."""
+    rng = random.Random(11)
+    rows = [(f"j{i}", rng.choice("ab"), rng.randrange(0, 4000) * 500_000) for i in range(900)] + [("x", "a", None), ("y", "a", -7_000_000), ("z", "a", 12_000_000)]
+    jobs = spark.createDataFrame(rows, "job_id string, user string, submission_us bigint")
+    wanted = []
+    for user in "ab" if by else [None]:
+        runs = []
+        for us in sorted(r[2] for r in rows if r[2] is not None and user in (None, r[1])):
+            if runs and us - runs[-1][1] <= 3_000_000:
+                runs[-1] = (runs[-1][0], us, runs[-1][2] + 1)
+            else:
+                runs.append((us, us, 1))
+        wanted += [(*([user] if by else []), *run) for run in runs]
+    for cut in (7, None):
+        found = arrivals.burst_sessions(jobs, 3.0, by=by, cut_s=cut).select(*by, "first_us", "last_us", "arrivals").collect()
+        assert sorted(map(tuple, found)) == sorted(wanted)
+
+
 def test_dimension_sizes(spark):
     assert dims.dim_templates(spark).count() == 6 and dims.dim_node_types(spark).count() == 16
     assert dims.dim_job_types(spark).count() == 5 and dims.dim_time_patterns(spark).count() == 15

@@ -94,9 +94,12 @@ def nearest(job_us, states):
     return min(states, key=lambda s: (abs(s[1] - job_us), s[0]))[0] if states else None
 
 
-@pytest.mark.parametrize("few", [0, 50_000])
+@pytest.mark.parametrize("few,most", [(0, 100_000), (1 << 30, 100_000), (0, 3)])
 @pytest.mark.parametrize("spread", [10, 5000])
-def test_nearest_against_brute_force(spark, few, spread):
+def test_nearest_against_brute_force(spark, monkeypatch, few, most, spread):
+    """Buckets that are shuffled or broadcast, and one time line for clustered states."""
+    monkeypatch.setattr(asof, "MOST_STATES", most)
+    monkeypatch.setattr(asof, "BUCKET_STATES", 5)
     rng = random.Random(spread)
     states = [(i, rng.randrange(spread) * 10) for i in range(700)]
     jobs = [(f"j{i}", rng.randrange(-100, spread * 10 + 100) if i % 50 else None) for i in range(2000)]
@@ -104,7 +107,7 @@ def test_nearest_against_brute_force(spark, few, spread):
     found = asof.asof_nearest(
         spark.createDataFrame(jobs, "job string, us bigint"),
         spark.createDataFrame(states, "id bigint, ts bigint"),
-        "job", "us", "ts", "id", ["ts"], rows_per_segment=150, few_states=few,
+        "job", "us", "ts", "id", ["ts"], rows_per_segment=150, broadcast_bytes=few,
     ).collect()
     assert len(found) == sum(us is not None for _, us in jobs)
     wanted = {job: nearest(us, states) for job, us in jobs if us is not None}
@@ -114,13 +117,27 @@ def test_nearest_against_brute_force(spark, few, spread):
     assert all(r["matched_distance_us"] == abs(r["ts"] - r["us"]) for r in found)
 
 
-@pytest.mark.parametrize("few", [0, 50_000])
+def test_nearest_does_not_sort_jobs(spark):
+    """Neither way sorts the jobs; gaps without states and jobs outside all states are answered from the neighbours."""
+    rng = random.Random(4)
+    times = [t for lo in (0, 5_000_000, 90_000_000) for t in rng.sample(range(lo, lo + 100_000), 300)]
+    states = spark.createDataFrame(list(enumerate(times)), "id bigint, ts bigint")
+    jobs = [(f"j{i}", rng.randrange(-10_000, 100_000_000)) for i in range(500)]
+    frame = spark.createDataFrame(jobs, "job string, us bigint")
+    for limit, how in ((0, "ShuffledHashJoin"), (1 << 30, "BroadcastHashJoin")):
+        found = asof.asof_nearest(frame, states, "job", "us", "ts", "id", ["ts"], broadcast_bytes=limit)
+        joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line]
+        assert how in joins[0] and "job" not in "".join(joins[1:])  # the jobs are in the first join only
+        assert {r["job"]: r["matched_state_id"] for r in found.collect()} == {job: nearest(us, list(enumerate(times))) for job, us in jobs}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 30])
 def test_nearest_edges(spark, few):
     jobs = spark.createDataFrame([("a", 100), ("b", 0), ("c", 999), ("d", None)], "job string, us bigint")
 
     def run(states):
         df = spark.createDataFrame(states, "id bigint, ts bigint")
-        rows = asof.asof_nearest(jobs, df, "job", "us", "ts", "id", [], few_states=few).collect()
+        rows = asof.asof_nearest(jobs, df, "job", "us", "ts", "id", [], broadcast_bytes=few).collect()
         return {r["job"]: r["matched_state_id"] for r in rows}
 
     assert run([(2, 110), (1, 90)]) == {"a": 1, "b": 1, "c": 2}

@@ -27,10 +27,8 @@ def test_query(spark, db, name):
         assert compare(spark, db, name, queries()[name], sql, SF_DIR) is None
 
 
-STREAMS = [
-    "append_states_stream", "status_refresh", "status_transitions_stream", "status_transitions_keyed", "monitor_stream",
-    "oom_rate_stream", "collect_stream", "collect_states", "collect_gauges", "collect_quarantine", "collect_audit", "collect_events",
-]
+STREAMS = ["append_states_stream", "status_refresh", "status_transitions_stream", "status_transitions_keyed", "monitor_stream", "oom_rate_stream", "burst_sessions_stream", "collect_events"]
+DAILY = ["collect_stream", "collect_states", "collect_gauges", "collect_quarantine", "collect_audit"]
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +39,7 @@ def folder(spark, tmp_path_factory):
         if name != "events.parquet":
             os.symlink(f"{SF_DIR}/{name}", path / name)
     events = spark.read.parquet(f"{SF_DIR}/events.parquet")
-    events.repartition(5, F.xxhash64("ts")).write.parquet(str(path / "events.parquet"))  # every part reaches over the whole time
+    events.repartition(2, F.xxhash64("ts")).write.parquet(str(path / "events.parquet"))  # every part reaches over the whole time
     return str(path)
 
 
@@ -53,6 +51,17 @@ def test_streams_do_not_depend_on_files_or_triggers(spark, db, folder, monkeypat
     assert compare(spark, db, name, queries()[name], oracle_sql()[name], folder) is None
 
 
+@pytest.mark.parametrize("files", [1, 1000])
+def test_collector_does_not_depend_on_files_or_triggers(spark, db, folder, monkeypatch, files):
+    """One run of the collector answers all queries of its daily polls."""
+    monkeypatch.setattr(q_tables, "MAX_FILES", files)
+    out = q_tables._collected(spark, q_tables._daily(spark, folder))
+    monkeypatch.setattr(q_tables, "_collected", lambda *_: out)
+    monkeypatch.setattr(q_tables, "_daily", lambda *_: {})
+    for name in DAILY:
+        assert compare(spark, db, name, queries()[name], oracle_sql()[name], folder) is None
+
+
 def test_entry(spark):
     rows = entry(spark)
     assert len(rows.columns) == 18 and rows.count() > 0
