@@ -2,9 +2,9 @@
 
 Components are cut into a few lists; a list scores a vector by its own components only. Scores are
 shifted by the smallest score of query and list, so that none is negative. Phase one gathers the k best
-of each list; the k-th best sum of what was seen is a lower bound, and a vector that reaches it scores
-at least its m-th part in one of the m lists. Phase two sends that cutoff to the lists and collects all
-entries that reach it; phase three scores the vectors that may still be among the k best exactly.
+of each list; the exact totals of these few rows give a safe cutoff, and a vector that reaches it scores
+at least its m-th part in one of the m lists. Phase two sends that cutoff to the lists and keeps all
+entries that reach it; phase three resolves the scores they have in the other lists exactly.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
 
 
 def _pack(rows: DataFrame, size: int, prefix: str) -> DataFrame:
-    """One row for each block and list: row numbers and the list's components."""
+    """One row for each block: row numbers, ids, and the components of each list."""
     counts = rows.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias(f"{prefix}_blocks"))
     placed = rows.join(counts, "dim").withColumn("block", F.pmod(F.xxhash64("row"), f"{prefix}_blocks").cast("int"))
 
@@ -36,64 +36,103 @@ def _pack(rows: DataFrame, size: int, prefix: str) -> DataFrame:
         n, dim = len(table), table["dim"][0].as_py()
         values = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, dim)
         order = np.argsort(table["row"].to_numpy())
-        numbers, values = table["row"].to_numpy()[order], values[order]
-        parts = np.array_split(np.arange(dim), LISTS)
+        parts = [np.ascontiguousarray(values[order][:, p]).tobytes() for p in np.array_split(np.arange(dim), LISTS)]
         return pa.table({
-            "dim": pa.array([dim] * LISTS, pa.int32()),
-            f"{prefix}_blocks": pa.array([table[f"{prefix}_blocks"][0].as_py()] * LISTS, pa.int32()),
-            f"{prefix}_block": pa.array([table["block"][0].as_py()] * LISTS, pa.int32()),
-            "list": pa.array(range(LISTS), pa.int32()),
-            f"{prefix}_rows": pa.array([numbers.tobytes()] * LISTS, pa.binary()),
-            f"{prefix}_values": pa.array([np.ascontiguousarray(values[:, p]).tobytes() for p in parts], pa.binary()),
+            "dim": pa.array([dim], pa.int32()),
+            f"{prefix}_blocks": pa.array([table[f"{prefix}_blocks"][0].as_py()], pa.int32()),
+            f"{prefix}_block": pa.array([table["block"][0].as_py()], pa.int32()),
+            f"{prefix}_rows": pa.array([table["row"].to_numpy()[order].tobytes()], pa.binary()),
+            f"{prefix}_ids": pa.array([table["vec_id"].to_numpy()[order].tobytes()], pa.binary()),
+            f"{prefix}_lists": pa.array([parts], pa.list_(pa.binary())),
         })
 
-    schema = f"dim int, {prefix}_blocks int, {prefix}_block int, list int, {prefix}_rows binary, {prefix}_values binary"
+    schema = f"dim int, {prefix}_blocks int, {prefix}_block int, {prefix}_rows binary, {prefix}_ids binary, {prefix}_lists array<binary>"
     return placed.groupBy("dim", "block").applyInArrow(pack, schema)
 
 
-def _local(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates, queries and the list's scores; a query's own row is left out by a mask."""
-    candidates, queries = np.frombuffer(row["c_rows"], "<i8"), np.frombuffer(row["q_rows"], "<i8")
-    ours = np.frombuffer(row["c_values"], float).reshape(len(candidates), -1)
-    theirs = np.frombuffer(row["q_values"], float).reshape(len(queries), -1)
-    return candidates, queries, np.rint(theirs @ ours.T).astype(np.int64)
+def _local(row: dict, at: int) -> np.ndarray:
+    """The scores of one list: a row for each query, a column for each candidate."""
+    ours, theirs = (np.frombuffer(row[f"{p}_lists"][at], float).reshape(len(row[f"{p}_rows"]) // 8, -1) for p in "cq")
+    return np.rint(theirs @ ours.T).astype(np.int64)
+
+
+def _rows(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row["c_rows"], "<i8"), np.frombuffer(row["q_rows"], "<i8")
 
 
 def _gather(k: int):
-    """Phase one: for each query the list's k best rows and its smallest score."""
+    """Phase one: for each query and list of a block the k best rows and the smallest score."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                candidates, queries, scores = _local(row)
-                low = scores.min(axis=1)
-                masked = np.where(candidates[None, :] == queries[:, None], np.iinfo(np.int64).min + 1, scores)  # can be negated
+                candidates, queries = _rows(row)
                 size = min(k, len(candidates))
-                best = np.argpartition(-masked, size - 1, axis=1)[:, :size]
-                query, at = np.repeat(np.arange(len(queries)), size), best.ravel()
-                real = candidates[at] != queries[query]
-                query, at = query[real], at[real]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(queries[query]), pa.array(np.full(len(at), row["list"], np.int32)), pa.array(low[query]), pa.array(candidates[at]), pa.array(scores[query, at])],
-                    ["query", "list", "low", "row", "local"],
-                )
+                for number in range(LISTS):
+                    scores = _local(row, number)
+                    low = scores.min(axis=1)
+                    masked = np.where(candidates[None, :] == queries[:, None], np.iinfo(np.int64).min + 1, scores)  # can be negated
+                    best = np.argpartition(-masked, size - 1, axis=1)[:, :size]
+                    query, at = np.repeat(np.arange(len(queries)), size), best.ravel()
+                    own = candidates[at] == queries[query]  # its row tells the low only
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(queries[query]), pa.array(np.full(len(at), number, np.int32)), pa.array(low[query]),
+                         pa.array(candidates[at], mask=own), pa.array(scores[query, at])],
+                        ["query", "list", "low", "row", "local"],
+                    )
 
     return run
 
 
-def _collect(batches):
-    """Phase two: all entries whose shifted score is at least the cutoff."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            candidates, queries, scores = _local(row)
-            cuts = {c["query"]: c for c in row["cuts"]}
-            for i, query in enumerate(queries.tolist()):
-                if query in cuts:
-                    gain = scores[i] - cuts[query]["lows"][row["list"]]
-                    at = np.flatnonzero((gain * LISTS >= cuts[query]["bound"]) & (candidates != query))
+def _reached(gains: np.ndarray, bound: int) -> np.ndarray:
+    """Which shifted scores are enough: a vector whose lists all stay below scores less than the bound."""
+    return gains * LISTS >= bound
+
+
+def _resolve(k: int):
+    """Phases two and three: entries that reach the cutoff in some list, their exact scores, the block's k best of them."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                candidates, queries = _rows(row)
+                ids, query_ids = np.frombuffer(row["c_ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+                lists = [_local(row, number) for number in range(LISTS)]
+                cuts = {c["query"]: c for c in row["cuts"]}
+                for i, query in enumerate(queries.tolist()):
+                    if query not in cuts:
+                        continue
+                    bound, lows = cuts[query]["bound"], cuts[query]["lows"]
+                    enough = np.logical_or.reduce([_reached(scores[i] - low, bound) for scores, low in zip(lists, lows)])
+                    at = np.flatnonzero(enough & (candidates != query))
+                    total = sum(scores[i, at] for scores in lists)
+                    at, total = at[total - sum(lows) >= bound], total[total - sum(lows) >= bound]
+                    best = np.lexsort((candidates[at], ids[at], -total))[:k]
+                    n, at, total = len(best), at[best], total[best]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), query)), pa.array(candidates[at]), pa.array(gain[at])], ["query", "row", "gain"]
-                    )
+                        [pa.array(np.full(n, query)), pa.array(np.full(n, query_ids[i])), pa.array(ids[at]), pa.array(candidates[at]), pa.array(total)],
+                        ["query", "query_id", "vec_id", "row", "score"],
+                    )
+
+    return run
+
+
+def _cutoffs(gathered: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """query, lows (of its lists), bound: what at least k rows score beyond the lows.
+
+    The rows gathered for a query, at most k for each list, are scored exactly; the k-th best of them is a bound
+    that nothing better can miss. A query that has seen fewer rows keeps all (bound 0).
+    """
+    lows = gathered.groupBy("query", "list").agg(F.min("low").alias("low"))
+    lows = lows.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("list", "low"))).alias("lows"))
+    best = Window.partitionBy("query", "list").orderBy(F.desc("local"), "row")
+    seen = gathered.filter("row is not null").withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k)
+    left, right = rows.select(F.col("row").alias("query"), F.col("v").alias("q")), rows.select("row", "v")
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    exact = seen.select("query", "row").distinct().join(left, "query").join(right, "row").select("query", "row", product.alias("score"))
+    cuts = lows.join(_kth(exact, k), "query", "left")
+    total = F.aggregate("lows", F.lit(0).cast("long"), lambda s, x: s + x["low"])
+    return cuts.select("query", F.col("lows.low").alias("lows"), F.coalesce(F.col("bound") - total, F.lit(0)).alias("bound"))
 
 
 def exact_top_k(
@@ -106,45 +145,31 @@ def exact_top_k(
     non-finite component, take no part; vectors of different length do not meet. Rows that share an id
     are rows of their own: each is ranked, and asks if its id does. Sums must stay below 2**53. An empty
     table gives an empty result; other columns are not read.
+
+    A block holds all lists of its rows, so an entry that reaches the cutoff is resolved where it is, and of each
+    block and query k rows at most are sent on.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = quantized(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v"))
     rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()))
     lists = scratch.keep(_pack(rows, BLOCK_ROWS, "c"))
     queries = scratch.keep(_pack(rows.filter(F.col("vec_id") % every == 0), QUERY_ROWS, "q"))
-    blocks = lists.select("dim", F.col("c_blocks").alias("n")).distinct()
-    asking = queries.join(blocks, "dim").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    asking = queries.join(lists.select("dim", "c_block"), "dim")
 
-    met = lists.drop("c_blocks").join(asking, ["dim", "c_block", "list"])
+    met = lists.drop("c_blocks").join(asking, ["dim", "c_block"])
     gathered = scratch.keep(met.mapInArrow(_gather(k), "query long, list int, low long, row long, local long"))
-    lows = gathered.groupBy("query", "list").agg(F.min("low").alias("low"))
-    best = Window.partitionBy("query", "list").orderBy(F.desc("local"), "row")
-    seen = gathered.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k).drop("low", "at").join(lows, ["query", "list"])
-    bounds = _kth(seen.groupBy("query", "row").agg(F.sum(F.col("local") - F.col("low")).alias("gain")), k)
-    per_query = lows.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("list", "low"))).alias("lows"))
-    cut = per_query.join(bounds, "query", "left").select("query", F.col("lows.low").alias("lows"), F.coalesce("bound", F.lit(0)).alias("bound"))
-
     owners = rows.filter(F.col("vec_id") % every == 0).join(queries.groupBy("dim").agg(F.max("q_blocks").alias("n")), "dim")
     owners = owners.select(F.col("row").alias("query"), "dim", F.pmod(F.xxhash64("row"), "n").cast("int").alias("q_block"))
-    cuts = owners.join(cut, "query").groupBy("dim", "q_block").agg(F.collect_list(F.struct("query", "lows", "bound")).alias("cuts"))
-    met = lists.drop("c_blocks").join(asking.join(cuts, ["dim", "q_block"]), ["dim", "c_block", "list"])
-    entries = met.mapInArrow(_collect, "query long, row long, gain long")
-
-    sums = scratch.keep(entries.groupBy("query", "row").agg(F.sum("gain").alias("gain"), F.count("*").alias("lists")))
-    open_ = sums.join(_kth(sums, k).withColumnRenamed("bound", "second"), "query", "left").join(cut.select("query", "bound"), "query")
-    possible = F.col("gain") * LISTS + (LISTS - F.col("lists")) * F.col("bound") >= F.coalesce("second", F.lit(0)) * LISTS
-    left = rows.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    right = rows.select("row", "vec_id", "v")
-    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    scored = open_.filter(possible).select("query", "row").join(left, "query").join(right, "row")
-    scored = scored.select("query", "query_id", "vec_id", "row", product.alias("score"))
+    cuts = owners.join(_cutoffs(gathered, rows, k), "query").groupBy("dim", "q_block").agg(F.collect_list(F.struct("query", "lows", "bound")).alias("cuts"))
+    met = lists.drop("c_blocks").join(asking.join(scratch.keep(cuts), ["dim", "q_block"]), ["dim", "c_block"])
+    scored = met.mapInArrow(_resolve(k), "query long, query_id long, vec_id long, row long, score long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _kth(sums: DataFrame, k: int) -> DataFrame:
-    """query, bound: the k-th largest gain of each query that has so many."""
-    order = Window.partitionBy("query").orderBy(F.desc("gain"), "row")
-    return sums.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).groupBy("query").agg(
-        F.max("at").alias("n"), F.min("gain").alias("bound")
+def _kth(scores: DataFrame, k: int) -> DataFrame:
+    """query, bound: the k-th largest score of each query that has so many."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "row")
+    return scores.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).groupBy("query").agg(
+        F.max("at").alias("n"), F.min("score").alias("bound")
     ).filter(F.col("n") == k).drop("n")

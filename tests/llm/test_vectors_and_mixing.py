@@ -5,6 +5,7 @@ import os
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,13 +54,25 @@ def test_the_own_row_takes_no_place(spark, monkeypatch, block):
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute(rows, k, 5)
 
 
-def test_cutoff_leaves_most_entries(spark):
-    """Phase two sends less than all rows, or the lists would be pointless."""
-    rng = random.Random(2)
-    centres = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(20)]
-    rows = [(i, [c + rng.gauss(0, 0.2) for c in centres[i % 20]]) for i in range(1000)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, topk.exact_top_k(frame).select("query_id", "rank", "vec_id", "score").collect())) == brute(rows, 5, 50)
+def test_cutoff_leaves_most_entries(spark, monkeypatch):
+    """Phase two keeps less than a quarter of all entries of the given vectors, or the lists would be pointless."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    shares, plain = [], topk._cutoffs
+
+    def counted(gathered, vectors, k):
+        cuts = plain(gathered, vectors, k)
+        values = {r["row"]: np.array(r["v"]) for r in vectors.collect()}
+        parts = np.array_split(np.arange(len(next(iter(values.values())))), topk.LISTS)
+        for cut in cuts.collect():
+            for part, low in zip(parts, cut["lows"]):
+                gains = np.array([int(values[cut["query"]][part] @ v[part]) - low for row, v in values.items() if row != cut["query"]])
+                assert (gains >= 0).all()
+                shares.append(topk._reached(gains, cut["bound"]).mean())
+        return cuts
+
+    monkeypatch.setattr(topk, "_cutoffs", counted)
+    topk.exact_top_k(rows).collect()
+    assert shares and sum(shares) / len(shares) < 0.25
 
 
 # -- mixing -------------------------------------------------------------------------------------------
