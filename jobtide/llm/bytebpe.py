@@ -20,11 +20,10 @@ from pyspark.sql import types as T
 from jobtide.llm.arrays import pieces, utf8
 from jobtide.llm.pretokens import Pretokens, tiktoken_classes
 
-#: Pre-tokens whose encoding a worker keeps. A full store is emptied; it holds
-#: results that are computed anew where they are missing.
-REMEMBERED = 400_000
-#: The same for pairs of tokens, which take less room.
-REMEMBERED_PAIRS = 1_000_000
+#: Bytes, as estimated, of remembered encodings of pre-tokens, and pairs of tokens whose compatibility
+#: is remembered. A full store is emptied, and so is each at the end of a task; what is missing is computed anew.
+REMEMBERED_BYTES = 32 << 20
+REMEMBERED_PAIRS = 200_000
 #: Bytes of text looked at together.
 TOGETHER = 4 << 20
 _NEVER = 1 << 62
@@ -46,6 +45,7 @@ class BytePairs:
         self.matches.make_automaton()
         self.classes = tiktoken_classes()
         self._known: dict[bytes, list[int]] = {}
+        self._known_bytes = 0
         self._pairs: dict[int, bool] = {}
         self._prefixes: dict[int, int] = {}
         self._edges: tuple[dict, dict] = ({}, {})
@@ -145,13 +145,25 @@ class BytePairs:
             ids = self._known.get(text)
             if ids is None:
                 ids = self.encode(text)
-                if len(self._known) >= REMEMBERED:
+                if self._known_bytes >= REMEMBERED_BYTES:
                     self._known.clear()
+                    self._known_bytes = 0
                 if len(text) <= 64:
                     self._known[text] = ids
+                    self._known_bytes += 200 + len(text) + 8 * len(ids)  # two objects and their place in the store
             out.append(ids)
         return out
 
+    def decode(self, ids: list[int]) -> bytes:
+        if ids and not 0 <= min(ids) <= max(ids) < len(self.tokens):
+            raise ValueError(f"no token has the id {min(ids) if min(ids) < 0 else max(ids)}")
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+    def forget(self) -> None:
+        """Give back what was remembered of the texts of a task."""
+        self._known, self._known_bytes, self._pairs = {}, 0, {}
+        pa.default_memory_pool().release_unused()
+
 
 @lru_cache(maxsize=2)
 def byte_pairs(path: str) -> BytePairs:
@@ -177,23 +189,35 @@ def _encoded(text_column: pa.Array, known: BytePairs) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(parts), pa.int32())).cast(pa.list_(pa.int32()))
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """Token ids of every whole text, as the tiktoken library gives them without special tokens.
 
     Returns doc_id and ids, a row for each input row, repeated ids included; no shuffle. A null or
     empty text has no ids (an empty array); a null doc_id stays null; an empty table gives an empty
-    result; other columns are not read. The rank file must exist on every executor.
+    result; other columns are not read. ``decoded`` names a column for the bytes that the ids decode to, made
+    by the same worker. The rank file must exist on every executor.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = "doc_id long, ids array<int>" + (f", `{decoded}` binary" if decoded else "")
 
     def run(batches):
         known = byte_pairs(ranks_path)
         for batch in batches:
             for lo, hi in pieces(utf8(batch["text"])[1], 4 * TOGETHER):
                 some = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([some["doc_id"], _encoded(some["text"], known)], ["doc_id", "ids"])
+                columns = {"doc_id": some["doc_id"], "ids": _encoded(some["text"], known)}
+                if decoded:
+                    columns[decoded] = _decoded(columns["ids"], known)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        known.forget()
+
+    return rows.mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+
+def _decoded(ids_column: pa.Array, known: BytePairs) -> pa.Array:
+    """The bytes of each list of ids. One list at a time becomes Python numbers."""
+    lists = (row.values for row in ids_column)
+    return pa.array((known.decode(ids.to_pylist() if ids is not None else []) for ids in lists), pa.binary())
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -204,16 +228,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", into: str
     schema = T.StructType([*encoded.drop(into).schema, T.StructField(into, T.BinaryType())])
 
     def run(batches):
-        tokens = byte_pairs(ranks_path).tokens
+        known = byte_pairs(ranks_path)
         for batch in batches:
-            out = []
-            for row in batch[ids_col]:
-                row = row.values
-                row = row.to_pylist() if row is not None else []
-                if row and not 0 <= min(row) <= max(row) < len(tokens):
-                    raise ValueError(f"no token has the id {min(row) if min(row) < 0 else max(row)}")
-                out.append(b"".join(map(tokens.__getitem__, row)))
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n != into}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(out, pa.binary())], [*columns, into])
+            yield pa.RecordBatch.from_arrays([*columns.values(), _decoded(batch[ids_col], known)], [*columns, into])
 
     return encoded.mapInArrow(run, schema)

@@ -66,7 +66,7 @@ def test_pairs_are_compatible_if_merging_gives_them_back(library):
 
 def test_small_stores(monkeypatch, library):
     """A full store is emptied; results stay the same."""
-    monkeypatch.setattr(bytebpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bytebpe, "REMEMBERED_BYTES", 700)
     monkeypatch.setattr(bytebpe, "REMEMBERED_PAIRS", 3)
     known = bytebpe.BytePairs(RANKS)
     text = "some words that repeat and some that do not repeat unhappily"
