@@ -16,8 +16,9 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from labelled rows of what it is given."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    held = docs.select(F.struct(*docs.columns).alias("document"), F.col("text"))
-    return toxicity.score(held, model).filter("predicted = 0").select("document.*")
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest")  # whatever its columns are called
+    kept = toxicity.score(docs.select("text", others), model).filter("predicted = 0")
+    return kept.select("text", "rest.*").select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the hash of the bytes they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = bytebpe.decode(bytebpe.encode(docs, path), path)
+    rows = bytebpe.encode(docs, path, decoded="decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
