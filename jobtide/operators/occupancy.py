@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.encoding import at_least_one
-from jobtide.operators.ordered import OrderedScan
+from jobtide.operators.ordered import OrderedScan, cut_prefix_sums
 
 
 def change_points(df: DataFrame, by: Sequence[str], begin: Column, end: Column, amounts: Mapping[str, Column]) -> DataFrame:
@@ -26,25 +26,38 @@ def change_points(df: DataFrame, by: Sequence[str], begin: Column, end: Column,
     return edges.groupBy(*by, "us").agg(*[F.sum(n).alias(n) for n in amounts])
 
 
+#: Change points of a cut of the time line.
+POINTS_PER_CUT = 500_000
+MILLICORES, BYTES = 1_000, 1 << 30
+
+
+def _cut_us(df: DataFrame, times: Sequence[str], points_per_cut: int) -> int:
+    """Width of cuts that hold about so many change points each, and at least one cut per core of a large table."""
+    first, last, n = df.agg(F.min(F.least(*times)), F.max(F.greatest(*times)), 2 * F.count("*")).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    cuts = max(1, -(-n // points_per_cut), min(cores, n // 10_000))
+    return 1 if first is None else int(last - first) // cuts + 1
+
+
 def occupancy_history(
     placements: DataFrame,
     by: Sequence[str] = (),
     cpu_total: float | None = None,
     memory_total: float | None = None,
-    rows_per_segment: int | None = None,
+    points_per_cut: int = POINTS_PER_CUT,
 ) -> DataFrame:
-    """Running jobs, cpu and memory in use after every start or end."""
-    changes = change_points(
-        placements,
-        by,
-        F.col("start_us"),
-        F.col("completion_us"),
-        {"cpu": F.col("cpu_request"), "memory": F.col("memory_request"), "jobs": F.lit(1)},
-    )
-    options = {"rows_per_segment": rows_per_segment} if rows_per_segment else {}
-    scan = OrderedScan(changes, by, ["us"], materialize=True, **options)
-    scan.running_sum(cpu_used="cpu", memory_used="memory", running_jobs="jobs")
-    history = scan.result().select(*by, "us", "cpu_used", "memory_used", "running_jobs")
+    """Running jobs, cpu (cores) and memory (GiB) in use after every start or end.
+
+    Amounts are added up as whole millicores and bytes, so that results do not depend on the order of sums.
+    """
+    whole = lambda c, unit: F.round(F.col(c) * unit).cast("bigint")
+    amounts = {"cpu": whole("cpu_request", MILLICORES), "memory": whole("memory_request", BYTES), "jobs": F.lit(1).cast("bigint")}
+    changes = change_points(placements, by, F.col("start_us"), F.col("completion_us"), amounts)
+    cut_us = _cut_us(placements.filter("start_us is not null"), ["start_us", "completion_us"], points_per_cut)
+    sums = {"__cpu": "cpu", "__memory": "memory", "running_jobs": "jobs"}
+    history = cut_prefix_sums(changes, by, "us", sums, cut_us)
+    cores, gib = (F.col("__cpu") / float(MILLICORES)).alias("cpu_used"), (F.col("__memory") / float(BYTES)).alias("memory_used")
+    history = history.select(*by, "us", cores, gib, "running_jobs")
     if cpu_total:
         history = history.withColumn("cpu_utilization", F.col("cpu_used") / cpu_total)
     if memory_total:
@@ -52,12 +65,11 @@ def occupancy_history(
     return history
 
 
-def queue_length_history(jobs: DataFrame, by: Sequence[str] = (), rows_per_segment: int | None = None) -> DataFrame:
+def queue_length_history(jobs: DataFrame, by: Sequence[str] = (), points_per_cut: int = POINTS_PER_CUT) -> DataFrame:
     """Waiting jobs after every submission or start."""
-    changes = change_points(jobs, by, F.col("submission_us"), F.col("start_us"), {"change": F.lit(1)})
-    options = {"rows_per_segment": rows_per_segment} if rows_per_segment else {}
-    scan = OrderedScan(changes, by, ["us"], materialize=True, **options).running_sum(queue_length="change")
-    return scan.result().select(*by, "us", "queue_length")
+    changes = change_points(jobs, by, F.col("submission_us"), F.col("start_us"), {"change": F.lit(1).cast("bigint")})
+    cut_us = _cut_us(jobs.filter("submission_us is not null"), ["submission_us", "start_us"], points_per_cut)
+    return cut_prefix_sums(changes, by, "us", {"queue_length": "change"}, cut_us).select(*by, "us", "queue_length")
 
 
 def first_tick_after(time: Column, tick: int) -> Column:

@@ -17,7 +17,7 @@ import json
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,7 +31,8 @@ MIN_ROWS_PER_SEGMENT = 1_000
 MAX_SEGMENTS = 16_384
 SAMPLES_PER_SEGMENT = 16
 UNROLLED_POINTS = 256
-HOT_SAMPLES = 8  # a key of two segments is expected to be hit 32 times
+HOT_SHARE = 0.5  # of a segment's samples: a key that may hold so much of a segment is worth cutting
+FIRST_SAMPLES = 4_096  # enough for 256 segments
 
 
 def segment_count(df: DataFrame, rows: int, rows_per_segment: int, max_segments: int) -> int:
@@ -40,18 +41,26 @@ def segment_count(df: DataFrame, rows: int, rows_per_segment: int, max_segments:
     return max(1, min(max(by_size, by_cores), max_segments))
 
 
-def split_points(df: DataFrame, columns: Sequence[str], rows: int, segments: int) -> list[tuple]:
+def look(df: DataFrame, columns: Sequence[str], samples: int) -> tuple[int, list[tuple]]:
+    """How many rows there are, and the ``samples`` of least hash, sorted: one pass for both."""
+    seen = Observation()
+    counted = df.select(*columns).observe(seen, F.count(F.lit(1)).alias("rows"))
+    some = counted.withColumn("__draw", F.xxhash64(*columns)).orderBy("__draw").limit(samples).drop("__draw").collect()
+    return seen.get["rows"], sorted(tuple(row) for row in some)
+
+
+def split_points(df: DataFrame, columns: Sequence[str], rows: int, segments: int, sample: list[tuple]) -> list[tuple]:
     """At most ``segments - 1`` cut points of the order given by ``columns``, whose first is the key hash.
 
-    The sample holds about ``SAMPLES_PER_SEGMENT * segments`` rows however large the input is. No
-    points are returned when no key is large enough to be worth cutting.
+    ``sample`` is taken again where it is small for so many segments. No points are returned when no key is
+    large enough to be worth cutting.
     """
     if segments <= 1:
         return []
-    fraction = min(1.0, SAMPLES_PER_SEGMENT * segments / rows)
-    sample = sorted(tuple(row) for row in df.select(*columns).sample(False, fraction, seed=11).collect())
+    if len(sample) < min(rows, SAMPLES_PER_SEGMENT * segments):
+        sample = look(df, columns, SAMPLES_PER_SEGMENT * segments)[1]
     hits = Counter(row[0] for row in sample)
-    if max(hits.values(), default=0) < HOT_SAMPLES:
+    if max(hits.values(), default=0) < HOT_SHARE * len(sample) / segments:
         return []
     return list(dict.fromkeys(sample[i * len(sample) // segments] for i in range(1, segments)))
 
@@ -97,7 +106,7 @@ class OrderedScan:
 
     ``order`` must be a total order per key made of numbers, strings or booleans without NULLs.
     ``materialize`` writes the input once to the shared folder: use it when ``df`` is the result
-    of a shuffle, since the input is read by the count, the sample, the digest and the scan.
+    of a shuffle, since the input is read by the look at it, the digest and the scan.
     """
 
     def __init__(
@@ -114,10 +123,8 @@ class OrderedScan:
         self.keys, self.order = list(keys), list(order)
         hashed = df.withColumn(KEY, F.xxhash64(*self.keys) if self.keys else F.lit(0).cast("bigint"))
         columns = [KEY, *self.order]
-        rows = df.count()
-        points = split_points(
-            hashed, columns, rows, segment_count(df, rows, rows_per_segment, max_segments)
-        )
+        rows, sample = look(hashed, columns, FIRST_SAMPLES)
+        points = split_points(hashed, columns, rows, segment_count(df, rows, rows_per_segment, max_segments), sample)
         self.cut_hashes = sorted({point[0] for point in points})
         self.is_split = bool(points)
         if self.is_split:
@@ -212,6 +219,29 @@ class OrderedScan:
         return self
 
 
+def cut_prefix_sums(df: DataFrame, keys: Sequence[str], time: str, sums: dict[str, str], cut_us: int) -> DataFrame:
+    """Inclusive running sums of whole numbers within the keys, by a time that is unique per key.
+
+    Two levels: sums within cuts of the time line, and the sums of the cuts before. What a row belongs to
+    follows from its own time, so nothing is sampled, searched or written, and the rows are exchanged and
+    sorted once. The cuts of a key are summed by themselves, a row for each.
+    """
+    cut = "__cut"
+    placed = df.withColumn(cut, F.floor(F.col(time) / F.lit(cut_us)).cast("bigint"))
+    own = Window.partitionBy(*keys, cut).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = placed.withColumns({out: F.sum(column).over(own) for out, column in sums.items()})
+    totals = placed.groupBy(*keys, cut).agg(*[F.sum(column).alias(f"__t_{out}") for out, column in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        *[F.col(k).alias(f"__d_{k}") for k in [*keys, cut]], *[F.coalesce(F.sum(f"__t_{out}").over(earlier), F.lit(0)).alias(f"__c_{out}") for out in sums]
+    )
+    same = F.col(cut) == F.col(f"__d_{cut}")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"__d_{key}"))
+    joined = rows.join(carried, same).withColumns({out: F.col(out) + F.col(f"__c_{out}") for out in sums})
+    return joined.drop(cut, *[f"__d_{k}" for k in [*keys, cut]], *[f"__c_{out}" for out in sums])
+
+
 def trailing(
     df: DataFrame,
     keys: Sequence[str],

@@ -159,9 +159,12 @@ _WINDOW_ROWS = """w as (
 @query(oracle(f"with {_WINDOW_ROWS} select * from w", "metric_samples"))
 def monitor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All windows, as the last batch that changed them left them."""
+    return _updated(spark, _sampled(spark, sf_dir), "monitor", ["window_start_us", "scheduler"])
+
+
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _view(spark, sf_dir, "metric_samples")
-    rows = monitor.monitor_stream(samples, ["scheduler"], monitor.ALERT_GAUGES, order=["ts_us", "event_id"])
-    return _updated(spark, rows, "monitor", ["window_start_us", "scheduler"])
+    return monitor.monitor_stream(samples, ["scheduler"], monitor.ALERT_GAUGES, order=["ts_us", "event_id"])
 
 
 @query(
@@ -175,4 +178,10 @@ def monitor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.window_alerts(monitor_stream(spark, sf_dir), ["scheduler"])
+    """Alerts as the triggers raised them, of the windows as they stand."""
+    out, checkpoint = _place(spark, "alerts")
+    rows, keys = _sampled(spark, sf_dir), ["window_start_us", "scheduler"]
+    alerts = lambda windows: monitor.window_alerts(windows, ["scheduler"])
+    collect.update_stream(rows, out, checkpoint, once=True, told=alerts).awaitTermination()
+    schema = "window_start_us bigint, scheduler string, type string, severity string, message string"
+    return collect.told_rows(spark, out, _ddl(rows), schema, keys)

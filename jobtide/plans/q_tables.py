@@ -56,6 +56,35 @@ def upsert_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan_current_jobs(spark, path).select("job_id", "status", "priority", "user_name", "submission_us")
 
 
+@query(ORACLES["upsert_jobs"])
+def replace_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches of ``upsert_jobs`` put into a table that holds each job once; the second one comes twice."""
+    path, jobs = scratch(spark, "replaced"), _job_table(spark, sf_dir)
+
+    def version(minutes: int, status: str | None) -> DataFrame:
+        stamp = F.timestamp_micros(F.unix_micros("submission_time") + minutes * 60_000_000)
+        return jobs.withColumns({"snapshot_ts": stamp, "status": F.lit(status) if status else F.col("status")})
+
+    for batch, rows in ((0, version(1, "Suspended")), (1, version(9, None)), (1, version(99, "Unknown")), (2, version(5, "Unknown"))):
+        sinks.replace_jobs(rows, path, batch, buckets=16)
+    return tables.scan_job_table(spark, path).select("job_id", "status", "priority", "user_name", "submission_us")
+
+
+@query(
+    oracle(
+        """select id, ts_us from cluster_states
+        where ts_us // 86400000000 >= (select max(ts_us) // 86400000000 from cluster_states) - 7""",
+        "cluster_states",
+    )
+)
+def apply_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table of states by date still holds after dates more than a week before the newest were removed."""
+    path = scratch(spark, "states")
+    sinks.append_cluster_states(_state_table(spark, sf_dir), path)
+    sinks.apply_retention(spark, path, days=7)
+    return tables.scan_cluster_states(spark, path).select("id", "ts_us")
+
+
 @query(oracle("select job_id, status from jobs", "jobs"))
 def compact_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions compacted into a new folder."""

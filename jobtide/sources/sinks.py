@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobtide import schemas
+from jobtide.dims import RETENTION_DAYS
 from jobtide.operators.stats import latest_rows, metrics_summary, training_dataset
 from jobtide.session import remove
+from jobtide.sources.buckets import BUCKETS, BucketTable
 
 # What a missing field becomes on insert.
 JOB_DEFAULTS = {
@@ -78,6 +81,37 @@ def compact_jobs(spark: SparkSession, path: str, new_path: str) -> None:
     current.write.mode("errorifexists").parquet(f"{new_path}/batch_id=0")
 
 
+def job_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> BucketTable:
+    """The current version of each job, replaced in place: what :func:`upsert_jobs` keeps as versions."""
+    return BucketTable(spark, path, f"snapshot_ts timestamp, {schemas.JOBS}", ["job_id"], ["snapshot_ts"], buckets)
+
+
+def replace_jobs(jobs: DataFrame, path: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    stamp = F.col("snapshot_ts") if "snapshot_ts" in jobs.columns else F.lit(None).cast("timestamp")
+    rows = conform(jobs, schemas.JOBS, JOB_DEFAULTS, [stamp.alias("snapshot_ts")])
+    job_table(jobs.sparkSession, path, buckets).upsert(rows, batch_id)
+
+
+def apply_retention(spark: SparkSession, path: str, days: int = RETENTION_DAYS, as_of: date | None = None) -> list[date]:
+    """Remove the dates of a dated table that lie more than ``days`` before ``as_of`` (default: its newest date).
+
+    Only folders are looked at, below the table or below its numbered batches. Returns the dates that went.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for pattern in ("date=*", "batch_id=*/date=*"):
+        for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")) or []:
+            name = status.getPath().getName().removeprefix("date=")
+            if name != "__HIVE_DEFAULT_PARTITION__":
+                found.append((date.fromisoformat(name), status.getPath()))
+    newest = as_of or max((day for day, _ in found), default=None)
+    old = [(day, folder) for day, folder in found if day < newest - timedelta(days=days)]
+    for _, folder in old:
+        files.delete(folder, True)
+    return sorted({day for day, _ in old})
+
+
 def append_cluster_states(states: DataFrame, path: str, batch_id: int | None = None) -> None:
     rows = conform(_with_id(states, F.unix_micros("timestamp")), schemas.CLUSTER_STATES, STATE_DEFAULTS)
     _append(rows.withColumn("date", F.to_date("timestamp")), path, batch_id, "date")

@@ -56,6 +56,13 @@ def scan_current_jobs(spark: SparkSession, path: str) -> DataFrame:
     return _twins(latest_rows(versions, ["job_id"], newest), JOB_TIMES)
 
 
+def scan_job_table(spark: SparkSession, path: str) -> DataFrame:
+    """The jobs of a table kept by :func:`jobtide.sources.sinks.replace_jobs`: a row each, nothing to rank."""
+    from jobtide.sources.sinks import job_table
+
+    return _twins(job_table(spark, path).read(), JOB_TIMES)
+
+
 def scan_cluster_states(
     spark: SparkSession, path: str, hours: int | None = None, as_of: str | None = None
 ) -> DataFrame:

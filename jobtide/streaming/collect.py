@@ -9,6 +9,8 @@ grow with the age of the day or of a job, and results do not depend on files, tr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,7 @@ from jobtide import schemas
 from jobtide.dims import COLLECTION_SECONDS
 from jobtide.operators.cluster import POLL_SUMS, gauges_long, merged_sums, poll_sums, states_of_sums
 from jobtide.operators.manifests import killed_jobs, normalize_jobs, quarantined_jobs
+from jobtide.session import remove, scratch
 from jobtide.sources import sinks, tables
 from jobtide.sources.snapshots import objects, with_event_time
 from jobtide.streaming.transitions import batch_transitions, transition_batch
@@ -134,12 +137,20 @@ def append_stream(
 
 
 def update_stream(
-    rows: DataFrame, out: str, checkpoint: str, seconds: int = COLLECTION_SECONDS, once: bool = False
-) -> StreamingQuery:
-    """Keep each batch's changed aggregates in a folder of its own; :func:`updated` reads the newest of each key."""
+    rows: DataFrame, out: str, checkpoint: str, seconds: int = COLLECTION_SECONDS, once: bool = False,
+    told: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Keep each batch's changed aggregates in a folder of its own; :func:`updated` reads the newest of each key.
+
+    ``told`` makes further rows of what a batch changed (alerts), which are written in the same trigger;
+    :func:`told_rows` reads those that still hold.
+    """
 
     def write(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if told is not None:
+            changed = df.sparkSession.read.schema(df.schema).parquet(f"{out}/batch_id={batch_id}")
+            told(changed).write.mode("overwrite").parquet(f"{out}-told/batch_id={batch_id}")
 
     writer = rows.writeStream.outputMode("update").foreachBatch(write)
     return _trigger(writer.option("checkpointLocation", checkpoint), seconds, once).start()
@@ -149,6 +160,33 @@ def updated(spark: SparkSession, out: str, schema: str, keys: list[str]) -> Data
     return _newest(spark, out, schema, keys)
 
 
+def told_rows(spark: SparkSession, out: str, schema: str, told_schema: str, keys: list[str]) -> DataFrame:
+    """What was told of the newest state of each key. What an older state told stays in its batch's folder."""
+    newest = spark.read.schema(f"{schema}, batch_id bigint").parquet(out).groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    told = spark.read.schema(f"{told_schema}, batch_id bigint").parquet(f"{out}-told")
+    return told.join(newest, [*keys, "batch_id"], "left_semi").drop("batch_id")
+
+
+def compact_updates(spark: SparkSession, out: str, schema: str, keys: list[str], upto: int, told_schema: str | None = None) -> None:
+    """Put the newest rows of the batches up to ``upto``, and what they told, into the folders of that batch.
+
+    To be run while no batch is written and no reader reads.
+    """
+    whole = {out: spark.read.schema(f"{schema}, batch_id bigint").parquet(out).filter(F.col("batch_id") <= upto)}
+    newest = whole[out].groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    if told_schema:
+        whole[f"{out}-told"] = spark.read.schema(f"{told_schema}, batch_id bigint").parquet(f"{out}-told").filter(F.col("batch_id") <= upto)
+    batches = [r[0] for r in whole[out].select("batch_id").distinct().collect() if r[0] < upto]
+    held = {path: scratch(spark, "compact") for path in whole}
+    for path, rows in whole.items():
+        rows.join(newest, [*keys, "batch_id"], "left_semi").drop("batch_id").write.parquet(held[path])
+    for path, rows in whole.items():
+        spark.read.schema(rows.drop("batch_id").schema).parquet(held[path]).write.mode("overwrite").parquet(f"{path}/batch_id={upto}")
+        for batch in batches:
+            sinks.drop_batch(spark, path, batch)
+        remove(spark, held[path])
+
+
 def status_totals(jobs: DataFrame) -> DataFrame:
     """Running totals per status, refreshed as a whole on every trigger."""
     return jobs.groupBy("status").agg(F.count("*").alias("jobs"))

@@ -308,6 +308,35 @@ def test_rate_comes_out_of_the_stream(spark, tmp_path):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, wanted.collect()))
 
 
+def test_alerts_of_changed_windows_and_compaction(spark, tmp_path):
+    """An alert is told in the trigger of its sample, and no longer holds once a later sample of the window is calm."""
+    schema, second = "scheduler string, ts_us bigint, oom_incidents int, jobs_pending int", 1_000_000
+    path, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "cp"))
+    parts = [[("s", 1 * second, 9, 0), ("s", 40 * second, 0, 99)], [("s", 5 * second, 1, 0)], [("t", 2 * second, 8, 0)]]
+    keys, alerts = ["window_start_us", "scheduler"], "window_start_us bigint, scheduler string, type string, severity string, message string"
+
+    def told():
+        rows = collect.told_rows(spark, out, "window_start_us bigint, scheduler string", alerts, keys).collect()
+        return sorted((r["scheduler"], r["window_start_us"] // second, r["type"]) for r in rows)
+
+    seen = []
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        rows = monitor.monitor_stream(spark.readStream.schema(schema).parquet(path), ["scheduler"], monitor.ALERT_GAUGES)
+        collect.update_stream(rows, out, checkpoint, once=True, told=lambda w: monitor.window_alerts(w, ["scheduler"])).awaitTermination()
+        seen.append(told())
+    assert seen == [
+        [("s", 0, "high_oom_rate"), ("s", 30, "queue_congestion")], [("s", 30, "queue_congestion")], [("s", 30, "queue_congestion"), ("t", 0, "high_oom_rate")],
+    ]
+    windows = "window_start_us bigint, scheduler string, oom_incidents int, jobs_pending int"
+    before = sorted(map(tuple, collect.updated(spark, out, windows, keys).collect()))
+    last = max(int(n.split("=")[1]) for n in os.listdir(out) if "=" in n)
+    collect.compact_updates(spark, out, windows, keys, last, alerts)
+    assert told() == seen[-1]
+    assert [n for n in os.listdir(out) if "=" in n] == [f"batch_id={last}"]
+    assert sorted(map(tuple, collect.updated(spark, out, windows, keys).collect())) == before
+
+
 def test_sessions_of_a_stream_merge(spark, tmp_path):
     """An arrival that comes late joins two sessions; with a watermark closed sessions are appended."""
     schema, second = "job_id string, user string, submission_us bigint", 1_000_000
@@ -352,6 +381,52 @@ def test_table_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "metrics")).first()["metric_type"] == "gauge"
 
 
+def test_replaced_jobs(spark, tmp_path, monkeypatch):
+    """A batch writes the buckets it touches only; a crash before the swap shows nothing, a retry and a repeat change nothing."""
+    path, schema = str(tmp_path / "jobs"), "job_id string, submission_time timestamp, snapshot_ts timestamp, status string"
+
+    def batch(ids, minute, status):
+        return spark.createDataFrame([(f"j{i}", START, START + timedelta(minutes=minute), status) for i in ids], schema)
+
+    def current():
+        rows = tables.scan_job_table(spark, path).collect()
+        assert len({r["job_id"] for r in rows}) == len(rows)
+        return {r["job_id"]: r["status"] for r in rows}
+
+    sinks.replace_jobs(batch(range(400), 0, "Pending"), path, 0, buckets=64)
+    assert current() == {f"j{i}": "Pending" for i in range(400)}
+    sinks.replace_jobs(batch([7], 5, "Running"), path, 1, buckets=64)
+    assert [n for n in os.listdir(f"{path}/rows/batch_id=1") if n.startswith("bucket=")].__len__() == 1
+    assert current() == {f"j{i}": "Running" if i == 7 else "Pending" for i in range(400)}
+
+    table = sinks.job_table(spark, path, 64)
+    crashed = sinks.conform(batch([7, 8], 9, "Failed"), sinks.schemas.JOBS, sinks.JOB_DEFAULTS, [F.col("snapshot_ts")])
+    table.stage(crashed, 2)  # and no swap
+    assert current()["j8"] == "Pending" and table.manifest()["batch_id"] == 1
+    sinks.replace_jobs(batch([7, 8], 9, "Succeeded"), path, 2, buckets=64)  # the retry
+    sinks.replace_jobs(batch([7, 8], 99, "Unknown"), path, 2, buckets=64)  # a repeat of a batch that is known
+    sinks.replace_jobs(batch([7, 500], 1, "Unknown"), path, 3, buckets=64)  # an older version does not win
+    after = current()
+    assert (after["j7"], after["j8"], after["j500"], len(after)) == ("Succeeded", "Succeeded", "Unknown", 401)
+    assert "Window" not in tables.scan_job_table(spark, path)._jdf.queryExecution().executedPlan().toString()
+    table.vacuum()
+    assert current() == after and len(table.versions()) == 1
+    assert sinks.job_table(spark, str(tmp_path / "none")).read().count() == 0
+
+
+def test_retention_removes_old_dates(spark, tmp_path):
+    days = [(START + timedelta(days=d), float(d)) for d in range(0, 40, 3)] + [(None, -1.0)]
+    states = spark.createDataFrame(days, "timestamp timestamp, available_cpu double")
+    for name, batch in (("plain", None), ("numbered", 4)):
+        path = str(tmp_path / name)
+        sinks.append_cluster_states(states, path, batch)
+        gone = sinks.apply_retention(spark, path, days=30)
+        assert [d.day for d in gone] == [1, 4, 7]  # 1 January is day 0, the newest is day 39
+        left = sorted(r["available_cpu"] for r in spark.read.parquet(path).collect())
+        assert left == [-1.0, *[float(d) for d in range(9, 40, 3)]]
+        assert sinks.apply_retention(spark, path, days=30) == []
+
+
 def test_scan_jobs_skips_files(spark, tmp_path):
     rows = [("a", START), ("b", START + timedelta(hours=5)), ("c", None)]
     jobs = sinks.conform(

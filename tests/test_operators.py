@@ -120,7 +120,7 @@ def test_occupancy_against_recount(spark):
         end = start + rng.randrange(1, 300) if start is not None and rng.random() < 0.9 else None
         rows.append((f"j{i}", start, end, rng.randrange(1, 5) * 0.25, 0.5))
     df = spark.createDataFrame(rows, "job_id string, start_us bigint, completion_us bigint, cpu_request double, memory_request double")
-    history = occupancy.occupancy_history(df, cpu_total=100.0, rows_per_segment=200).collect()
+    history = occupancy.occupancy_history(df, cpu_total=100.0, points_per_cut=200).collect()
     times = {t for r in rows for t in r[1:3] if t is not None}
     assert {r["us"] for r in history} == times
     for r in history[:: max(1, len(history) // 200)]:

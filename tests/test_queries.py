@@ -27,7 +27,7 @@ def test_query(spark, db, name):
         assert compare(spark, db, name, queries()[name], sql, SF_DIR) is None
 
 
-STREAMS = ["append_states_stream", "status_refresh", "status_transitions_stream", "status_transitions_keyed", "monitor_stream", "oom_rate_stream", "burst_sessions_stream", "collect_events"]
+STREAMS = ["append_states_stream", "status_refresh", "status_transitions_stream", "status_transitions_keyed", "monitor_stream", "alert_stream", "oom_rate_stream", "burst_sessions_stream", "collect_events"]
 DAILY = ["collect_stream", "collect_states", "collect_gauges", "collect_quarantine", "collect_audit"]
 
 
