@@ -14,6 +14,7 @@ from jobtide.dims import RETENTION_DAYS
 from jobtide.operators.stats import latest_rows, metrics_summary, training_dataset
 from jobtide.session import remove
 from jobtide.sources.buckets import BUCKETS, BucketTable
+from jobtide.sources.tables import forget_files, index_batch
 
 # What a missing field becomes on insert.
 JOB_DEFAULTS = {
@@ -50,7 +51,8 @@ def _with_id(df: DataFrame, identity: Column) -> DataFrame:
     return df if "id" in df.columns else df.withColumn("id", identity)
 
 
-def _append(df: DataFrame, path: str, batch_id: int | None, partition: str | None = None) -> None:
+def _append(df: DataFrame, path: str, batch_id: int | None, partition: str | None = None, indexed: str | None = None) -> None:
+    """``indexed`` names the time by which scans find the files of a numbered batch."""
     writer = df.write
     if partition:
         writer = writer.partitionBy(partition)
@@ -58,6 +60,8 @@ def _append(df: DataFrame, path: str, batch_id: int | None, partition: str | Non
         writer.mode("append").parquet(path)
     else:
         writer.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if indexed:
+            index_batch(df.sparkSession, path, indexed, batch_id)
 
 
 def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
@@ -70,7 +74,7 @@ def upsert_jobs(jobs: DataFrame, path: str, batch_id: int) -> None:
     """Append this batch's versions. Readers take the newest one per job; see :func:`compact_jobs`."""
     stamp = F.col("snapshot_ts") if "snapshot_ts" in jobs.columns else F.lit(None).cast("timestamp")
     rows = conform(jobs, schemas.JOBS, JOB_DEFAULTS, [stamp.alias("snapshot_ts")])
-    _append(rows, path, batch_id)
+    _append(rows, path, batch_id, indexed="submission_time")
 
 
 def compact_jobs(spark: SparkSession, path: str, new_path: str) -> None:
@@ -109,12 +113,13 @@ def apply_retention(spark: SparkSession, path: str, days: int = RETENTION_DAYS,
     old = [(day, folder) for day, folder in found if day < newest - timedelta(days=days)]
     for _, folder in old:
         files.delete(folder, True)
+    forget_files(spark, path, [folder.toUri().getPath() for _, folder in old])
     return sorted({day for day, _ in old})
 
 
 def append_cluster_states(states: DataFrame, path: str, batch_id: int | None = None) -> None:
     rows = conform(_with_id(states, F.unix_micros("timestamp")), schemas.CLUSTER_STATES, STATE_DEFAULTS)
-    _append(rows.withColumn("date", F.to_date("timestamp")), path, batch_id, "date")
+    _append(rows.withColumn("date", F.to_date("timestamp")), path, batch_id, "date", indexed="timestamp")
 
 
 def append_scheduling_events(events: DataFrame, path: str, batch_id: int | None = None) -> None:

@@ -8,6 +8,61 @@ from pyspark.sql import functions as F
 from jobtide import schemas
 from jobtide.functions.clock import MICROS_PER_HOUR, micros
 from jobtide.operators.stats import latest_rows
+from jobtide.session import remove, scratch
+
+
+INDEX = "file string, first_us bigint, last_us bigint"
+
+
+def index_batch(spark: SparkSession, path: str, time: str, batch_id: int) -> None:
+    """Note the range of ``time`` in each file of a numbered batch; files without a time have no range."""
+    rows = spark.read.schema(f"{time} timestamp").parquet(f"{path}/batch_id={batch_id}")
+    us = F.unix_micros(time)
+    files = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"))
+    files.coalesce(1).write.mode("overwrite").parquet(f"{path}/_index/batch_id={batch_id}")
+
+
+def _index(spark: SparkSession, path: str) -> DataFrame | None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_index")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(f"{INDEX}, batch_id bigint").parquet(f"{path}/_index")
+
+
+def forget_files(spark: SparkSession, path: str, folders: list[str]) -> None:
+    """Take the files below removed folders out of the index, which becomes one part. Not beside a writer."""
+    index = _index(spark, path)
+    if index is None or not folders:
+        return
+    gone = F.lit(False)
+    for folder in folders:
+        gone = gone | F.contains("file", F.lit(f"{folder}/"))
+    last = index.agg(F.max("batch_id")).first()[0]
+    batches = [r[0] for r in index.select("batch_id").distinct().collect() if r[0] < last]
+    held = scratch(spark, "index")
+    index.filter(~gone).drop("batch_id").write.parquet(held)
+    spark.read.schema(INDEX).parquet(held).coalesce(1).write.mode("overwrite").parquet(f"{path}/_index/batch_id={last}")
+    for batch in batches:
+        remove(spark, f"{path}/_index/batch_id={batch}")
+    remove(spark, held)
+
+
+def _scan(spark: SparkSession, path: str, schema: str, time: str, hours: int | None, as_of: str | None) -> DataFrame:
+    """Rows strictly newer than ``as_of - hours`` (default: than the newest row), compared on the stored column.
+
+    Where the writer kept an index of its files, only those that reach into the hours are opened, and the
+    table's folders are not listed; otherwise the files are skipped by their own statistics.
+    """
+    index = _index(spark, path) if hours is not None else None
+    if index is None:
+        return _recent(spark.read.schema(schema).parquet(path), time, hours, as_of)
+    end = index.agg(F.max("last_us")).first()[0] if as_of is None else spark.range(1).select(F.unix_micros(F.lit(as_of).cast("timestamp"))).first()[0]
+    if end is None:
+        return spark.read.schema(schema).parquet(path)
+    cutoff = end - hours * MICROS_PER_HOUR
+    files = [r["file"] for r in index.filter(F.col("last_us") > cutoff).select("file").collect()]
+    rows = spark.read.schema(schema).parquet(*sorted(files)) if files else spark.createDataFrame([], schema)
+    return rows.filter(F.col(time) > F.timestamp_micros(F.lit(cutoff)))
 
 
 def _recent(df: DataFrame, time: str, hours: int | None, as_of: str | None) -> DataFrame:
@@ -39,8 +94,7 @@ JOB_TIMES = {
 def scan_jobs(
     spark: SparkSession, path: str, hours: int | None = None, as_of: str | None = None
 ) -> DataFrame:
-    jobs = spark.read.schema(schemas.JOBS).parquet(path)
-    return _twins(_recent(jobs, "submission_time", hours, as_of), JOB_TIMES)
+    return _twins(_scan(spark, path, schemas.JOBS, "submission_time", hours, as_of), JOB_TIMES)
 
 
 def scan_job_versions(spark: SparkSession, path: str) -> DataFrame:
@@ -66,5 +120,4 @@ def scan_job_table(spark: SparkSession, path: str) -> DataFrame:
 def scan_cluster_states(
     spark: SparkSession, path: str, hours: int | None = None, as_of: str | None = None
 ) -> DataFrame:
-    states = spark.read.schema(schemas.CLUSTER_STATES).parquet(path)
-    return _twins(_recent(states, "timestamp", hours, as_of), {"timestamp": "ts_us"})
+    return _twins(_scan(spark, path, schemas.CLUSTER_STATES, "timestamp", hours, as_of), {"timestamp": "ts_us"})
