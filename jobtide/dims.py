@@ -91,7 +91,6 @@ REWARD_WEIGHTS = {"throughput": 0.4, "utilization": 0.3, "wait_penalty": 0.2, "f
 RETENTION_DAYS = 30
 COLLECTION_SECONDS = 10
 MONITOR_SECONDS = 30
-STATUS_SECONDS = 60
 NOISE_SIGMA = 0.1
 ANOMALY_RATE = 0.01
 

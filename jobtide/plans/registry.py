@@ -33,6 +33,7 @@ def load_all() -> None:
         q_monitor,
         q_occupancy,
         q_placement,
+        q_settings,
         q_stats,
         q_streams,
         q_tables,
