@@ -22,8 +22,8 @@ from jobtide.llm.pretokens import Pretokens, tiktoken_classes
 
 #: Bytes, as estimated, of remembered encodings of pre-tokens, and pairs of tokens whose compatibility
 #: is remembered. A full store is emptied, and so is each at the end of a task; what is missing is computed anew.
-REMEMBERED_BYTES = 32 << 20
-REMEMBERED_PAIRS = 200_000
+REMEMBERED_BYTES = 96 << 20
+REMEMBERED_PAIRS = 600_000
 #: Bytes of text looked at together.
 TOGETHER = 4 << 20
 _NEVER = 1 << 62
