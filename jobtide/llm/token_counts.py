@@ -59,6 +59,30 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def pack(texts: list[bytes]) -> bytes:
+    """Texts as one compressed value: their number, their size, their lengths, their bytes."""
+    sizes = np.fromiter(map(len, texts), "<u4", len(texts)).tobytes()
+    whole = sizes + b"".join(texts)
+    return np.array([len(texts), len(whole)], "<i8").tobytes() + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> list[bytes]:
+    n, size = np.frombuffer(packed[:16], "<i8").tolist()
+    whole = pa.decompress(packed[16:], decompressed_size=size, codec="zstd", asbytes=True)
+    ends = np.cumsum(np.frombuffer(whole[: 4 * n], "<u4"), dtype=np.int64) + 4 * n
+    return [whole[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Whole numbers, compressed, after their count."""
+    return np.array([len(numbers)], "<i8").tobytes() + pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    size = 4 * int(np.frombuffer(packed[:8], "<i8")[0])
+    return np.frombuffer(pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True), "<i4")
+
+
 def count_tokens(
     docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None
 ) -> DataFrame:
@@ -88,23 +112,24 @@ def count_tokens(
         return pa.table({
             "shard": pa.array(used, pa.int32()),
             "block": pa.array([key[0].as_py()] * len(used), pa.int32()),
-            "pretokens": pa.array([texts[cuts[s] : cuts[s + 1]] for s in used], pa.list_(pa.binary())),
+            "pretokens": pa.array([pack(texts[cuts[s] : cuts[s + 1]]) for s in used], pa.binary()),
         })
 
     def split(key, requests):
         known, pieces, answers = vocabulary(vocabulary_path), {}, []
-        for asked in requests["pretokens"].to_pylist():
+        for packed in requests["pretokens"]:
+            asked = unpack(packed.as_py())
             for text in asked:
                 if text not in pieces:
                     pieces[text] = known.count(text)
-            answers.append(np.array([pieces[t] for t in asked], "<i4").tobytes())
+            answers.append(_small(np.fromiter((pieces[t] for t in asked), np.int64, len(asked))))
         shard = pa.array([key[0].as_py()] * len(answers), pa.int32())
         return pa.table([requests["block"], shard, pa.array(answers, pa.binary())], names=["block", "shard", "pieces"])
 
     def add(key, table, replies):
         found, spans, cuts = read(table)
         by_shard = dict(zip(replies["shard"].to_pylist(), replies["pieces"].to_pylist()))
-        pieces = np.frombuffer(b"".join(by_shard[int(s)] for s in np.flatnonzero(np.diff(cuts))), "<i4")
+        pieces = np.concatenate([np.zeros(0, "<i4"), *(_numbers(by_shard[int(s)]) for s in np.flatnonzero(np.diff(cuts)))])
         n_docs = len(found.bounds) - 1
         pairs, frequency = np.unique(found.docs * max(1, len(pieces)) + found.which, return_counts=True)
         doc, pretoken = np.divmod(pairs, max(1, len(pieces)))
@@ -118,6 +143,6 @@ def count_tokens(
             "n_tokens": pa.array(tokens, pa.int64()),
         })
 
-    asked = blocks.grouped.applyInArrow(ask, "shard int, block int, pretokens array<binary>")
+    asked = blocks.grouped.applyInArrow(ask, "shard int, block int, pretokens binary")
     counted = asked.groupBy("shard").applyInArrow(split, "block int, shard int, pieces binary")
     return blocks.grouped.cogroup(counted.groupBy("block")).applyInArrow(add, RESULT)
