@@ -81,6 +81,7 @@ class Lines:
         self.words = last - first
         _, later = _again(FIRST.spans(FIRST.sums(data), heads, tails), self.doc)
         self.n_dup_lines = np.bincount(self.doc[later], minlength=n_docs)
+        self.again = later
 
         def total(mask):
             sums = np.concatenate([[0], np.cumsum(mask[data])])
@@ -157,16 +158,16 @@ class Field:
         return content / np.maximum(1, lines.n_words)
 
 
-def fit(sequences: list[np.ndarray], labels: np.ndarray, how: Training | None = None) -> Field:
+def fit(sequences: list[np.ndarray], labels: list[np.ndarray], how: Training | None = None) -> Field:
     """Maximise the conditional likelihood of whole label sequences (forward-backward, Adam).
 
-    ``sequences`` holds the features of each document's lines; all lines carry the document's label.
+    ``sequences`` holds the features of each document's lines, ``labels`` a label (0 or 1) for each line.
     Without both labels every line is content.
     """
     how = how or Training()
-    kept = [(s, y) for s, y in zip(sequences, labels.tolist()) if len(s)]
+    kept = [(s, np.asarray(y, int)) for s, y in zip(sequences, labels) if len(s)]
     emit, move, begin = np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)
-    if len({y for _, y in kept}) < 2:
+    if len({int(label) for _, y in kept for label in np.unique(y)}) < 2:
         return Field(emit, move, begin)
     kept.sort(key=lambda p: len(p[0]))
     groups = []
@@ -176,10 +177,10 @@ def fit(sequences: list[np.ndarray], labels: np.ndarray, how: Training | None =
         while to < len(kept) and (to - at) * len(kept[to][0]) < 1 << 15:
             to += 1
         part, long = kept[at:to], len(kept[to - 1][0])
-        x, on = np.zeros((len(part), long, FEATURES)), np.zeros((len(part), long), bool)
-        for i, (s, _) in enumerate(part):
-            x[i, : len(s)], on[i, : len(s)] = s, True
-        groups.append((x, on, np.array([y for _, y in part])))
+        x, on, own = np.zeros((len(part), long, FEATURES)), np.zeros((len(part), long), bool), np.zeros((len(part), long), int)
+        for i, (s, y) in enumerate(part):
+            x[i, : len(s)], on[i, : len(s)], own[i, : len(s)] = s, True, y
+        groups.append((x, on, own))
         at = to
     weights = [emit, move, begin]
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
@@ -215,25 +216,30 @@ def _slopes(x, on, y, emit, move, begin):
     last = forward[np.arange(n), on.sum(axis=1) - 1]
     total = _log_sum(last[:, :, None])[:, 0]
     share = np.exp(forward + backward - total[:, None, None]) * on[:, :, None]
-    seen = np.zeros((n, 2))
-    seen[np.arange(n), y] = 1
-    apart = share - seen[:, None, :] * on[:, :, None]
+    seen = np.eye(2)[y] * on[:, :, None]
+    apart = share - seen
     between = forward[:, :-1, :, None] + move + (scores + backward)[:, 1:, None, :] - total[:, None, None, None]
     pairs = (np.exp(between) * on[:, 1:, None, None]).sum(axis=(0, 1))
-    pairs -= np.diag((seen * (on.sum(axis=1) - 1)[:, None]).sum(axis=0))
+    pairs -= np.einsum("nta,ntb->ab", seen[:, :-1], seen[:, 1:])
     return np.einsum("ntf,ntk->fk", x, apart), pairs, apart[:, 0].sum(axis=0)
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Training | None = None, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit on a bounded sample of documents with a quality label: lines of good ones stand for content."""
+    """Fit on a bounded sample of documents with a quality label.
+
+    Lines have weak labels of their own: those of a good document stand for content, but for a line that
+    repeats an earlier one of its document; those of other documents stand for boilerplate.
+    """
     how = how or Training()
     texts, good = labelled_sample(docs, labels, "quality", id_col, text_col, how.max_rows, how.max_bytes, how.max_text)
     data, bounds = utf8(pa.array(texts, pa.string()))
-    sequences = []
+    sequences, marks = [], []
     for lo, hi in pieces(bounds):
         lines = Lines(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-        sequences += np.split(lines.features, np.searchsorted(lines.doc, np.arange(1, hi - lo)))
-    return fit(sequences, good, how)
+        cuts = np.searchsorted(lines.doc, np.arange(1, hi - lo))
+        sequences += np.split(lines.features, cuts)
+        marks += np.split((good[lo:hi][lines.doc] == 1) & ~lines.again, cuts)
+    return fit(sequences, marks, how)
 
 
 RESULT = (

@@ -24,7 +24,7 @@ def remainder(doc_id, parts):
 
 def brute_counts(text):
     out = Counter()
-    words = [w for w in re.split(r"[\W\d_]+", text.lower()) if w]
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
     points = lambda s: sum(ord(c) << (21 * (len(s) - 1 - i)) if c != " " else 0 for i, c in enumerate(s))
     for w in words:
         out.update(points(c) for c in w)
@@ -63,6 +63,36 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in judged) >= 0.98 * len(judged) > 100
 
 
+def brute_top(counts, size):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
+
+
+def test_languages_against_a_plain_version(spark, texts):
+    """Profiles, answers and scores anew, over repeated rows, very long texts and every other odd text."""
+    size = 40
+    rows = [(i, t, ["de", "en", None, "fr"][k % 4], k) for k, (i, t) in enumerate(texts)] + [(5, texts[4][1], "en", 0)] * 3
+    profiles = {}
+    for i, text, lang, _ in rows:
+        if lang and i is not None and remainder(i, 4) != 2:
+            profiles.setdefault(lang, Counter()).update(brute_counts(text or ""))
+    profiles = {lang: {g: r for r, g in enumerate(brute_top(c, size))} for lang, c in sorted(profiles.items()) if c}
+
+    def wanted(text):
+        own = brute_top(brute_counts(text or ""), size)
+        if not own:
+            return "und", 0.0
+        apart = [(sum(abs(p[g] - r) if g in p else size for r, g in enumerate(own)), lang) for lang, p in profiles.items()]
+        return min(apart)[1], 1 - min(apart)[0] / (size * len(own))
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long").repartition(3)
+    got = langid.identify(docs, langid.learn(docs, size)).collect()
+    plain = {text: wanted(text) for _, text, _, _ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score = plain[r.text]
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score)), r.text
+
+
 def test_languages_odd_rows(spark):
     rows = [(1, "der die das und", "de", 0.5), (3, "the and of to", "en", 0.5), (4, None, "de", None), (5, "1 2 3", None, 1.0), (None, "the of", None, None), (5, "und das", "xx", 2.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
@@ -177,7 +207,7 @@ def test_slopes_are_those_of_the_likelihood():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(2, 3, linecrf.FEATURES))
     on = np.array([[True, True, True], [True, True, False]])
-    y = np.array([1, 0])
+    y = np.array([[1, 0, 1], [0, 0, 0]])
     weights = [rng.normal(size=(linecrf.FEATURES, 2)) * 0.3, rng.normal(size=(2, 2)), rng.normal(size=2)]
 
     def loss(ws):
@@ -187,7 +217,7 @@ def test_slopes_are_those_of_the_likelihood():
             n = on[i].sum()
             scores = x[i] @ emit
             path = lambda p: begin[p[0]] + sum(scores[t, k] for t, k in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:]))
-            out += np.log(sum(np.exp(path(p)) for p in product((0, 1), repeat=n))) - path((y[i],) * n)
+            out += np.log(sum(np.exp(path(p)) for p in product((0, 1), repeat=n))) - path(y[i][:n])
         return out
 
     slopes = linecrf._slopes(x, on, y, *weights)
@@ -199,6 +229,39 @@ def test_slopes_are_those_of_the_likelihood():
             assert abs((loss(up) - loss(down)) / 2e-5 - slopes[k][place]) < 1e-4
 
 
+def test_kept_against_every_labelling(spark, make):
+    """The verdict from the best of all labellings of a document's lines, by a field with lines of both kinds."""
+    from itertools import product
+
+    rng = random.Random(9)
+    good = ["the small river runs past the old mill and the town below it.", "we walked along the bank until the evening came and went home."]
+    junk = ["| MENU | HOME |", "Click here !!!", "CONTACT $$$", "Copyright 2020 # all", "the small river runs past the old mill and the town below it."]
+    texts = [" \n".join(rng.choice(good if rng.random() < p else junk) for _ in range(rng.randint(1, 8))) for p in [0.1, 0.5, 0.9] * 40]
+    field = linecrf.fit(*zip(*[(ls.features, [1 - int(a) for a in ls.again]) for ls in (linecrf.Lines(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts)]))
+    assert np.abs(field.emit).sum() > 0
+    shares = set()
+    for row in linecrf.judge(make(list(enumerate(texts))), field).collect():
+        text = texts[row.doc_id].encode()
+        lines = linecrf.Lines(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        scores = lines.features @ field.emit
+
+        def total(y):
+            return field.begin[y[0]] + sum(scores[i, k] for i, k in enumerate(y)) + sum(field.move[a, b] for a, b in zip(y, y[1:]))
+
+        best = max(product((0, 1), repeat=len(scores)), key=total)
+        share = sum(w for w, k in zip(lines.words.tolist(), best) if k) / lines.words.sum()
+        shares.add(share in (0, 1))
+        assert row.content_share == pytest.approx(share) and row.kept == (not counts(texts[row.doc_id])[-1] and share >= 0.5)
+    assert shares == {True, False}  # some documents have lines of both kinds
+
+
+@given
+def test_some_documents_have_lines_of_both_kinds(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    shares = [r.content_share for r in linecrf.judge(docs, linecrf.train(docs, labels)).collect()]
+    assert any(0 < s < 1 for s in shares)
+
+
 @given
 def test_quality_of_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
