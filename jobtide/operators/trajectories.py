@@ -13,11 +13,14 @@ from jobtide.operators.ordered import OrderedScan, trailing
 
 
 def recent_mean(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, n: int = 10, block_rows: int = 100_000
-) -> DataFrame:
-    """Mean of the last ``n`` samples including this one."""
-    numbered = OrderedScan(df, keys, order).row_number("__position").result()
-    return trailing(numbered, keys, "__position", n, {out: F.avg(value)}, block_rows).drop("__position")
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, n: int = 10, block_rows: int = 100_000,
+    position: str | None = None,
+) -> DataFrame:
+    """Mean of the last ``n`` samples including this one; ``position`` names a column for the number of the sample."""
+    number = position or "__position"
+    numbered = OrderedScan(df, keys, order).row_number(number).result()
+    rows = trailing(numbered, keys, number, n, {out: F.avg(value)}, block_rows)
+    return rows if position else rows.drop(number)
 
 
 def next_state_pairs(steps: DataFrame, keys: Sequence[str], order: Sequence[str], state: str = "state") -> DataFrame:

@@ -200,10 +200,7 @@ def job_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_features_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both variants of the history slots, with the mean of the last ten samples."""
     samples = view(spark, sf_dir, "e").withColumn("cpu", F.col("k") / 128.0)
-    rows = trajectories.recent_mean(samples, ["user_id"], ["us", "event_id"], "cpu", "recent")
-    from jobtide.operators.ordered import OrderedScan
-
-    rows = OrderedScan(rows, ["user_id"], ["us", "event_id"], materialize=True).row_number("jobs").result()
+    rows = trajectories.recent_mean(samples, ["user_id"], ["us", "event_id"], "cpu", "recent", position="jobs")
     memory = (F.col("user_id") % 64) / 64.0
     common = (
         1 - F.col("cpu"), 1 - memory, F.col("cpu"), memory, F.col("k"), F.col("recent"), F.col("k"),
