@@ -41,18 +41,18 @@ def band_hours(bands: DataFrame) -> DataFrame:
 
 def match_hour_band(jobs: DataFrame, bands: DataFrame, time_us: str = "submission_us") -> DataFrame:
     """Adds band and configured rate; arrivals outside every band are dropped."""
-    return jobs.withColumn("hour", whole_hour(F.col(time_us))).join(F.broadcast(band_hours(bands)), "hour")
+    return jobs.withColumn("hour", whole_hour(F.col(time_us))).join(band_hours(bands), "hour")
 
 
 def join_template_dim(jobs: DataFrame, templates: DataFrame, name: str = "template") -> DataFrame:
     """Adds the attributes of a job's template; the template table is configuration."""
     dim = templates.select(*[F.col(c).alias(name if c == "name" else f"template_{c}") for c in templates.columns])
-    return jobs.join(F.broadcast(dim), name)
+    return jobs.join(dim, name)
 
 
 def known_templates(weights: DataFrame, templates: DataFrame, name: str = "template") -> DataFrame:
     names = templates.select(F.col("name").alias(name))
-    return weights.join(F.broadcast(names), name, "left_semi")
+    return weights.join(names, name, "left_semi")
 
 
 def arrivals_sorted(jobs: DataFrame, time_us: str = "submission_us") -> DataFrame:
@@ -69,7 +69,7 @@ def arrival_profile(jobs: DataFrame, patterns: DataFrame, time_us: str = "submis
     total = F.sum("arrivals").over(Window.partitionBy("pattern_order"))
     configured = patterns.select("pattern_order", "job_type", F.col("share").alias("configured_share"))
     profile = counts.withColumn("observed_share", F.col("arrivals") / total)
-    return profile.join(F.broadcast(configured), keys, "left").select(
+    return profile.join(configured, keys, "left").select(
         *keys, "arrivals", "observed_share", "configured_share"
     )
 
