@@ -95,12 +95,26 @@ _ACTIVE = f"""with log as (select max(greatest(submission_us, start_us, completi
 
 @query(
     oracle(
-        f"""{_ACTIVE} select job_id, min(tick) as first_tick, max(tick) as last_tick, count(*) as ticks from active group by job_id""",
+        f"""with log as (select max(greatest(submission_us, start_us, completion_us)) as until from placements)
+        select job_id, unnest(range(start_us // {TICK_US} + 1,
+          coalesce((completion_us + {TICK_US} - 1) // {TICK_US}, until // {TICK_US} + 1))) * {TICK_US} as tick_us
+        from placements, log where start_us is not null""",
         "placements",
     )
 )
 def active_at_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All (job, tick) rows, run-length encoded; the oracle writes every tick out and counts."""
+    """All (job, tick) rows."""
+    return occupancy.active_at_tick(view(spark, sf_dir, "placements"), TICK_US)
+
+
+@query(
+    oracle(
+        f"""{_ACTIVE} select job_id, min(tick) as first_tick, max(tick) as last_tick, count(*) as ticks from active group by job_id""",
+        "placements",
+    )
+)
+def active_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (job, tick) rows run-length encoded; the oracle writes every tick out and counts."""
     rows = occupancy.active_ranges(view(spark, sf_dir, "placements"), TICK_US)
     return rows.withColumn("ticks", F.col("last_tick") - F.col("first_tick") + 1)
 

@@ -62,6 +62,13 @@ def test_collector_does_not_depend_on_files_or_triggers(spark, db, folder, monke
         assert compare(spark, db, name, queries()[name], oracle_sql()[name], folder) is None
 
 
+def test_active_at_tick_writes_every_tick_out(spark):
+    """A row for each job and tick, as many as the ranges hold."""
+    rows = queries()["active_at_tick"](spark, SF_DIR)
+    assert rows.columns == ["job_id", "tick_us"]
+    assert rows.count() == queries()["active_ranges"](spark, SF_DIR).agg(F.sum("ticks")).first()[0]
+
+
 def test_entry(spark):
     rows = entry(spark)
     assert len(rows.columns) == 18 and rows.count() > 0
