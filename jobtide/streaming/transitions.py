@@ -1,7 +1,7 @@
 """Status transitions of a snapshot stream that do not depend on the order in which snapshots arrive.
 
 Two ways with the same result. ``status_changes_keyed`` keeps the versions of each job in the state
-store (``transformWithState`` on RocksDB): a version that arrives late is put between its neighbours, and
+store (``transformWithState`` on RocksDB, jobs in buckets): a version that arrives late is put between its neighbours, and
 the one after it is answered again under the next revision. ``transitions_by_batch`` stays on joins and
 windows: it keeps the last status of each job in a table, and only for jobs with late rows does it read
 their versions again and rewrite their events. The second suits backfills, the first many small triggers.
@@ -9,11 +9,13 @@ their versions again and rewrite their events. The second suits backfills, the f
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -29,23 +31,121 @@ LATE = "10 minutes"
 FINISHED = ("Succeeded", "Failed")
 
 EVER_US = 1 << 60
+NEVER_US = -1 << 63
 SEEN = ["ts_us", "status", "submission_us", "start_us"]
 CHANGES = "job_id string, ts_us bigint, prev_status string, status string, submission_us bigint, start_us bigint, revision int"
-#: Rows of a job that are sorted at once. More rows of one trigger are taken in turns; late ones among them are corrected.
+#: Rows of a job, and of a bucket, that are sorted at once. More rows of one trigger are taken in turns; late ones among them are corrected.
 ROWS_AT_ONCE = 10_000
+BUCKET_ROWS_AT_ONCE = 100_000
+#: States of a stream without a bound on lateness. A checkpoint belongs to one number.
+STATE_BUCKETS = 1 << 13
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-# -- one state per job --------------------------------------------------------------------------------
+# -- versions in the state store ----------------------------------------------------------------------
+
+
+def _fresh(rows: Iterable[tuple]) -> dict:
+    """(submission, start) by (time, status), in that order; of equal ones the least."""
+    fresh = {}
+    for at, *times in sorted(rows):
+        fresh.setdefault(at, tuple(times))
+    return fresh
+
+
+def _answers(fresh: dict, last: tuple | None, known: dict) -> Iterator[tuple]:
+    """What ``fresh`` versions say: each with the status before it, and a known one after it that now has another before it.
+
+    (version, times, status before, status it was told before, revision). ``known`` is needed of a job with versions up to ``last``.
+    """
+    order = sorted([*known, *fresh]) if known else [*([last] if last else []), *fresh]
+    for at in fresh:
+        i = bisect_left(order, at)
+        before = order[i - 1][1] if i else None
+        yield at, fresh[at], before, None, 0
+        after = order[i + 1] if i + 1 < len(order) else None
+        if after in known:
+            *times, was, revision = known[after]
+            if was != at[1]:
+                yield after, tuple(times), at[1], was, revision + 1
+
+
+def _told(job_id, at, times, before, was, revision) -> tuple | None:
+    """A row of CHANGES: a change, and one that is no longer one, is told."""
+    changes, changed = before is not None and before != at[1], was is not None and was != at[1]
+    return (job_id, at[0], before, at[1], *times, revision) if changes or changed else None
+
+
+def _joined(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= BUCKET_ROWS_AT_ONCE:
+            yield pd.concat(held)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held)
+
+
+class BucketVersions(StatefulProcessor):
+    """Versions of the jobs of a bucket: the newest of each job, and a log of all, to which a trigger adds one entry.
+
+    Only a trigger with late rows reads the log; of a version that is there twice the later one holds. A call of
+    the state store costs more than the work on a job, so a bucket makes three calls for all its jobs.
+    """
+
+    def init(self, handle) -> None:
+        self._newest = handle.getValueState("newest", "jobs string")
+        self._log = handle.getListState("log", "versions string")
+
+    def _logged(self) -> dict:
+        versions: dict = {}
+        for (entry,) in self._log.get():
+            self._enter(versions, json.loads(entry))
+        return versions
+
+    @staticmethod
+    def _enter(versions: dict, entry: list) -> None:
+        for job_id, ts_us, status, *value in entry:
+            versions.setdefault(job_id, {})[(ts_us, status)] = value
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, versions = self._newest.get(), None
+        newest = {job_id: (ts_us, status) for job_id, ts_us, status in json.loads(held[0])} if held else {}
+        for some in _joined(rows):
+            jobs, entry, told = {}, [], []
+            times = ([None if us == NEVER_US else us for us in some[c].tolist()] for c in ("submission_us", "start_us"))
+            for job_id, *row in zip(some["job_id"].tolist(), zip(some["ts_us"].tolist(), some["status"].tolist()), *times):
+                jobs.setdefault(job_id, []).append(row)
+            for job_id, own in jobs.items():
+                fresh, last, known = _fresh(own), newest.get(job_id), {}
+                if last and min(fresh) <= last:
+                    versions = self._logged() if versions is None else versions
+                    known = versions[job_id]
+                    fresh = {at: times for at, times in fresh.items() if at not in known}
+                for at, times, before, was, revision in _answers(fresh, last, known):
+                    entry.append([job_id, *at, *times, before, revision])
+                    told.append(_told(job_id, at, times, before, was, revision))
+                newest[job_id] = max([*([last] if last else []), *list(fresh)[-1:]])
+            if entry:
+                self._log.appendValue((json.dumps(entry),))
+                if versions is not None:
+                    self._enter(versions, entry)
+            yield pd.DataFrame(list(filter(None, told)), columns=[c.split()[0] for c in CHANGES.split(", ")], dtype=object)
+        self._newest.update((json.dumps([[job_id, *at] for job_id, at in newest.items()]),))
+
+    def close(self) -> None:
+        pass
 
 
 class JobVersions(StatefulProcessor):
-    """Versions of one job by (time, status), each with the status before it and how often it was answered."""
+    """Versions of one job by (time, status), each with the status before it and how often it was answered, which leave in time."""
 
-    def __init__(self, timed: bool, finished_us: int | None, idle_us: int | None):
-        self._timed, self._finished_us, self._idle_us = timed, finished_us, idle_us
+    def __init__(self, finished_us: int | None, idle_us: int | None):
+        self._finished_us, self._idle_us = finished_us, idle_us
 
     def init(self, handle) -> None:
         self._handle = handle
@@ -57,44 +157,24 @@ class JobVersions(StatefulProcessor):
         rows = iter(rows)
         while some := list(islice(rows, ROWS_AT_ONCE)):
             yield from self._take(key[0], some)
-        if self._timed and self._newest.exists():
+        if self._newest.exists():
             ts_us, status, timer_ms = self._newest.get()
             if timer_ms is None:
                 self._set_timer(ts_us, status, ts_us // 1000 + 1)
 
     def _take(self, job_id: str, rows: list) -> Iterator[Row]:
-        fresh = {}
-        for r in sorted(((r.ts_us, r.status), r.submission_us, r.start_us) for r in map(_numbers, rows)):
-            fresh.setdefault(r[0], r[1:])
+        fresh = _fresh(map(_numbers, rows))
         last = self._newest.get() if self._newest.exists() else None
-        known, timer_ms = ({}, last[2]) if last else ({}, None)
-        order = []
-        if last and min(fresh) <= (last[0], last[1]):
+        known, newest, timer_ms = {}, (last[0], last[1]) if last else None, last[2] if last else None
+        if newest and min(fresh) <= newest:
             known = {(k[0], k[1]): v for k, v in self._versions.iterator()}
             fresh = {k: v for k, v in fresh.items() if k not in known}
-            order = sorted([*known, *fresh])
-        elif last:
-            order = [(last[0], last[1]), *fresh]
-        else:
-            order = list(fresh)
-        for at in fresh:
-            i = bisect_left(order, at)
-            before = order[i - 1][1] if i else None
-            yield from self._answer(job_id, at, fresh[at], before, None, 0)
-            after = order[i + 1] if i + 1 < len(order) else None
-            if after in known:
-                *times, was, revision = known[after]
-                if was != at[1]:
-                    yield from self._answer(job_id, after, times, at[1], was, revision + 1)
-        if order and (last is None or order[-1] > (last[0], last[1])):
-            self._newest.update((*order[-1], timer_ms))
-
-    def _answer(self, job_id, at, times, before, was, revision) -> Iterator[Row]:
-        """Store a version; a change, and one that is no longer one, is told."""
-        self._versions.updateValue(at, (*times, before, revision))
-        changes, changed = before is not None and before != at[1], was is not None and was != at[1]
-        if changes or changed:
-            yield Row(job_id=job_id, ts_us=at[0], prev_status=before, status=at[1], submission_us=times[0], start_us=times[1], revision=revision)
+        for at, times, before, was, revision in _answers(fresh, newest, known):
+            self._versions.updateValue(at, (*times, before, revision))
+            if told := _told(job_id, at, times, before, was, revision):
+                yield Row(*(c.split()[0] for c in CHANGES.split(", ")))(*told)
+        if fresh and (newest is None or max(fresh) > newest):
+            self._newest.update((*max(fresh), timer_ms))
 
     def _set_timer(self, ts_us: int, status: str, at_ms: int | None) -> None:
         if at_ms is not None:
@@ -125,10 +205,10 @@ class JobVersions(StatefulProcessor):
         pass
 
 
-def _numbers(row) -> Row:
+def _numbers(row) -> tuple:
     """Times as integers; a missing time is NULL, however the rows were transferred."""
     whole = lambda x: None if x is None or x != x else int(x)
-    return Row(ts_us=int(row.ts_us), status=row.status, submission_us=whole(row.submission_us), start_us=whole(row.start_us))
+    return (int(row.ts_us), row.status), whole(row.submission_us), whole(row.start_us)
 
 
 def status_changes_keyed(
@@ -142,16 +222,18 @@ def status_changes_keyed(
     repeated with its time and status tells nothing; snapshots of one time are ordered by status.
 
     ``late`` bounds the state: rows further behind the newest event are dropped, and versions that no
-    row can get between any more are removed. Without it no row is late and all versions stay. How long a
-    finished or silent job is remembered needs it, and takes LATE if none is given; a later change of a
+    row can get between any more are removed; each job has a state of its own for that. Without it no row is late, all versions
+    stay and jobs share the state of a bucket. How long a finished or silent job is remembered needs it, and takes LATE if none is given; a later change of a
     forgotten job counts as its first snapshot. The query must be started within :func:`rocksdb`.
     """
     late = late or (LATE if finished_us is not None or idle_us is not None else None)
     rows = snapshots.select("job_id", *SEEN)
     if late:
         rows = rows.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", late)
-    processor = JobVersions(late is not None, finished_us, idle_us)
-    return rows.groupBy("job_id").transformWithState(processor, CHANGES, "append", "EventTime" if late else "None")
+        return rows.groupBy("job_id").transformWithState(JobVersions(finished_us, idle_us), CHANGES, "append", "EventTime")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(NEVER_US)) for c in ("submission_us", "start_us")})  # frames have no missing integers
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(STATE_BUCKETS)))
+    return rows.groupBy("bucket").transformWithStateInPandas(BucketVersions(), CHANGES, "append", "None")
 
 
 @contextmanager

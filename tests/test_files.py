@@ -6,6 +6,7 @@ import random
 import shutil
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,50 @@ def test_order_of_snapshots_does_not_matter(spark, tmp_path, keyed, monkeypatch)
     assert sorted(map(str, rows.select(wanted.columns).collect())) == sorted(map(str, wanted.collect()))
 
 
+def test_jobs_share_the_calls_of_the_state_store(monkeypatch):
+    """A trigger makes three calls for all jobs of a bucket, and one more if a row is late."""
+    calls = []
+
+    class State:
+        def __init__(self, name, value):
+            self.name, self.value = name, value
+
+        def get(self):
+            calls.append(self.name)
+            return iter(self.value) if self.name == "log" else self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def appendValue(self, value):
+            calls.append("append")
+            self.value.append(value)
+
+    class Handle:
+        getValueState = staticmethod(lambda name, _: State(name, None))
+        getListState = staticmethod(lambda name, _: State(name, []))
+
+    bucket = transitions.BucketVersions()
+    bucket.init(Handle)
+
+    def trigger(*rows):
+        calls.clear()
+        columns = ["job_id", "ts_us", "status", "submission_us", "start_us"]
+        frame = pd.DataFrame([(*row, 0, transitions.NEVER_US) for row in rows], columns=columns)
+        return [row for told in bucket.handleInputRows((0,), [frame], None) for row in told.itertuples(index=False)]
+
+    assert len(trigger(*[(f"j{i}", 10 + k, s) for i in range(200) for k, s in enumerate(("Pending", "Running"))])) == 200
+    assert calls == ["newest", "append", "update"]
+    assert len(trigger(*[(f"j{i}", 20, "Succeeded") for i in range(200)])) == 200
+    assert calls == ["newest", "append", "update"]
+    late = trigger(("j7", 15, "Failed"), ("j8", 11, "Running"))
+    assert [(r.job_id, r.ts_us, r.prev_status, r.status, r.revision, r.start_us) for r in late] == [
+        ("j7", 15, "Running", "Failed", 0, None), ("j7", 20, "Failed", "Succeeded", 1, None),
+    ]
+    assert calls == ["newest", "log", "append", "update"]
+
+
 def test_a_batch_in_order_reads_no_history(spark, tmp_path):
     out = str(tmp_path)
     for batch, (ts, status) in enumerate([(10, "Pending"), (20, "Running"), (30, "Succeeded")]):
