@@ -11,7 +11,7 @@ from jobtide.functions import quantities as q
 from jobtide.functions import status as st
 from jobtide.functions.clock import since
 from jobtide.functions.encoding import at_least_one
-from jobtide.operators.manifests import all_pending
+from jobtide.operators.manifests import all_pending, in_queue, pending_workloads, unreadable_job, workload_job_info
 
 
 def latest(df: DataFrame, time_us: str) -> Column:
@@ -132,17 +132,21 @@ POLL_SUMS = (
 _SUMMED = [field.split()[0] for field in POLL_SUMS.split(", ")][1:]
 
 
-def poll_sums(nodes: DataFrame, manifests: DataFrame, workloads: DataFrame, events: DataFrame, unreadable: DataFrame) -> DataFrame:
+def poll_sums(nodes: DataFrame, manifests: DataFrame, workloads: DataFrame, events: DataFrame) -> DataFrame:
     """What a part of the objects of some polls adds to their states: counts and sums that add up over parts.
 
-    ``events`` carry ``event_us``; those of the hour before a poll count for it.
+    ``events`` carry ``event_us``; those of the hour before a poll count for it. Every kind is read once.
     """
     key = "snapshot_ts"
-    pending = all_pending(manifests, workloads, keep=[key]).groupBy(key).agg(F.count("*").alias("pending_jobs_count"))
-    parts = [
-        resource_sums(nodes), running_jobs(manifests), pending, oom_counts(events, F.unix_micros(key), by=[key]),
-        manifests.groupBy(key).agg(F.count("*").alias("jobs_seen")), unreadable.groupBy(key).agg(F.count("*").alias("errors")),
-    ]
+    meta, spec = F.col("metadata"), F.col("spec")
+    jobs = manifests.groupBy(key).agg(
+        F.sum(F.coalesce(F.col("status")["active"], F.lit(0))).alias("running_jobs"),
+        F.count_if(in_queue(meta, spec)).alias("pending_jobs_count"),
+        F.count("*").alias("jobs_seen"),
+        F.count_if(unreadable_job(meta, spec)).alias("errors"),
+    )
+    queued = workload_job_info(pending_workloads(workloads), keep=[key]).groupBy(key).agg(F.count("*").alias("pending_jobs_count"))
+    parts = [resource_sums(nodes), jobs, queued, oom_counts(events, F.unix_micros(key), by=[key])]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)

@@ -68,7 +68,8 @@ def _unreadable(containers: Column) -> Column:
     return bad
 
 
-def _normalized(manifests: DataFrame) -> DataFrame:
+def normalized_jobs(manifests: DataFrame) -> DataFrame:
+    """Every manifest as a flat row; ``defect`` says what cannot be read of it."""
     meta, spec, status = F.col("metadata"), F.col("spec"), F.col("status")
     containers = _containers(spec)
     priority = label(meta["labels"], "priority", "0")
@@ -99,13 +100,35 @@ def normalize_jobs(
     manifests: DataFrame, pods: DataFrame | None = None, pod_keys: Sequence[str] = ("namespace",)
 ) -> DataFrame:
     """The job table of readable manifests; unreadable ones go to :func:`quarantined_jobs`."""
-    jobs = _normalized(manifests).filter(F.col("defect").isNull()).drop("defect")
+    jobs = readable(normalized_jobs(manifests))
     return with_oom_flag(jobs, pods, pod_keys) if pods is not None else jobs
 
 
+def unreadable_job(meta: Column, spec: Column) -> Column:
+    """Whether a manifest goes to :func:`quarantined_jobs`."""
+    return F.coalesce(_unreadable(_containers(spec)), F.lit(False)) | label(meta["labels"], "priority", "0").try_cast("int").isNull()
+
+
+def in_queue(meta: Column, spec: Column) -> Column:
+    """Whether a manifest is a record of :func:`all_pending`: suspended and readable."""
+    readable = ~_unreadable(_containers(spec)) & label(meta["labels"], "priority", "0").try_cast("int").isNotNull()
+    return st.is_suspended(spec) & readable & _minutes(meta).try_cast("double").isNotNull()
+
+
+def _minutes(meta: Column) -> Column:
+    return annotation(meta["annotations"], "estimated-duration", str(DEFAULT_MINUTES))
+
+
 def quarantined_jobs(manifests: DataFrame) -> DataFrame:
-    bad = _normalized(manifests).filter(F.col("defect").isNotNull())
-    return bad.select("snapshot_ts", "job_id", "name", "namespace", "defect")
+    return defective(normalized_jobs(manifests))
+
+
+def readable(flat: DataFrame) -> DataFrame:
+    return flat.filter(F.col("defect").isNull()).drop("defect")
+
+
+def defective(flat: DataFrame) -> DataFrame:
+    return flat.filter(F.col("defect").isNotNull()).select("snapshot_ts", "job_id", "name", "namespace", "defect")
 
 
 def pending_jobs(manifests: DataFrame) -> DataFrame:
@@ -128,7 +151,6 @@ def job_info(manifests: DataFrame, as_of: Column | None = None, keep: Sequence[s
     meta, spec = F.col("metadata"), F.col("spec")
     resources = q.container_resources(_containers(spec))
     now = as_of if as_of is not None else F.col("snapshot_ts")
-    minutes = annotation(meta["annotations"], "estimated-duration", str(DEFAULT_MINUTES))
     rows = manifests.select(
         meta["uid"].alias("job_id"),
         meta["name"].alias("name"),
@@ -137,7 +159,7 @@ def job_info(manifests: DataFrame, as_of: Column | None = None, keep: Sequence[s
         resources["memory_request"].alias("memory_request"),
         label(meta["labels"], "priority", "0").try_cast("int").alias("priority"),
         F.coalesce(meta["creationTimestamp"], now).alias("arrival_time"),
-        minutes.try_cast("double").alias("estimated_duration"),
+        _minutes(meta).try_cast("double").alias("estimated_duration"),
         annotation(meta["annotations"], "job-type", "generic").alias("job_type"),
         _empty_map(meta["labels"]).alias("labels"),
         _empty_map(meta["annotations"]).alias("annotations"),

@@ -23,10 +23,13 @@ def _day(us: str) -> Column:
     return F.timestamp_micros(F.col(us) - F.pmod(F.col(us), F.lit(DAY_US)))
 
 
-def _files(df: DataFrame, read: Callable[[SparkSession, str], DataFrame], **fields: Column) -> DataFrame:
+def _files(df: DataFrame, read: Callable[[SparkSession, str], DataFrame], files: bool, **fields: Column) -> DataFrame:
+    """The objects as read back from files, or without ``files`` as they would be written."""
+    lines = df.select(*[c.alias(name) for name, c in fields.items()])
+    if not files:
+        return lines
     spark = df.sparkSession
     path = scratch(spark, "objects")
-    lines = df.select(*[c.alias(name) for name, c in fields.items()])
     lines.write.options(**TEXT).json(path)
     return read(spark, path)
 
@@ -58,7 +61,7 @@ def memory_text(gib: Column, event_id: Column) -> Column:
     )
 
 
-def job_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def job_manifests(spark: SparkSession, sf_dir: str, files: bool = True) -> DataFrame:
     jobs = view(spark, sf_dir, "jobs")
     event, user, status = F.col("event_id"), F.col("user_id"), F.col("status")
     container = F.struct(
@@ -78,6 +81,7 @@ def job_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(
         jobs,
         snapshots.read_job_snapshots,
+        files,
         snapshot_ts=_day("submission_us"),
         metadata=F.struct(
             F.col("job_id").alias("uid"),
@@ -104,7 +108,7 @@ def job_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def workload_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def workload_manifests(spark: SparkSession, sf_dir: str, files: bool = True) -> DataFrame:
     jobs = view(spark, sf_dir, "jobs")
     event = F.col("event_id")
     requests = F.when(
@@ -115,6 +119,7 @@ def workload_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(
         jobs,
         snapshots.read_workload_snapshots,
+        files,
         snapshot_ts=_day("submission_us"),
         metadata=F.struct(
             F.concat(F.lit("wl-"), event).alias("uid"), F.concat(F.lit("wl-"), "name").alias("name"), "namespace"
@@ -132,7 +137,7 @@ def _terminated(reason: Column) -> Column:
     return F.struct(F.when(reason.isNotNull(), F.struct(reason.alias("reason"))).alias("terminated"))
 
 
-def pod_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pod_snapshots(spark: SparkSession, sf_dir: str, files: bool = True) -> DataFrame:
     """Two pods per job; of a job killed for memory one container shows it now or in its last run."""
     jobs = view(spark, sf_dir, "jobs").withColumn("pod", F.explode(F.array(F.lit(0), F.lit(1))))
     killed = F.col("oom_killed") & (F.col("pod") == 0)
@@ -142,6 +147,7 @@ def pod_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(
         jobs,
         snapshots.read_pod_snapshots,
+        files,
         snapshot_ts=_day("submission_us"),
         namespace=F.col("namespace"),
         labels=F.create_map(F.lit("job-name"), F.col("name")),
@@ -150,13 +156,14 @@ def pod_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def node_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def node_manifests(spark: SparkSession, sf_dir: str, files: bool = True) -> DataFrame:
     nodes = view(spark, sf_dir, "node_snapshots")
     ready = F.when(F.col("ready"), "True").otherwise("False")
     taint = F.struct(F.lit("dedicated").alias("key"), F.lit("NoSchedule").alias("effect"))
     return _files(
         nodes,
         snapshots.read_node_snapshots,
+        files,
         snapshot_ts=F.timestamp_micros(F.col("snapshot_id").cast("bigint") * 1_000_000),
         name=F.concat(F.lit("node-"), F.col("node_id")),
         capacity=_resources(F.col("cpu_capacity"), F.col("memory_capacity")),
@@ -169,11 +176,11 @@ def node_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIRST_DAY_US = 1_704_067_200_000_000
 
 
-def daily_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_nodes(spark: SparkSession, sf_dir: str, files: bool = True) -> DataFrame:
     """Every node in the poll of one of thirty days."""
     number = F.substring("name", 6, 20).cast("bigint")
     day = F.timestamp_micros(F.lit(FIRST_DAY_US) + number % 30 * DAY_US)
-    return node_manifests(spark, sf_dir).withColumn("snapshot_ts", day)
+    return node_manifests(spark, sf_dir, files).withColumn("snapshot_ts", day)
 
 
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:

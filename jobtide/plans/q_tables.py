@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,10 +239,11 @@ _COLUMNS = ["job_id", "name", "namespace", "cpu_request", "memory_request", "pri
 def _collected(spark: SparkSession, kinds: dict[str, DataFrame]) -> str:
     """Run the collector over polls of these objects, each kind in files of its own; where it wrote."""
     path, out, checkpoint = (scratch(spark, name) for name in ("polls", "collected", "checkpoint"))
-    for kind, rows in kinds.items():
-        fields = F.struct(*[c for c in rows.columns if c != "snapshot_ts"])
-        lines = rows.select(F.lit(kind).alias("kind"), "snapshot_ts", fields.alias(kind))
-        lines.write.mode("append").options(**sinks.TEXT).json(path)
+    lines = [
+        rows.select(F.lit(kind).alias("kind"), "snapshot_ts", F.struct(*[c for c in rows.columns if c != "snapshot_ts"]).alias(kind))
+        for kind, rows in kinds.items()
+    ]
+    reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lines).write.options(**sinks.TEXT).json(path)
     polls = snapshots.read_polls(spark, path, max_files=MAX_FILES)
     collect.collect_stream(polls, out, checkpoint, once=True).awaitTermination()
     return out
@@ -253,10 +256,10 @@ MAX_FILES: int | None = None
 def _daily(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A poll a day: its jobs, workloads, pods and nodes, and the events of its last hours."""
     return {
-        "job": objects.job_manifests(spark, sf_dir),
-        "workload": objects.workload_manifests(spark, sf_dir),
-        "pod": objects.pod_snapshots(spark, sf_dir),
-        "node": objects.daily_nodes(spark, sf_dir),
+        "job": objects.job_manifests(spark, sf_dir, files=False),
+        "workload": objects.workload_manifests(spark, sf_dir, files=False),
+        "pod": objects.pod_snapshots(spark, sf_dir, files=False),
+        "node": objects.daily_nodes(spark, sf_dir, files=False),
         "event": objects.daily_events(spark, sf_dir),
     }
 
@@ -344,7 +347,7 @@ def collect_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def collection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a collection of jobs, from what its writes counted on the way."""
-    totals = collect.collected_totals(spark, _collected(spark, {"job": objects.job_manifests(spark, sf_dir)}))
+    totals = collect.collected_totals(spark, _collected(spark, {"job": objects.job_manifests(spark, sf_dir, files=False)}))
     sums = [F.sum("jobs_collected").alias("jobs_collected"), F.sum("errors").alias("errors"), F.max("collected_us").alias("last_collection_us")]
     return totals.agg(*sums)
 

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from jobtide import schemas
 from jobtide.dims import COLLECTION_SECONDS
 from jobtide.operators.cluster import POLL_SUMS, gauges_long, merged_sums, poll_sums, states_of_sums
-from jobtide.operators.manifests import killed_jobs, normalize_jobs, quarantined_jobs
+from jobtide.operators.manifests import defective, killed_jobs, normalized_jobs, readable
 from jobtide.session import remove, scratch
 from jobtide.sources import sinks, tables
 from jobtide.sources.snapshots import objects, with_event_time
@@ -38,24 +38,26 @@ def collect_batch(polls: DataFrame, batch_id: int, out: str) -> None:
     """
     spark = polls.sparkSession
     polls.persist()
+    held = scratch(spark, "manifests")
     try:
         jobs, workloads, nodes, pods, events = (objects(polls, k) for k in _KINDS)
-        bad = quarantined_jobs(jobs)
+        normalized_jobs(jobs).write.parquet(held)
+        flat = spark.read.schema(f"snapshot_ts timestamp, {schemas.JOBS}, defect string").parquet(held)
+        seen, failed = Observation(f"jobs {batch_id}"), Observation(f"errors {batch_id}")
         parts = {
-            "partials": poll_sums(nodes, jobs, workloads, with_event_time(events), bad),
+            "partials": poll_sums(nodes, jobs, workloads, with_event_time(events)),
             "kills": killed_jobs(pods, ["snapshot_ts", "namespace"]),
-            "quarantine": bad,
+            "quarantine": defective(flat).observe(failed, F.count(F.lit(1)).alias("errors")),
         }
-        seen, failed = Observation(f"jobs {batch_id}"), Observation(f"errors {batch_id}")
-        parts["quarantine"] = bad.observe(failed, F.count(F.lit(1)).alias("errors"))
         for name, rows in parts.items():
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
         told = [F.count(F.lit(1)).alias("jobs_collected"), F.max(F.unix_micros("snapshot_ts")).alias("collected_us")]
-        sinks.upsert_jobs(normalize_jobs(jobs).observe(seen, *told), f"{out}/jobs", batch_id)
+        sinks.upsert_jobs(readable(flat).observe(seen, *told), f"{out}/jobs", batch_id)
         totals = [(seen.get["jobs_collected"], failed.get["errors"], seen.get["collected_us"])]
         spark.createDataFrame(totals, TOTALS).coalesce(1).write.mode("overwrite").parquet(f"{out}/totals/batch_id={batch_id}")
     finally:
         polls.unpersist()
+        remove(spark, held)
     versions = spark.read.schema(f"snapshot_ts timestamp, {schemas.JOBS}").parquet(f"{out}/jobs/batch_id={batch_id}")
     times = [F.unix_micros(c).alias(n) for c, n in (("snapshot_ts", "ts_us"), ("submission_time", "submission_us"), ("start_time", "start_us"))]
     transition_batch(versions.select("job_id", "status", *times), batch_id, f"{out}/transitions")

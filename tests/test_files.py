@@ -10,8 +10,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from jobtide.operators import stats
+from jobtide.operators import cluster, stats
 from jobtide.operators.transitions import status_transitions
+from jobtide.plans import q_tables
+from jobtide.session import scratch
 from jobtide.sources import sinks, snapshots, tables
 from jobtide.streaming import collect, monitor, transitions
 
@@ -138,6 +140,24 @@ def test_collector_does_not_depend_on_triggers(spark, tmp_path):
     assert [r[:2] for r in found[0][2]] == [("b", "completed")]
 
 
+def test_collector_reads_and_writes_objects_once(spark, tmp_path):
+    """Objects go into the polls without files of their own, and the sums of a poll read each kind once."""
+    written = lambda: {name for name in os.listdir(os.path.dirname(scratch(spark, "x")).removeprefix("file:")) if name.startswith("objects-")}
+    spark.range(1).write.parquet(scratch(spark, "y"))
+    before = written()
+    rows = spark.createDataFrame([(1, START, 7, "click", 2.5, '{"k": 8}')], "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(1, 1)], "s_suppkey bigint, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert len(q_tables._daily(spark, str(tmp_path))) == 5
+    assert written() == before
+    (tmp_path / "1.json").write_text(poll(0, [("a", True, 0, 0), ("b", False, 1, 0), ("bad", True, 0, 0)], oom=["b"]))
+    polls = snapshots.read_polls(spark, str(tmp_path / "1.json"), stream=False)
+    jobs, workloads, nodes, events = (snapshots.objects(polls, kind) for kind in ("job", "workload", "node", "event"))
+    sums = cluster.poll_sums(nodes, jobs, workloads, snapshots.with_event_time(events))
+    assert sums._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 4
+    assert sums.select("running_jobs", "pending_jobs_count", "jobs_seen", "errors", "node_count").first()[:] == (1, 1, 3, 1, 1)
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "e.json").write_text(
         "\n".join(
