@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.llm.arrays import FIRST, LOWER, SECOND, mix, pieces, utf8, words
@@ -16,8 +16,12 @@ from jobtide.llm.scratch import Scratch
 
 #: Shingles whose signature rows are gathered at a time.
 _TOGETHER = 1 << 13
-#: Documents of a bucket that are compared with all its others in the first round; four times as many in each later one.
-LEADERS = 4
+#: Documents of a tile that are compared with all its others at a time.
+LEADERS = 64
+#: Rows of two texts looked at together.
+TOGETHER = 256
+#: Bytes of shingles and members of a chunk of a group, about. A tile holds two chunks, or many small groups.
+CHUNK_BYTES, CHUNK_MEMBERS = 2 << 20, 1024
 
 
 @dataclass(frozen=True)
@@ -104,23 +108,85 @@ def _signatures(batch: pa.RecordBatch, signature: Signature, width: int) -> pa.R
     )
 
 
-def _compare(batch: pa.RecordBatch, width: int, percent: int) -> pa.RecordBatch:
-    """Exact similarity of the two texts of each row, on whole shingle sets."""
+def _residuals(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """For each row the size of the document's set, a hash of its head's set, and the shingles that only one of the two holds."""
     sets = []
-    for column in ("text_a", "text_b"):
+    for column in ("text", "head_text"):
         data, bounds = utf8(batch[column])
         own: list[np.ndarray] = []
         for lo, hi in pieces(bounds):
             docs, values = shingle_sets(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], width)
             own += np.split(values, np.searchsorted(docs, np.arange(1, hi - lo)))
         sets.append(own)
-    linked = []
-    for x, y in zip(*sets):
-        small, large = (x, y) if len(x) < len(y) else (y, x)
-        at = np.searchsorted(large, small)
-        common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(small) else 0
-        linked.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-    return pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+    pivots = np.array([mix(h ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) for h in sets[1]], np.uint64)
+    packed = [np.setxor1d(x, h, assume_unique=True).tobytes() for x, h in zip(*sets)]
+    sizes = pa.array([len(x) for x in sets[0]], pa.int64())
+    columns = [batch["doc"], sizes, pa.array(pivots.view(np.int64)), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc", "n", "pivot", "residual"])
+
+
+def _linked(rows: pa.Table, percent: int) -> pa.Table:
+    """Edges that tie together what links within a tile, at most one for each document and pivot.
+
+    Sets that differ from one pivot by x and y differ from each other by as much as x does from y.
+    """
+    rows = rows.sort_by("pivot")
+    pivots, own = rows["pivot"].to_numpy(), rows["own"].to_numpy()
+    docs, n = rows["doc"].to_numpy(), rows["n"].to_numpy()
+    residuals = rows["residual"].to_pylist()
+    cuts = np.flatnonzero(np.diff(pivots)) + 1
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(docs)]):
+        of = _labels([np.frombuffer(r, np.uint64) for r in residuals[lo:hi]], n[lo:hi], own[lo:hi], percent)
+        tied = np.flatnonzero(of != np.arange(hi - lo))
+        a.append(docs[lo + of[tied]])
+        b.append(docs[lo + tied])
+    return pa.table([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+
+
+def _labels(residuals: list[np.ndarray], n: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
+    """For each set of one pivot the first place that links lead to. Those of the lowest chunk are compared with all."""
+    m = len(residuals)
+    sizes = np.array([len(r) for r in residuals], np.int64)
+    values, column, held = np.unique(np.concatenate(residuals), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), sizes)
+    often = held > m // 8
+    dense = np.zeros((m, int(often.sum())), np.float32)
+    at = often[column]
+    dense[row[at], (np.cumsum(often) - 1)[column[at]]] = 1
+    few = np.flatnonzero(~at & (held[column] > 1))  # entries of other shingles that several hold
+    by_column = few[np.argsort(column[few], kind="stable")]
+    first = np.searchsorted(column[by_column], np.arange(len(values)))
+    holders, of = row[by_column], np.arange(m)
+    leading = np.flatnonzero(own == own.min())
+    for block in np.array_split(leading, -(-len(leading) // LEADERS)):
+        common = (dense[block] @ dense.T).astype(np.int64)
+        place = np.full(m, -1)
+        place[block] = np.arange(len(block))
+        some = few[place[row[few]] >= 0]
+        many = held[column[some]]
+        others = np.repeat(first[column[some]] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        cells = np.repeat(place[row[some]] * m, many) + holders[others]
+        common += np.bincount(cells, minlength=common.size).reshape(common.shape)
+        both, apart = n[block, None] + n, sizes[block, None] + sizes - 2 * common
+        x, y = np.nonzero((both > apart) & (100 * (both - apart) >= percent * (both + apart)))
+        of = _tied(of, block[x], y)
+    return of
+
+
+def _tied(of: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place of each place's group, after the groups of a and b have become one."""
+    while True:
+        x, y = of[a], of[b]
+        apart = x != y
+        if not apart.any():
+            return of
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        root = np.arange(len(of))
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        of = root[of]
 
 
 def near_duplicates(
@@ -142,10 +208,11 @@ def near_duplicates(
 
     Equal sets are one class, represented by its smallest id. Classes meet in the buckets of their
     bands. A document weighs as much as its buckets hold, which is most for the text that copies were
-    made of; each is first compared with the weightiest one it meets. In each round a few leaders of a bucket are compared with its documents of other components;
-    a bucket is done when all documents that have not led share one component. So no bucket is
-    collected and no group emits all its pairs, yet every two documents of a bucket that end in
-    different components were compared.
+    made of; the weightiest of a bucket is its head, and all that meet a head are its group. A member
+    goes with the shingles that it or the head holds but not both: these are few, tell the exact
+    similarity of every two members, and need the two texts once for each member. Groups are compared
+    in tiles of two chunks of bounded size, and a tile gives no more edges than it has members: no pair
+    is ever a row, and no bucket or group is collected.
     """
     spark, signature = docs.sparkSession, signature or Signature()
     scratch = Scratch(spark)
@@ -175,29 +242,12 @@ def near_duplicates(
     texts = scratch.keep(rows.join(bucketed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
 
     best = F.max(F.struct("weight", (-F.col("doc")).alias("minus")))
-    heads = bucketed.groupBy("key").agg(best.alias("head"))
-    found = bucketed.join(heads, "key").filter("doc <> -head.minus").groupBy("doc").agg(F.max("head").alias("head"))
-    head = -F.col("head.minus")
-    pairs = found.select(F.least("doc", head).alias("a"), F.greatest("doc", head).alias("b")).distinct()
-    compared = scratch.keep(_verified(pairs, texts, width, percent))
-    edges, leaders = compared.filter("linked").select("a", "b"), LEADERS
-    edges = edges if same_id is None else scratch.keep(edges.unionByName(same_id))
-    waiting = bucketed
-    while True:
-        found = scratch.keep(connected_components(edges, scratch))
-        open_ = scratch.keep(_unresolved(waiting, found))
-        if open_.isEmpty():
-            break
-        ranked = open_.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "doc")))
-        leading = ranked.filter(F.col("turn") <= leaders).select("key", F.col("doc").alias("leader"), F.col("component").alias("own"))
-        pairs = open_.join(leading, "key").filter("own <> component")
-        pairs = pairs.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
-        new = scratch.keep(_verified(pairs.join(compared, ["a", "b"], "left_anti"), texts, width, percent))
-        waiting = open_.join(leading.select("key", F.col("leader").alias("doc")), ["key", "doc"], "left_anti").drop("component")
-        compared = scratch.keep(compared.unionByName(new))
-        edges = scratch.keep(edges.unionByName(new.filter("linked").select("a", "b")))
-        leaders *= 4
-    scratch.drop(texts, shared, bucketed)
+    heads = bucketed.groupBy("key").agg((-best["minus"]).alias("head"))
+    meeting = scratch.keep(bucketed.join(heads, "key").select("head", "doc").distinct())
+    edges = _edges(meeting, texts, width, percent, scratch)
+    edges = scratch.keep(edges if same_id is None else edges.unionByName(same_id))
+    found = scratch.keep(connected_components(edges, scratch))
+    scratch.drop(texts, shared, bucketed, meeting, edges)
 
     to = members.distinct().join(found, F.col("first") == F.col("node"), "left")
     to = to.groupBy("doc_id").agg(F.min(F.coalesce("component", "first")).alias("found"))
@@ -206,22 +256,36 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _unresolved(waiting: DataFrame, found: DataFrame) -> DataFrame:
-    """Entries of buckets that hold two components or more."""
-    placed = waiting.join(found, F.col("doc") == F.col("node"), "left")
-    placed = placed.select("key", "doc", "weight", F.coalesce("component", "doc").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return placed.join(mixed.select("key"), "key", "left_semi")
-
+def _edges(meeting: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: edges that connect the members of each head's group as their links do.
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b, linked for each pair. The texts of a hot document are split off by adaptive skew joins."""
+    The text of a hot head is split off by adaptive skew joins. A group of one chunk shares a tile with
+    other small groups; one of k chunks has a tile for every two, so each member goes to k tiles.
+    """
 
-    def compare(batches):
+    def part(batches):
         for batch in batches:
-            yield _compare(batch, width, percent)
-
-    second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(compare, "a long, b long, linked boolean")
+            for lo in range(0, len(batch), TOGETHER):
+                yield _residuals(batch.slice(lo, TOGETHER), width)
+
+    def link(rows):
+        return _linked(rows, percent)
+
+    own = texts.select(F.col("doc_id").alias("doc"), "text")
+    of_head = texts.select(F.col("doc_id").alias("head"), F.col("text").alias("head_text"))
+    both = meeting.join(own, "doc").join(of_head, "head").select("doc", "text", "head_text")
+    rows = scratch.keep(both.mapInArrow(part, "doc long, n long, pivot long, residual binary"))
+    sized = rows.groupBy("pivot").agg(F.sum(F.octet_length("residual")).alias("bytes"), F.count("*").alias("members"))
+    sized = sized.withColumn("chunks", F.ceil(F.greatest(F.col("bytes") / CHUNK_BYTES, F.col("members") / CHUNK_MEMBERS, F.lit(1.0))).cast("int"))
+    sized = scratch.keep(sized.filter("members > 1"))
+    small = sized.filter("chunks = 1").agg(F.sum("bytes"), F.sum("members")).first()
+    tiles = 1 + max((small[0] or 0) // CHUNK_BYTES, (small[1] or 0) // CHUNK_MEMBERS)
+    alone = F.col("chunks") == 1
+    dealt = rows.join(sized.select("pivot", "chunks"), "pivot").withColumn("own", F.pmod(F.xxhash64("doc"), "chunks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select(
+        F.when(alone, F.pmod(F.xxhash64("pivot"), F.lit(tiles))).otherwise(F.col("pivot")).alias("tile"),
+        F.when(alone, -1).otherwise(F.least("own", "other")).alias("low"), F.when(alone, -1).otherwise(F.greatest("own", "other")).alias("high"),
+        "doc", "n", "pivot", "residual", "own",
+    )
+    return dealt.groupBy("tile", "low", "high").applyInArrow(link, "a long, b long")

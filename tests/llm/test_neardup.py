@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from jobtide.llm import neardup
 from jobtide.llm.components import connected_components
@@ -113,3 +114,20 @@ def test_connected_components(spark):
     got = connected_components(frame, Scratch(spark)).collect()
     assert {r.node: r.component for r in got} == {x: find(x) for x in list(parent)} and len(got) == len(parent)
     assert connected_components(frame.limit(0), Scratch(spark)).collect() == []
+
+
+def test_pairs_do_not_become_rows(spark, make, monkeypatch):
+    """A group of near copies that mostly do not link, in one tile and in many; ids that repeat with different texts."""
+    rows = [(i, t) for i, t in enumerate(family(160, 3, 0.04, 90))]
+    rows += [(5, rows[9][1]), (5, None), (11, "another text under an id that is taken already")]
+    want = wanted(rows)
+    assert sum(r[3] for r in want.elements()) > 20
+    for members in (1024, 60):
+        monkeypatch.setattr(neardup, "CHUNK_MEMBERS", members)
+        assert Counter(map(tuple, near_duplicates(make(rows)).collect())) == want
+    sets = [np.array(sorted(hash(s) & (2**63 - 1) for s in shingles(t)), np.uint64) for _, t in rows[:160]]
+    table = pa.table({
+        "doc": list(range(160)), "n": [len(s) for s in sets], "pivot": [1] * 160, "own": [0] * 160,
+        "residual": [np.setxor1d(s, sets[7]).tobytes() for s in sets],
+    })
+    assert len(neardup._linked(table, 75)) < 160 < sum(100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y)) for i, x in enumerate(sets) for y in sets[:i])
