@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,8 @@ REMEMBERED_BYTES = 96 << 20
 REMEMBERED_PAIRS = 600_000
 #: Bytes of text looked at together.
 TOGETHER = 4 << 20
+#: Ids whose bytes are gathered together.
+DECODED_TOGETHER = 1 << 18
 _NEVER = 1 << 62
 
 
@@ -49,6 +52,7 @@ class BytePairs:
         self._pairs: dict[int, bool] = {}
         self._prefixes: dict[int, int] = {}
         self._edges: tuple[dict, dict] = ({}, {})
+        self._joined: tuple[np.ndarray, np.ndarray] | None = None
 
     def merge(self, text: bytes) -> list[int]:
         """Plain merging, lowest rank first, leftmost first among equals."""
@@ -123,10 +127,10 @@ class BytePairs:
             longest[end - back] = rank
         out: list[int] = []
         closed = [False] * (n + 1)
-        at, token = 0, longest[0]
+        at, token, pairs = 0, longest[0], self._pairs
         while True:
             end = at + len(tokens[token])
-            if not closed[end] and (not out or self.compatible(out[-1], token)):
+            if not closed[end] and (not out or (self.compatible(out[-1], token) if (fits := pairs.get(out[-1] << 32 | token)) is None else fits)):
                 out.append(token)
                 if end == n:
                     return out
@@ -154,10 +158,12 @@ class BytePairs:
             out.append(ids)
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        if ids and not 0 <= min(ids) <= max(ids) < len(self.tokens):
-            raise ValueError(f"no token has the id {min(ids) if min(ids) < 0 else max(ids)}")
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens by rank, and where each begins (and the last ends)."""
+        if self._joined is None:
+            starts = np.cumsum([0, *map(len, self.tokens)], dtype=np.int64)
+            self._joined = np.frombuffer(b"".join(self.tokens), np.uint8), starts
+        return self._joined
 
     def forget(self) -> None:
         """Give back what was remembered of the texts of a task."""
@@ -215,9 +221,28 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
 
 
 def _decoded(ids_column: pa.Array, known: BytePairs) -> pa.Array:
-    """The bytes of each list of ids. One list at a time becomes Python numbers."""
-    lists = (row.values for row in ids_column)
-    return pa.array((known.decode(ids.to_pylist() if ids is not None else []) for ids in lists), pa.binary())
+    """The bytes of each list of ids, read off one array that holds the bytes of all tokens."""
+    counts = pc.fill_null(pc.list_value_length(ids_column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = ids_column.flatten()
+    if values.null_count:
+        raise TypeError("an id is null")
+    ids = values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    bad = np.flatnonzero((ids < 0) | (ids >= len(known.tokens)))
+    if len(bad):
+        doc = int(np.searchsorted(np.cumsum(counts), bad[0], "right"))
+        own = ids[counts[:doc].sum() :][: counts[doc]]
+        raise ValueError(f"no token has the id {own.min() if own.min() < 0 else own.max()}")
+    data, starts = known.joined()
+    sizes = np.zeros(len(ids) + 1, np.int64)
+    parts = [np.zeros(0, np.uint8)]
+    for lo in range(0, len(ids), DECODED_TOGETHER):
+        some = ids[lo : lo + DECODED_TOGETHER]
+        many = starts[some + 1] - starts[some]
+        sizes[lo + 1 : lo + 1 + len(some)] = many
+        parts.append(data[np.repeat(starts[some] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))])
+    ends = np.cumsum(sizes)[np.concatenate([[0], np.cumsum(counts)])]
+    bounds = pa.array(ends, pa.int32())  # fails beyond 2 GB, as one Arrow column of bytes does
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, bounds.buffers()[1], pa.py_buffer(np.concatenate(parts))])
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:

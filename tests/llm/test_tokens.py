@@ -83,3 +83,18 @@ def test_empty_tables(spark, make):
     assert count_tokens(empty, COUNTED).collect() == [] and decode(encode(empty, RANKS), RANKS).collect() == []
     nulls = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert bytes(decode(nulls, RANKS).first().decoded) == b""
+
+
+def test_decoding_in_pieces(monkeypatch, library):
+    """Bytes are read off the joined tokens, few ids at a time; null and empty lists, slices, ids that no token has."""
+    monkeypatch.setattr(bytebpe, "DECODED_TOGETHER", 3)
+    known, texts = byte_pairs(RANKS), ["", "naïve 漢字 🙂 and some more words", "a", "unhappily so, " * 9]
+    ids = [library.encode_ordinary(t) for t in texts]
+    for kind in (pa.list_(pa.int32()), pa.large_list(pa.int64())):
+        column = pa.array([[1], None, *ids, None], kind)
+        got = bytebpe._decoded(column.slice(1), known)
+        assert got.to_pylist() == [b"", *(t.encode() for t in texts), b""] and got.type == pa.binary()
+        assert bytebpe._decoded(column.slice(0, 0), known).to_pylist() == []
+        for wrong, named in (([7, 60000, 99999], "99999"), ([99999, -4, -2], "-4")):
+            with pytest.raises(ValueError, match=f"no token has the id {named}"):
+                bytebpe._decoded(pa.array([[1, 2], None, wrong, [-9]], kind), known)
