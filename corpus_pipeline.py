@@ -41,11 +41,12 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     A character that lost some of its bytes goes as a whole.
     """
-    rows = suffixes.remove_repeated_passages(docs, carry=docs.columns)
-    rows = rows.select("rest.*", "kept_text", "n_removed").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return rows.select(docs.columns)
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("others")
+    rows = suffixes.remove_repeated_passages(docs, carry=[others, F.col("text").isNull().alias("no_text")])  # each text goes along once
+    own = {c: F.col("rest.others")[c] for c in docs.columns} | {"text": F.when(~F.col("rest.no_text"), F.col("kept_text"))}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length(own["text"])).otherwise(own["n_chars"]).cast("long")
+    return rows.select([own[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block: at least, and at most (a longer document is a block by itself).
@@ -37,7 +37,7 @@ class Blocks:
 
 
 def into_blocks(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, carry: Sequence[str] = ()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, carry: Sequence[str | Column] = ()
 ) -> Blocks:
     """Deal documents to blocks by a hash of id and text. Of other columns only ``carry`` is read, into a struct ``rest``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))

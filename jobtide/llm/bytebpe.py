@@ -25,8 +25,8 @@ from jobtide.llm.pretokens import Pretokens, tiktoken_classes
 #: is remembered. A full store is emptied, and so is each at the end of a task; what is missing is computed anew.
 REMEMBERED_BYTES = 96 << 20
 REMEMBERED_PAIRS = 600_000
-#: Bytes of text looked at together.
-TOGETHER = 4 << 20
+#: Bytes of text looked at together; arrays of some 60 bytes for each are held meanwhile.
+TOGETHER = 1 << 20
 #: Ids whose bytes are gathered together.
 DECODED_TOGETHER = 1 << 18
 _NEVER = 1 << 62

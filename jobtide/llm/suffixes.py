@@ -18,8 +18,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from jobtide.llm import sketch
 from jobtide.llm.arrays import (
@@ -27,7 +28,6 @@ from jobtide.llm.arrays import (
     NO_ID,
     PIECE,
     SECOND,
-    covered,
     ids,
     mix,
     pack_longs,
@@ -47,6 +47,8 @@ CROWD, CROWD_BLOCK = 2_048, 4
 REQUEST = sketch.REQUEST + ", many binary"
 REPLY = "block int, shard int, payload binary, crowded binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+#: Rows of the result that leave a task together, and stretches whose removed passages are listed together.
+TOGETHER, STRETCHES = 256, 1 << 14
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -251,6 +253,11 @@ class _Block:
         for name, values in (single | {"ids": self.ids[owner]}).items():
             setattr(self, name, np.concatenate([getattr(self, name)[~crowded], values]))
 
+    def forget(self) -> None:
+        """Drop what is known of the stretches; the texts stay."""
+        for name in ("starts", "lengths", "anchors", "first", "second", "ids", "order", "number", "heads", "least"):
+            delattr(self, name)
+
     def texts(self, some: np.ndarray, width: int) -> bytes:
         """The bytes of these stretches, one after the other."""
         sizes = self.lengths[some] + width - 1
@@ -326,7 +333,7 @@ def _passages(blocks: Blocks, width: int) -> tuple[DataFrame, DataFrame, sketch.
 
 
 def remove_repeated_passages(
-    docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, carry: Sequence[str] = ()
+    docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, carry: Sequence[str | Column] = ()
 ) -> DataFrame:
     """Remove each byte covered by ``width`` bytes (32 to 80) that also start in a smaller-id document.
 
@@ -344,7 +351,7 @@ def remove_repeated_passages(
         raise ValueError("width must be 32 to 80 bytes")
     blocks = into_blocks(docs, id_col, text_col, block_bytes, carry)
     counted, again, grid = _passages(blocks, width)
-    gram, shards = _gram(width), blocks.n
+    gram, shards, carried = _gram(width), blocks.n, bool(carry)
 
     def sort(key, requests):
         shard = pa.array([key[0].as_py()] * len(requests), pa.int32())
@@ -359,26 +366,41 @@ def remove_repeated_passages(
         bits = np.frombuffer(b"".join(masks[int(s)] for s in block.used), "<u4")
         own = bits[block.number]
         own[block.ids[block.order] > block.least[block.number]] = np.uint32(0xFFFFFFFF)
-        lengths = block.lengths[block.order]
-        owner = np.repeat(np.arange(len(own)), lengths)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        gone = (own[owner] >> inside.astype(np.uint32)) & np.uint32(1) == 1
-        out = _kept(block, (block.starts[block.order][owner] + inside)[gone], width)
-        return out.append_column("kept_text", _whole(block, out)).append_column("rest", table["rest"]) if carry else out
-
-    result = RESULT + (f", kept_text string, rest {blocks.rows.schema['rest'].dataType.simpleString()}" if carry else "")
+        cover = _cover(own, block.starts[block.order], block.lengths[block.order], width, len(block.data))
+        del answers, masks, bits, own
+        block.forget()
+        out = _kept(block, cover)
+        if carried:
+            out = out.append_column("kept_text", _whole(block, cover)).append_column("rest", table["rest"])
+        return pa.Table.from_batches(out.to_batches(TOGETHER), out.schema)
+
+    result = StructType.fromDDL(RESULT)
+    if carried:
+        result = result.add("kept_text", "string").add(blocks.rows.schema["rest"])
     sorted_ = again.groupBy("shard").applyInArrow(sort, "block int, shard int, payload binary").repartition("block")
     sorted_ = sorted_.withColumn("crowded", F.lit(None).cast("binary"))
     replies = counted.withColumn("exact", F.lit(False)).unionByName(sorted_.withColumn("exact", F.lit(True)))
     return blocks.grouped.cogroup(replies.groupBy("block")).applyInArrow(remove, result)
 
 
-def _kept(block: _Block, gone: np.ndarray, width: int) -> pa.Table:
-    """The rows of a block, given where its removed passages start."""
+def _cover(bits: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of n bytes go, given the stretches of a block and a bit for each of their passages."""
+    edge = np.zeros(n + 1, np.int8)
+    for lo in range(0, len(bits), STRETCHES):
+        some = lengths[lo : lo + STRETCHES]
+        owner = np.repeat(np.arange(lo, lo + len(some)), some)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(some) - some, some)
+        gone = (bits[owner] >> inside.astype(np.uint32)) & np.uint32(1) == 1
+        gone = (starts[owner] + inside)[gone]
+        edge[gone] += 1
+        edge[gone + width] -= 1
+    return np.cumsum(edge[:n], dtype=np.int32) > 0
+
+
+def _kept(block: _Block, cover: np.ndarray) -> pa.Table:
+    """The rows of a block, given which of its bytes go."""
     data, bounds = block.data, block.bounds
-    cover = covered(gone, width, len(data))
-    sums = np.concatenate([[0], np.cumsum(~cover)])
-    kept, places = data[~cover], sums[bounds]
+    kept, places = data[~cover], np.concatenate([[0], np.cumsum(~cover, dtype=np.int32)])[bounds]
     first = np.zeros(len(data) + 1, bool)
     first[bounds] = True
     heads, tails = cover.copy(), cover.copy()
@@ -397,17 +419,14 @@ def _kept(block: _Block, gone: np.ndarray, width: int) -> pa.Table:
     })
 
 
-def _whole(block: _Block, out: pa.Table) -> pa.Array:
+def _whole(block: _Block, cover: np.ndarray) -> pa.Array:
     """What is kept of each document as text; characters that lost some of their bytes go as a whole."""
     texts = []
-    for kept, removed, spans, lo, hi in zip(out["kept"], out["n_removed"], out["spans"], block.bounds[:-1], block.bounds[1:]):
-        text = kept.as_py()
-        if removed.as_py():
-            own, cover = block.data[lo:hi], np.zeros(hi - lo, bool)
-            for span in spans.as_py():
-                cover[span["start"] : span["end"]] = True
+    for lo, hi in zip(block.bounds[:-1], block.bounds[1:]):
+        own, gone = block.data[lo:hi], cover[lo:hi]
+        if gone.any():
             character = np.cumsum((own & 0xC0) != 0x80) - 1
-            lost = np.bincount(character, cover) > 0
-            text = own[~lost[character]].tobytes()
-        texts.append(text.decode("utf-8"))
+            lost = np.bincount(character, gone) > 0
+            own = own[~lost[character]]
+        texts.append(own.tobytes().decode("utf-8"))
     return pa.array(texts, pa.string())

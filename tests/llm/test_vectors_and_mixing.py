@@ -232,6 +232,27 @@ def test_one_of_repeated_ids_stays(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 3] and sum(r.doc_id is None for r in kept) == 1
 
 
+def test_passages_of_the_pipeline_take_each_text_along_once(spark, monkeypatch):
+    """The text is not among the carried columns too; the other columns, null texts and counts come through."""
+    from jobtide.llm import suffixes
+
+    seen, into_blocks = [], suffixes.into_blocks
+
+    def blocks(*args):
+        seen.append(into_blocks(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(suffixes, "into_blocks", blocks)
+    line = "a line of more than fifty bytes that two of the documents hold"
+    rows = [(1, line, "en", -1), (2, "x" + line + "é", None, -1), (3, None, "fr", None), (None, "short", "de", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed string, n_chars long")
+    out = corpus_pipeline.remove_repeated_passages(spark, docs, "")
+    assert "text" not in seen[0].rows.schema["rest"].dataType["others"].dataType.names
+    assert out.dtypes == docs.dtypes
+    want = [(1, line, "en", -1), (2, "xé", None, 2), (3, None, "fr", None), (None, "short", "de", 9)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_on_odd_documents(spark, make, texts, tmp_path):
     labels = spark.createDataFrame([(10 + i, i % 2) for i in range(20)], "doc_id long, toxic int")
     docs = make(texts).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("s"))
